@@ -8,20 +8,18 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """Materialise ``df`` in the folder of ``spark.checkpoint.dir`` and cut its lineage.
-
-    A folder of our own is set only where the session names none (tests, laptops).
-    """
-    spark = df.sparkSession
+def checkpoint_dir(spark: SparkSession) -> str:
+    """The folder of ``spark.checkpoint.dir``; one of our own only where the session names none."""
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
         context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="gaugeworks-"))
-    return df.checkpoint()
+    return context.getCheckpointDir()
 
 
-def shuffle_parts(spark: SparkSession) -> int:
-    return int(spark.conf.get("spark.sql.shuffle.partitions"))
+def checkpointed(df: DataFrame) -> DataFrame:
+    """Materialise ``df`` in the shared checkpoint folder and cut its lineage."""
+    checkpoint_dir(df.sparkSession)
+    return df.checkpoint()
 
 
 def crc_mod(column: str, m: int) -> Column:
