@@ -1,0 +1,397 @@
+"""The training-data operators against brute force and on awkward tables."""
+
+import hashlib
+import math
+import random
+import re
+import zlib
+from collections import Counter
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from gaugeworks.llm import chat, components, jaccard, langid, licenses, mixing, packing, pq, queries, secrets, toxicity, vptree
+
+DOCS = "doc_id long, text string, lang string, source string, n_chars long, id string, class string, kind int, block int"
+LONG = "lorem ipsum dolor " * 20_000
+
+
+def documents(spark, rows):
+    """Documents with extra columns whose names clash with those the operators use inside."""
+    return spark.createDataFrame([(i, t, x, s, None, "i", "c", 1, 2) for i, t, x, s in rows], DOCS)
+
+
+ODD = [
+    (1, None, None, None), (2, "", "en", "a"), (3, " \t\n", "en", None), (4, LONG, "en", "a"), (5, "same text here again.", "en", "a"), (6, "same text here again.", "fr", "b"),
+    (6, "same text here again.", "fr", "b"), (None, "no id at all", None, "b"), (7, "é ß İ Σ \x1c x   y <|endoftext|> z", "de", "a"), (8, "!!! 123 ???", "en", "b"),
+]
+
+
+@pytest.fixture(scope="module")
+def odd(spark):
+    return documents(spark, ODD)
+
+
+@pytest.fixture(scope="module")
+def none(spark):
+    return documents(spark, [])
+
+
+def roots(n, edges):
+    parent = list(range(n))
+
+    def find(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for a, b in edges:
+        a, b = find(a), find(b)
+        parent[max(a, b)] = min(a, b)
+    return [find(i) for i in range(n)]
+
+
+# Packing
+
+
+def test_pieces_equal_the_tokenizer(spark, odd):
+    from tokenizers import Tokenizer
+
+    t = Tokenizer.from_file(queries.tokenizer_path())
+    out = packing.pack_documents(odd, queries.tokenizer_path(), 2048, 0).collect()
+    assert len([r for r in out if r["piece"] == 0]) == len(ODD)
+    for doc_id, text, *_ in ODD:
+        ids = t.encode(text or "", add_special_tokens=False).ids + [0]
+        want = {(k, k * 2048, len(p), zlib.crc32(np.asarray(p, "<u4").tobytes())) for k, p in enumerate(ids[i : i + 2048] for i in range(0, len(ids), 2048))}
+        assert {(r["piece"], r["start"], r["length"], r["ids_crc32"]) for r in out if r["doc_id"] == doc_id} == want
+    by = {}
+    for r in out:
+        by.setdefault(r["sequence_id"], []).append((r["offset"], r["length"]))
+    for parts in by.values():
+        at = 0
+        for offset, length in sorted(parts):
+            assert offset == at
+            at += length
+        assert at <= 2048
+
+
+def test_best_fit_against_a_plain_search():
+    rng = random.Random(5)
+    for capacity in (1, 7, 100, 2048):
+        lengths = sorted((rng.randint(1, capacity) for _ in range(400)), reverse=True)
+        bins, offsets = packing.best_fit_decreasing(lengths, capacity)
+        room = []
+        for n, b, o in zip(lengths, bins, offsets, strict=True):
+            fitting = [r for r in room if r >= n]
+            if fitting:
+                assert room[b] == min(fitting)
+            else:
+                assert b == len(room)
+                room.append(capacity)
+            assert o == capacity - room[b]
+            room[b] -= n
+
+
+def test_packing_nothing(spark, none):
+    assert packing.pack_documents(none, queries.tokenizer_path()).count() == 0
+
+
+# Toxicity
+
+
+def toy_labels(spark, n=400):
+    rng = random.Random(3)
+    words = ["".join(rng.choice("abdegiklmoprstu") for _ in range(5)) for _ in range(200)]
+    rows, labels = [], []
+    for i in range(n):
+        bad = i % 4 == 0
+        parts = [" ".join(rng.choice(words) for _ in range(6)) for _ in range(5)]
+        if bad:
+            parts[rng.randrange(5)] += " " + rng.choice(["vilex", "nastyo"])
+        rows.append((i, ". ".join(parts) + ".", "en", "a"))
+        labels.append((i, None, int(bad)))
+    return documents(spark, rows), spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
+
+
+def test_toxicity_finds_documents_and_sentences(spark, odd):
+    docs, labels = toy_labels(spark)
+    model = toxicity.train(docs, labels, F.col("doc_id") % 5 != 0)
+    out = {r["doc_id"]: r for r in toxicity.score(docs, model).collect()}
+    truth = {i: int(i % 4 == 0) for i in range(400)}
+    assert sum(out[i]["predicted"] == truth[i] for i in truth if i % 5 == 0) >= 78
+    text = docs.where("doc_id = 20").first()["text"]
+    assert re.search("vilex|nastyo", text[out[20]["worst_start"] : out[20]["worst_end"]])
+    odd_out = toxicity.score(odd, model).collect()
+    assert len(odd_out) == len(ODD) and all(0 <= r["score"] <= 1 for r in odd_out)
+    assert [r["n_sentences"] for r in odd_out if r["doc_id"] in (1, 2, 3)] == [0, 0, 0]
+    clean = toxicity.keep_clean(odd, model)
+    assert clean.columns == odd.columns and clean.count() == len(ODD)
+    assert toxicity.keep_clean(docs, model).count() == pytest.approx(300, abs=10)
+
+
+def test_toxicity_without_labels(spark, odd, none):
+    model = toxicity.train(odd, spark.createDataFrame([], "doc_id long, quality int, toxic int"))
+    assert not model.weights and toxicity.score(none, model).count() == 0
+
+
+# Language
+
+
+def test_languages(spark, odd, none):
+    words = {"aa": ["tako", "kato", "oktak"], "bb": ["welum", "mulew", "ewwul"], "cc": ["priss", "sirps", "risspir"]}
+    rng = random.Random(9)
+    rows = [(i, " ".join(rng.choice(words[x]) for _ in range(20)), x, "s") for i, x in ((i, rng.choice("abc") * 2) for i in range(150))]
+    filters = langid.train(documents(spark, rows), F.col("doc_id") % 4 != 2)
+    out = {r["doc_id"]: r for r in langid.predict(documents(spark, rows), filters).collect()}
+    assert all(out[i]["lang_pred"] == x for i, _, x, _ in rows)
+    got = {r["doc_id"]: r for r in langid.predict(odd, filters).collect()}
+    assert all((got[i]["lang_pred"], got[i]["score"]) == ("und", 0.0) for i in (1, 2, 3, 8))
+    assert langid.predict(none, filters).count() == 0
+    assert langid.predict(odd, langid.train(none)).where("lang_pred <> 'und'").count() == 0
+
+
+def test_bit_slices_hold_every_language():
+    f = langid.build({"x": {"abc": 5}, "y": {"abc": 5, "def": 1}}, {"x": 1, "y": 2})
+    at = lambda g: int(np.bitwise_and.reduce(f.array()[langid.slots(g)]))
+    assert f.languages == ("y", "x") and at("abc") == 3 and at("def") == 1
+
+
+# N-gram Jaccard
+
+
+def brute_sets(texts, n):
+    out = []
+    for t in texts:
+        w = [x.lower() for x in re.findall(rb"[^\x20\x09-\x0D]+", (t or "").encode())]
+        out.append(frozenset(tuple(w[i : i + n]) for i in range(len(w) - n + 1)) if len(w) >= n else frozenset([tuple(w)]) if w else frozenset())
+    return out
+
+
+@pytest.mark.parametrize(("n", "num", "den"), [(3, 9, 10), (5, 4, 5), (2, 1, 2)])
+def test_jaccard_against_all_pairs(spark, n, num, den):
+    rng = random.Random(n)
+    vocabulary = [f"w{i}" for i in range(60)]
+    base = [[rng.choice(vocabulary) for _ in range(rng.choice([1, 2, 4, 8, 40, 120]))] for _ in range(25)]
+    texts = []
+    for words in base:
+        for _ in range(rng.choice([1, 1, 2, 6])):
+            words = list(words)
+            for _ in range(rng.randrange(3)):
+                words[rng.randrange(len(words))] = rng.choice(vocabulary)
+            texts.append(" ".join(words))
+    texts += ["A b\tC", "a B c", "", None, "\x0b", LONG, LONG + "x"]
+    sets = brute_sets(texts, n)
+    edges = [(i, j) for i in range(len(sets)) for j in range(i) if sets[i] and 1 and len(sets[i] & sets[j]) * den >= num * len(sets[i] | sets[j]) and sets[j]]
+    want = roots(len(sets), edges)
+    got = {r["doc_id"]: r for r in jaccard.components(documents(spark, [(i, t, None, None) for i, t in enumerate(texts)]), n, num, den).collect()}
+    assert [got[i]["component_id"] for i in range(len(texts))] == want
+    assert [got[i]["n_shingles"] for i in range(len(texts))] == [len(s) for s in sets]
+
+
+def test_jaccard_on_odd_rows(spark, odd, none):
+    got = [(r["doc_id"], r["component_id"]) for r in jaccard.components(odd).collect()]
+    assert len(got) == len(ODD)
+    assert Counter(got)[(6, 5)] == 2 and (1, 1) in got and (None, None) in got
+    assert jaccard.components(none).count() == 0
+
+
+def test_components_of_chains(spark, monkeypatch):
+    monkeypatch.setattr(components, "CHUNK_EDGES", 40)
+    edges = [(i, i + 1) for i in range(300) if i % 50 != 49] + [(5, 5), (None, 3), (7, 8)]
+    got = {r["node"]: r["component"] for r in components.connected_components(spark.createDataFrame(edges, "a long, b long").repartition(7)).collect()}
+    assert all(got[i] == i // 50 * 50 for i in range(300))
+    assert components.connected_components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
+# Vectors
+
+
+def vectors(spark, n=240, dim=12, seed=4):
+    rng = np.random.default_rng(seed)
+    x = rng.normal(size=(n, dim))
+    for i in range(0, n, 3):
+        x[i] = x[i - 1] + rng.normal(scale=0.12, size=dim)
+    x[10:30] = x[9]
+    rows = [(i, [float(v) for v in np.float32(r)], int(i // 7 % 2), "z", 1) for i, r in enumerate(x)]
+    inf, nan = float("inf"), float("nan")
+    odd = [None, [0.0] * dim, [nan] * dim, [inf] + [1.0] * (dim - 1), [None] + [1.0] * (dim - 1), [], [1.0] * 3]
+    rows += [(n + i, v, 0, "z", 1) for i, v in enumerate(odd)] + [(n + 20, rows[0][1], None, "z", 1), (None, rows[0][1], 0, "z", 1)]
+    schema = "vec_id long, embedding array<float>, label int, v string, weight int"
+    return spark.createDataFrame(rows, schema), np.float32(x).astype(float), np.array([r[2] for r in rows[:n]]), n
+
+
+def test_near_duplicates_against_all_pairs(spark):
+    df, x, label, n = vectors(spark)
+    u = x / np.linalg.norm(x, axis=1)[:, None]
+    linked = (u @ u.T >= 0.93) & (label[:, None] == label)
+    np.fill_diagonal(linked, False)
+    want = roots(n, list(zip(*np.nonzero(linked), strict=True)))
+    rows = pq.near_duplicates(df, 0.93).collect()
+    got = {r["vec_id"]: r for r in rows}
+    assert len(rows) == df.count() and linked.sum() > 100
+    assert [got[i]["n_links"] for i in range(n)] == linked.sum(1).tolist()
+    assert [got[i]["component_id"] for i in range(n)] == want
+    assert all(got[i]["n_links"] == 0 and got[i]["kept"] for i in got if i is not None and i >= n)
+    assert got[None]["component_id"] is None and not got[None]["kept"]
+    assert pq.near_duplicates(df.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize("factor", [1.0, 0.6])
+def test_vantage_point_search(spark, factor, monkeypatch):
+    monkeypatch.setattr(vptree, "SHARD_ROWS", 90)
+    monkeypatch.setattr(vptree, "LEAF_ROWS", 8)
+    df, x, _, n = vectors(spark)
+    out = vptree.nearest(df, F.col("vec_id") % 20 == 0, 5, factor).collect()
+    ids = np.append(np.arange(n), n + 20)
+    x = np.concatenate([x, x[:1]])
+    hits = 0
+    for q in [i for i in ids if i % 20 == 0]:
+        own = x[ids == q][0]
+        s = vptree.inner_products(np.broadcast_to(own, x.shape), x)
+        order = [i for i in np.lexsort((ids, -s)) if ids[i] != q][:5]
+        got = sorted((r for r in out if r["query_id"] == q), key=lambda r: r["rank"])
+        assert [r["rank"] for r in got] == [1, 2, 3, 4, 5]
+        if factor == 1.0:
+            assert [(r["vec_id"], r["score"]) for r in got] == [(int(ids[i]), s[i]) for i in order]
+        hits += len({r["vec_id"] for r in got} & {int(ids[i]) for i in order})
+    assert hits >= 0.9 * 5 * len([i for i in ids if i % 20 == 0])
+    assert vptree.nearest(df.limit(0), F.col("vec_id") % 20 == 0).count() == 0
+
+
+def test_fewer_candidates_than_asked(spark):
+    df = spark.createDataFrame([(0, [1.0, 2.0]), (1, [1.0, 1.0]), (2, [3.0, 0.0])], "vec_id long, embedding array<float>")
+    got = [(r["rank"], r["vec_id"], r["score"]) for r in vptree.nearest(df, F.col("vec_id") == 0, 20).orderBy("rank").collect()]
+    assert got == [(1, 1, 3.0), (2, 2, 3.0)]
+
+
+# Licences
+
+
+def test_licence_templates_and_others(spark, odd, none):
+    lines = [(f, t) for f, texts in licenses.TEMPLATES.items() for t in texts] + [("unknown", t) for t in licenses.OTHERS]
+    docs = documents(spark, [(i, f"intro line\n{t.upper() if i % 2 else t}\n", None, None) for i, (_, t) in enumerate(lines)])
+    got = {r["doc_id"]: r for r in licenses.scan(docs).where("paragraph = 1").collect()}
+    for i, (family, _) in enumerate(lines):
+        if family != "unknown":
+            assert got[i]["family"] == family and got[i]["confirmed"] and got[i]["probability"] > 0.5
+        else:
+            assert i not in got or not got[i]["confirmed"]
+    assert licenses.scan(none).count() == 0
+    assert licenses.scan(odd).where("confirmed").count() == 0
+
+
+def test_paragraphs_without_anchors_cannot_be_licences():
+    m = licenses.train()
+    anchors = set(m.anchors)
+    for f in range(len(m.families) - 1):
+        free = [w[f] - w[-1] for g, w in m.weights.items() if not set(g.split()) & anchors]
+        assert m.bias[f] - m.bias[-1] + sum(x for x in free if x > 0) < 0
+
+
+def test_licence_scores_equal_the_plain_model(spark):
+    m = licenses.train()
+    texts = ["Released under the MIT License.", "You may use the MIT license or the Apache License, version 2.0", "version 3 of the general public form"]
+    got = {r["doc_id"]: r for r in licenses.scan(documents(spark, [(i, t, None, None) for i, t in enumerate(texts)])).collect()}
+    for i, t in enumerate(texts):
+        z = np.array(m.bias) + sum((np.array(m.weights[g]) for g in licenses.grams(licenses.tokens(t)) if g in m.weights), np.zeros(len(m.bias)))
+        p = np.exp(z - z.max()) / np.exp(z - z.max()).sum()
+        assert got[i]["family"] == m.families[int(p.argmax())] and got[i]["probability"] == pytest.approx(p.max())
+
+
+# Secrets
+
+
+def test_secrets(spark, odd, none):
+    hexes = hashlib.sha1(b"x").hexdigest()
+    cases = [
+        (f'set token = "{hexes}" and go', True), (f'TOKEN = "{hexes.upper()}"!!', True), (f"commit {hexes} was merged", False), ("user-profile-page-settings-2024 is a page", False),
+        ("id: 123e4567-e89b-12d3-a456-426614174000", False), ("call 9807915762804490123 now", None), ("api_key=your-api-key-here-12345", False),
+    ]
+    docs = documents(spark, [(i, t, "en", "src0") for i, (t, _) in enumerate(cases)])
+    got = {r["doc_id"]: r["is_secret"] for r in secrets.scan(docs).collect()}
+    assert [got.get(i) for i in range(len(cases))] == [c for _, c in cases]
+    red = {r["doc_id"]: r["text"] for r in secrets.redact(docs).collect()}
+    assert red[0] == 'set token = "[SECRET]" and go' and red[2] == cases[2][0]
+    same = secrets.redact(odd)
+    assert same.columns == odd.columns
+    assert Counter(map(tuple, same.collect())) == Counter(map(tuple, odd.collect()))
+    assert secrets.redact(none).count() == 0 and secrets.scan(none).count() == 0
+
+
+def test_forest_on_new_findings(spark):
+    rows = secrets.findings(600, seed=99)
+    docs = documents(spark, [(i, f"{before}{value}\n", None, path) for i, (value, before, path, _) in enumerate(rows)])
+    got = {r["doc_id"]: r["is_secret"] for r in secrets.scan(docs).collect()}
+    assert np.mean([got.get(i) == bool(y) for i, (*_, y) in enumerate(rows)]) > 0.93
+
+
+# Mixing
+
+
+def test_exponent_meets_its_limits():
+    tokens = {"big": 100_000, "mid": 10_000, "small": 100}
+    a = mixing.bisect_exponent(tokens, max_repeats=4.0)
+    assert max(mixing.repeats(tokens, mixing.weights(tokens, a)).values()) == pytest.approx(4.0)
+    b = mixing.bisect_exponent(tokens, target_entropy=0.8)
+    assert mixing.entropy(mixing.weights(tokens, b)) == pytest.approx(0.8, abs=1e-9)
+    assert mixing.bisect_exponent({"x": 5}, max_repeats=4.0) == 0.0
+    assert mixing.bisect_exponent({}, max_repeats=4.0) == 0.0
+
+
+def test_readings_fill_budgets(spark, odd, none, monkeypatch):
+    monkeypatch.setattr(mixing, "BLOCK_DOCS", 4)
+    monkeypatch.setattr(mixing, "BLOCKS_TOGETHER", 3)
+    rng = random.Random(8)
+    rows = [(i, " ".join(["w"] * rng.randrange(1, 30)), "en", rng.choice(["a"] * 20 + ["b"] * 3 + ["c"])) for i in range(500)]
+    docs = documents(spark, rows)
+    out = mixing.mix(docs).collect()
+    keyed = mixing.with_key(docs).select("doc_key", "doc_id", F.col("source_key").alias("source"), "tokens")
+    shares = mixing.plan(keyed, 4.0)
+    for s, share in shares.items():
+        own = sorted((r["token_start"], r["tokens"], r["pass"], r["doc_id"]) for r in out if r["source"] == s)
+        at = 0
+        for start, n, *_ in own:
+            assert start == at
+            at += n
+        assert share.budget <= at < share.budget + 30
+        per = Counter(i for *_, i in own)
+        assert set(per) == {i for i, _, _, x in rows if x == s} and max(per.values()) - min(per.values()) <= 1
+    again = mixing.apply(docs)
+    assert again.columns == docs.columns
+    assert Counter(r["doc_id"] for r in again.collect()) == Counter(r["doc_id"] for r in out)
+    assert mixing.mix(none).count() == 0 and mixing.apply(none).count() == 0
+    assert {r["doc_id"] for r in mixing.apply(odd).collect()} == {r[0] for r in ODD}
+    assert mixing.mix(odd).where("doc_id = 6").count() >= 2
+
+
+# Chat
+
+
+def test_conversations_read_back(spark):
+    rows = [(1, 0, "user", "hi <|end|> \\ <\\| |>"), (1, 1, "assistant", "a\\<|b\n"), (1, 2, "assistant", None), (2, 5, None, ""), (2, 5, None, ""), (None, 1, "assistant", "x<"), (3, None, "assis\ntant", "<|text|>"), (4, 0, "assistant", LONG)]
+    made = chat.format_conversations(chat.thread(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")))
+    got = {r["conv_id"]: r for r in made.select("conv_id", "formatted", chat.read_turns(F.col("formatted")).alias("turns"), chat.read_loss(F.col("pieces")).alias("loss")).collect()}
+    for c in (1, 2, None, 3, 4):
+        own = sorted((r for r in rows if r[0] == c), key=lambda r: (r[1] is not None, r[1] or 0))
+        assert [tuple(t) for t in got[c]["turns"]] == [(r[2] or "", r[3] or "") for r in own]
+        assert got[c]["loss"] == "".join(r[3] or "" for r in own if r[2] == "assistant")
+    assert chat.format_conversations(chat.thread(spark.createDataFrame([], "conv_id long, turn long, role string, text string"))).count() == 0
+
+
+def test_trees_and_ranking(spark):
+    rows = [(1, 1, None, 1.0), (1, 2, 1, 0.0), (1, 3, 1, 5.0), (1, 4, 2, 9.0), (1, 5, 77, 2.0), (1, 6, 7, 1.0), (1, 7, 6, 1.0), (2, 1, None, None)] + [(3, i, i - 1 if i else None, 0.0) for i in range(70)]
+    tree = spark.createDataFrame(rows, "conv_id long, node long, parent long, score double").withColumns({"role": F.lit("user"), "text": F.col("node").cast("string")})
+    out = chat.format_conversations(tree).select("conv_id", "branch", "branch_score", chat.read_turns(F.col("formatted")).alias("t")).collect()
+    got = {(r["conv_id"], r["branch"]): ([t["text"] for t in r["t"]], r["branch_score"]) for r in out}
+    assert got[1, 1] == (["1", "2", "4"], pytest.approx(10 / 3)) and got[1, 2] == (["1", "3"], 3.0) and got[1, 3] == (["5"], 2.0)
+    assert got[2, 1][0] == ["1"] and got[3, 1][0] == [str(i) for i in range(70)]
+    assert len(got) == 5
+    assert chat.format_conversations(tree, top=1).count() == 3
+
+
+def test_score_is_a_probability_of_any_sentence():
+    model = toxicity.Model({"bad ": 12.0}, -10.0, 0.0)
+    one = toxicity.score_text("bad.", model, model.words())[0]
+    two = toxicity.score_text("bad. Bad.", model, model.words())[0]
+    assert two == pytest.approx(1 - (1 - one) ** 2) and math.isclose(one, 1 / (1 + math.exp(-2)))
