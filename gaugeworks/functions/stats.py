@@ -44,7 +44,7 @@ def upper_median(values: Column) -> Column:
 def index_percentile(values: Column, num: int, den: int) -> Column:
     """``sorted[n * num // den]`` of an array, the last element at most; null when empty."""
     at = F.least(F.floor(F.size(values) * num / den), F.size(values) - 1).cast("int")
-    return F.try_element_at(F.sort_array(values), at + 1)
+    return F.get(F.sort_array(values), at)
 
 
 def linear_percentile(column: str, q: float) -> Column:

@@ -239,7 +239,7 @@ TESTS = [(25, 66, 0.25), (0, 10, 0.5), (10, 10, 0.5), (5, 10, 0.5), (0, 0, 0.3),
 
 @query(
     "WITH v AS (SELECT CAST(k AS BIGINT) AS k, CAST(n AS BIGINT) AS n, CAST(p AS DOUBLE) AS p FROM (VALUES " + ", ".join(map(str, TESTS)) + ") v(k, n, p)), "
-    "l AS (SELECT v.k, v.n, v.p, i, lgamma(v.n + 1.0::DOUBLE) - lgamma(i + 1.0::DOUBLE) - lgamma(v.n - i + 1.0::DOUBLE) + i * ln(v.p) + (v.n - i) * ln(1 - v.p) AS lp FROM v, range(0, 1101) r(i) WHERE i <= v.n) "
+    "l AS (SELECT v.k, v.n, v.p, i, lgamma(v.n + 1.0::DOUBLE) - lgamma(i + 1.0::DOUBLE) - lgamma(v.n - i + 1.0::DOUBLE) + i * ln(v.p) + (v.n - i) * ln(1 - v.p) AS lp FROM v, range(0, 1101) r(i) WHERE i <= v.n), "
     "s AS (SELECT a.k, a.n, a.p, sum(exp(a.lp)) FILTER (a.lp <= b.lp + 1e-9) AS s FROM l a JOIN l b ON a.k = b.k AND a.n = b.n AND a.p = b.p AND b.i = b.k GROUP BY a.k, a.n, a.p) "
     "SELECT k, n, p, round(CASE WHEN n = 0 THEN 1.0::DOUBLE ELSE least(1.0::DOUBLE, s) END, 8) AS pvalue FROM s"
 )
