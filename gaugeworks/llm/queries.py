@@ -79,7 +79,30 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 
 _ESCAPED = "replace(replace(coalesce({0}, ''), '\\', '\\\\'), '<|', '<\\|')"
 
+
+def _closure(nodes: str, links: str) -> str:
+    """Common table expressions that give each node its smallest reachable node as ``roots(id, root)``."""
+    return f"""undirected AS (SELECT a, b FROM ({links}) UNION SELECT b, a FROM ({links})),
+        reach(id, other) AS (SELECT id, id FROM ({nodes}) UNION SELECT r.id, l.b FROM reach r JOIN undirected l ON l.a = r.other),
+        roots AS (SELECT id, min(other) AS root FROM reach GROUP BY id)"""
+
+
+_UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+
 ORACLE_SQL: dict[str, str] = {
+    "op2_pq_near_dedup": f"""
+        WITH RECURSIVE v AS (SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS e FROM embeddings),
+        links AS (SELECT x.vec_id AS a, y.vec_id AS b FROM v x JOIN v y ON x.label = y.label AND x.vec_id <> y.vec_id AND list_cosine_similarity(x.e, y.e) >= 0.93),
+        {_closure("SELECT vec_id AS id FROM v", "SELECT a, b FROM links")}
+        SELECT vec_id, (SELECT count(*) FROM links WHERE a = vec_id) AS n_links, root AS component_id, vec_id = root AS kept FROM v JOIN roots ON id = vec_id""",
+    "op4_ngram_jaccard": f"""
+        WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), '{_UPPER}', '{_LOWER}'), '[^\\x20\\x09-\\x0D]+') AS w FROM documents),
+        s AS (SELECT DISTINCT doc_id, unnest(CASE WHEN len(w) >= 3 THEN list_transform(range(1, len(w) - 1), lambda i: array_to_string(w[i:i+2], ' ')) WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END) AS g FROM w),
+        n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY 1),
+        i AS (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS i FROM s x JOIN s y ON x.g = y.g AND x.doc_id < y.doc_id GROUP BY ALL),
+        links AS (SELECT a, b FROM i JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * i >= 90 * (x.n + y.n - i)),
+        {_closure("SELECT doc_id AS id FROM w", "SELECT a, b FROM links")}
+        SELECT d.doc_id, coalesce(n, 0) AS n_shingles, root AS component_id FROM documents d JOIN roots ON id = d.doc_id LEFT JOIN n ON n.doc_id = d.doc_id""",
     "op10_chat_format": f"""
         WITH rows AS (
             SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
