@@ -21,7 +21,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-CANDIDATE = r"(?<![A-Za-z0-9_+/=-])[A-Za-z0-9_+/=-]{16,512}(?![A-Za-z0-9_+/=-])"
+CANDIDATE = r"(?<![A-Za-z0-9_+/-])[A-Za-z0-9_+/-]{16,512}(?![A-Za-z0-9_+/-])={0,2}"
 MASK = "[SECRET]"
 #: Frequent letter pairs of English words.
 PAIRS = "th he in er an re on at en nd ti es or te of ed is it al ar st to nt ng se ha as ou io le ve co me de hi ri ro ic ne ea ra ce".split()
@@ -30,6 +30,8 @@ WORDS = "example sample test dummy placeholder your changeme version release bui
 #: Names that stand before credentials, and before harmless strings.
 CREDENTIAL = r"(?:token|secret|passw|pwd|api[_ -]?key|access[_ -]?key|auth|credential|private[_ -]?key|bearer)"
 HARMLESS = r"(?:sha\d*|commit|md5|uuid|guid|checksum|digest|hash|etag|version|revision|build|isbn|order|example|sample)"
+#: Beginnings of issued keys, and the letters and number of letters after them.
+ISSUED = [("AKIA", "upper", 16), ("ghp_", "both", 36), ("sk_live_", "both", 24), ("AIza", "both", 35), ("xoxb-", "both", 40), ("glpat-", "both", 20)]
 KNOWN = r"^(?:AKIA|ASIA|ghp_|gho_|github_pat_|xox[abpr]-|sk_live_|sk-|AIza|eyJ|glpat-)"
 
 
@@ -73,11 +75,12 @@ def findings(n: int = 2400, seed: int = 31) -> list[tuple[str, str, str, int]]:
     for i in range(n):
         kind = i % 12
         if kind < 3:
-            row = (some(hexes, 32, 64), assign(rng.choice(names)), rng.choice(paths), 1)
+            row = (some(hexes, 16, 64), assign(rng.choice(names)), rng.choice(paths), 1)
         elif kind < 5:
-            row = (some(alnum, 20, 64), assign(rng.choice(names)), rng.choice(paths), 1)
+            row = (some(alnum, 16, 64), assign(rng.choice(names)), rng.choice(paths), 1)
         elif kind == 5:
-            row = (rng.choice(["AKIA", "ghp_", "sk_live_", "AIza", "xoxb-", "glpat-"]) + some(alnum, 20, 36), f"{rng.choice(prose)} ", rng.choice(paths), 1)
+            head, letters, size = rng.choice(ISSUED)
+            row = (head + some(string.ascii_uppercase + string.digits if letters == "upper" else alnum, size, size), f"{rng.choice(prose)} ", rng.choice(paths), 1)
         elif kind == 6:
             row = (some(hexes, 32, 64), assign(rng.choice(other)), rng.choice(paths + demo), 0)
         elif kind == 7:
