@@ -75,7 +75,7 @@ def top_share(rows: DataFrame, key: str) -> DataFrame:
 def round_robin(rows: DataFrame, category: str, order: str, n: int) -> DataFrame:
     """The first n rows when categories take turns, each in its own order."""
     place = F.row_number().over(Window.partitionBy(category).orderBy(order))
-    return rows.withColumn("rn", place).orderBy("rn", category).limit(n)
+    return rows.withColumn("rn", place).where(F.col("rn") <= n).orderBy("rn", category).limit(n)
 
 
 def thin_evenly(rows: DataFrame, order: str, n: int, keep: int) -> DataFrame:
