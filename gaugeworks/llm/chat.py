@@ -49,15 +49,19 @@ def branches(messages: DataFrame, top: int | None = None) -> DataFrame:
     state = nodes.join(known, ["conv", "parent"], "left").select("conv", "node", F.when(F.col("there"), F.col("parent")).alias("up"), F.col("score").alias("total"), F.lit(1).cast("long").alias("length"))
     state = checkpointed(state)
     leaves = state.select("conv", "node").join(state.select("conv", F.col("up").alias("node")).where("node is not null"), ["conv", "node"], "left_anti")
-    jumps, rounds = [], max(1, nodes.count()).bit_length()
-    while len(jumps) <= rounds and not (jump := state.where("up is not null").select("conv", "node", "up")).isEmpty():
-        jumps.append(jump)
-        above = state.select("conv", F.col("node").alias("up"), F.col("up").alias("next"), F.col("total").alias("more"), F.col("length").alias("steps"))
-        state = state.join(above, ["conv", "up"], "left").select("conv", "node", F.col("next").alias("up"), (F.col("total") + F.coalesce("more", F.lit(0.0))).alias("total"), (F.col("length") + F.coalesce("steps", F.lit(0))).alias("length"))
-        state = checkpointed(state)
+    ended, jumps, rounds = state.where("up is null"), [], max(1, nodes.count()).bit_length()
+    # Each round moves only the nodes whose pointer is not at a root yet, within their trees.
+    while len(jumps) <= rounds and not (moving := state.where("up is not null")).isEmpty():
+        jumps.append(moving.select("conv", "node", "up"))
+        trees = state.join(moving.select("conv").distinct(), "conv", "left_semi")
+        above = trees.select("conv", F.col("node").alias("up"), F.col("up").alias("next"), F.col("total").alias("more"), F.col("length").alias("steps"))
+        moved = moving.join(above, ["conv", "up"], "left").select("conv", "node", F.col("next").alias("up"), (F.col("total") + F.coalesce("more", F.lit(0.0))).alias("total"), (F.col("length") + F.coalesce("steps", F.lit(0))).alias("length"))
+        moved = checkpointed(moved)
+        ended = ended.unionByName(moved.where("up is null"))
+        state = checkpointed(trees.where("up is null").unionByName(moved))
     score = (F.col("total") / F.col("length")).alias("branch_score")
     rank = F.row_number().over(Window.partitionBy("conv").orderBy(F.desc("branch_score"), "node")).alias("branch")
-    chosen = leaves.join(state.where("up is null"), ["conv", "node"]).select("conv", "node", score).select("conv", "node", "branch_score", rank)
+    chosen = leaves.join(ended, ["conv", "node"]).select("conv", "node", score).select("conv", "node", "branch_score", rank)
     chosen = chosen.where(F.col("branch") <= top) if top is not None else chosen
     paths = checkpointed(chosen.select("conv", F.col("node").alias("leaf"), "branch", "branch_score", "node", F.lit(0).cast("long").alias("depth")))
     for i, jump in enumerate(jumps):
