@@ -1,18 +1,19 @@
 """Exact Jaccard join of documents on word n-grams by vertical partitioning.
 
 The n-grams of all documents have one global order, rare before frequent.  Two sets can only link if
-they share an n-gram within a short prefix of that order, at positions that leave enough to share;
-this gives candidate pairs.  The order is cut into ``FRAGMENTS`` fragments; a set is shipped as one
+they share ``SHARED`` n-grams within a short prefix of that order, at positions that leave enough to
+share; this gives candidate pairs.  The order is cut into ``FRAGMENTS`` fragments; a set is shipped as one
 segment a fragment, partial overlaps are counted for each fragment apart and summed by pair, and the
 exact ratio decides.
 
 Hot groups: equal sets are one class.  A first round pairs each set only with the foremost set of
-its prefix n-gram and with its neighbour there, which joins groups of copies in linear work; the
-second round looks at all candidate pairs whose ends are still in different components.  So every
-pair of sets is either known to be connected or compared, and no link between components is lost.
+each prefix n-gram, which joins groups of copies in linear work; the second round looks at all
+candidate pairs whose ends are still in different components, each with one end outside the largest
+component of its n-gram.  So
+every pair of sets is either known to be connected or compared, and no link between components is lost.
 
-The order's frequencies come from a count sketch over all documents, of which the ``FREQUENT``
-largest buckets are used; they only steer the order, so bounding them loses nothing.
+The order's frequencies come from a count sketch over all documents, summed over all tasks, of which
+the ``FREQUENT`` largest buckets are used; they only steer the order, so bounding them loses nothing.
 
 Defined results: null or wordless texts have empty sets and link with nothing; repeated rows and
 equal texts share a component; a set that only rows with a null id hold links with nothing; an empty table gives no rows; extra columns are ignored.
@@ -20,6 +21,7 @@ equal texts share a component; a set that only rows with a null id hold links wi
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -30,10 +32,10 @@ from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import checkpointed
+from .common import checkpointed, remembered
 from .components import connected_components
 
-FRAGMENTS, SKETCH_BITS, FREQUENT, BROADCAST_IDS, CACHE_WORDS = 4, 22, 1 << 18, 300_000, 500_000
+FRAGMENTS, SHARED, SKETCH_BITS, CHUNK_BUCKETS, FREQUENT, BROADCAST_IDS, CACHE_WORDS = 4, 3, 22, 1 << 16, 1 << 18, 300_000, 500_000
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -45,11 +47,6 @@ class WordIds(dict):
         return h
 
 
-@lru_cache(maxsize=1)
-def word_ids() -> WordIds:
-    return WordIds()
-
-
 def _mixed(h: np.ndarray) -> np.ndarray:
     h = (h ^ (h >> np.uint64(31))) * np.uint64(0xBF58476D1CE4E5B9)
     return h ^ (h >> np.uint64(29))
@@ -60,7 +57,7 @@ def shingles(text: str | None, n: int) -> np.ndarray:
     words = (text or "").encode().lower().split()
     if not words:
         return np.zeros(0, np.uint64)
-    w = np.fromiter(map(word_ids().__getitem__, words), np.uint64, len(words))
+    w = np.fromiter(map(remembered("jaccard", WordIds).__getitem__, words), np.uint64, len(words))
     width = min(n, len(w))
     h = np.full(len(w) - width + 1, width, np.uint64)
     for i in range(width):
@@ -76,7 +73,8 @@ def set_class(h: np.ndarray) -> int | None:
 
 
 def prefix_length(size: int, num: int, den: int) -> int:
-    return size - -(-num * size // den) + 1
+    """Of two linked sets of n-grams, such prefixes have SHARED in common, or all that the sets must share."""
+    return min(size, size - -(-num * size // den) + SHARED)
 
 
 @lru_cache(maxsize=2)
@@ -94,23 +92,41 @@ def ordered(h: np.ndarray, levels: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _scan(docs: DataFrame, n: int) -> DataFrame:
-    """Rows (doc_id, size, class) with kind 0 and counts (bucket, count) with kind 1."""
+    """Rows (doc_id, size, class) with kind 0, and the task's count sketch in chunks with kind 1."""
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = np.zeros(1 << SKETCH_BITS, np.uint32)
-        schema = ["kind", "id", "size", "class"]
+        schema = ["kind", "id", "size", "class", "counts"]
         for batch in batches:
             sizes, keys = [], []
             for text in batch.column(1):
                 h = shingles(text.as_py(), n)
-                counts[np.unique(h >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)] += 1
+                bucket = (h >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)
+                counts[bucket[np.diff(bucket, prepend=-1) > 0]] += 1  # each bucket once a document
                 sizes.append(len(h))
                 keys.append(set_class(h))
-            yield pa.RecordBatch.from_arrays([pa.array(np.zeros(len(sizes), np.int32)), batch.column(0), pa.array(sizes, pa.int64()), pa.array(keys, pa.int64())], names=schema)
-        often = np.nonzero(counts > 8 + 4 * counts.mean())[0]
-        yield pa.RecordBatch.from_arrays([pa.array(np.ones(len(often), np.int32)), pa.array(often, pa.int64()), pa.array(counts[often].astype(np.int64)), pa.nulls(len(often), pa.int64())], names=schema)
+            yield pa.RecordBatch.from_arrays([pa.array(np.zeros(len(sizes), np.int32)), batch.column(0), pa.array(sizes, pa.int64()), pa.array(keys, pa.int64()), pa.nulls(len(sizes), pa.binary())], names=schema)
+        chunks = [(k, c) for k, c in enumerate(counts.reshape(-1, CHUNK_BUCKETS)) if c.any()]
+        ids, packed = [k for k, _ in chunks], [zlib.compress(c.tobytes(), 1) for _, c in chunks]
+        yield pa.RecordBatch.from_arrays([pa.array(np.ones(len(ids), np.int32)), pa.array(ids, pa.int64()), pa.nulls(len(ids), pa.int64()), pa.nulls(len(ids), pa.int64()), pa.array(packed, pa.binary())], names=schema)
+
+    return docs.mapInArrow(scan, "kind int, id long, size long, class long, counts binary")
+
+
+def _frequent(sketches: DataFrame) -> DataFrame:
+    """(bucket, n) of buckets with far more documents than most, from the tasks' sketches (id, counts)."""
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total: dict[int, np.ndarray] = {}
+        for batch in batches:
+            for chunk, packed in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                own = total.setdefault(chunk, np.zeros(CHUNK_BUCKETS, np.int64))
+                own += np.frombuffer(zlib.decompress(packed.as_buffer()), np.uint32)
+        for chunk, own in total.items():
+            often = np.nonzero(own > own.mean() + 3 * np.sqrt(own.mean()) + 2)[0]
+            yield pa.RecordBatch.from_arrays([pa.array(often + chunk * CHUNK_BUCKETS), pa.array(own[often])], names=["bucket", "n"])
 
-    return docs.mapInArrow(scan, "kind int, id long, size long, class long")
+    return sketches.repartition((1 << SKETCH_BITS) // CHUNK_BUCKETS, "id").mapInArrow(add, "bucket long, n long")
 
 
 def _prefixes(docs: DataFrame, n: int, num: int, den: int, order: Broadcast) -> DataFrame:
@@ -163,7 +179,7 @@ def _overlaps(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 a, b = b, a
             at = np.searchsorted(b, a)
             n.append(int(np.count_nonzero(b[np.minimum(at, len(b) - 1)] == a)))
-        yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("a", "b", "na", "nb")), pa.array(n, pa.int64())], names=["a", "b", "na", "nb", "n"])
+        yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("a", "b", "fragment", "na", "nb")), pa.array(n, pa.int64())], names=["a", "b", "fragment", "na", "nb", "n"])
 
 
 def _links(pairs: DataFrame, docs: DataFrame, reps: DataFrame, n: int, num: int, den: int, order: Broadcast) -> DataFrame:
@@ -171,21 +187,39 @@ def _links(pairs: DataFrame, docs: DataFrame, reps: DataFrame, n: int, num: int,
     wanted = pairs.select(F.explode(F.array("a", "b")).alias("class")).distinct().join(reps, "class").select(F.col("rep").alias("id"))
     wanted = checkpointed(wanted)
     wanted = F.broadcast(wanted) if wanted.count() <= BROADCAST_IDS else wanted
-    segments = checkpointed(_segments(docs.join(wanted, "id", "left_semi"), n, order).dropDuplicates(["class", "fragment"]))
+    segments = checkpointed(_segments(docs.join(wanted, "id", "left_semi"), n, order))
     left = segments.select(F.col("class").alias("a"), "fragment", F.col("size").alias("na"), F.col("segment").alias("x"))
     right = segments.select(F.col("class").alias("b"), "fragment", F.col("size").alias("nb"), F.col("segment").alias("y"))
-    both = pairs.join(left, "a").join(right, ["b", "fragment"]).select("a", "b", "na", "nb", "x", "y")
-    partial = both.mapInArrow(_overlaps, "a long, b long, na long, nb long, n long")
+    both = pairs.join(left, "a").join(right, ["b", "fragment"]).select("a", "b", "fragment", "na", "nb", "x", "y")
+    partial = both.mapInArrow(_overlaps, "a long, b long, fragment int, na long, nb long, n long")
+    # Rows that repeat an id give a fragment's overlap again.
+    partial = partial.groupBy("a", "b", "fragment").agg(*(F.max(c).alias(c) for c in ("n", "na", "nb")))
     total = partial.groupBy("a", "b").agg(F.sum("n").alias("n"), F.first("na").alias("na"), F.first("nb").alias("nb"))
     return checkpointed(total.where(F.col("n") * den >= (F.col("na") + F.col("nb") - F.col("n")) * num).select("a", "b"))
 
 
-def _can_link(x: str, y: str, num: int, den: int) -> Column:
-    """May sets that share an n-gram at these places link?  By sizes and by what is left to share."""
-    size = lambda c: F.col(c).bitwiseAND(F.lit(0xFFFFFFFF))
-    rest = lambda c: size(c) - F.shiftright(c, 32)
-    need = (size(x) + size(y)) * num
-    return (F.least(rest(x), rest(y)) * (num + den) >= need) & (F.least(size(x), size(y)) * (num + den) >= need)
+def _size(place: str) -> Column:
+    return F.col(place).bitwiseAND(F.lit(0xFFFFFFFF))
+
+
+def _may_link(x: str, y: str, num: int, den: int) -> Column:
+    """Can an n-gram be one of the first SHARED that linked sets x and y share?
+
+    They share what is left from it on at most, and before it no more than either has of n-grams
+    that any other set has too (``before``), and SHARED - 1.
+    """
+    rest = lambda c: _size(c + "place") - F.shiftright(c + "place", 32)
+    sizes = _size(x + "place"), _size(y + "place")
+    need = (sizes[0] + sizes[1]) * num
+    most = F.least(rest(x), rest(y)) + F.least(x + "before", y + "before", F.lit(SHARED - 1))
+    return (most * (num + den) >= need) & (F.least(*sizes) * (num + den) >= need)
+
+
+def _candidates(rows: DataFrame, x: str, y: str, num: int, den: int) -> DataFrame:
+    """(a, b): pairs of classes x and y in as many rows (one an n-gram) as linked sets must have."""
+    must = F.ceil((_size(x + "place") + _size(y + "place")) * num / (num + den))
+    rows = rows.where(_may_link(x, y, num, den)).select(F.least(x + "class", y + "class").alias("a"), F.greatest(x + "class", y + "class").alias("b"), F.least(must, F.lit(SHARED)).alias("must"))
+    return checkpointed(rows.groupBy("a", "b").agg(F.count("*").alias("n"), F.first("must").alias("must")).where("n >= must").select("a", "b"))
 
 
 def components(docs: DataFrame, n: int = 3, num: int = 9, den: int = 10) -> DataFrame:
@@ -194,29 +228,29 @@ def components(docs: DataFrame, n: int = 3, num: int = 9, den: int = 10) -> Data
     docs = docs.select(F.col("doc_id").cast("long").alias("id"), F.col("text").cast("string").alias("text"))
     scanned = checkpointed(_scan(docs, n))
     keys = scanned.where("kind = 0").select(F.col("id").alias("doc_id"), F.col("size").alias("n_shingles"), "class")
-    often = scanned.where("kind = 1").groupBy("id").agg(F.sum("size").alias("n")).orderBy(F.desc("n"), "id").limit(FREQUENT).toArrow()
+    often = _frequent(scanned.where("kind = 1").select("id", "counts")).orderBy(F.desc("n"), "bucket").limit(FREQUENT).toArrow()
     counts = np.minimum(often["n"].to_numpy().astype(np.int64), 2**31 - 1).astype(np.int32)
     # Broadcast: FREQUENT buckets at most.
-    order = spark.sparkContext.broadcast((often["id"].to_numpy().astype(np.int64).tobytes(), counts.tobytes()))
+    order = spark.sparkContext.broadcast((often["bucket"].to_numpy().astype(np.int64).tobytes(), counts.tobytes()))
     reps = keys.where("class is not null").groupBy("class").agg(F.min("doc_id").alias("rep"))
 
     by_gram = Window.partitionBy("s")
     shared = _prefixes(docs, n, num, den, order).withColumn("lo", F.min("class").over(by_gram)).withColumn("hi", F.max("class").over(by_gram))
-    shared = checkpointed(shared.where("lo <> hi").select("s", "class", "place").distinct())
+    shared = shared.where("lo <> hi").select("s", "class", "place").distinct()
+    shared = checkpointed(shared.withColumn("before", F.row_number().over(Window.partitionBy("class").orderBy("place")) - 1))
     front = by_gram.orderBy("place", "class")
-    seen = shared.select("class", "place", *(f(c).over(front).alias(k + c) for c in ("class", "place") for k, f in (("first_", F.first), ("prev_", F.lag))))
-    star = None
-    for k in ("first_", "prev_"):
-        got = seen.where((F.col("class") != F.col(k + "class")) & _can_link("place", k + "place", num, den)).select(F.least("class", k + "class").alias("a"), F.greatest("class", k + "class").alias("b"))
-        star = got if star is None else star.unionByName(got)
-    links = _links(checkpointed(star.distinct()), docs, reps, n, num, den, order)
+    star = shared.select("class", "place", "before", *(F.first(c).over(front).alias("f_" + c) for c in ("class", "place", "before"))).where("class <> f_class")
+    links = _links(_candidates(star, "", "f_", num, den), docs, reps, n, num, den, order)
     roots = connected_components(links)
 
-    told = shared.join(roots.withColumnRenamed("node", "class"), "class", "left").select("s", "class", "place", F.coalesce("component", "class").alias("root"))
-    told = checkpointed(told)
-    other = told.select("s", F.col("class").alias("class2"), F.col("place").alias("place2"), F.col("root").alias("root2"))
-    rest = told.join(other, "s").where((F.col("class") < F.col("class2")) & (F.col("root") != F.col("root2")) & _can_link("place", "place2", num, den))
-    rest = checkpointed(rest.select(F.col("class").alias("a"), F.col("class2").alias("b")).distinct())
+    told = shared.join(roots.withColumnRenamed("node", "class"), "class", "left").select("s", "class", "place", "before", F.coalesce("component", "class").alias("root"))
+    told = told.withColumn("held", F.count("*").over(Window.partitionBy("s", "root")))
+    told = told.withColumn("major", F.max(F.struct("held", "root")).over(by_gram)["root"]).withColumn("minor", F.max(F.col("root") != F.col("major")).over(by_gram))
+    told = checkpointed(told.where("minor").select("s", "class", "place", "before", "root", "major"))
+    other = told.select("s", *(F.col(c).alias("o_" + c) for c in ("class", "place", "before", "root")))
+    apart = (F.col("root") != F.col("o_root")) & ((F.col("o_root") == F.col("major")) | (F.col("class") < F.col("o_class")))
+    rest = told.where("root <> major").join(other, "s").where(apart & _may_link("", "o_", num, den))
+    rest = _candidates(rest, "", "o_", num, den)
     if not rest.isEmpty():
         links = links.unionByName(_links(rest, docs, reps, n, num, den, order))
         roots = connected_components(links)
