@@ -115,9 +115,8 @@ def near_duplicates(rows: DataFrame, threshold: float = 0.93, subspaces: int = 8
     # A vector's class: its label and two hashes of its components.
     key = every.select("vec_id", "label", "able", F.when(F.col("able"), F.xxhash64("v")).alias("h1"), F.when(F.col("able"), F.md5(F.concat_ws(",", "v"))).alias("h2"), "v")
     classes = checkpointed(key.where("able").groupBy("label", "h1", "h2").agg(F.min("vec_id").alias("rep"), F.count("*").alias("weight"), F.first("v").alias("v")))
-    n = classes.count()
-    if n:
-        found, links = _search(classes, n, size, threshold, subspaces)
+    if not classes.isEmpty():
+        found, links = _search(classes, size, threshold, subspaces)
         counts = found.where("a is null").groupBy("rep").agg(F.sum("n").alias("n"))
         roots = connected_components(links)
         classes = classes.join(counts, "rep", "left").join(roots.withColumnRenamed("node", "rep"), "rep", "left")
@@ -129,9 +128,10 @@ def near_duplicates(rows: DataFrame, threshold: float = 0.93, subspaces: int = 8
     return out.select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), F.coalesce(F.col("vec_id") == component, F.lit(False)).alias("kept"))
 
 
-def _search(classes: DataFrame, n: int, size: int, threshold: float, subspaces: int) -> tuple[DataFrame, DataFrame]:
+def _search(classes: DataFrame, size: int, threshold: float, subspaces: int) -> tuple[DataFrame, DataFrame]:
     sample = classes.orderBy(F.xxhash64("rep", F.lit(3)), "rep").limit(SAMPLE_ROWS).select("v").toArrow()
-    lists = min(MAX_LISTS, max(4, n // LIST_ROWS))
+    most = classes.groupBy("label").count().agg(F.max("count")).first()[0]
+    lists = min(MAX_LISTS, max(4, most // LIST_ROWS))  # a label's vectors share a list
     model = Quantiser(_unit(matrix(sample["v"], size)), lists, subspaces)
     radius = math.sqrt(max(0.0, 2 - 2 * threshold))
 
