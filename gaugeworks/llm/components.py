@@ -69,13 +69,20 @@ def connected_components(edges: DataFrame) -> DataFrame:
     n = state.count()
     chunks = -(-n // CHUNK_EDGES)
     if chunks > 0:
-        state = checkpointed(state.repartition(chunks, "b").mapInArrow(_reduce, "a long, b long"))
-    if chunks > 1:
-        state = _stars(state)
+        state = checkpointed(state.repartition(chunks, "a").mapInArrow(_reduce, "a long, b long"))
+        if not _settled(state):
+            state = _stars(state)
     roots = state.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct()
     return state.select(F.col("a").alias("node"), F.col("b").alias("component")).distinct().unionByName(roots)
 
 
+def _settled(state: DataFrame) -> bool:
+    """Has every node one edge, to a node without one?"""
+    several = state.groupBy("a").agg(F.min("b").alias("lo"), F.max("b").alias("hi")).where("lo <> hi")
+    chained = state.join(state.select(F.col("b").alias("a")).distinct(), "a", "left_semi")
+    return several.isEmpty() and chained.isEmpty()
+
+
 def _stars(state: DataFrame) -> DataFrame:
     """Large-star and small-star steps over (a, b), a > b, until the edges stay the same."""
 
