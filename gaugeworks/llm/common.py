@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import tempfile
+from collections.abc import Callable
+from typing import Any
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -29,3 +31,18 @@ def crc_mod(column: str, m: int) -> Column:
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+_REMEMBERED: dict[Any, Any] = {}
+
+
+def remembered(key: Any, make: Callable[[], Any]) -> Any:
+    """What a worker process keeps from task to task under ``key``.
+
+    Only one such memory is held: another key drops it, so stages that follow each other in the
+    same workers do not add up.
+    """
+    if key not in _REMEMBERED:
+        _REMEMBERED.clear()
+        _REMEMBERED[key] = make()
+    return _REMEMBERED[key]

@@ -19,13 +19,14 @@ import re
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .common import remembered
+
 WORD = re.compile(r"[^\W\d_]+")
 ORDERS = (2, 3, 4)
 SLOTS, HASHES, MAX_LANGUAGES, CACHE_WORDS = 1 << 19, 2, 63, 200_000
@@ -157,17 +158,11 @@ class Predictor:
         return self.languages[best], float(share[best])
 
 
-@lru_cache(maxsize=1)
-def predictor_of(filters: Filters) -> Predictor:
-    """One for each worker process, so the words it has seen serve its later tasks too."""
-    return Predictor(filters)
-
-
 def predict(docs: DataFrame, filters: Filters) -> DataFrame:
     """One row per document with the columns of ``PREDICTIONS``; score is the corrected share of n-grams."""
 
     def predicted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        predictor = predictor_of(filters)
+        predictor = remembered(("langid", filters), lambda: Predictor(filters))
         for batch in batches:
             out = [predictor(t.as_py()) for t in batch.column(1)]
             x, s = zip(*out, strict=True) if out else ((), ())

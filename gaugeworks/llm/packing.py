@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpointed
+from .common import checkpointed, remembered
 
 SHARD_PIECES = 50_000
 CACHE_WORDS = 400_000
@@ -115,7 +115,7 @@ class WordEncoder:
         try:
             return b"".join(map(known.__getitem__, words))
         except KeyError:
-            missing = {w for w in words if w not in known}
+            missing = set(words).difference(known)
         if len(known) + len(missing) > CACHE_WORDS:
             self.older, known = known, {}
             self.known, missing = known, set(words)
@@ -125,18 +125,12 @@ class WordEncoder:
         return b"".join(map(known.__getitem__, words))
 
 
-@lru_cache(maxsize=1)
-def encoder(path: str) -> WordEncoder:
-    """One for each worker process, so what it has learned serves its later tasks too."""
-    return WordEncoder(path)
-
-
 def token_pieces(docs: DataFrame, tokenizer_path: str, max_tokens: int = 2048, end_id: int = 0) -> DataFrame:
     """Pieces of at most ``max_tokens`` ids of every document (columns of ``PIECES``)."""
     end, step = np.asarray([end_id], "<u4").tobytes(), 4 * max_tokens
 
     def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = encoder(tokenizer_path).encode
+        encode = remembered(("packing", tokenizer_path), lambda: WordEncoder(tokenizer_path)).encode
         for batch in batches:
             out = []
             for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
