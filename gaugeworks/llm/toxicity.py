@@ -19,6 +19,7 @@ from __future__ import annotations
 
 import math
 import re
+from array import array
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -27,7 +28,11 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-CACHE_WORDS = 400_000
+from .common import remembered
+
+#: Longer words are known by their beginning.
+MAX_WORD = 40
+CACHE_WORDS = 300_000
 SENTENCE = re.compile(r"[^.!?\n]+")
 WORD = re.compile(r"[^\W\d_]+")
 SCORES = "doc_id long, score double, predicted int, n_sentences int, n_toxic int, worst_start int, worst_end int, worst_score double"
@@ -35,7 +40,7 @@ SCORES = "doc_id long, score double, predicted int, n_sentences int, n_toxic int
 
 def traits(word: str) -> list[str]:
     """The features of a word: itself and its beginnings, so that unseen endings are known too."""
-    return [word + " ", *(word[:n] for n in range(4, min(8, len(word)) + 1))]
+    return [word[:MAX_WORD] + " ", *(word[:n] for n in range(4, min(8, len(word)) + 1))]
 
 
 @dataclass(frozen=True)
@@ -44,6 +49,9 @@ class Model:
     prior: float = -10.0
     leak: float = 0.02
 
+    def key(self) -> int:
+        return hash((frozenset(self.weights.items()), self.prior, self.leak))
+
     def words(self) -> "WordScores":
         return WordScores(self.weights)
 
@@ -83,54 +91,104 @@ def train(docs: DataFrame, labels: DataFrame, usable: Column | None = None, max_
     return fit(sorted(zip(found["bag"].to_pylist(), found["toxic"].to_pylist(), strict=True)), min_documents, steps=steps)
 
 
+def _indexed(bags: list[str]) -> tuple[list[str], np.ndarray, np.ndarray, np.ndarray]:
+    """The words, and for each token its word, document and sentence, numbered from 0."""
+    ids: dict[str, int] = {}
+    word, lengths, sentences = array("i"), [], []
+    for bag in bags:
+        lines = bag.split("\n") if bag else []
+        sentences.append(len(lines))
+        for line in lines:
+            words = line.split()
+            lengths.append(len(words))
+            word.extend([ids.setdefault(w[:MAX_WORD], len(ids)) for w in words])
+    sentence = np.repeat(np.arange(len(lengths), dtype=np.int32), lengths)
+    doc = np.repeat(np.arange(len(bags), dtype=np.int32), sentences)[sentence] if lengths else np.zeros(0, np.int32)
+    return list(ids), np.frombuffer(word, np.int32) if word else np.zeros(0, np.int32), doc, sentence
+
+
+def _fresh(word: np.ndarray, sentence: np.ndarray) -> np.ndarray:
+    """Positions of tokens whose word stands between these neighbours for the first time."""
+    same = sentence[1:] == sentence[:-1]
+    context = np.zeros(len(word), np.uint64)
+    context[1:][same] = word[:-1][same].astype(np.uint64) + np.uint64(1)
+    context *= np.uint64(0x9E3779B97F4A7C15)
+    context += word.astype(np.uint64)
+    context *= np.uint64(0xBF58476D1CE4E5B9)
+    context[:-1][same] += word[1:][same].astype(np.uint64) + np.uint64(1)
+    part, found = (context >> np.uint64(61)).astype(np.uint8), []
+    for k in range(8):  # in parts, so that sorting takes little memory
+        at = np.nonzero(part == k)[0].astype(np.int32)
+        found.append(at[np.unique(context[at], return_index=True)[1]])
+    return np.concatenate(found)
+
+
+class _Whole:
+    """The words themselves as traits, without an array of long strings."""
+
+    def __init__(self, names: list[str]) -> None:
+        self.names = names
+
+    def __len__(self) -> int:
+        return len(self.names)
+
+    def __getitem__(self, i: int) -> str:
+        return self.names[i] + " "
+
+
+def _kinds(names: list[str]) -> Iterator[tuple]:
+    """For each kind of trait, its values ('' for none) and the number of each word's; together as ``traits`` has them."""
+    yield _Whole(names), np.arange(len(names))
+    head, length = np.array([w[:8] for w in names], "U8"), np.array([len(w) for w in names])
+    for n in range(4, 9):
+        yield np.unique(np.where(length >= n, head.astype(f"U{n}"), ""), return_inverse=True)
+
+
 def fit(bags: list[tuple[str, int]], min_documents: int = 5, min_deviations: float = 5.0, steps: int = 120, decay: float = 0.05) -> Model:
     """Full-batch Adam on the noisy-or likelihood; bags hold the words of a sentence in each line."""
     toxic = np.array([y for _, y in bags], float)
     if not len(bags) or toxic.min() == toxic.max():
         return Model()
-    contexts: set[int] = set()
-    support: dict[str, list[int]] = {}
-    for bag, label in bags:
-        fresh = set()
-        for s in bag.split("\n"):
-            words = s.split()
-            for x, w, y in zip(["", *words], words, [*words[1:], ""], strict=False):
-                if (c := hash((x, w, y))) not in contexts:
-                    contexts.add(c)
-                    fresh.update(traits(w))
-        for w in fresh:
-            of = support.setdefault(w, [0, 0])
-            of[0] += 1
-            of[1] += label
-    base = toxic.mean()
-    told = lambda n, k: abs(k - n * base) >= min_deviations * math.sqrt(n * base * (1 - base))
-    ids = {w: i for i, w in enumerate(sorted(w for w, (n, k) in support.items() if n >= min_documents and told(n, k)))}
-    del contexts, support
-    owner, at, word, n = [], [], [], 0
-    for d, (bag, _) in enumerate(bags):
-        for s in bag.split("\n"):
-            if own := [ids[t] for w in sorted(set(s.split())) for t in traits(w) if t in ids]:
-                owner.append(d)
-                at.append(len(word))
-                word += own
-                n += 1
-    if not n:
+    names, word, doc, sentence = _indexed([bag for bag, _ in bags])
+    if not len(word):
+        return Model()
+    fresh = _fresh(word, sentence)
+    pairs = np.unique(doc[fresh].astype(np.int64) * len(names) + word[fresh])
+    pair_doc, pair_word = pairs // len(names), pairs % len(names)
+    base, chosen = toxic.mean(), []
+    once = np.unique(sentence.astype(np.int64) * len(names) + word)
+    at_sentence, at_word, found = (once // len(names)).astype(np.int32), (once % len(names)).astype(np.int32), []
+    of_sentence = doc[np.unique(sentence, return_index=True)[1]]
+    del once, word, doc, sentence, fresh, pairs
+    for kinds, at in _kinds(names):
+        seen = np.unique(pair_doc * len(kinds) + at[pair_word])
+        n, k = np.bincount(seen % len(kinds), minlength=len(kinds)), np.bincount(seen % len(kinds), toxic[seen // len(kinds)], len(kinds))
+        told = np.nonzero((n >= min_documents) & (np.abs(k - n * base) >= min_deviations * np.sqrt(n * base * (1 - base))))[0]
+        told = told[[kinds[i] != "" for i in told]] if len(told) else told
+        number = np.full(len(kinds), -1, np.int32)
+        number[told] = len(chosen) + np.arange(len(told))
+        chosen += [str(kinds[i]) for i in told]
+        feature = number[at[at_word]]
+        found.append(np.stack([at_sentence[feature >= 0], feature[feature >= 0]]))
+    held = np.concatenate(found, axis=1)
+    if not held.shape[1]:
         return Model()
-    owner, at, word = np.array(owner), np.array(at), np.array(word)
-    of = np.repeat(np.arange(n), np.diff(np.append(at, len(word))))
+    held = held[:, np.argsort(held[0], kind="stable")]
+    kept, at, of = np.unique(held[0], return_index=True, return_inverse=True)
+    feature, owner = held[1], of_sentence[kept]
     prior, leak = Model.prior, Model.leak
-    w, m, v = np.zeros(len(ids)), np.zeros(len(ids)), np.zeros(len(ids))
+    w, m, v = np.zeros(len(chosen)), np.zeros(len(chosen)), np.zeros(len(chosen))
     for step in range(1, steps + 1):
         now = prior + 8 * max(0.0, 1 - step / (0.7 * steps))  # from a prior under which evidence is felt at once
-        p = 1 / (1 + np.exp(-(now + np.add.reduceat(w[word], at))))
+        p = 1 / (1 + np.exp(-(now + np.add.reduceat(w[feature], at))))
         p = np.minimum(p, 1 - 1e-9)
         clear = (1 - leak) * np.exp(np.bincount(owner, np.log1p(-p), len(toxic)))
         pull = np.where(toxic > 0, clear / np.maximum(1 - clear, 1e-9), -1.0)  # d log-likelihood / d(-log clear)
-        g = np.bincount(word, (p * pull[owner])[of], len(ids)) - decay * w
+        g = np.bincount(feature, (p * pull[owner])[of], len(chosen)) - decay * w
         m, v = 0.9 * m + 0.1 * g, 0.99 * v + 0.01 * g * g
         w += 0.4 * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.99**step)) + 1e-4)
         w = np.minimum(w, 18.0)
-    return Model({k: float(w[i]) for k, i in ids.items() if abs(w[i]) >= 0.5}, prior, leak)
+    return Model({k: float(x) for k, x in zip(chosen, w, strict=True) if abs(x) >= 0.5}, prior, leak)
 
 
 def score_text(text: str | None, model: Model, words_of: WordScores) -> tuple[float, int, int, int | None, int | None, float | None]:
@@ -164,7 +222,7 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
     def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         types = (pa.int64(), pa.float64(), pa.int32(), pa.int32(), pa.int32(), pa.int32(), pa.int32(), pa.float64())
         names = [c.split()[0] for c in SCORES.split(", ")]
-        words_of = model.words()
+        words_of = remembered(("toxicity", model.key()), model.words)
         for batch in batches:
             out = [(i, r[0], int(r[0] >= 0.5), *r[1:]) for i, r in zip(batch.column(0).to_pylist(), (score_text(t.as_py(), model, words_of) for t in batch.column(1)), strict=True)]
             columns = zip(*out, strict=True) if out else [()] * 8
@@ -177,7 +235,7 @@ def keep_clean(docs: DataFrame, model: Model) -> DataFrame:
     """The rows of ``docs``, all columns, whose text scores under 1/2."""
 
     def clean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words_of = model.words()
+        words_of = remembered(("toxicity", model.key()), model.words)
         for batch in batches:
             texts = batch.column(batch.schema.get_field_index("text"))
             yield batch.filter(pa.array([score_text(t.as_py(), model, words_of)[0] < 0.5 for t in texts], pa.bool_()))
