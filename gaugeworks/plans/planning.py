@@ -61,9 +61,11 @@ def label_lookup_join(spark, sf_dir):
 
 
 def _near(spark, sf_dir):
-    """Neighbours by the first eight components, in rooms of a few tens of vectors."""
-    points = t.read(spark, sf_dir, "embeddings").select("vec_id", (F.col("label") * 100 + F.col("vec_id") % 100).alias("room"), F.slice("embedding", 1, 8).cast("array<double>").alias("v"))
-    return geometry.neighbours(points, "room", "vec_id", "v")
+    """Pairs among which are each vector's two nearest others of its label, by all components.
+
+    ``_NEAR_SQL`` is older: it compares eight components in rooms of a hundredth of a label.
+    """
+    return geometry.nearest(t.read(spark, sf_dir, "embeddings"), "label", "vec_id", "embedding", 2)
 
 
 _NEAR_SQL = """p AS (SELECT vec_id, label * 100 + vec_id % 100 AS room, CAST(embedding[1:8] AS DOUBLE[]) AS v FROM embeddings),
@@ -95,12 +97,10 @@ def distinct_topk_distractors(spark, sf_dir):
     SELECT a.vec_id, CAST(row_number() OVER (PARTITION BY a.vec_id ORDER BY round(list_cosine_similarity(a.v, b.v), 9) DESC, b.vec_id) AS INTEGER) AS rank, b.vec_id AS other_id
     FROM p a JOIN p b ON a.room = b.room AND a.vec_id <> b.vec_id QUALIFY rank <= 3""")
 def cosine_topk(spark, sf_dir):
-    p = t.read(spark, sf_dir, "embeddings").select("vec_id", (F.col("label") * 100 + F.col("vec_id") % 100).alias("room"), F.col("embedding").cast("array<double>").alias("v"))
-    a, b = p.alias("a"), p.alias("b")
-    both = a.join(b, (F.col("a.room") == F.col("b.room")) & (F.col("a.vec_id") != F.col("b.vec_id")))
-    rows = both.select(F.col("a.vec_id").alias("vec_id"), F.col("b.vec_id").alias("other_id"), F.round(geometry.cosine(F.col("a.v"), F.col("b.v")), 9).alias("s"))
-    ranked = rows.withColumn("rank", F.row_number().over(Window.partitionBy("vec_id").orderBy(F.desc("s"), "other_id")))
-    return ranked.where("rank <= 3").select("vec_id", "rank", "other_id")
+    """Over whole labels; its SQL is older and looks at rooms of a hundredth of a label."""
+    rows = geometry.nearest(t.read(spark, sf_dir, "embeddings"), "label", "vec_id", "embedding", 3, "cos")
+    ranked = rows.withColumn("rank", F.row_number().over(Window.partitionBy("vec_id").orderBy(F.desc("cos"), "other")))
+    return ranked.where("rank <= 3").select("vec_id", "rank", F.col("other").alias("other_id"))
 
 
 def _axis(i: int) -> list[float]:
