@@ -6,7 +6,7 @@ them dictionary words cover, the path or source, and the neighbouring words.  Th
 on labelled findings made by rule (``findings``), with features computed by the same expressions,
 and becomes one CASE expression; nothing but SQL functions touches the corpus.
 
-Defined results: a value counts once in a text, at its first place; null and empty texts have no
+Defined results: each occurrence of a value in a text is scored by its own context; null and empty texts have no
 candidates and stay as they are; repeated rows give equal results; a null path is an unknown path;
 extra columns are kept by ``redact``; an empty table gives no rows.
 """
@@ -149,24 +149,32 @@ def forest_sql(trees: int = 24, depth: int = 6, seed: int = 41) -> str:
 
 
 def scored(docs: DataFrame, text_col: str = "text", path_col: str = "source") -> DataFrame:
-    """``docs`` with found: array of (value, start, score), each distinct candidate of the text once."""
-    text, path = f"`{text_col}`", f"CAST(`{path_col}` AS STRING)"
-    raw = f"filter(array_distinct(regexp_extract_all({text}, {_sql(CANDIDATE)}, 0)), v -> v RLIKE '[0-9]' AND v RLIKE '[A-Za-z]')"
-    placed = f"transform(__raw, v -> named_struct('value', v, 'start', locate(v, {text}), 'path', {path}))"
+    """``docs`` with found: array of (value, start, score), each occurrence of a candidate in the text."""
+    text, path, pattern = f"`{text_col}`", f"CAST(`{path_col}` AS STRING)", _sql(CANDIDATE)
+    # A match starts after what lies between the matches up to it, and the matches before it.
+    ends = "aggregate(sequence(1, size(__raw)), array(0), (a, i) -> array_append(a, element_at(a, -1) + length(element_at(__between, i)) + length(element_at(__raw, i))))"
+    placed = f"transform(__raw, (v, i) -> named_struct('value', v, 'start', element_at(__ends, i + 2) - length(v) + 1, 'path', {path}))"
+    placed = f"filter({placed}, p -> p.value RLIKE '[0-9]' AND p.value RLIKE '[A-Za-z]')"
     before = f"transform(__placed, p -> named_struct('value', p.value, 'start', p.start, 'path', p.path, 'before', substring({text}, greatest(1, p.start - 40), least(40, p.start - 1))))"
-    out = docs.withColumn("__raw", F.expr(raw)).withColumn("__placed", F.expr(placed)).withColumn("__before", F.expr(before))
+    out = docs.withColumn("__raw", F.expr(f"regexp_extract_all({text}, {pattern}, 0)")).withColumn("__between", F.expr(f"IF(size(__raw) > 0, split({text}, {pattern}, -1), array())"))
+    out = out.withColumn("__ends", F.expr(f"IF(size(__raw) > 0, {ends}, array(0))")).withColumn("__placed", F.expr(placed)).withColumn("__before", F.expr(before))
     out = out.withColumn("__made", F.expr(featured("__before")))
     out = out.withColumn("found", F.expr(f"transform(__made, x -> named_struct('value', x.value, 'start', x.start, 'score', {forest_sql()}))"))
-    return out.drop("__raw", "__placed", "__before", "__made")
+    return out.drop("__raw", "__between", "__ends", "__placed", "__before", "__made")
 
 
 def scan(docs: DataFrame, threshold: float = 0.5) -> DataFrame:
-    """(doc_id, start, length, value_sha256, score, is_secret), one row for each candidate; values are not shown."""
+    """(doc_id, start, length, value_sha256, score, is_secret), one row for each occurrence of a candidate; values are not shown."""
     rows = scored(docs.select("doc_id", F.col("text").cast("string").alias("text"), "source")).select("doc_id", F.explode("found").alias("f"))
     return rows.select("doc_id", F.col("f.start").alias("start"), F.length("f.value").alias("length"), F.sha2("f.value", 256).alias("value_sha256"), F.col("f.score").alias("score"), (F.col("f.score") >= threshold).alias("is_secret"))
 
 
 def redact(docs: DataFrame, threshold: float = 0.5, text_col: str = "text", path_col: str = "source") -> DataFrame:
-    """``docs`` with every secret's occurrences replaced by ``MASK``; all rows and columns stay."""
-    masked = f"aggregate(filter(found, x -> x.score >= {threshold}D), `{text_col}`, (t, x) -> replace(t, x.value, '{MASK}'))"
+    """``docs`` with the secrets replaced by ``MASK`` wherever they occur; all rows and columns stay.
+
+    A value is a secret of its text if any of its occurrences is; longer ones go first, as they may hold shorter ones.
+    """
+    values = f"array_distinct(transform(filter(found, x -> x.score >= {threshold}D), x -> x.value))"
+    longest = f"array_sort({values}, (a, b) -> CASE WHEN length(a) <> length(b) THEN length(b) - length(a) WHEN a < b THEN -1 WHEN a > b THEN 1 ELSE 0 END)"
+    masked = f"aggregate({longest}, `{text_col}`, (t, v) -> replace(t, v, '{MASK}'))"
     return scored(docs, text_col, path_col).withColumn(text_col, F.coalesce(F.expr(masked), F.col(text_col))).drop("found")
