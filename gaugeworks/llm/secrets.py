@@ -1,6 +1,6 @@
 """Secret scan: candidate strings, then a random forest that removes false positives, in SQL expressions.
 
-Candidates are runs of 16 to 512 credential characters with both letters and digits.  Features are
+Candidates are runs of 16 or more credential characters with both letters and digits.  Features are
 their length, character classes and transitions, how natural their letter pairs are, how much of
 them dictionary words cover, the path or source, and the neighbouring words.  The forest is trained
 on labelled findings made by rule (``findings``), with features computed by the same expressions,
@@ -21,7 +21,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-CANDIDATE = r"(?<![A-Za-z0-9_+/-])[A-Za-z0-9_+/-]{16,512}(?![A-Za-z0-9_+/-])={0,2}"
+CANDIDATE = r"(?<![A-Za-z0-9_+/-])[A-Za-z0-9_+/-]{16,}+={0,2}"
 MASK = "[SECRET]"
 #: Frequent letter pairs of English words.
 PAIRS = "th he in er an re on at en nd ti es or te of ed is it al ar st to nt ng se ha as ou io le ve co me de hi ri ro ic ne ea ra ce".split()
@@ -32,7 +32,7 @@ CREDENTIAL = r"(?:token|secret|passw|pwd|api[_ -]?key|access[_ -]?key|auth|crede
 HARMLESS = r"(?:sha\d*|commit|md5|uuid|guid|checksum|digest|hash|etag|version|revision|build|isbn|order|example|sample)"
 #: Beginnings of issued keys, and the letters and number of letters after them.
 ISSUED = [("AKIA", "upper", 16), ("ghp_", "both", 36), ("sk_live_", "both", 24), ("AIza", "both", 35), ("xoxb-", "both", 40), ("glpat-", "both", 20)]
-KNOWN = r"^(?:AKIA|ASIA|ghp_|gho_|github_pat_|xox[abpr]-|sk_live_|sk-|AIza|eyJ|glpat-)"
+KNOWN = r"(?:^|[/+_-])(?:AKIA|ASIA|ghp_|gho_|github_pat_|xox[abpr]-|sk_live_|sk-|AIza|eyJ|glpat-)"
 
 
 def _sql(pattern: str) -> str:
@@ -95,6 +95,21 @@ def findings(n: int = 2400, seed: int = 31) -> list[tuple[str, str, str, int]]:
             row = (some(alnum, 20, 40), assign(rng.choice(names)), rng.choice(demo), 0) if rng.random() < 0.5 else (some(hexes, 32, 40), f"{rng.choice(prose)} ", rng.choice(paths), 0)
         if any(c.isdigit() for c in row[0]) and any(c.isalpha() for c in row[0]) and len(row[0]) >= 16:
             out.append(row)
+    for i in range(n // 6):
+        kind, base64 = i % 4, lambda: some(alnum * 8 + "+/", 520, 3000)
+        words = lambda: [word() + rng.choice(["", "", str(rng.randrange(100))]) for _ in range(rng.randint(90, 300))]
+        if kind == 0:
+            row = (base64(), assign(rng.choice([*names, "PRIVATE_KEY"])), rng.choice(paths), 1)
+        elif kind == 1:
+            head, letters, size = rng.choice(ISSUED)
+            parts = words()
+            parts.insert(rng.randrange(len(parts)), head + some(string.ascii_uppercase + string.digits if letters == "upper" else alnum, size, size))
+            row = (rng.choice("/-_+").join(parts), f"{rng.choice(prose)} ", rng.choice(paths), 1)
+        elif kind == 2:
+            row = (rng.choice("/-_+").join(words()) + "1", f"{rng.choice(prose)} ", rng.choice(paths), 0)
+        else:
+            row = (base64(), rng.choice(["data:image/png;base64,", "data:font/woff2;base64,", f"{rng.choice(prose)} "]), rng.choice(paths + demo), 0)
+        out.append(row)
     return out
 
 
@@ -151,13 +166,13 @@ def forest_sql(trees: int = 24, depth: int = 6, seed: int = 41) -> str:
 def scored(docs: DataFrame, text_col: str = "text", path_col: str = "source") -> DataFrame:
     """``docs`` with found: array of (value, start, score), each occurrence of a candidate in the text."""
     text, path, pattern = f"`{text_col}`", f"CAST(`{path_col}` AS STRING)", _sql(CANDIDATE)
-    # A match starts after what lies between the matches up to it, and the matches before it.
-    ends = "aggregate(sequence(1, size(__raw)), array(0), (a, i) -> array_append(a, element_at(a, -1) + length(element_at(__between, i)) + length(element_at(__raw, i))))"
-    placed = f"transform(__raw, (v, i) -> named_struct('value', v, 'start', element_at(__ends, i + 2) - length(v) + 1, 'path', {path}))"
+    # A match ends where the texts between the matches up to it and the matches end.  Columns stand outside the lambdas, which would work them out for each element.
+    ends = "aggregate(zip_with(__between, __raw, (b, v) -> length(b) + coalesce(length(v), 0)), array(0), (a, n) -> array_append(a, element_at(a, -1) + n))"
+    placed = f"zip_with(__raw, slice(__ends, 2, size(__raw)), (v, e) -> named_struct('value', v, 'start', e - length(v) + 1, 'path', {path}))"
     placed = f"filter({placed}, p -> p.value RLIKE '[0-9]' AND p.value RLIKE '[A-Za-z]')"
     before = f"transform(__placed, p -> named_struct('value', p.value, 'start', p.start, 'path', p.path, 'before', substring({text}, greatest(1, p.start - 40), least(40, p.start - 1))))"
     out = docs.withColumn("__raw", F.expr(f"regexp_extract_all({text}, {pattern}, 0)")).withColumn("__between", F.expr(f"IF(size(__raw) > 0, split({text}, {pattern}, -1), array())"))
-    out = out.withColumn("__ends", F.expr(f"IF(size(__raw) > 0, {ends}, array(0))")).withColumn("__placed", F.expr(placed)).withColumn("__before", F.expr(before))
+    out = out.withColumn("__ends", F.expr(f"IF(size(__raw) > 0, {ends}, array())")).withColumn("__placed", F.expr(placed)).withColumn("__before", F.expr(before))
     out = out.withColumn("__made", F.expr(featured("__before")))
     out = out.withColumn("found", F.expr(f"transform(__made, x -> named_struct('value', x.value, 'start', x.start, 'score', {forest_sql()}))"))
     return out.drop("__raw", "__between", "__ends", "__placed", "__before", "__made")
@@ -165,7 +180,9 @@ def scored(docs: DataFrame, text_col: str = "text", path_col: str = "source") ->
 
 def scan(docs: DataFrame, threshold: float = 0.5) -> DataFrame:
     """(doc_id, start, length, value_sha256, score, is_secret), one row for each occurrence of a candidate; values are not shown."""
-    rows = scored(docs.select("doc_id", F.col("text").cast("string").alias("text"), "source")).select("doc_id", F.explode("found").alias("f"))
+    rows = scored(docs.select("doc_id", F.col("text").cast("string").alias("text"), "source"))
+    # Outer, as a filter on found before the explosion would work out all of it once more.
+    rows = rows.select("doc_id", F.explode_outer("found").alias("f")).where("f is not null")
     return rows.select("doc_id", F.col("f.start").alias("start"), F.length("f.value").alias("length"), F.sha2("f.value", 256).alias("value_sha256"), F.col("f.score").alias("score"), (F.col("f.score") >= threshold).alias("is_secret"))
 
 

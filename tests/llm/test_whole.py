@@ -28,3 +28,17 @@ def test_every_occurrence_of_a_secret_is_scored(spark):
     assert got[2] == [(8, 40, False)] and [p[0] for p in got[3]] == [1, 48]
     red = {r["doc_id"]: r["text"] for r in secrets.redact(docs).collect()}
     assert red[0] == rows[0].replace(key, secrets.MASK) and red[2] == rows[2] and key not in red[1]
+
+
+def test_runs_of_any_length_are_scanned(spark):
+    rng = random.Random(5)
+    letters = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"
+    blob = lambda n: "MII" + "".join(rng.choices(letters + "+/", k=n))
+    issued = "ghp_" + "".join(rng.choices(letters, k=36))
+    plain = "/".join(["page", "index", "user", "table7"] * 40)
+    long = [f"PRIVATE_KEY={blob(1640)}==", f"api_key: {blob(510)} end", f"see {plain}/{issued}/{plain} there", f"see {plain} there", f"private_key={blob(200_000)}"]
+    docs = texts(spark, *long)
+    got = {r["doc_id"]: (r["length"], r["is_secret"]) for r in secrets.scan(docs).collect()}
+    assert got == {0: (1645, True), 1: (513, True), 2: (2 * len(plain) + 42, True), 3: (len(plain), False), 4: (200_003, True)}
+    red = {r["doc_id"]: r["text"] for r in secrets.redact(docs).collect()}
+    assert red[0] == "PRIVATE_KEY=[SECRET]" and red[1] == "api_key: [SECRET] end" and issued not in red[2] and red[3] == long[3]
