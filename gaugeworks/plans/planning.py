@@ -264,7 +264,7 @@ def balanced_assignment(spark, sf_dir):
 
 @query()
 def greedy_cover(spark, sf_dir):
-    rows = t.read(spark, sf_dir, "lineitem").where("l_partkey <= 60").select(F.col("l_partkey").alias("candidate"), F.concat(F.lit("s"), F.col("l_suppkey").cast("string")).alias("session")).distinct()
+    rows = t.read(spark, sf_dir, "lineitem").select(F.col("l_partkey").alias("candidate"), F.concat(F.lit("s"), F.col("l_suppkey").cast("string")).alias("session")).distinct()
     sizes = t.read(spark, sf_dir, "supplier").select(F.concat(F.lit("s"), F.col("s_suppkey").cast("string")).alias("session"), (F.col("s_suppkey") % 7).cast("double").alias("size"))
     return planning.greedy_cover(rows, sizes, 20.0, 3.0)
 

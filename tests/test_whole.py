@@ -55,3 +55,23 @@ def test_cosine_of_whole_labels(spark, vectors, monkeypatch, block):
     cos = lambda v, w: -round(float(v @ w / np.sqrt((v @ v) * (w @ w))), 9) if v.any() and w.any() else 2.0
     want = {(i, k + 1, j) for i, w in others(rows, cos).items() for k, (_, j) in enumerate(w[:3])}
     assert {(r["vec_id"], r["rank"], r["other_id"]) for r in plans.QUERIES["cosine_topk"](spark, folder).collect()} == want
+
+
+def test_greedy_cover_of_all_parts(spark, tmp_path):
+    rng = np.random.default_rng(4)
+    pairs = {(int(p), int(s)) for p, s in zip(rng.integers(1, 200, 500), rng.integers(1, 30, 500), strict=True)}
+    spark.createDataFrame(sorted(pairs), "l_partkey long, l_suppkey long").write.parquet(f"{tmp_path}/lineitem.parquet")
+    spark.createDataFrame([(k,) for k in range(1, 30)], "s_suppkey long").write.parquet(f"{tmp_path}/supplier.parquet")
+    cost = {s: float(s % 7) or 3.0 for s in range(1, 30)}
+    left, want, spent = set(pairs), [], 0.0
+    while left:
+        per = {p: sum(q == p for q, _ in left) for p, _ in left}
+        value = lambda s: sum(1 + 4 * (per[p] == 1) for p, t in left if t == s) / cost[s]  # noqa: B023, E731
+        best = min({s for _, s in left}, key=lambda s: (-value(s), cost[s], f"s{s}"))
+        if spent + cost[best] > 20.0:
+            break
+        spent += cost[best]
+        want.append((len(want), f"s{best}", spent))
+        left = {(p, s) for p, s in left if s != best}
+    got = [tuple(r) for r in plans.QUERIES["greedy_cover"](spark, str(tmp_path)).orderBy("step").collect()]
+    assert got == want
