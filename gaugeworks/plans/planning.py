@@ -125,7 +125,8 @@ def vector_mean(spark, sf_dir):
     c AS (SELECT o_orderkey AS chunk_id, o_custkey % 100 + 1 AS video, CAST(o_orderkey % 1000 AS DOUBLE) AS start, CAST(o_orderkey % 1000 + 20 AS DOUBLE) AS stop FROM orders WHERE o_orderkey % 5 = 0)
     SELECT span_id, chunk_id, greatest(s.start, c.start) AS lo, least(s.stop, c.stop) AS hi FROM s JOIN c ON s.video = c.video AND s.start < c.stop AND c.start < s.stop AND s.stop > s.start""")
 def interval_overlap_join(spark, sf_dir):
-    li, o = t.read(spark, sf_dir, "lineitem"), t.read(spark, sf_dir, "orders").where("o_orderkey % 5 = 0")
+    """Over all orders; its SQL is older and takes a fifth of them."""
+    li, o = t.read(spark, sf_dir, "lineitem"), t.read(spark, sf_dir, "orders")
     at = F.col("l_orderkey") % 1000
     spans = li.select((F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("span_id"), F.col("l_suppkey").alias("video"), at.cast("double").alias("start"), (at + F.col("l_quantity")).alias("stop"))
     at = F.col("o_orderkey") % 1000

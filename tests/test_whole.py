@@ -75,3 +75,24 @@ def test_greedy_cover_of_all_parts(spark, tmp_path):
         left = {(p, s) for p, s in left if s != best}
     got = [tuple(r) for r in plans.QUERIES["greedy_cover"](spark, str(tmp_path)).orderBy("step").collect()]
     assert got == want
+
+
+def test_overlaps_with_all_orders(spark, tmp_path):
+    spans = [(1, 1, 1, 10.0), (7, 2, 3, 30.0), (14, 1, 4, 5.0), (990, 3, 3, 50.0), (8, 4, 1, 0.0)]
+    orders = [(1, 0), (2, 0), (5, 2), (9, 2), (13, 3), (985, 102)]
+    spark.createDataFrame(spans, "l_orderkey long, l_linenumber int, l_suppkey long, l_quantity double").write.parquet(f"{tmp_path}/lineitem.parquet")
+    spark.createDataFrame(orders, "o_orderkey long, o_custkey long").write.parquet(f"{tmp_path}/orders.parquet")
+    want = set()
+    for k, n, video, q in spans:
+        for o, c in orders:
+            lo, hi = max(k % 1000, o % 1000), min(k % 1000 + q, o % 1000 + 20)
+            if c % 100 + 1 == video and hi > lo:
+                want.add((k * 10 + n, o, float(lo), float(hi)))
+    got = [tuple(r) for r in plans.QUERIES["interval_overlap_join"](spark, str(tmp_path)).collect()]
+    assert len(got) == len(want) and set(got) == want and any(o % 5 for _, o, _, _ in got)
+
+
+def test_subset_of_all_events(spark, tmp_path):
+    rows = [(7, 1, "click"), (8, 1, "error"), (9, 2, "view"), (14, 3, "signup"), (15, 3, "purchase")]
+    spark.createDataFrame(rows, "event_id long, user_id long, event_type string").write.parquet(f"{tmp_path}/events.parquet")
+    assert {tuple(r) for r in plans.QUERIES["subset_filter"](spark, str(tmp_path)).collect()} == {(1, False), (2, True), (3, True)}
