@@ -1,6 +1,6 @@
 """Language identification with bit-sliced Bloom filters over character n-grams.
 
-Every language owns one bit slice of a slot array of 64-bit masks.  Looking an n-gram up in its k
+Every language owns one bit slice of a slot array of masks of as many 64-bit words as the languages need.  Looking an n-gram up in its k
 slots and ANDing the masks returns all languages whose filter holds it; a document counts these
 bits by language, corrects each count for that slice's false-positive rate, and the highest
 corrected share decides.
@@ -29,7 +29,7 @@ from .common import remembered
 
 WORD = re.compile(r"[^\W\d_]+")
 ORDERS = (2, 3, 4)
-SLOTS, HASHES, MAX_LANGUAGES, CACHE_WORDS = 1 << 19, 2, 63, 200_000
+SLOTS, HASHES, CACHE_WORDS = 1 << 19, 2, 200_000
 PREDICTIONS = "doc_id long, lang_pred string, score double"
 
 
@@ -49,25 +49,30 @@ def slots(gram: str) -> list[int]:
 @dataclass(frozen=True)
 class Filters:
     languages: tuple[str, ...]
-    masks: bytes  # SLOTS little-endian uint64, one bit a language
+    masks: bytes  # SLOTS times ``words`` little-endian uint64, one bit a language
+
+    @property
+    def words(self) -> int:
+        return max(1, -(-len(self.languages) // 64))
 
     def array(self) -> np.ndarray:
+        """The masks, one after the other; ``words`` elements a slot."""
         return np.frombuffer(self.masks, "<u8")
 
 
 def build(counts: dict[str, dict[str, int]], documents: dict[str, int], share: float = 0.25) -> Filters:
     """Filters with each n-gram under the languages that use it at ``share`` of its highest rate or more."""
-    languages = tuple(sorted(counts, key=lambda x: (-documents.get(x, 0), x)))[:MAX_LANGUAGES]
+    languages = tuple(sorted(counts, key=lambda x: (-documents.get(x, 0), x)))
     total = {x: sum(counts[x].values()) or 1 for x in languages}
     best: dict[str, float] = {}
     for x in languages:
         for g, n in counts[x].items():
             best[g] = max(best.get(g, 0.0), n / total[x])
-    masks = np.zeros(SLOTS, "<u8")
+    masks = np.zeros((SLOTS, max(1, -(-len(languages) // 64))), "<u8")
     for bit, x in enumerate(languages):
         for g, n in counts[x].items():
             if n / total[x] >= share * best[g]:
-                masks[slots(g)] |= np.uint64(1 << bit)
+                masks[slots(g), bit // 64] |= np.uint64(1 << bit % 64)
     return Filters(languages, masks.tobytes())
 
 
@@ -112,20 +117,19 @@ def train(docs: DataFrame, usable: Column | None = None, per_language: int = 150
 
 class Predictor:
     def __init__(self, filters: Filters) -> None:
-        self.languages, self.masks = filters.languages, filters.array()
-        bits = np.arange(len(self.languages), dtype=np.uint64)
-        self.bits = bits
-        fill = ((self.masks[:, None] >> bits) & np.uint64(1)).mean(axis=0) if len(bits) else np.zeros(0)
+        self.languages, self.masks = filters.languages, filters.array().reshape(SLOTS, filters.words)
+        self.bits = [np.arange(min(64, len(self.languages) - at), dtype=np.uint64) for at in range(0, len(self.languages), 64)]
+        fill = np.array([((self.masks[:, w] >> bit) & np.uint64(1)).mean() for w, bits in enumerate(self.bits) for bit in bits])
         self.false = np.minimum(fill**HASHES, 0.999)
         self._clear()
 
     def _clear(self) -> None:
         self.known: dict[str, int] = {}
-        self.grams: dict[str, int] = {}
+        self.grams: dict[str, list[int]] = {}
         self.rows = np.zeros((1024, len(self.languages) + 1), np.int64)
 
-    def _mask(self, gram: str) -> int:
-        mask = self.grams[gram] = int(np.bitwise_and.reduce(self.masks[slots(gram)]))
+    def _mask(self, gram: str) -> list[int]:
+        mask = self.grams[gram] = np.bitwise_and.reduce(self.masks[slots(gram)]).tolist()
         return mask
 
     def _learn(self, words: set[str]) -> None:
@@ -133,8 +137,9 @@ class Predictor:
         parts = [ngrams(w) for w in words]
         lengths = np.array([len(p) for p in parts])
         held = self.grams
-        masks = np.array([held[g] if g in held else self._mask(g) for p in parts for g in p], np.uint64)
-        counts = np.add.reduceat(((masks[:, None] >> self.bits) & np.uint64(1)).astype(np.int64), np.cumsum(lengths) - lengths)
+        masks = np.array([m for p in parts for g in p for m in (held[g] if g in held else self._mask(g))], np.uint64).reshape(-1, self.masks.shape[1])
+        named = np.concatenate([(masks[:, w, None] >> bits) & np.uint64(1) for w, bits in enumerate(self.bits)], axis=1)
+        counts = np.add.reduceat(named.astype(np.int64), np.cumsum(lengths) - lengths)
         k = len(self.known)
         while k + len(parts) > len(self.rows):
             self.rows = np.concatenate([self.rows, np.zeros_like(self.rows)])
@@ -148,7 +153,7 @@ class Predictor:
             return "und", 0.0
         new = {w for w in words if w not in self.known}
         if new:
-            if len(self.known) + len(new) > CACHE_WORDS:
+            if len(self.known) + len(new) > CACHE_WORDS // self.masks.shape[1]:
                 self._clear()
                 new = set(words)
             self._learn(new)

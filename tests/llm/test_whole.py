@@ -2,7 +2,7 @@
 
 import random
 
-from gaugeworks.llm import secrets
+from gaugeworks.llm import langid, secrets
 
 HEXES = "0123456789abcdef"
 
@@ -42,3 +42,12 @@ def test_runs_of_any_length_are_scanned(spark):
     assert got == {0: (1645, True), 1: (513, True), 2: (2 * len(plain) + 42, True), 3: (len(plain), False), 4: (200_003, True)}
     red = {r["doc_id"]: r["text"] for r in secrets.redact(docs).collect()}
     assert red[0] == "PRIVATE_KEY=[SECRET]" and red[1] == "api_key: [SECRET] end" and issued not in red[2] and red[3] == long[3]
+
+
+def test_more_languages_than_a_mask_word_has_bits():
+    rng = random.Random(6)
+    words = {f"l{k:03}": ["".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=6)) for _ in range(12)] for k in range(150)}
+    counts = {x: {g: 5 for w in own for g in langid.ngrams(w)} for x, own in words.items()}
+    predictor = langid.Predictor(langid.build(counts, dict.fromkeys(words, 1)))
+    assert len(predictor.languages) == 150
+    assert {x: predictor(" ".join(own))[0] for x, own in words.items()} == {x: x for x in words}
