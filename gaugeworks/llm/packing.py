@@ -12,27 +12,25 @@ once each; a null id is carried along; an empty table gives no rows; extra colum
 
 from __future__ import annotations
 
-import re
+import json
+import os
 import zlib
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import checkpointed, remembered
+from .segments import BLANK, Cutter, Words, cuts, groups, texts, words
 
 SHARD_PIECES = 50_000
-CACHE_WORDS = 400_000
+#: Words whose ids a worker remembers; the table takes about 60 MB when full.
+ENTRIES = 1 << 20
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
-#: Separators of str.split() that the tokenizer's pattern may not take for white space.
-_ODD_SPACE = re.compile("[\x1c-\x1f]")
-#: Lower case depends on the context or changes the length.
-_ODD_CASE = re.compile("[\u03a3\u0130]")
-#: A comma or full stop between a letter and white space, which is a token of its own.
-_STOP = re.compile(r"(?<=[a-zA-Z\xe0-\xf6])([,.])(?=\s)")
 
 
 class CapacityTree:
@@ -82,60 +80,187 @@ def best_fit_decreasing(lengths: list[int], capacity: int) -> tuple[list[int], l
     return bins, offsets
 
 
-@lru_cache(maxsize=2)
-def _tokenizer(path: str):
-    import os
+#: Fixed value: the pattern of the tokenizer's pre-tokenizer that ``BatchEncoder`` cuts texts by itself.
+SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+_LETTER, _DIGIT, _MARK, _GLUE = 1, 2, 3, 4
 
-    os.environ["TOKENIZERS_PARALLELISM"] = "false"
-    from tokenizers import Tokenizer
 
-    return Tokenizer.from_file(path)
+def _cutter() -> Cutter:
+    """Cuts where ``SPLIT`` ends a match whatever stands around.
 
-
-class WordEncoder:
-    """Little-endian uint32 ids of texts, with the ids of each blank-separated chunk remembered.
-
-    Exact for tokenizers whose pre-tokenizer never joins text across white space, drops white space
-    and splits letters from punctuation; texts with separators on which Python and the tokenizer may
-    differ go to it whole.  The memory has two generations of ``CACHE_WORDS`` chunks at most.
+    Apostrophes, control characters and all bytes outside ASCII stay with their neighbours, and such
+    words keep their capitals, as normalisation may join what it finds there.
+    """
+    kinds = bytearray([_GLUE]) * 256
+    for b in range(0x21, 0x7F):
+        kinds[b] = _LETTER if chr(b).isalpha() else _DIGIT if chr(b).isdigit() else _MARK
+    kinds[ord("'")] = _GLUE
+    for b in b" \t\n\r":
+        kinds[b] = BLANK
+    apart = {_LETTER: {_DIGIT, _MARK}, _DIGIT: {_LETTER, _DIGIT, _MARK}, _MARK: {_LETTER, _DIGIT}}
+    return Cutter(bytes(kinds), cuts(apart), bytes(range(256)).lower(), _GLUE, 2)
+
+
+class BatchEncoder:
+    """Ids of a column of texts, exactly as the tokenizer gives them.
+
+    For a tokenizer that normalises by NFC, white space and lower case only and splits by ``SPLIT``, words are
+    cut and hashed in bulk; a table of ``ENTRIES`` words remembers their ids (two 64-bit hashes
+    tell them apart), and only words that are not in it go to the tokenizer.  Texts that hold one of
+    the tokenizer's added tokens, and all texts under any other tokenizer, go to it whole.
     """
 
     def __init__(self, path: str) -> None:
-        self.tokenizer, self.known, self.older = _tokenizer(path), {}, {}
-
-    def _ids(self, texts: list[str]) -> list[bytes]:
-        return [np.asarray(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
-
-    def encode(self, text: str) -> bytes:
-        if _ODD_SPACE.search(text):
-            return self._ids([text])[0]
-        if not _ODD_CASE.search(text):
-            text = text.lower()
-        words, known = _STOP.sub(r" \1", text).split(), self.known
-        try:
-            return b"".join(map(known.__getitem__, words))
-        except KeyError:
-            missing = set(words).difference(known)
-        if len(known) + len(missing) > CACHE_WORDS:
-            self.older, known = known, {}
-            self.known, missing = known, set(words)
-        known.update((w, ids) for w in missing if (ids := self.older.get(w)) is not None)
-        new = [w for w in missing if w not in known]
-        known.update(zip(new, self._ids(new), strict=True))
-        return b"".join(map(known.__getitem__, words))
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
+        from tokenizers import Tokenizer
+
+        self.tokenizer = Tokenizer.from_file(path)
+        told = json.loads(self.tokenizer.to_str())
+        self.added = [t["content"] for t in told["added_tokens"]]
+        self.cutter = _cutter() if _understood(told) else None
+        if self.cutter:
+            self.plain = Tokenizer.from_str(json.dumps(told | {"normalizer": None, "added_tokens": []}))
+            suffix = told["model"]["end_of_word_suffix"]
+            self.last = np.zeros(max(self.tokenizer.get_vocab(True).values()) + 1, bool)
+            self.last[[i for w, i in told["model"]["vocab"].items() if w.endswith(suffix)]] = True
+            (self.nul,) = self.whole(["\0"])[0].tolist()
+        self._clear()
+
+    def _clear(self) -> None:
+        self.slot = np.zeros(4 * ENTRIES, np.int32)  # entry + 1
+        self.h, self.h2 = np.zeros(ENTRIES, np.uint64), np.zeros(ENTRIES, np.uint64)
+        self.at, self.n, self.entries = np.zeros(ENTRIES, np.int32), np.zeros(ENTRIES, np.int32), 0
+        self.ids, self.used = np.zeros(4 * ENTRIES, np.uint32), 0
+
+    def whole(self, texts_: list[str]) -> list[np.ndarray]:
+        return [np.asarray(e.ids, np.uint32) for e in self.tokenizer.encode_batch_fast(texts_, add_special_tokens=False)]
+
+    def _new(self, found: list[bytes], glued: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of distinct words, plain ones first, and how many each has."""
+        plain, other = np.nonzero(~glued)[0].tolist(), np.nonzero(glued)[0].tolist()
+        # Each plain word is one piece for the model, so each has one last id; their letters are ASCII, which NFC leaves alone.
+        lines = [b" ".join([found[k] for k in plain[at : at + 100]]).lower().decode() for at in range(0, len(plain), 100)]
+        got = [np.asarray(e.ids, np.uint32) for e in self.plain.encode_batch_fast(lines, add_special_tokens=False)]
+        ids = np.concatenate(got) if got else np.zeros(0, np.uint32)
+        n = np.diff(np.nonzero(self.last[ids])[0] + 1, prepend=0)
+        assert len(n) == len(plain)
+        # The others may be several pieces each; a NUL, which is one id, stands between them.
+        lines = [b" \0 ".join([*(found[k] for k in other[at : at + 50]), b""]).decode() for at in range(0, len(other), 50)]
+        more = np.concatenate([ids[:0], *self.whole(lines)])
+        ends = np.nonzero(more == self.nul)[0]
+        if len(ends) != len(other):  # a word has a NUL of its own
+            alone = self.whole([found[k].decode() for k in other])
+            more, m = np.concatenate([ids[:0], *alone]), np.array([len(x) for x in alone])
+        else:
+            more, m = np.delete(more, ends), np.diff(ends, prepend=-1) - 1
+        return np.concatenate([ids, more]), np.append(n, m).astype(np.int64)
+
+    def _entries(self, w: Words, places: tuple[np.ndarray, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+        """The entry of each word, and the words that have none."""
+        entry, missing = self.slot[places[0]] - 1, None
+        for place in (places[1], None):
+            at = slice(None) if missing is None else missing
+            wrong = np.nonzero((entry[at] < 0) | (self.h[entry[at]] != w.h[at]) | (self.h2[entry[at]] != w.h2[at]))[0]
+            missing = wrong if missing is None else missing[wrong]
+            if place is not None:
+                entry[missing] = self.slot[place[missing]] - 1
+        return entry, missing
+
+    def group(self, data: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all texts of ``data``, which start at ``starts``, and how many each text has."""
+        w = words(data, starts, self.cutter)
+        places = tuple((x >> np.uint64(64 - len(self.slot).bit_length() + 1)).astype(np.int64) for x in (w.h, w.h2))
+        entry, missing = self._entries(w, places)
+        if len(missing):
+            _, first, of = np.unique(w.h[missing] ^ (w.h2[missing] << np.uint64(1)), return_index=True, return_inverse=True)
+            first = missing[first]
+            found = [data[a:b].tobytes() for a, b in zip(w.start[first].tolist(), w.end[first].tolist(), strict=True)]
+            glued = np.array([_GLUE in f.translate(self.cutter.classes) for f in found])
+            ids, n = self._new(found, glued)
+            if self.entries + len(found) > ENTRIES or self.used + len(ids) > len(self.ids):
+                if not self.entries:  # one text has more distinct words than the table
+                    own = self.whole([data[a:b].tobytes().decode() for a, b in zip(starts, np.append(starts[1:], len(data)), strict=True)])
+                    return np.concatenate(own), np.array([len(x) for x in own])
+                self._clear()
+                return self.group(data, starts)
+            own = np.empty(len(found), np.int64)
+            own[np.argsort(glued, kind="stable")] = self.entries + np.arange(len(found))
+            n, starts_ = n[own - self.entries], (np.cumsum(n) - n)[own - self.entries]
+            self.h[own], self.h2[own], self.n[own] = w.h[first], w.h2[first], n
+            self.at[own] = self.used + starts_
+            self.ids[self.used : self.used + len(ids)] = ids
+            taken = self.slot[places[0][first]] > 0
+            self.slot[places[0][first[~taken]]] = own[~taken] + 1
+            self.slot[places[1][first[taken]]] = own[taken] + 1
+            self.entries, self.used = self.entries + len(found), self.used + len(ids)
+            entry[missing] = own[of]
+        n = self.n[entry].astype(np.int64)
+        ends = np.cumsum(n)
+        ids = self.ids[np.repeat(self.at[entry] - (ends - n), n) + np.arange(int(n.sum()))]
+        upto = np.append(0, ends)[np.searchsorted(w.start, np.append(starts, len(data)))]
+        return ids, np.diff(upto)
+
+    def __call__(self, column: pa.Array) -> Iterator[np.ndarray]:
+        """The ids of each text of ``column``; null texts have none."""
+        if self.cutter is None:
+            for k in range(0, len(column), 64):
+                yield from self.whole([t or "" for t in column.slice(k, 64).to_pylist()])
+            return
+        held = np.zeros(len(column), bool)
+        for token in self.added:
+            held |= pc.fill_null(pc.match_substring(column, token), False).to_numpy(zero_copy_only=False)
+        data, offsets = texts(column)
+        for lo, hi in groups(offsets):
+            part = data[offsets[lo] : offsets[hi]]
+            ids, n = self.group(part, offsets[lo:hi] - offsets[lo])
+            for k, own in enumerate(np.split(ids, np.cumsum(n)[:-1]), lo):
+                yield self.whole([column[k].as_py()])[0] if held[k] else own
+
+
+def _understood(told: dict) -> bool:
+    """Is the tokenizer of the kind whose texts ``_cutter`` may cut?"""
+    kinds = [(n.get("type"), n.get("pattern", {}).get("Regex"), n.get("content")) for n in (told["normalizer"] or {}).get("normalizers", [])]
+    before = (told["pre_tokenizer"] or {}).get("pretokenizers", [])
+    split = [(p.get("type"), p.get("pattern", {}).get("Regex"), p.get("behavior"), p.get("invert"), p.get("add_prefix_space"), p.get("use_regex")) for p in before]
+    model = told["model"]
+    return (
+        kinds == [("NFC", None, None), ("Replace", r"\s+", " "), ("Lowercase", None, None)]
+        and split == [("Split", SPLIT, "Removed", True, None, None), ("ByteLevel", None, None, None, False, False)]
+        and (model["type"], model["dropout"], model["unk_token"], model["continuing_subword_prefix"]) == ("BPE", None, None, None)
+        and bool(model["end_of_word_suffix"])
+        and not told["post_processor"]
+        and not any(t["normalized"] or t["single_word"] or t["lstrip"] or t["rstrip"] for t in told["added_tokens"])
+    )
+
+
+def _encoder(path: str) -> BatchEncoder:
+    return remembered(("ids", path), lambda: BatchEncoder(path))
+
+
+def token_counts(rows: DataFrame, tokenizer_path: str, text_col: str = "text", count_col: str = "tokens") -> DataFrame:
+    """``rows`` with ``text_col`` replaced by its number of ids, without the end id, as ``count_col``."""
+    names = [count_col if c == text_col else c for c in rows.columns]
+    kind = T.StructType([T.StructField(count_col, T.LongType()) if f.name == text_col else f for f in rows.schema.fields])
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        encode = _encoder(tokenizer_path)
+        for batch in batches:
+            n = pa.array([len(ids) for ids in encode(batch.column(rows.columns.index(text_col)))], pa.int64())
+            yield pa.RecordBatch.from_arrays([n if c == count_col else batch.column(k) for k, c in enumerate(names)], names=names)
+
+    return rows.mapInArrow(count, kind)
 
 
 def token_pieces(docs: DataFrame, tokenizer_path: str, max_tokens: int = 2048, end_id: int = 0) -> DataFrame:
     """Pieces of at most ``max_tokens`` ids of every document (columns of ``PIECES``)."""
-    end, step = np.asarray([end_id], "<u4").tobytes(), 4 * max_tokens
 
     def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = remembered(("packing", tokenizer_path), lambda: WordEncoder(tokenizer_path)).encode
+        encode = _encoder(tokenizer_path)
         for batch in batches:
             out = []
-            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                ids = encode(text.as_py() or "") + end
-                out += [(doc_id, k, k * max_tokens, len(part) // 4, zlib.crc32(part)) for k, part in enumerate(ids[i : i + step] for i in range(0, len(ids), step))]
+            for doc_id, own in zip(batch.column(0).to_pylist(), encode(batch.column(1)), strict=True):
+                ids = np.append(own, end_id).astype("<u4")
+                out += [(doc_id, at // max_tokens, at, min(max_tokens, len(ids) - at), zlib.crc32(ids[at : at + max_tokens])) for at in range(0, len(ids), max_tokens)]
             columns = zip(*out, strict=True) if out else [()] * 5
             types = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64())
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names=["doc_id", "piece", "start", "length", "ids_crc32"])
