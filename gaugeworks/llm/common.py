@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
+import re
+import shutil
 import tempfile
 from collections.abc import Callable
 from typing import Any
@@ -11,10 +14,20 @@ from pyspark.sql import functions as F
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """The folder of ``spark.checkpoint.dir``; one of our own only where the session names none."""
+    """The folder of ``spark.checkpoint.dir``.
+
+    Where the session names none, as in tests, a local master gets a folder that goes with the
+    process; a cluster raises, as a folder of our own would be on one machine only.
+    """
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
-        context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="gaugeworks-"))
+        named = spark.conf.get("spark.checkpoint.dir", None)
+        if not named:
+            if not re.fullmatch(r"local(\[.*\])?", context.master):
+                raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+            named = tempfile.mkdtemp(prefix="gaugeworks-")
+            atexit.register(shutil.rmtree, named, ignore_errors=True)
+        context.setCheckpointDir(named)
     return context.getCheckpointDir()
 
 

@@ -2,7 +2,7 @@
 
 First every bounded chunk of edges is reduced to a spanning forest by a union-find in its
 own task; what is left is contracted by alternating large-star and small-star steps until
-nothing changes.  Nodes are longs and the label of a component is its smallest node.
+nothing changes.  Nodes are longs or binary keys and the label of a component is its smallest node.
 """
 
 from __future__ import annotations
@@ -18,11 +18,11 @@ from .common import checkpointed
 CHUNK_EDGES = 200_000
 
 
-def forest(pairs) -> list[tuple[int, int]]:
+def forest(pairs) -> list[tuple]:
     """(node, smallest node of its tree) for each node of ``pairs`` that is not itself smallest."""
-    parent: dict[int, int] = {}
+    parent: dict = {}
 
-    def find(x: int) -> int:
+    def find(x):
         root = x
         while parent[root] != root:
             root = parent[root]
@@ -39,37 +39,42 @@ def forest(pairs) -> list[tuple[int, int]]:
     return [(x, find(x)) for x in parent if parent[x] != x]
 
 
-def _reduce(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _reducer(kind: pa.DataType):
     """Fold the edges of one task into forests of at most CHUNK_EDGES edges at a time."""
-    held: list[tuple[int, int]] = []
-    for batch in batches:
-        held += zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)
-        if len(held) >= 2 * CHUNK_EDGES:
-            held = forest(held)
-            if len(held) >= CHUNK_EDGES:
-                yield _edges(held)
-                held = []
-    yield _edges(forest(held))
 
+    def edges(rows: list[tuple]) -> pa.RecordBatch:
+        a, b = zip(*rows, strict=True) if rows else ((), ())
+        return pa.RecordBatch.from_arrays([pa.array(a, kind), pa.array(b, kind)], names=["a", "b"])
 
-def _edges(rows: list[tuple[int, int]]) -> pa.RecordBatch:
-    a, b = zip(*rows, strict=True) if rows else ((), ())
-    return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+    def reduce(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple] = []
+        for batch in batches:
+            held += zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)
+            if len(held) >= 2 * CHUNK_EDGES:
+                held = forest(held)
+                if len(held) >= CHUNK_EDGES:
+                    yield edges(held)
+                    held = []
+        yield edges(forest(held))
+
+    return reduce
 
 
 def connected_components(edges: DataFrame) -> DataFrame:
-    """(node, component) for every node of ``edges`` (first two columns); other nodes are their own.
+    """(node, component) for every node of ``edges`` (first two columns, binary or castable to long); other nodes are their own.
 
     Self loops, repeated edges and edges with a null end are allowed and add nothing; an empty
     table gives an empty result.
     """
     a, b = edges.columns[:2]
-    clean = edges.select(F.col(a).cast("long").alias("a"), F.col(b).cast("long").alias("b")).where("a <> b")
-    state = checkpointed(clean.mapInArrow(_reduce, "a long, b long"))
+    kind = "binary" if edges.schema[a].dataType.typeName() == "binary" else "long"
+    reduce, schema = _reducer(pa.binary() if kind == "binary" else pa.int64()), f"a {kind}, b {kind}"
+    clean = edges.select(F.col(a).cast(kind).alias("a"), F.col(b).cast(kind).alias("b")).where("a <> b")
+    state = checkpointed(clean.mapInArrow(reduce, schema))
     n = state.count()
     chunks = -(-n // CHUNK_EDGES)
     if chunks > 0:
-        state = checkpointed(state.repartition(chunks, "a").mapInArrow(_reduce, "a long, b long"))
+        state = checkpointed(state.repartition(chunks, "a").mapInArrow(reduce, schema))
         if not _settled(state):
             state = _stars(state)
     roots = state.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct()

@@ -3,10 +3,11 @@
 The n-grams of all documents have one global order, rare before frequent.  Two sets can only link if
 they share ``SHARED`` n-grams within a short prefix of that order, at positions that leave enough to
 share; this gives candidate pairs.  The order is cut into ``FRAGMENTS`` fragments; a set is shipped as one
-segment a fragment, partial overlaps are counted for each fragment apart and summed by pair, and the
-exact ratio decides.
+segment a fragment, each fragment counts the partial overlaps of its own segments, they are summed by
+pair, and the exact ratio decides.
 
-Hot groups: equal sets are one class.  A first round pairs each set only with the foremost set of
+Hot groups: equal sets are one class, named by a 128-bit hash, and a task emits a class once
+however many of its rows hold it.  A first round pairs each set only with the foremost set of
 each prefix n-gram, which joins groups of copies in linear work; the second round looks at all
 candidate pairs whose ends are still in different components, each with one end outside the largest
 component of its n-gram.  So
@@ -16,14 +17,14 @@ The order's frequencies come from a count sketch over all documents, summed over
 the ``FREQUENT`` largest buckets are used; they only steer the order, so bounding them loses nothing.
 
 Defined results: null or wordless texts have empty sets and link with nothing; repeated rows and
-equal texts share a component; a set that only rows with a null id hold links with nothing; an empty table gives no rows; extra columns are ignored.
+equal texts share a component; rows with a null id link like others and take the smallest id of their component, null if it
+has none; an empty table gives no rows; extra columns are ignored.
 """
 
 from __future__ import annotations
 
 import zlib
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -31,20 +32,16 @@ import xxhash
 from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import checkpointed, remembered
 from .components import connected_components
+from .segments import BLANK, Cutter, cuts, groups, texts, words
 
-FRAGMENTS, SHARED, SKETCH_BITS, CHUNK_BUCKETS, FREQUENT, BROADCAST_IDS, CACHE_WORDS = 4, 3, 22, 1 << 16, 1 << 18, 300_000, 500_000
+FRAGMENTS, SHARED, SKETCH_BITS, CHUNK_BUCKETS, FREQUENT, BROADCAST_IDS, SEEN = 4, 3, 22, 1 << 16, 1 << 18, 300_000, 200_000
 _MIX = np.uint64(0x9E3779B97F4A7C15)
-
-
-class WordIds(dict):
-    def __missing__(self, word: bytes) -> int:
-        if len(self) >= CACHE_WORDS:
-            self.clear()
-        h = self[word] = xxhash.xxh64_intdigest(word)
-        return h
+#: Words are runs of bytes other than space and 0x09 to 0x0D; A-Z count as a-z.
+_WORDS = Cutter(bytes(BLANK if b == 0x20 or 0x09 <= b <= 0x0D else 1 for b in range(256)), cuts({}), bytes(range(256)).lower())
 
 
 def _mixed(h: np.ndarray) -> np.ndarray:
@@ -52,24 +49,39 @@ def _mixed(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(29))
 
 
-def shingles(text: str | None, n: int) -> np.ndarray:
-    """Sorted distinct 64-bit hashes of the n-word shingles; a shorter sequence is one shingle."""
-    words = (text or "").encode().lower().split()
-    if not words:
-        return np.zeros(0, np.uint64)
-    w = np.fromiter(map(remembered("jaccard", WordIds).__getitem__, words), np.uint64, len(words))
-    width = min(n, len(w))
-    h = np.full(len(w) - width + 1, width, np.uint64)
+def _shingled(w: np.ndarray, width: int) -> np.ndarray:
+    h = np.full(max(0, len(w) - width + 1), width, np.uint64)
     for i in range(width):
         h = _mixed(h * _MIX + w[i : len(w) - width + 1 + i])
-    return np.unique(h)
+    return h
+
+
+def shingle_sets(column: pa.Array, n: int) -> Iterator[np.ndarray]:
+    """For each text the sorted distinct 64-bit hashes of its n-word shingles; a shorter sequence is one shingle."""
+    data, offsets = texts(column)
+    for lo, hi in groups(offsets):
+        part = data[offsets[lo] : offsets[hi]]
+        starts = offsets[lo:hi] - offsets[lo]
+        w = words(part, starts, _WORDS)
+        upto = np.searchsorted(w.start, np.append(starts, len(part))).tolist()
+        h = _shingled(w.h, n)
+        for a, b in zip(upto, upto[1:], strict=False):
+            yield np.unique(h[a : b - n + 1]) if b - a >= n else _shingled(w.h[a:b], b - a)[: b > a]
 
 
-def set_class(h: np.ndarray) -> int | None:
-    """A signed 64-bit key of the whole set; None for the empty set."""
-    if not len(h):
-        return None
-    return int(np.frombuffer(xxhash.xxh64_digest(h.tobytes()), ">i8")[0])
+def set_class(h: np.ndarray) -> bytes | None:
+    """A 128-bit key of the whole set; None for the empty set."""
+    return xxhash.xxh3_128_digest(h.tobytes()) if len(h) else None
+
+
+def _fresh(seen: set[bytes], key: bytes | None) -> bool:
+    """Is this the first row of its set that this task has met lately?"""
+    if key is None or key in seen:
+        return False
+    if len(seen) >= SEEN:
+        seen.clear()
+    seen.add(key)
+    return True
 
 
 def prefix_length(size: int, num: int, den: int) -> int:
@@ -77,11 +89,13 @@ def prefix_length(size: int, num: int, den: int) -> int:
     return min(size, size - -(-num * size // den) + SHARED)
 
 
-@lru_cache(maxsize=2)
 def _levels(order: tuple[bytes, bytes]) -> np.ndarray:
-    table = np.zeros(1 << SKETCH_BITS, np.int32)
-    table[np.frombuffer(order[0], np.int64)] = np.frombuffer(order[1], np.int32)
-    return table
+    def make() -> np.ndarray:
+        table = np.zeros(1 << SKETCH_BITS, np.int32)
+        table[np.frombuffer(order[0], np.int64)] = np.frombuffer(order[1], np.int32)
+        return table
+
+    return remembered(("levels", xxhash.xxh3_128_digest(order[0] + order[1])), make)
 
 
 def ordered(h: np.ndarray, levels: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -92,25 +106,24 @@ def ordered(h: np.ndarray, levels: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _scan(docs: DataFrame, n: int) -> DataFrame:
-    """Rows (doc_id, size, class) with kind 0, and the task's count sketch in chunks with kind 1."""
+    """Rows (id, size, class) with kind 0, and the task's count sketch in chunks with kind 1."""
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = np.zeros(1 << SKETCH_BITS, np.uint32)
         schema = ["kind", "id", "size", "class", "counts"]
         for batch in batches:
             sizes, keys = [], []
-            for text in batch.column(1):
-                h = shingles(text.as_py(), n)
+            for h in shingle_sets(batch.column(1), n):
                 bucket = (h >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)
                 counts[bucket[np.diff(bucket, prepend=-1) > 0]] += 1  # each bucket once a document
                 sizes.append(len(h))
                 keys.append(set_class(h))
-            yield pa.RecordBatch.from_arrays([pa.array(np.zeros(len(sizes), np.int32)), batch.column(0), pa.array(sizes, pa.int64()), pa.array(keys, pa.int64()), pa.nulls(len(sizes), pa.binary())], names=schema)
-        chunks = [(k, c) for k, c in enumerate(counts.reshape(-1, CHUNK_BUCKETS)) if c.any()]
-        ids, packed = [k for k, _ in chunks], [zlib.compress(c.tobytes(), 1) for _, c in chunks]
-        yield pa.RecordBatch.from_arrays([pa.array(np.ones(len(ids), np.int32)), pa.array(ids, pa.int64()), pa.nulls(len(ids), pa.int64()), pa.nulls(len(ids), pa.int64()), pa.array(packed, pa.binary())], names=schema)
+            yield pa.RecordBatch.from_arrays([pa.array(np.zeros(len(sizes), np.int32)), batch.column(0), pa.array(sizes, pa.int64()), pa.array(keys, pa.binary()), pa.nulls(len(sizes), pa.binary())], names=schema)
+        for k, c in enumerate(counts.reshape(-1, CHUNK_BUCKETS)):
+            if c.any():
+                yield pa.RecordBatch.from_arrays([pa.array([1], pa.int32()), pa.array([k], pa.int64()), pa.nulls(1, pa.int64()), pa.nulls(1, pa.binary()), pa.array([zlib.compress(c.tobytes(), 1)], pa.binary())], names=schema)
 
-    return docs.mapInArrow(scan, "kind int, id long, size long, class long, counts binary")
+    return docs.mapInArrow(scan, "kind int, id long, size long, class binary, counts binary")
 
 
 def _frequent(sketches: DataFrame) -> DataFrame:
@@ -133,67 +146,56 @@ def _prefixes(docs: DataFrame, n: int, num: int, den: int, order: Broadcast) ->
     """(s, class, place) for the prefix of each set; place holds position and size, position foremost."""
 
     def prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        levels = _levels(order.value)
+        levels, seen = _levels(order.value), set()
         for batch in batches:
-            s, c, p = [], [], []
-            for text in batch.column(1):
-                h = shingles(text.as_py(), n)
-                if len(h):
+            s, c, p = [np.zeros(0, np.int64)], [], [np.zeros(0, np.int64)]
+            for h in shingle_sets(batch.column(1), n):
+                if _fresh(seen, key := set_class(h)):
                     first = ordered(h, levels)[0][: prefix_length(len(h), num, den)]
                     s.append(first.view(np.int64))
-                    c.append(np.full(len(first), set_class(h), np.int64))
+                    c += [key] * len(first)
                     p.append((np.arange(len(first)) << 32) + len(h))
-            columns = [pa.array(np.concatenate(x) if x else np.zeros(0, np.int64)) for x in (s, c, p)]
-            yield pa.RecordBatch.from_arrays(columns, names=["s", "class", "place"])
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(s)), pa.array(c, pa.binary()), pa.array(np.concatenate(p))], names=["s", "class", "place"])
 
-    return docs.mapInArrow(prefixes, "s long, class long, place long")
+    return docs.mapInArrow(prefixes, "s long, class binary, place long")
 
 
 def _segments(docs: DataFrame, n: int, order: Broadcast) -> DataFrame:
     """(class, fragment, size, segment) of each set: its hashes within each fragment of the order."""
 
     def segments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        levels = _levels(order.value)
+        levels, seen = _levels(order.value), set()
+        types = (pa.binary(), pa.int32(), pa.int64(), pa.list_(pa.int64()))
         for batch in batches:
-            rows = []
-            for text in batch.column(1):
-                h = shingles(text.as_py(), n)
-                if not len(h):
-                    continue
-                key, (at, level) = set_class(h), ordered(h, levels)
-                fragment = np.where(level > 0, FRAGMENTS - 1, (at >> np.uint64(32)).astype(np.int64) * (FRAGMENTS - 1) >> 32)
-                for f in np.unique(fragment):
-                    rows.append((key, int(f), len(h), np.sort(at[fragment == f]).tobytes()))
-            columns = zip(*rows, strict=True) if rows else [()] * 4
-            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(columns, (pa.int64(), pa.int32(), pa.int64(), pa.binary()), strict=True)], names=["class", "fragment", "size", "segment"])
-
-    return docs.mapInArrow(segments, "class long, fragment int, size long, segment binary")
-
-
-def _overlaps(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        n = []
-        for x, y in zip(batch.column("x"), batch.column("y"), strict=True):
-            a, b = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
-            if len(a) > len(b):
-                a, b = b, a
-            at = np.searchsorted(b, a)
-            n.append(int(np.count_nonzero(b[np.minimum(at, len(b) - 1)] == a)))
-        yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("a", "b", "fragment", "na", "nb")), pa.array(n, pa.int64())], names=["a", "b", "fragment", "na", "nb", "n"])
+            for at in range(0, len(batch), 256):
+                rows = []
+                for h in shingle_sets(batch.column(1).slice(at, 256), n):
+                    if not _fresh(seen, key := set_class(h)):
+                        continue
+                    at_, level = ordered(h, levels)
+                    fragment = np.where(level > 0, FRAGMENTS - 1, (at_ >> np.uint64(32)).astype(np.int64) * (FRAGMENTS - 1) >> 32)
+                    rows += [(key, int(f), len(h), at_[fragment == f].view(np.int64)) for f in np.unique(fragment)]
+                columns = zip(*rows, strict=True) if rows else [()] * 4
+                yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(columns, types, strict=True)], names=["class", "fragment", "size", "segment"])
+
+    return docs.mapInArrow(segments, "class binary, fragment int, size long, segment array<long>")
+
+
+def _null_safe(left: DataFrame, right: DataFrame, columns: list[str], how: str) -> DataFrame:
+    """A semi or anti join of ``left`` with ``right`` in which nulls equal nulls."""
+    on = [F.col(f"l.{c}").eqNullSafe(F.col(f"r.{c}")) for c in columns]
+    right = F.broadcast(right) if right.count() <= BROADCAST_IDS else right
+    return left.alias("l").join(right.alias("r"), on, how)
 
 
 def _links(pairs: DataFrame, docs: DataFrame, reps: DataFrame, n: int, num: int, den: int, order: Broadcast) -> DataFrame:
     """The pairs (a, b) of classes with num/den of their union in common."""
-    wanted = pairs.select(F.explode(F.array("a", "b")).alias("class")).distinct().join(reps, "class").select(F.col("rep").alias("id"))
-    wanted = checkpointed(wanted)
-    wanted = F.broadcast(wanted) if wanted.count() <= BROADCAST_IDS else wanted
-    segments = checkpointed(_segments(docs.join(wanted, "id", "left_semi"), n, order))
+    wanted = checkpointed(pairs.select(F.explode(F.array("a", "b")).alias("class")).distinct().join(reps, "class").select(F.col("rep").alias("id")).distinct())
+    segments = _segments(_null_safe(docs, wanted, ["id"], "left_semi"), n, order).dropDuplicates(["class", "fragment"])
+    segments = checkpointed(segments)
     left = segments.select(F.col("class").alias("a"), "fragment", F.col("size").alias("na"), F.col("segment").alias("x"))
     right = segments.select(F.col("class").alias("b"), "fragment", F.col("size").alias("nb"), F.col("segment").alias("y"))
-    both = pairs.join(left, "a").join(right, ["b", "fragment"]).select("a", "b", "fragment", "na", "nb", "x", "y")
-    partial = both.mapInArrow(_overlaps, "a long, b long, fragment int, na long, nb long, n long")
-    # Rows that repeat an id give a fragment's overlap again.
-    partial = partial.groupBy("a", "b", "fragment").agg(*(F.max(c).alias(c) for c in ("n", "na", "nb")))
+    partial = pairs.join(left, "a").join(right, ["b", "fragment"]).select("a", "b", "na", "nb", F.size(F.array_intersect("x", "y")).cast("long").alias("n"))
     total = partial.groupBy("a", "b").agg(F.sum("n").alias("n"), F.first("na").alias("na"), F.first("nb").alias("nb"))
     return checkpointed(total.where(F.col("n") * den >= (F.col("na") + F.col("nb") - F.col("n")) * num).select("a", "b"))
 
@@ -222,8 +224,8 @@ def _candidates(rows: DataFrame, x: str, y: str, num: int, den: int) -> DataFram
     return checkpointed(rows.groupBy("a", "b").agg(F.count("*").alias("n"), F.first("must").alias("must")).where("n >= must").select("a", "b"))
 
 
-def components(docs: DataFrame, n: int = 3, num: int = 9, den: int = 10) -> DataFrame:
-    """(doc_id, n_shingles, component_id), one row a document; links are |A & B| * den >= |A | B| * num."""
+def _rooted(docs: DataFrame, n: int, num: int, den: int) -> tuple[DataFrame, DataFrame]:
+    """(doc_id, n_shingles, class) of each document, and (class, rep, root): the smallest id of a set and its component."""
     spark = docs.sparkSession
     docs = docs.select(F.col("doc_id").cast("long").alias("id"), F.col("text").cast("string").alias("text"))
     scanned = checkpointed(_scan(docs, n))
@@ -232,11 +234,12 @@ def components(docs: DataFrame, n: int = 3, num: int = 9, den: int = 10) -> Data
     counts = np.minimum(often["n"].to_numpy().astype(np.int64), 2**31 - 1).astype(np.int32)
     # Broadcast: FREQUENT buckets at most.
     order = spark.sparkContext.broadcast((often["bucket"].to_numpy().astype(np.int64).tobytes(), counts.tobytes()))
-    reps = keys.where("class is not null").groupBy("class").agg(F.min("doc_id").alias("rep"))
+    reps = checkpointed(keys.where("class is not null").groupBy("class").agg(F.min("doc_id").alias("rep")))
 
     by_gram = Window.partitionBy("s")
-    shared = _prefixes(docs, n, num, den, order).withColumn("lo", F.min("class").over(by_gram)).withColumn("hi", F.max("class").over(by_gram))
-    shared = shared.where("lo <> hi").select("s", "class", "place").distinct()
+    shared = _prefixes(docs, n, num, den, order).repartition("s").dropDuplicates(["s", "class"])
+    shared = shared.withColumn("lo", F.min("class").over(by_gram)).withColumn("hi", F.max("class").over(by_gram))
+    shared = shared.where("lo <> hi").select("s", "class", "place")
     shared = checkpointed(shared.withColumn("before", F.row_number().over(Window.partitionBy("class").orderBy("place")) - 1))
     front = by_gram.orderBy("place", "class")
     star = shared.select("class", "place", "before", *(F.first(c).over(front).alias("f_" + c) for c in ("class", "place", "before"))).where("class <> f_class")
@@ -255,6 +258,47 @@ def components(docs: DataFrame, n: int = 3, num: int = 9, den: int = 10) -> Data
         links = links.unionByName(_links(rest, docs, reps, n, num, den, order))
         roots = connected_components(links)
     rooted = reps.join(roots.withColumnRenamed("node", "class"), "class", "left").select("class", "rep", F.coalesce("component", "class").alias("root"))
+    return keys, rooted
+
+
+def components(docs: DataFrame, n: int = 3, num: int = 9, den: int = 10) -> DataFrame:
+    """(doc_id, n_shingles, component_id), one row a document; links are |A & B| * den >= |A | B| * num."""
+    keys, rooted = _rooted(docs, n, num, den)
     least = rooted.groupBy("root").agg(F.min("rep").alias("component_id"))
     named = rooted.join(least, "root").select("class", "component_id")
     return keys.join(named, "class", "left").select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
+
+
+def with_class(docs: DataFrame, n: int) -> DataFrame:
+    """``docs`` with the 128-bit key of each text's set as ``__class``; null for the empty set."""
+    at = docs.columns.index("text")
+
+    def tag(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keys = pa.array([set_class(h) for h in shingle_sets(batch.column(at), n)], pa.binary())
+            yield pa.RecordBatch.from_arrays([*batch.columns, keys], names=[*docs.columns, "__class"])
+
+    return docs.mapInArrow(tag, T.StructType([*docs.schema.fields, T.StructField("__class", T.BinaryType())]))
+
+
+def keep_first(docs: DataFrame, n: int = 5, num: int = 4, den: int = 5) -> DataFrame:
+    """The rows of ``docs``, all columns, with one row left of each group of linked texts.
+
+    A row is known by its id and its set, so rows that share an id but not a text are judged each by
+    its own text.  Of a group the row with the smallest id stays (null ids last, then by set), of
+    repeated rows the first by text and other columns; rows with empty sets all stay.
+    """
+    keys, rooted = _rooted(docs, n, num, den)
+    first = rooted.groupBy("root").agg(F.min(F.struct(F.col("rep").isNull().alias("no"), "rep", "class")).alias("f")).select("f.class", F.col("f.rep").alias("first_id"), F.lit(True).alias("first"))
+    rows = keys.where("class is not null").groupBy("class", "doc_id").agg(F.count("*").alias("n")).join(first, "class", "left")
+    rows = checkpointed(rows.withColumn("stays", F.coalesce(F.col("first") & F.col("doc_id").eqNullSafe(F.col("first_id")), F.lit(False))))
+    name = lambda df: df.select("doc_id", F.col("class").alias("__class"))
+    tagged = with_class(docs, n)
+    kept = _null_safe(tagged, name(rows.where("not stays")), ["doc_id", "__class"], "left_anti")
+    again = name(rows.where("stays and n > 1"))
+    if again.isEmpty():
+        return kept.select(docs.columns)
+    plain = [f.name for f in docs.schema.fields if isinstance(f.dataType, T.AtomicType)]
+    order = Window.partitionBy("doc_id", "__class").orderBy("text", *plain)
+    one = _null_safe(kept, again, ["doc_id", "__class"], "left_semi").withColumn("__n", F.row_number().over(order)).where("__n = 1")
+    return _null_safe(kept, again, ["doc_id", "__class"], "left_anti").select(docs.columns).unionByName(one.select(docs.columns))
