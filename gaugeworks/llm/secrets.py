@@ -1,9 +1,10 @@
 """Secret scan: candidate strings, then a random forest that removes false positives, in SQL expressions.
 
-Candidates are runs of 16 or more credential characters with both letters and digits.  Features are
+Candidates are runs of 16 or more credential characters, or of 8 or more that are assigned to a credential's name,
+with both letters and digits.  Features are
 their length, character classes and transitions, how natural their letter pairs are, how much of
-them dictionary words cover, the path or source, and the neighbouring words.  The forest is trained
-on labelled findings made by rule (``findings``), with features computed by the same expressions,
+them dictionary words cover, the path or source, and the neighbouring words on both sides.  The forest is trained
+on labelled findings (``findings``), with features computed by the same expressions,
 and becomes one CASE expression; nothing but SQL functions touches the corpus.
 
 Defined results: each occurrence of a value in a text is scored by its own context; null and empty texts have no
@@ -21,17 +22,29 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-CANDIDATE = r"(?<![A-Za-z0-9_+/-])[A-Za-z0-9_+/-]{16,}+={0,2}"
+#: Names after which shorter values are candidates too.
+ASSIGNED = r"(?:password|passwd|pwd|passphrase|token|secret|api[_-]?key|access[_-]?key|private[_-]?key|credential)"
+RUN = "[A-Za-z0-9_+/-]"
+CANDIDATE = rf"(?<!{RUN})(?:{RUN}{{16,}}|(?<=[=:][\"' ]{{0,3}})(?<=(?i:{ASSIGNED})[\"']? {{0,2}}[=:] {{0,2}}[\"']?){RUN}{{8,}})={{0,2}}"
 MASK = "[SECRET]"
 #: Frequent letter pairs of English words.
 PAIRS = "th he in er an re on at en nd ti es or te of ed is it al ar st to nt ng se ha as ou io le ve co me de hi ri ro ic ne ea ra ce".split()
 #: Words of identifiers and placeholders.
-WORDS = "example sample test dummy placeholder your changeme version release build config default user name file path http https www com org image page index table column value data time date code item order list public private license token secret password key access account service system session request response error update delete create".split()
+WORDS = (
+    "example sample test dummy placeholder your changeme version release build config default user name file path http https www com org image page index table "
+    "column value data time date code item order list public private license token secret password key access account service system session request response "
+    "error update delete create module package import export class method object string number array buffer stream socket server client network address domain "
+    "folder source target input output result report status event message queue worker thread process memory cache store record field entry group member owner "
+    "admin guest profile setting option feature product price payment invoice customer supplier shipment country region city street phone email contact window "
+    "button label title header footer border color width height style theme script document article comment review rating search filter sort view click model"
+).split()
 #: Names that stand before credentials, and before harmless strings.
-CREDENTIAL = r"(?:token|secret|passw|pwd|api[_ -]?key|access[_ -]?key|auth|credential|private[_ -]?key|bearer)"
+CREDENTIAL = r"(?:tokens?|secrets?|passw(?:or)?ds?|pwd|passphrase|api[_ -]?key|access[_ -]?key|auth|credentials?|private[_ -]?key|bearer)"
 HARMLESS = r"(?:sha\d*|commit|md5|uuid|guid|checksum|digest|hash|etag|version|revision|build|isbn|order|example|sample)"
 #: Beginnings of issued keys, and the letters and number of letters after them.
 ISSUED = [("AKIA", "upper", 16), ("ghp_", "both", 36), ("sk_live_", "both", 24), ("AIza", "both", 35), ("xoxb-", "both", 40), ("glpat-", "both", 20)]
+#: Fixed value: words after a value that tell what it is.
+AFTER = r"(?i)^[\"')\]]{0,2}\s*\(?(?:was merged|is the (?:checksum|digest|hash|commit|version)|commit|on branch|matches the|is a page|revision)"
 KNOWN = r"(?:^|[/+_-])(?:AKIA|ASIA|ghp_|gho_|github_pat_|xox[abpr]-|sk_live_|sk-|AIza|eyJ|glpat-)"
 
 
@@ -39,15 +52,19 @@ def _sql(pattern: str) -> str:
     return "'" + pattern.replace("\\", "\\\\").replace("'", "\\'") + "'"
 
 
-#: Each feature as SQL over x.value, x.before (40 characters) and x.path.
+#: Each feature as SQL over x.value, x.before (40 characters), x.after (24 characters) and x.path.
 FEATURES = {
     "size": "CAST(length(x.value) AS DOUBLE)",
     "digits": "regexp_count(x.value, '[0-9]') / length(x.value)",
     "capitals": "regexp_count(x.value, '[A-Z]') / length(x.value)",
     "marks": "regexp_count(x.value, '[^A-Za-z0-9]') / length(x.value)",
-    "turns": "regexp_count(x.value, '[A-Za-z](?=[0-9])|[0-9](?=[A-Za-z])') / (length(x.value) - 1)",
+    "letter_digit": "regexp_count(x.value, '[A-Za-z](?=[0-9])') / (length(x.value) - 1)",
+    "digit_letter": "regexp_count(x.value, '[0-9](?=[A-Za-z])') / (length(x.value) - 1)",
+    "lower_upper": "regexp_count(x.value, '[a-z](?=[A-Z])') / (length(x.value) - 1)",
+    "upper_lower": "regexp_count(x.value, '[A-Z](?=[a-z])') / (length(x.value) - 1)",
     "natural": f"regexp_count(lower(x.value), '(?={'|'.join(PAIRS)})') / (length(x.value) - 1)",
     "covered": f"1 - length(regexp_replace(lower(x.value), '{'|'.join(sorted(WORDS, key=lambda w: (-len(w), w)))}', '')) / length(x.value)",
+    "longest": "array_max(transform(split(x.value, '[^A-Za-z]+'), s -> length(s))) / length(x.value)",
     "variety": "size(array_distinct(split(x.value, ''))) / least(length(x.value), 64)",
     "hex": r"CAST(x.value RLIKE '^[0-9a-fA-F]+$' AS DOUBLE)",
     "uuid": r"CAST(x.value RLIKE '^[0-9a-fA-F]{8}(-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}$' AS DOUBLE)",
@@ -55,61 +72,79 @@ FEATURES = {
     "named": f"CAST(x.before RLIKE {_sql('(?i)' + CREDENTIAL + r'[^A-Za-z]{0,12}$')} AS DOUBLE)",
     "harmless": f"CAST(x.before RLIKE {_sql('(?i)' + HARMLESS + r'[^A-Za-z]{0,12}$')} AS DOUBLE)",
     "assigned": r"""CAST(x.before RLIKE '[=:]\\s*["\']?$' AS DOUBLE)""",
+    "explained": f"CAST(x.after RLIKE {_sql(AFTER)} AS DOUBLE)",
     "path": r"CAST(coalesce(x.path, '') RLIKE '(?i)(test|example|fixture|sample|doc)' AS DOUBLE)",
 }
 
 
-def findings(n: int = 2400, seed: int = 31) -> list[tuple[str, str, str, int]]:
-    """Labelled findings (value, before, path, label) of the customary kinds, made by rule."""
+def findings(n: int = 3600, seed: int = 31) -> list[tuple[str, str, str, int, str]]:
+    """Labelled findings (value, before, path, label, after).
+
+    The label is what the value was made as; where it stands is drawn apart from that, so that names, neighbours
+    and paths are only more or less likely with either label.
+    """
     rng = random.Random(seed)
     some = lambda letters, lo, hi: "".join(rng.choice(letters) for _ in range(rng.randint(lo, hi)))
-    hexes, alnum = "0123456789abcdef", string.ascii_letters + string.digits
+    hexes, alnum, upper = "0123456789abcdef", string.ascii_letters + string.digits, string.ascii_uppercase + string.digits
     prose = ["the value of", "and then set", "see also", "was found in", "please use", "according to", "est une", "und der", "para los", ""]
-    names = ["token", "secret", "api_key", "apikey", "access_key", "password", "auth_token", "client_secret", "TOKEN", "private_key"]
-    other = ["commit", "sha256", "md5", "uuid", "checksum", "digest", "version", "build", "order", "example", "etag"]
-    paths = ["src/app", "config/prod", "src0", "web/main", "lib/core", None]
-    demo = ["tests/unit", "docs/example", "fixtures/a"]
-    assign = lambda name: f"{rng.choice(prose)} {name}{rng.choice([' = ', '=', ': ', ':'])}{rng.choice(['', chr(34), chr(39)])}"
+    names = ["token", "secret", "api_key", "apikey", "access_key", "password", "auth_token", "client_secret", "TOKEN", "private_key", "PRIVATE_KEY", "passwd", "credential"]
+    other = ["commit", "sha256", "md5", "uuid", "checksum", "digest", "version", "build", "order", "example", "etag", "revision"]
+    neutral = ["value", "ref", "field", "id", "name", "x", "data"]
+    paths, demo = ["src/app", "config/prod", "src0", "web/main", "lib/core", None], ["tests/unit", "docs/example", "fixtures/a"]
+    rest = ["", " and more", ".", ", then", '"', "'", ";", " end"]
+    told = [" was merged", " is the checksum", " (commit)", " on branch main", " matches the digest", " is a page"]
     word = lambda: rng.choice(WORDS)
+    words = lambda lo, hi: [word() + rng.choice(["", "", str(rng.randrange(100))]) for _ in range(rng.randint(lo, hi))]
+
+    def issued() -> str:
+        head, letters, size = rng.choice(ISSUED)
+        return head + some(upper if letters == "upper" else alnum, size, size)
+
+    def among(parts: list[str]) -> str:
+        parts.insert(rng.randrange(len(parts)), issued())
+        return rng.choice("/-_+").join(parts)
+
+    def cased(value: str) -> str:
+        return value.upper() if rng.random() < 0.15 else value
+
+    def before(credential: float, harmless: float, plain: float) -> str:
+        """Text before a value, with such odds that the name is a credential's, a harmless or a neutral one, and else prose."""
+        u, sign = rng.random(), f"{rng.choice([' = ', '=', ': ', ':'])}{rng.choice(['', chr(34), chr(39)])}"
+        if u < credential:
+            return f"{rng.choice(prose)} {cased(rng.choice(names))}{sign}"
+        if u < credential + harmless:
+            return f"{rng.choice(prose)} {cased(rng.choice(other))}{rng.choice([sign, ' '])}"
+        return f"{rng.choice(prose)} {rng.choice(neutral)}{sign}" if u < credential + harmless + plain else f"{rng.choice(prose)} "
+
+    base64 = lambda: some(alnum * 8 + "+/", 520, 3000)
+    kinds = [
+        (lambda: cased(some(hexes, 16, 64)), 1, 3, (0.96, 0.0, 0.03)),
+        (lambda: some(alnum, 16, 64), 1, 3, (0.9, 0.0, 0.05)),
+        (lambda: some(alnum * 8 + "+/", 20, 60) + rng.choice(["", "=", "=="]), 1, 1, (0.9, 0.0, 0.05)),
+        (lambda: cased(some(alnum, 8, 15)), 1, 2, (1.0, 0.0, 0.0)),
+        (issued, 1, 2, (0.4, 0.02, 0.08)),
+        (base64, 1, 1, (0.95, 0.0, 0.02)),
+        (lambda: among(words(60, 200)), 1, 1, (0.1, 0.0, 0.1)),
+        (lambda: cased(some(hexes, 32, 64)), 0, 3, (0.01, 0.69, 0.1)),
+        (lambda: "-".join(some(hexes, k, k) for k in (8, 4, 4, 4, 12)), 0, 2, (0.03, 0.4, 0.4)),
+        (lambda: rng.choice("_-/").join(words(2, 6)) + str(rng.randrange(100)), 0, 3, (0.05, 0.15, 0.2)),
+        (lambda: rng.choice(["your-token-here-", "example-secret-key-", "changeme-password-", "test-api-key-sample-"]) + str(rng.randrange(10, 999)), 0, 2, (0.85, 0.05, 0.05)),
+        (lambda: some(string.ascii_lowercase, 14, 30) + str(rng.randrange(1000)), 0, 2, (0.0, 0.1, 0.1)),
+        (lambda: rng.choice("/-_+").join(words(90, 300)) + "1", 0, 1, (0.02, 0.1, 0.1)),
+        (base64, 0, 1, (0.0, 0.2, 0.1)),
+        (lambda: some(upper, 16, 24), 0, 1, (0.0, 0.6, 0.1)),
+    ]
+    drawn = [k for k in kinds for _ in range(k[2])]
     out = []
     for i in range(n):
-        kind = i % 12
-        if kind < 3:
-            row = (some(hexes, 16, 64), assign(rng.choice(names)), rng.choice(paths), 1)
-        elif kind < 5:
-            row = (some(alnum, 16, 64), assign(rng.choice(names)), rng.choice(paths), 1)
-        elif kind == 5:
-            head, letters, size = rng.choice(ISSUED)
-            row = (head + some(string.ascii_uppercase + string.digits if letters == "upper" else alnum, size, size), f"{rng.choice(prose)} ", rng.choice(paths), 1)
-        elif kind == 6:
-            row = (some(hexes, 32, 64), assign(rng.choice(other)), rng.choice(paths + demo), 0)
-        elif kind == 7:
-            row = ("-".join(some(hexes, k, k) for k in (8, 4, 4, 4, 12)), assign(rng.choice(["id", "uuid", "guid", "user"])), rng.choice(paths), 0)
-        elif kind == 8:
-            row = ("_".join([word(), word(), word()]) + str(rng.randrange(100)), f"{rng.choice(prose)} ", rng.choice(paths), 0)
-        elif kind == 9:
-            row = (rng.choice(["your-token-here-", "example-secret-key-", "changeme-password-", "test-api-key-sample-"]) + str(rng.randrange(10, 999)), assign(rng.choice(names)), rng.choice(paths + demo), 0)
-        elif kind == 10:
-            row = (some(string.ascii_lowercase, 14, 30) + str(rng.randrange(1000)), f"{rng.choice(prose)} ", rng.choice(paths), 0)
-        else:
-            row = (some(alnum, 20, 40), assign(rng.choice(names)), rng.choice(demo), 0) if rng.random() < 0.5 else (some(hexes, 32, 40), f"{rng.choice(prose)} ", rng.choice(paths), 0)
-        if any(c.isdigit() for c in row[0]) and any(c.isalpha() for c in row[0]) and len(row[0]) >= 16:
-            out.append(row)
-    for i in range(n // 6):
-        kind, base64 = i % 4, lambda: some(alnum * 8 + "+/", 520, 3000)
-        words = lambda: [word() + rng.choice(["", "", str(rng.randrange(100))]) for _ in range(rng.randint(90, 300))]
-        if kind == 0:
-            row = (base64(), assign(rng.choice([*names, "PRIVATE_KEY"])), rng.choice(paths), 1)
-        elif kind == 1:
-            head, letters, size = rng.choice(ISSUED)
-            parts = words()
-            parts.insert(rng.randrange(len(parts)), head + some(string.ascii_uppercase + string.digits if letters == "upper" else alnum, size, size))
-            row = (rng.choice("/-_+").join(parts), f"{rng.choice(prose)} ", rng.choice(paths), 1)
-        elif kind == 2:
-            row = (rng.choice("/-_+").join(words()) + "1", f"{rng.choice(prose)} ", rng.choice(paths), 0)
-        else:
-            row = (base64(), rng.choice(["data:image/png;base64,", "data:font/woff2;base64,", f"{rng.choice(prose)} "]), rng.choice(paths + demo), 0)
-        out.append(row)
+        make, label, _, odds = drawn[i % len(drawn)]
+        value = make()
+        if any(c.isdigit() for c in value) and any(c.isalpha() for c in value):
+            path = rng.choice(demo if rng.random() < (0.04 if label else 0.3) else paths)
+            head = before(*odds)
+            if not label and "+" in value and len(value) > 500 and rng.random() < 0.5:
+                head = rng.choice(["data:image/png;base64,", "data:font/woff2;base64,"])
+            out.append((value, head, path, label, rng.choice(told if rng.random() < (0.02 if label else 0.3) else rest)))
     return out
 
 
@@ -118,7 +153,7 @@ def grow(x: np.ndarray, y: np.ndarray, rng: np.random.Generator, depth: int, lea
     if depth == 0 or len(y) < 2 * leaf or y.min() == y.max():
         return float(y.mean())
     best = None
-    for f in rng.choice(x.shape[1], 5, replace=False):
+    for f in rng.choice(x.shape[1], 7, replace=False):
         cuts = np.unique(np.quantile(x[:, f], np.linspace(0.05, 0.95, 19)))
         for cut in cuts:
             low = x[:, f] <= cut
@@ -147,12 +182,11 @@ def featured(candidates: str) -> str:
 
 
 @lru_cache(maxsize=4)
-def forest_sql(trees: int = 24, depth: int = 6, seed: int = 41) -> str:
-    """Train on the labelled findings and return the forest's probability as SQL over a featured x."""
+def forest(trees: int = 24, depth: int = 7, seed: int = 41) -> tuple:
+    """The trees trained on the labelled findings, whose features Spark works out by the same SQL."""
     spark = SparkSession.getActiveSession()
-    rows = findings()
-    labelled = spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], "i int, value string, before string, path string, label int")
-    made = labelled.withColumn("x", F.expr("named_struct('value', value, 'before', right(before, 40), 'path', path)"))
+    labelled = spark.createDataFrame([(i, *r) for i, r in enumerate(findings())], "i int, value string, before string, path string, label int, after string")
+    made = labelled.withColumn("x", F.expr("named_struct('value', value, 'before', right(before, 40), 'after', left(after, 24), 'path', path)"))
     got = made.select("i", "label", *(F.expr(v).alias(k) for k, v in FEATURES.items())).orderBy("i").collect()
     x, y = np.array([r[2:] for r in got], float), np.array([r[1] for r in got], float)
     rng = np.random.default_rng(seed)
@@ -160,22 +194,29 @@ def forest_sql(trees: int = 24, depth: int = 6, seed: int = 41) -> str:
     for _ in range(trees):
         of = rng.integers(0, len(y), len(y))
         grown.append(grow(x[of], y[of], rng, depth))
-    return "(" + " + ".join(map(tree_sql, grown)) + f") / {trees}"
+    return tuple(grown)
+
+
+def forest_sql() -> str:
+    """The forest's probability as SQL over a featured x."""
+    grown = forest()
+    return "(" + " + ".join(map(tree_sql, grown)) + f") / {len(grown)}"
 
 
 def scored(docs: DataFrame, text_col: str = "text", path_col: str = "source") -> DataFrame:
-    """``docs`` with found: array of (value, start, score), each occurrence of a candidate in the text."""
+    """``docs`` with found: array of (value, start, score), each occurrence of a candidate in the text; and all runs and the texts between them."""
     text, path, pattern = f"`{text_col}`", f"CAST(`{path_col}` AS STRING)", _sql(CANDIDATE)
     # A match ends where the texts between the matches up to it and the matches end.  Columns stand outside the lambdas, which would work them out for each element.
     ends = "aggregate(zip_with(__between, __raw, (b, v) -> length(b) + coalesce(length(v), 0)), array(0), (a, n) -> array_append(a, element_at(a, -1) + n))"
     placed = f"zip_with(__raw, slice(__ends, 2, size(__raw)), (v, e) -> named_struct('value', v, 'start', e - length(v) + 1, 'path', {path}))"
     placed = f"filter({placed}, p -> p.value RLIKE '[0-9]' AND p.value RLIKE '[A-Za-z]')"
-    before = f"transform(__placed, p -> named_struct('value', p.value, 'start', p.start, 'path', p.path, 'before', substring({text}, greatest(1, p.start - 40), least(40, p.start - 1))))"
+    around = f"'before', substring({text}, greatest(1, p.start - 40), least(40, p.start - 1)), 'after', substring({text}, p.start + length(p.value), 24)"
+    before = f"transform(__placed, p -> named_struct('value', p.value, 'start', p.start, 'path', p.path, {around}))"
     out = docs.withColumn("__raw", F.expr(f"regexp_extract_all({text}, {pattern}, 0)")).withColumn("__between", F.expr(f"IF(size(__raw) > 0, split({text}, {pattern}, -1), array())"))
     out = out.withColumn("__ends", F.expr(f"IF(size(__raw) > 0, {ends}, array())")).withColumn("__placed", F.expr(placed)).withColumn("__before", F.expr(before))
     out = out.withColumn("__made", F.expr(featured("__before")))
     out = out.withColumn("found", F.expr(f"transform(__made, x -> named_struct('value', x.value, 'start', x.start, 'score', {forest_sql()}))"))
-    return out.drop("__raw", "__between", "__ends", "__placed", "__before", "__made")
+    return out.drop("__ends", "__placed", "__before", "__made")
 
 
 def scan(docs: DataFrame, threshold: float = 0.5) -> DataFrame:
@@ -189,9 +230,14 @@ def scan(docs: DataFrame, threshold: float = 0.5) -> DataFrame:
 def redact(docs: DataFrame, threshold: float = 0.5, text_col: str = "text", path_col: str = "source") -> DataFrame:
     """``docs`` with the secrets replaced by ``MASK`` wherever they occur; all rows and columns stay.
 
-    A value is a secret of its text if any of its occurrences is; longer ones go first, as they may hold shorter ones.
+    A value is a secret of its text if any of its occurrences is.  The text is put together again from its runs and what
+    is between them: a run that is a secret becomes the mask as a whole, and inside any other run secrets are replaced, longer ones first.
     """
     values = f"array_distinct(transform(filter(found, x -> x.score >= {threshold}D), x -> x.value))"
     longest = f"array_sort({values}, (a, b) -> CASE WHEN length(a) <> length(b) THEN length(b) - length(a) WHEN a < b THEN -1 WHEN a > b THEN 1 ELSE 0 END)"
-    masked = f"aggregate({longest}, `{text_col}`, (t, v) -> replace(t, v, '{MASK}'))"
-    return scored(docs, text_col, path_col).withColumn(text_col, F.coalesce(F.expr(masked), F.col(text_col))).drop("found")
+    inside = f"aggregate(__secrets, r, (t, v) -> replace(t, v, '{MASK}'))"
+    hidden = f"CASE WHEN r IS NULL THEN '' WHEN array_contains(__secrets, r) THEN '{MASK}' ELSE {inside} END"
+    whole = f"array_join(flatten(zip_with(__between, __raw, (b, r) -> array(b, {hidden}))), '')"
+    out = scored(docs, text_col, path_col).withColumn("__secrets", F.expr(f"IF(size(found) > 0, {longest}, array())"))
+    masked = F.expr(f"IF(size(__secrets) > 0, {whole}, `{text_col}`)")
+    return out.withColumn(text_col, masked).select(docs.columns)

@@ -322,9 +322,9 @@ def test_secrets(spark, odd, none):
 
 def test_forest_on_new_findings(spark):
     rows = secrets.findings(600, seed=99)
-    docs = documents(spark, [(i, f"{before}{value}\n", None, path) for i, (value, before, path, _) in enumerate(rows)])
+    docs = documents(spark, [(i, f"{before}{value}{after}\n", None, path) for i, (value, before, path, _, after) in enumerate(rows)])
     got = {r["doc_id"]: r["is_secret"] for r in secrets.scan(docs).collect()}
-    assert np.mean([got.get(i) == bool(y) for i, (*_, y) in enumerate(rows)]) > 0.93
+    assert np.mean([got.get(i) == bool(y) for i, (*_, y, _) in enumerate(rows)]) > 0.93
 
 
 # Mixing
