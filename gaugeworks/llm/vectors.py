@@ -1,10 +1,10 @@
-"""Reading vectors out of Arrow batches, and which of them take part in a search."""
+"""Reading vectors out of Arrow batches, which of them take part in a search, and dealing them to tasks."""
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
@@ -15,16 +15,12 @@ def usable(column: str = "embedding") -> Column:
     return F.coalesce((F.size(x) > 0) & finite & F.exists(x, lambda v: v != 0), F.lit(False))
 
 
-def common_size(df: DataFrame, column: str = "embedding") -> int:
-    """The most frequent dimension; vectors of others cannot be compared with most rows and take no part."""
-    top = df.groupBy(F.size(column).alias("n")).count().orderBy(F.desc("count"), "n").first()
-    return top["n"] if top else 0
-
-
-def matrix(column: pa.Array | pa.ChunkedArray, size: int) -> np.ndarray:
-    """A float64 row for each list of ``size`` components."""
+def matrix(column: pa.Array | pa.ChunkedArray) -> np.ndarray:
+    """A float64 row for each list of a column whose lists are equally long."""
     if isinstance(column, pa.ChunkedArray):
         column = column.combine_chunks()
     if isinstance(column, pa.ChunkedArray):
         column = pa.concat_arrays(column.chunks)
-    return column.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, size)
+    if not len(column):
+        return np.zeros((0, 0))
+    return column.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(column), -1)
