@@ -5,8 +5,11 @@ slots and ANDing the masks returns all languages whose filter holds it; a docume
 bits by language, corrects each count for that slice's false-positive rate, and the highest
 corrected share decides.
 
-Training reads a bounded, stratified sample (``per_language`` documents by language); the filters
-have a fixed size.  Prediction reads every whole text.
+Training reads a bounded, stratified sample: at most ``per_language`` documents of each language, the first in
+the order of a hash, found by counting languages, letting about twice as many through by a threshold on the hash and
+ranking these, so no task reads a whole language.  An n-gram counts for a language from its ``min_count``-th occurrence in
+the sample.  Rates, filters and masks are made by joins and aggregations; the driver gets the languages and the masks, whose size
+depends on the number of languages only.  Prediction reads every whole text.
 
 Defined results: null texts and texts without a letter are ``und`` with score 0; ties go to the
 language learned from more documents, then by name; repeated rows get equal answers; with no
@@ -25,11 +28,11 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import remembered
+from .common import checkpointed, remembered
 
 WORD = re.compile(r"[^\W\d_]+")
 ORDERS = (2, 3, 4)
-SLOTS, HASHES, CACHE_WORDS = 1 << 19, 2, 200_000
+SLOTS, HASHES, CACHE_WORDS, BROADCAST_ROWS = 1 << 19, 2, 200_000, 100_000
 PREDICTIONS = "doc_id long, lang_pred string, score double"
 
 
@@ -76,14 +79,20 @@ def build(counts: dict[str, dict[str, int]], documents: dict[str, int], share: f
     return Filters(languages, masks.tobytes())
 
 
-def train(docs: DataFrame, usable: Column | None = None, per_language: int = 1500, max_grams: int = 40_000, min_count: int = 3) -> Filters:
-    """Learn from at most ``per_language`` documents and ``max_grams`` n-grams of each language."""
+def sample(rows: DataFrame, per_language: int) -> DataFrame:
+    """(lang, text) of at most ``per_language`` rows (doc_id, lang, text) of each language."""
+    counts = checkpointed(rows.groupBy("lang").agg(F.count("*").alias("of")))
+    counts = F.broadcast(counts) if counts.count() <= BROADCAST_ROWS else counts
+    mixed = F.xxhash64("doc_id", F.lit(5))
+    passing = rows.join(counts, "lang").where((mixed / F.lit(2.0**64) + 0.5) * F.col("of") <= 2 * per_language)
+    ranked = passing.withColumn("r", F.row_number().over(Window.partitionBy("lang").orderBy(mixed, "doc_id", "text")))
+    return ranked.where(F.col("r") <= per_language).select("lang", "text")
+
+
+def train(docs: DataFrame, usable: Column | None = None, per_language: int = 1500, min_count: int = 3, share: float = 0.25) -> Filters:
+    """Learn from at most ``per_language`` documents of each language; n-grams as ``build`` chooses them."""
     rows = docs.where("lang is not null and text is not null and doc_id is not null")
-    rows = rows.where(usable) if usable is not None else rows
-    by_hash = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id", F.lit(5)), "doc_id")
-    chosen = rows.select("doc_id", "lang").withColumn("r", F.row_number().over(by_hash)).where(F.col("r") <= per_language).select("doc_id").distinct()
-    # Broadcast: per_language rows for each language.
-    sample = rows.join(F.broadcast(chosen), "doc_id", "left_semi").select("lang", "text")
+    rows = (rows.where(usable) if usable is not None else rows).select("doc_id", F.col("lang").cast("string").alias("lang"), "text")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found: dict[str, Counter] = {}
@@ -94,25 +103,37 @@ def train(docs: DataFrame, usable: Column | None = None, per_language: int = 150
                 held[lang] += 1
                 own.update(WORD.findall(text.lower()))
         for lang, words in found.items():
-            own = found[lang] = Counter()
+            own: Counter = Counter()
             for word, n in words.items():
                 for g in ngrams(word):
                     own[g] += n
-        out = [(x, g, n) for x, own in found.items() for g, n in own.items()] + [(x, "", n) for x, n in held.items()]
-        x, g, n = zip(*out, strict=True) if out else ((), (), ())
-        yield pa.RecordBatch.from_arrays([pa.array(x, pa.string()), pa.array(g, pa.string()), pa.array(n, pa.int64())], names=["lang", "gram", "n"])
-
-    grams = sample.mapInArrow(count, "lang string, gram string, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
-    top = Window.partitionBy("lang").orderBy(F.col("gram") != "", F.desc("n"), "gram")
-    kept = grams.where((F.col("n") >= min_count) | (F.col("gram") == "")).withColumn("r", F.row_number().over(top)).where(F.col("r") <= max_grams).select("lang", "gram", "n").collect()
-    counts: dict[str, dict[str, int]] = {}
-    documents: dict[str, int] = {}
-    for r in kept:
-        if r.gram:
-            counts.setdefault(r.lang, {})[r.gram] = r.n
-        else:
-            documents[r.lang] = r.n
-    return build(counts, documents)
+            g, n = zip(*own.items(), strict=True) if own else ((), ())
+            yield pa.RecordBatch.from_arrays([pa.array([lang] * (len(g) + 1), pa.string()), pa.array([*g, ""], pa.string()), pa.array([*n, held[lang]], pa.int64())], names=["lang", "gram", "n"])
+
+    grams = checkpointed(sample(rows, per_language).mapInArrow(count, "lang string, gram string, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n")))
+    kept = grams.where((F.col("gram") != "") & (F.col("n") >= min_count))
+    total = kept.groupBy("lang").agg(F.sum("n").alias("total"))
+    documents = grams.where("gram = ''").select("lang", F.col("n").alias("documents"))
+    # One row a language.
+    found = [r["lang"] for r in documents.join(total, "lang").orderBy(F.desc("documents"), "lang").collect()]
+    if not found:
+        return build({}, {})
+    bits = docs.sparkSession.createDataFrame(list(enumerate(found)), "bit int, lang string").join(total, "lang")
+    rated = kept.join(bits, "lang").withColumn("rate", F.col("n") / F.col("total"))
+    best = rated.groupBy("gram").agg(F.max("rate").alias("best"))
+
+    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            at = np.array([slots(g) for g in batch.column(0).to_pylist()], np.int64).reshape(-1, HASHES)
+            bit = batch.column(1).to_numpy().astype(np.uint64)
+            mask = (np.uint64(1) << (bit % np.uint64(64))).view(np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(at.T.ravel()), pa.array(np.tile((bit // np.uint64(64)).astype(np.int64), HASHES)), pa.array(np.tile(mask, HASHES))], names=["slot", "word", "mask"])
+
+    chosen = rated.join(best, "gram").where(F.col("rate") >= share * F.col("best")).select("gram", "bit").mapInArrow(place, "slot long, word long, mask long")
+    told = chosen.groupBy("slot", "word").agg(F.bit_or("mask").alias("mask")).toArrow()
+    masks = np.zeros((SLOTS, -(-len(found) // 64)), np.int64)
+    masks[told["slot"].to_numpy(), told["word"].to_numpy()] = told["mask"].to_numpy()
+    return Filters(tuple(found), masks.astype("<i8").tobytes())
 
 
 class Predictor:
@@ -166,8 +187,11 @@ class Predictor:
 def predict(docs: DataFrame, filters: Filters) -> DataFrame:
     """One row per document with the columns of ``PREDICTIONS``; score is the corrected share of n-grams."""
 
+    # Broadcast: masks of a fixed number of slots.
+    shared = docs.sparkSession.sparkContext.broadcast(filters)
+
     def predicted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        predictor = remembered(("langid", filters), lambda: Predictor(filters))
+        predictor = remembered(("langid", shared.value), lambda: Predictor(shared.value))
         for batch in batches:
             out = [predictor(t.as_py()) for t in batch.column(1)]
             x, s = zip(*out, strict=True) if out else ((), ())
