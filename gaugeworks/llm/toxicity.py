@@ -6,8 +6,8 @@ score is the noisy-or of its sentences and of a leak that takes up label noise:
 1 - (1 - leak) * prod(1 - p).  Weights are fitted from document labels alone by full-batch Adam on
 that likelihood, over words that enough documents use between neighbours not seen before, so
 copies of one text teach no more than one of them, and whose share of toxic documents is far
-from the base rate.  Training uses a bounded sample of labelled rows (``max_documents``), scoring reads
-every whole text.
+from the base rate.  Training uses a bounded sample of labelled rows: the first ``max_documents`` in the order of a hash,
+as far as their whole texts have ``max_chars`` together.  Scoring reads every whole text; spans are places in the text as it is.
 
 Defined results: null or empty texts have no sentences and score the leak; repeated rows get equal
 scores; null ids are scored and never trained on; labels with several values for one id count as
@@ -25,14 +25,12 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import remembered
 
-#: Longer words are known by their beginning.
-MAX_WORD = 40
-CACHE_WORDS = 300_000
+CACHE_WORDS = 200_000
 SENTENCE = re.compile(r"[^.!?\n]+")
 WORD = re.compile(r"[^\W\d_]+")
 SCORES = "doc_id long, score double, predicted int, n_sentences int, n_toxic int, worst_start int, worst_end int, worst_score double"
@@ -40,7 +38,7 @@ SCORES = "doc_id long, score double, predicted int, n_sentences int, n_toxic int
 
 def traits(word: str) -> list[str]:
     """The features of a word: itself and its beginnings, so that unseen endings are known too."""
-    return [word[:MAX_WORD] + " ", *(word[:n] for n in range(4, min(8, len(word)) + 1))]
+    return [word + " ", *(word[:n] for n in range(4, min(8, len(word)) + 1))]
 
 
 @dataclass(frozen=True)
@@ -70,16 +68,23 @@ class WordScores(dict):
 
 
 def sentence_words(text: str) -> list[list[str]]:
-    return [w for s in SENTENCE.findall(text.lower()) if (w := WORD.findall(s))]
+    return [w for s in SENTENCE.findall(text) if (w := WORD.findall(s.lower()))]
 
 
-def train(docs: DataFrame, labels: DataFrame, usable: Column | None = None, max_documents: int = 6000, min_documents: int = 5, steps: int = 120) -> Model:
-    """Fit on at most ``max_documents`` labelled documents, chosen by a hash of their ids."""
+def train(docs: DataFrame, labels: DataFrame, usable: Column | None = None, max_documents: int = 6000, max_chars: int = 60_000_000, min_documents: int = 5, steps: int = 120) -> Model:
+    """Fit on at most ``max_documents`` labelled documents of ``max_chars`` together, chosen by a hash of their ids."""
     known = labels.where("doc_id is not null and toxic is not null")
     known = (known.where(usable) if usable is not None else known).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     chosen = known.orderBy(F.xxhash64(F.col("doc_id"), F.lit(7)), "doc_id").limit(max_documents)
     # Broadcast: max_documents rows at most.
     rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").where("text is not null")
+    # A running sum over the chosen rows only; repeated ids bring all their rows.
+    upto = Window.orderBy(F.xxhash64(F.col("doc_id"), F.lit(7)), "doc_id", "n", "h").rowsBetween(Window.unboundedPreceding, 0)
+    sizes = rows.select("doc_id", F.length("text").cast("long").alias("n"), F.xxhash64("text").alias("h"))
+    last = sizes.withColumn("upto", F.sum("n").over(upto)).agg(F.max("upto")).first()[0] or 0
+    if last > max_chars:
+        within = sizes.withColumn("upto", F.sum("n").over(upto)).where(F.col("upto") <= max_chars).select("doc_id", "h").distinct()
+        rows = rows.withColumn("h", F.xxhash64("text")).join(F.broadcast(within), ["doc_id", "h"], "left_semi")
 
     def bags(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -101,7 +106,7 @@ def _indexed(bags: list[str]) -> tuple[list[str], np.ndarray, np.ndarray, np.nda
         for line in lines:
             words = line.split()
             lengths.append(len(words))
-            word.extend([ids.setdefault(w[:MAX_WORD], len(ids)) for w in words])
+            word.extend([ids.setdefault(w, len(ids)) for w in words])
     sentence = np.repeat(np.arange(len(lengths), dtype=np.int32), lengths)
     doc = np.repeat(np.arange(len(bags), dtype=np.int32), sentences)[sentence] if lengths else np.zeros(0, np.int32)
     return list(ids), np.frombuffer(word, np.int32) if word else np.zeros(0, np.int32), doc, sentence
@@ -198,9 +203,8 @@ def score_text(text: str | None, model: Model, words_of: WordScores) -> tuple[fl
     """
     z_of, prior, clear, n, toxic, worst = words_of.__getitem__, model.prior, math.log1p(-model.leak), 0, 0, (None, None, None)
     quiet = math.log1p(-1 / (1 + math.exp(-prior)))
-    low = (text or "").lower()
-    for s in SENTENCE.finditer(low):
-        words = set(WORD.findall(s.group()))
+    for s in SENTENCE.finditer(text or ""):
+        words = set(WORD.findall(s.group().lower()))
         if not words:
             continue
         n += 1
