@@ -11,7 +11,8 @@ back restores them exactly.  The loss mask covers the escaped text of assistant
 conversation comes as ``pieces``, whose concatenation it is, each under the mask or not.
 
 Defined results: null texts and roles count as empty; a null conversation id is a conversation of
-its own; repeated rows are turns of their own; a parent that is missing makes its child a root;
+its own; repeated rows of a conversation are turns of their own.  Of messages that repeat a node id in a tree, or have
+none, each is a node: the first by parent, role, text and score answers to the id, the others are leaves beside it.  A parent that is missing makes its child a root;
 nodes on a cycle belong to no path; an empty table gives no rows; extra columns are ignored.
 """
 
@@ -23,7 +24,7 @@ from pyspark.sql import functions as F
 from .common import checkpointed
 
 TURN, TEXT, END = "<|turn|>", "<|text|>", "<|end|>"
-NO_ID = -(2**63)
+KEY = ["conv", "lost"]
 
 
 def escape(c: Column) -> Column:
@@ -41,44 +42,59 @@ def thread(conversations: DataFrame) -> DataFrame:
     return out.select("conv_id", "node", F.when(F.col("node") > 1, F.col("node") - 1).alias("parent"), "role", "text", F.lit(0.0).alias("score"))
 
 
-def branches(messages: DataFrame, top: int | None = None) -> DataFrame:
-    """(conv, leaf, branch, branch_score, node, depth): the nodes of the best ``top`` paths of each tree, or of all."""
-    nodes = messages.select(F.coalesce("conv_id", F.lit(NO_ID)).alias("conv"), "node", "parent", F.coalesce("score", F.lit(0.0)).alias("score"))
-    nodes = checkpointed(nodes.dropDuplicates(["conv", "node"]))
-    known = nodes.select("conv", F.col("node").alias("parent"), F.lit(True).alias("there"))
-    state = nodes.join(known, ["conv", "parent"], "left").select("conv", "node", F.when(F.col("there"), F.col("parent")).alias("up"), F.col("score").alias("total"), F.lit(1).cast("long").alias("length"))
+def _nodes(messages: DataFrame) -> DataFrame:
+    """(conv, lost, at, up, node, role, text, score): messages with a key of their own and that of their parent.
+
+    ``lost`` marks the conversation without an id, whose conv is the type's zero; the first message of a node id has number 1.
+    """
+    kind = messages.schema["conv_id"].dataType
+    conv = F.coalesce("conv_id", F.lit("0").cast(kind))
+    rows = messages.select(
+        conv.alias("conv"), F.col("conv_id").isNull().alias("lost"), "node", "parent", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"), F.coalesce("score", F.lit(0.0)).alias("score")
+    )
+    copy = F.row_number().over(Window.partitionBy(*KEY, "node").orderBy("parent", "role", "text", "score"))
+    named = lambda c, n: F.concat_ws(":", c.cast("string"), n.cast("string"))
+    at = F.when(F.col("node").isNull(), F.concat(F.lit("~"), F.col("copy").cast("string"))).otherwise(named(F.col("node"), F.col("copy")))
+    up = F.when(F.col("parent").isNotNull(), named(F.col("parent"), F.lit(1)))
+    return rows.withColumn("copy", copy).select(*KEY, at.alias("at"), up.alias("up"), "node", "role", "text", "score")
+
+
+def branches(nodes: DataFrame, top: int | None = None) -> DataFrame:
+    """(conv, lost, leaf, branch, branch_score, at, depth): the nodes of the best ``top`` paths of each tree of ``_nodes``, or of all."""
+    known = nodes.select(*KEY, F.col("at").alias("up"), F.lit(True).alias("there"))
+    state = nodes.join(known, [*KEY, "up"], "left").select(*KEY, "at", F.when(F.col("there"), F.col("up")).alias("up"), F.col("score").alias("total"), F.lit(1).cast("long").alias("length"))
     state = checkpointed(state)
-    leaves = state.select("conv", "node").join(state.select("conv", F.col("up").alias("node")).where("node is not null"), ["conv", "node"], "left_anti")
-    ended, jumps, rounds = state.where("up is null"), [], max(1, nodes.count()).bit_length()
+    leaves = nodes.select(*KEY, "at", "node").join(state.select(*KEY, F.col("up").alias("at")).where("at is not null"), [*KEY, "at"], "left_anti")
+    ended, jumps, rounds = state.where("up is null"), [], max(1, state.count()).bit_length()
     # Each round moves only the nodes whose pointer is not at a root yet, within their trees.
     while len(jumps) <= rounds and not (moving := state.where("up is not null")).isEmpty():
-        jumps.append(moving.select("conv", "node", "up"))
-        trees = state.join(moving.select("conv").distinct(), "conv", "left_semi")
-        above = trees.select("conv", F.col("node").alias("up"), F.col("up").alias("next"), F.col("total").alias("more"), F.col("length").alias("steps"))
-        moved = moving.join(above, ["conv", "up"], "left").select("conv", "node", F.col("next").alias("up"), (F.col("total") + F.coalesce("more", F.lit(0.0))).alias("total"), (F.col("length") + F.coalesce("steps", F.lit(0))).alias("length"))
+        jumps.append(moving.select(*KEY, "at", "up"))
+        trees = state.join(moving.select(*KEY).distinct(), KEY, "left_semi")
+        above = trees.select(*KEY, F.col("at").alias("up"), F.col("up").alias("next"), F.col("total").alias("more"), F.col("length").alias("steps"))
+        moved = moving.join(above, [*KEY, "up"], "left").select(*KEY, "at", F.col("next").alias("up"), (F.col("total") + F.coalesce("more", F.lit(0.0))).alias("total"), (F.col("length") + F.coalesce("steps", F.lit(0))).alias("length"))
         moved = checkpointed(moved)
         ended = ended.unionByName(moved.where("up is null"))
         state = checkpointed(trees.where("up is null").unionByName(moved))
     score = (F.col("total") / F.col("length")).alias("branch_score")
-    rank = F.row_number().over(Window.partitionBy("conv").orderBy(F.desc("branch_score"), "node")).alias("branch")
-    chosen = leaves.join(ended, ["conv", "node"]).select("conv", "node", score).select("conv", "node", "branch_score", rank)
+    rank = F.row_number().over(Window.partitionBy(*KEY).orderBy(F.desc("branch_score"), "node", "at")).alias("branch")
+    chosen = leaves.join(ended, [*KEY, "at"]).select(*KEY, "at", "node", score).select(*KEY, "at", "branch_score", rank)
     chosen = chosen.where(F.col("branch") <= top) if top is not None else chosen
-    paths = checkpointed(chosen.select("conv", F.col("node").alias("leaf"), "branch", "branch_score", "node", F.lit(0).cast("long").alias("depth")))
+    paths = checkpointed(chosen.select(*KEY, F.col("at").alias("leaf"), "branch", "branch_score", "at", F.lit(0).cast("long").alias("depth")))
     for i, jump in enumerate(jumps):
-        further = paths.join(jump, ["conv", "node"]).select("conv", "leaf", "branch", "branch_score", F.col("up").alias("node"), (F.col("depth") + 2**i).alias("depth"))
+        further = paths.join(jump, [*KEY, "at"]).select(*KEY, "leaf", "branch", "branch_score", F.col("up").alias("at"), (F.col("depth") + 2**i).alias("depth"))
         paths = checkpointed(paths.unionByName(further))
     return paths
 
 
 def format_conversations(messages: DataFrame, top: int | None = None) -> DataFrame:
     """(conv_id, branch, branch_score, formatted, pieces), one row for each chosen path."""
-    paths = branches(messages, top)
-    said = messages.select(F.coalesce("conv_id", F.lit(NO_ID)).alias("conv"), "node", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text")).dropDuplicates(["conv", "node"])
+    nodes = _nodes(messages)
+    paths = branches(checkpointed(nodes.select(*KEY, "at", "up", "node", "score")), top)
     turn = F.struct((-F.col("depth")).alias("at"), escape(F.col("role")).alias("role"), escape(F.col("text")).alias("text"), (F.col("role") == "assistant").alias("loss"))
-    whole = paths.join(said, ["conv", "node"]).groupBy("conv", "leaf", "branch", "branch_score").agg(F.sort_array(F.collect_list(turn)).alias("turns"))
+    whole = paths.join(nodes.select(*KEY, "at", "role", "text"), [*KEY, "at"]).groupBy(*KEY, "leaf", "branch", "branch_score").agg(F.sort_array(F.collect_list(turn)).alias("turns"))
     piece = lambda text, loss: F.struct(text.alias("piece"), loss.alias("loss"))
     pieces = F.flatten(F.transform("turns", lambda t: F.array(piece(F.concat(F.lit(TURN), t["role"], F.lit(TEXT)), F.lit(False)), piece(t["text"], t["loss"]), piece(F.lit(END), F.lit(False)))))
-    out = whole.select(F.when(F.col("conv") != NO_ID, F.col("conv")).alias("conv_id"), "branch", "branch_score", pieces.alias("pieces"))
+    out = whole.select(F.when(~F.col("lost"), F.col("conv")).alias("conv_id"), "branch", "branch_score", pieces.alias("pieces"))
     return out.select("conv_id", "branch", "branch_score", F.array_join(F.transform("pieces", lambda p: p["piece"]), "").alias("formatted"), "pieces")
 
 
