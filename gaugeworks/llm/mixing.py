@@ -6,7 +6,7 @@ Budgets scale the weights so that the source repeated least is read exactly once
 out.  Each source is then read in passes; a pass is a permutation of blocks of about ``BLOCK_DOCS``
 documents, permuted inside too, and the last pass stops at the budget.
 
-Per-source totals are collected (one row a source).  Running totals are taken over blocks in two
+Tokens are ids of a tokenizer where its path is given, else words.  Per-source totals are collected (one row a source).  Running totals are taken over blocks in two
 levels, so no task holds a whole source.
 
 Defined results: a null source is the source ''; null or empty texts have no tokens and are read in
@@ -23,6 +23,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import checkpointed
+from .packing import token_counts
 
 BLOCK_DOCS, BLOCKS_TOGETHER = 256, 1024
 
@@ -115,20 +116,28 @@ def draw(docs: DataFrame, shares: dict[str, Share], seed: int = 17) -> DataFrame
     return read.select("doc_key", "doc_id", "source", F.col("pass").cast("int").alias("pass"), "token_start", "tokens")
 
 
-def mix(docs: DataFrame, max_repeats: float | None = 4.0, target_entropy: float | None = None, seed: int = 17) -> DataFrame:
+def counted(docs: DataFrame, tokenizer_path: str | None) -> DataFrame:
+    """(doc_key, doc_id, source, tokens) of each row of ``docs``."""
+    keyed = with_key(docs)
+    if tokenizer_path is None:
+        return checkpointed(keyed.select("doc_key", "doc_id", F.col("source_key").alias("source"), "tokens"))
+    return checkpointed(token_counts(keyed.select("doc_key", "doc_id", F.col("source_key").alias("source"), F.col("text").cast("string").alias("text")), tokenizer_path))
+
+
+def mix(docs: DataFrame, max_repeats: float | None = 4.0, target_entropy: float | None = None, seed: int = 17, tokenizer_path: str | None = None) -> DataFrame:
     """Every reading of the documents (doc_id, source, text) under the mixture, as ``draw`` returns it."""
-    keyed = checkpointed(with_key(docs).select("doc_key", "doc_id", F.col("source_key").alias("source"), "tokens"))
-    return draw(keyed, plan(keyed, max_repeats, target_entropy), seed)
+    narrow = counted(docs, tokenizer_path)
+    return draw(narrow, plan(narrow, max_repeats, target_entropy), seed)
 
 
-def apply(docs: DataFrame, max_repeats: float | None = 4.0, target_entropy: float | None = None, seed: int = 17) -> DataFrame:
+def apply(docs: DataFrame, max_repeats: float | None = 4.0, target_entropy: float | None = None, seed: int = 17, tokenizer_path: str | None = None) -> DataFrame:
     """``docs`` with every row repeated as often as the mixture reads it; the columns stay.
 
     Rows alike in id, source and text are repeated alike.
     """
-    keyed = with_key(docs)
-    narrow = checkpointed(keyed.select("doc_key", "doc_id", F.col("source_key").alias("source"), "tokens"))
+    narrow = counted(docs, tokenizer_path)
     shares = plan(narrow, max_repeats, target_entropy)
-    times = draw(narrow, shares, seed).select("doc_key", "pass").distinct().groupBy("doc_key").agg(F.count("*").cast("int").alias("times"))
-    whole = keyed.join(times, "doc_key").withColumn("__pass", F.explode(F.sequence(F.lit(1), F.col("times"))))
-    return whole.select(docs.columns)
+    times = draw(narrow, shares, seed).select("doc_key", "doc_id", "pass").distinct().groupBy("doc_key", F.col("doc_id").alias("id")).agg(F.count("*").cast("int").alias("times"))
+    same = (F.col("k.doc_key") == F.col("t.doc_key")) & F.col("k.doc_id").eqNullSafe(F.col("t.id"))
+    whole = with_key(docs).alias("k").join(times.alias("t"), same).withColumn("__pass", F.explode(F.sequence(F.lit(1), F.col("times"))))
+    return whole.select(*(F.col(f"k.`{c}`") for c in docs.columns))

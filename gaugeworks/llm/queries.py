@@ -56,7 +56,7 @@ def op7_vp_tree_search(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mixing.mix(table(spark, sf_dir, "documents")).select("doc_id", "source", "pass", "token_start", "tokens")
+    return mixing.mix(table(spark, sf_dir, "documents"), tokenizer_path=tokenizer_path()).select("doc_id", "source", "pass", "token_start", "tokens")
 
 
 def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
