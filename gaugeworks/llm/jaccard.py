@@ -50,9 +50,10 @@ def _mixed(h: np.ndarray) -> np.ndarray:
 
 
 def _shingled(w: np.ndarray, width: int) -> np.ndarray:
-    h = np.full(max(0, len(w) - width + 1), width, np.uint64)
+    n = max(0, len(w) - width + 1)
+    h = np.full(n, width, np.uint64)
     for i in range(width):
-        h = _mixed(h * _MIX + w[i : len(w) - width + 1 + i])
+        h = _mixed(h * _MIX + w[i : i + n])
     return h
 
 
@@ -271,12 +272,12 @@ def components(docs: DataFrame, n: int = 3, num: int = 9, den: int = 10) -> Data
 
 def with_class(docs: DataFrame, n: int) -> DataFrame:
     """``docs`` with the 128-bit key of each text's set as ``__class``; null for the empty set."""
-    at = docs.columns.index("text")
+    at, names = docs.columns.index("text"), [*docs.columns, "__class"]
 
     def tag(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             keys = pa.array([set_class(h) for h in shingle_sets(batch.column(at), n)], pa.binary())
-            yield pa.RecordBatch.from_arrays([*batch.columns, keys], names=[*docs.columns, "__class"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, keys], names=names)
 
     return docs.mapInArrow(tag, T.StructType([*docs.schema.fields, T.StructField("__class", T.BinaryType())]))
 

@@ -239,14 +239,14 @@ def _encoder(path: str) -> BatchEncoder:
 
 def token_counts(rows: DataFrame, tokenizer_path: str, text_col: str = "text", count_col: str = "tokens") -> DataFrame:
     """``rows`` with ``text_col`` replaced by its number of ids, without the end id, as ``count_col``."""
-    names = [count_col if c == text_col else c for c in rows.columns]
+    at, names = rows.columns.index(text_col), [count_col if c == text_col else c for c in rows.columns]
     kind = T.StructType([T.StructField(count_col, T.LongType()) if f.name == text_col else f for f in rows.schema.fields])
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = _encoder(tokenizer_path)
         for batch in batches:
-            n = pa.array([len(ids) for ids in encode(batch.column(rows.columns.index(text_col)))], pa.int64())
-            yield pa.RecordBatch.from_arrays([n if c == count_col else batch.column(k) for k, c in enumerate(names)], names=names)
+            n = pa.array([len(ids) for ids in encode(batch.column(at))], pa.int64())
+            yield pa.RecordBatch.from_arrays([n if k == at else batch.column(k) for k in range(len(names))], names=names)
 
     return rows.mapInArrow(count, kind)
 
