@@ -143,14 +143,21 @@ def _frequent(sketches: DataFrame) -> DataFrame:
     return sketches.repartition((1 << SKETCH_BITS) // CHUNK_BUCKETS, "id").mapInArrow(add, "bucket long, n long")
 
 
+def _slices(batches: Iterator[pa.RecordBatch], rows: int) -> Iterator[pa.RecordBatch]:
+    """Parts of ``batches`` that bound what is put out at once."""
+    for batch in batches:
+        for at in range(0, len(batch), rows):
+            yield batch.slice(at, rows)
+
+
 def _prefixes(docs: DataFrame, n: int, num: int, den: int, order: Broadcast) -> DataFrame:
     """(s, class, place) for the prefix of each set; place holds position and size, position foremost."""
 
     def prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         levels, seen = _levels(order.value), set()
-        for batch in batches:
+        for part in _slices(batches, 1024):
             s, c, p = [np.zeros(0, np.int64)], [], [np.zeros(0, np.int64)]
-            for h in shingle_sets(batch.column(1), n):
+            for h in shingle_sets(part.column(1), n):
                 if _fresh(seen, key := set_class(h)):
                     first = ordered(h, levels)[0][: prefix_length(len(h), num, den)]
                     s.append(first.view(np.int64))
@@ -167,17 +174,16 @@ def _segments(docs: DataFrame, n: int, order: Broadcast) -> DataFrame:
     def segments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         levels, seen = _levels(order.value), set()
         types = (pa.binary(), pa.int32(), pa.int64(), pa.list_(pa.int64()))
-        for batch in batches:
-            for at in range(0, len(batch), 256):
-                rows = []
-                for h in shingle_sets(batch.column(1).slice(at, 256), n):
-                    if not _fresh(seen, key := set_class(h)):
-                        continue
-                    at_, level = ordered(h, levels)
-                    fragment = np.where(level > 0, FRAGMENTS - 1, (at_ >> np.uint64(32)).astype(np.int64) * (FRAGMENTS - 1) >> 32)
-                    rows += [(key, int(f), len(h), at_[fragment == f].view(np.int64)) for f in np.unique(fragment)]
-                columns = zip(*rows, strict=True) if rows else [()] * 4
-                yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(columns, types, strict=True)], names=["class", "fragment", "size", "segment"])
+        for part in _slices(batches, 256):
+            rows = []
+            for h in shingle_sets(part.column(1), n):
+                if not _fresh(seen, key := set_class(h)):
+                    continue
+                at, level = ordered(h, levels)
+                fragment = np.where(level > 0, FRAGMENTS - 1, (at >> np.uint64(32)).astype(np.int64) * (FRAGMENTS - 1) >> 32)
+                rows += [(key, int(f), len(h), at[fragment == f].view(np.int64)) for f in np.unique(fragment)]
+            columns = zip(*rows, strict=True) if rows else [()] * 4
+            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(columns, types, strict=True)], names=["class", "fragment", "size", "segment"])
 
     return docs.mapInArrow(segments, "class binary, fragment int, size long, segment array<long>")
 
