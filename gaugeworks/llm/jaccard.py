@@ -34,7 +34,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import checkpointed, remembered
+from .common import checkpointed, lean, remembered, text_batches
 from .components import connected_components
 from .segments import BLANK, Cutter, cuts, groups, texts, words
 
@@ -124,7 +124,7 @@ def _scan(docs: DataFrame, n: int) -> DataFrame:
             if c.any():
                 yield pa.RecordBatch.from_arrays([pa.array([1], pa.int32()), pa.array([k], pa.int64()), pa.nulls(1, pa.int64()), pa.nulls(1, pa.binary()), pa.array([zlib.compress(c.tobytes(), 1)], pa.binary())], names=schema)
 
-    return docs.mapInArrow(scan, "kind int, id long, size long, class binary, counts binary")
+    return text_batches(docs).mapInArrow(lean(scan), "kind int, id long, size long, class binary, counts binary")
 
 
 def _frequent(sketches: DataFrame) -> DataFrame:
@@ -140,7 +140,7 @@ def _frequent(sketches: DataFrame) -> DataFrame:
             often = np.nonzero(own > own.mean() + 3 * np.sqrt(own.mean()) + 2)[0]
             yield pa.RecordBatch.from_arrays([pa.array(often + chunk * CHUNK_BUCKETS), pa.array(own[often])], names=["bucket", "n"])
 
-    return sketches.repartition((1 << SKETCH_BITS) // CHUNK_BUCKETS, "id").mapInArrow(add, "bucket long, n long")
+    return sketches.repartition((1 << SKETCH_BITS) // CHUNK_BUCKETS, "id").mapInArrow(lean(add), "bucket long, n long")
 
 
 def _slices(batches: Iterator[pa.RecordBatch], rows: int) -> Iterator[pa.RecordBatch]:
@@ -165,7 +165,7 @@ def _prefixes(docs: DataFrame, n: int, num: int, den: int, order: Broadcast) ->
                     p.append((np.arange(len(first)) << 32) + len(h))
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(s)), pa.array(c, pa.binary()), pa.array(np.concatenate(p))], names=["s", "class", "place"])
 
-    return docs.mapInArrow(prefixes, "s long, class binary, place long")
+    return text_batches(docs).mapInArrow(lean(prefixes), "s long, class binary, place long")
 
 
 def _segments(docs: DataFrame, n: int, order: Broadcast) -> DataFrame:
@@ -185,7 +185,7 @@ def _segments(docs: DataFrame, n: int, order: Broadcast) -> DataFrame:
             columns = zip(*rows, strict=True) if rows else [()] * 4
             yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(columns, types, strict=True)], names=["class", "fragment", "size", "segment"])
 
-    return docs.mapInArrow(segments, "class binary, fragment int, size long, segment array<long>")
+    return text_batches(docs).mapInArrow(lean(segments), "class binary, fragment int, size long, segment array<long>")
 
 
 def _null_safe(left: DataFrame, right: DataFrame, columns: list[str], how: str) -> DataFrame:
@@ -285,7 +285,7 @@ def with_class(docs: DataFrame, n: int) -> DataFrame:
             keys = pa.array([set_class(h) for h in shingle_sets(batch.column(at), n)], pa.binary())
             yield pa.RecordBatch.from_arrays([*batch.columns, keys], names=names)
 
-    return docs.mapInArrow(tag, T.StructType([*docs.schema.fields, T.StructField("__class", T.BinaryType())]))
+    return text_batches(docs).mapInArrow(lean(tag), T.StructType([*docs.schema.fields, T.StructField("__class", T.BinaryType())]))
 
 
 def keep_first(docs: DataFrame, n: int = 5, num: int = 4, den: int = 5) -> DataFrame:

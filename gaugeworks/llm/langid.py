@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import checkpointed, remembered
+from .common import checkpointed, lean, remembered, text_batches
 
 WORD = re.compile(r"[^\W\d_]+")
 ORDERS = (2, 3, 4)
@@ -110,7 +110,7 @@ def train(docs: DataFrame, usable: Column | None = None, per_language: int = 150
             g, n = zip(*own.items(), strict=True) if own else ((), ())
             yield pa.RecordBatch.from_arrays([pa.array([lang] * (len(g) + 1), pa.string()), pa.array([*g, ""], pa.string()), pa.array([*n, held[lang]], pa.int64())], names=["lang", "gram", "n"])
 
-    grams = checkpointed(sample(rows, per_language).mapInArrow(count, "lang string, gram string, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n")))
+    grams = checkpointed(sample(rows, per_language).mapInArrow(lean(count), "lang string, gram string, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n")))
     kept = grams.where((F.col("gram") != "") & (F.col("n") >= min_count))
     total = kept.groupBy("lang").agg(F.sum("n").alias("total"))
     documents = grams.where("gram = ''").select("lang", F.col("n").alias("documents"))
@@ -197,4 +197,4 @@ def predict(docs: DataFrame, filters: Filters) -> DataFrame:
             x, s = zip(*out, strict=True) if out else ((), ())
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(x, pa.string()), pa.array(s, pa.float64())], names=["doc_id", "lang_pred", "score"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(predicted, PREDICTIONS)
+    return text_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(lean(predicted), PREDICTIONS)

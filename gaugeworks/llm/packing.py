@@ -24,12 +24,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import checkpointed, remembered
+from .common import checkpointed, lean, remembered, text_batches
 from .segments import BLANK, Cutter, Words, cuts, groups, texts, words
 
 SHARD_PIECES = 50_000
-#: Words whose ids a worker remembers; the table takes about 60 MB when full.
-ENTRIES = 1 << 20
+#: Words whose ids a worker remembers; the table takes about 30 MB when full.
+ENTRIES = 1 << 19
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
 
@@ -248,7 +248,7 @@ def token_counts(rows: DataFrame, tokenizer_path: str, text_col: str = "text", c
             n = pa.array([len(ids) for ids in encode(batch.column(at))], pa.int64())
             yield pa.RecordBatch.from_arrays([n if k == at else batch.column(k) for k in range(len(names))], names=names)
 
-    return rows.mapInArrow(count, kind)
+    return text_batches(rows).mapInArrow(lean(count), kind)
 
 
 def token_pieces(docs: DataFrame, tokenizer_path: str, max_tokens: int = 2048, end_id: int = 0) -> DataFrame:
@@ -265,7 +265,7 @@ def token_pieces(docs: DataFrame, tokenizer_path: str, max_tokens: int = 2048, e
             types = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64())
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names=["doc_id", "piece", "start", "length", "ids_crc32"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(pieces, PIECES)
+    return text_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(lean(pieces), PIECES)
 
 
 def pack(pieces: DataFrame, capacity: int = 2048) -> DataFrame:

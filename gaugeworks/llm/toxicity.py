@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import remembered
+from .common import lean, release, remembered, text_batches
 
 CACHE_WORDS = 200_000
 SENTENCE = re.compile(r"[^.!?\n]+")
@@ -92,8 +92,10 @@ def train(docs: DataFrame, labels: DataFrame, usable: Column | None = None, max_
             y, bag = zip(*got, strict=True) if got else ((), ())
             yield pa.RecordBatch.from_arrays([pa.array(y, pa.int32()), pa.array(bag, pa.string())], names=["toxic", "bag"])
 
-    found = rows.select("text", F.col("toxic").cast("int").alias("toxic")).mapInArrow(bags, "toxic int, bag string").distinct().toArrow()
-    return fit(sorted(zip(found["bag"].to_pylist(), found["toxic"].to_pylist(), strict=True)), min_documents, steps=steps)
+    found = text_batches(rows).select("text", F.col("toxic").cast("int").alias("toxic")).mapInArrow(lean(bags), "toxic int, bag string").distinct().toArrow()
+    model = fit(sorted(zip(found["bag"].to_pylist(), found["toxic"].to_pylist(), strict=True)), min_documents, steps=steps)
+    release()
+    return model
 
 
 def _indexed(bags: list[str]) -> tuple[list[str], np.ndarray, np.ndarray, np.ndarray]:
@@ -232,7 +234,7 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
             columns = zip(*out, strict=True) if out else [()] * 8
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names=names)
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(scored, SCORES)
+    return text_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(lean(scored), SCORES)
 
 
 def keep_clean(docs: DataFrame, model: Model) -> DataFrame:
@@ -244,4 +246,4 @@ def keep_clean(docs: DataFrame, model: Model) -> DataFrame:
             texts = batch.column(batch.schema.get_field_index("text"))
             yield batch.filter(pa.array([score_text(t.as_py(), model, words_of)[0] < 0.5 for t in texts], pa.bool_()))
 
-    return docs.mapInArrow(clean, docs.schema)
+    return text_batches(docs).mapInArrow(lean(clean), docs.schema)
