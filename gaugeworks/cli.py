@@ -39,9 +39,9 @@ def run(spark: SparkSession, argv: list[str]) -> tuple[int, list[dict]]:
 
     args = parser().parse_args(argv)
     if args.command == "report":
-        rows = readers.read_predictions(spark, args.run)
+        rows = readers.read_predictions(spark, args.run, keep_order=True)
         scores = scoring.score_predictions(rows)
-        overall = report.run_report(rows.withColumn("ord", F.col("item_id"))).select("run_id", "system_id", "context_mode", "n", "mean", "ci95_low", "ci95_high", "n_pending_judge", "notes")
+        overall = report.run_report(rows, include_errors=not args.exclude_errors).select("run_id", "system_id", "context_mode", "n", "mean", "ci95_low", "ci95_high", "n_pending_judge", "notes")
         axes = scoring.breakdown(scores, "axis", include_errors=not args.exclude_errors).orderBy("axis")
         out = [r.asDict() for r in overall.collect()] + [r.asDict() for r in axes.collect()]
         if args.out:

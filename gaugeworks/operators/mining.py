@@ -61,7 +61,7 @@ def mine_environment(built: DataFrame, cap: int = 4) -> DataFrame:
     """Questions of each environment from buildable moves (env_id, ord, scan, subject, gold, displacement).
 
     Moves are taken by falling displacement, one question for each subject; a question whose mirror
-    (same scan, gold and subject exchanged) was asked is left out; at most ``cap`` an environment.
+    (same scan, gold and subject exchanged) was asked is left out, labels compared in lower case; at most ``cap`` an environment.
     The fold is sequential, over the few moves of one environment.
     """
 
@@ -71,13 +71,11 @@ def mine_environment(built: DataFrame, cap: int = 4) -> DataFrame:
         for i, r in enumerate(pdf.itertuples(index=False)):
             if len(keep) >= cap:
                 break
-            if r.subject in subjects:
-                continue
-            if (r.scan, r.gold, r.subject) in asked:
-                continue
-            subjects.add(r.subject)
-            asked.add((r.scan, r.subject, r.gold))
-            keep.append(i)
+            subject, gold = r.subject.lower(), r.gold.lower()
+            if subject not in subjects and (r.scan, gold, subject) not in asked:
+                subjects.add(subject)
+                asked.add((r.scan, subject, gold))
+                keep.append(i)
         return pdf.iloc[keep]
 
     rows = built.where(usable(F.col("subject")) & usable(F.col("gold")))

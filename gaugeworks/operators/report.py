@@ -31,14 +31,61 @@ def notes(pending: Column, contested: Column, memory: Column, records: Column, b
     )
 
 
-def run_report(predictions: DataFrame, order: str = "ord", judged: DataFrame | None = None) -> DataFrame:
+def assemble(header: DataFrame, scores: DataFrame, env_runs: DataFrame, order: str = "ord", include_errors: bool = True) -> DataFrame:
+    """``header`` (one row) beside the overall breakdown of ``scores``, ingest evidence and notes."""
+    out = header.crossJoin(scoring.breakdown(scores, include_errors=include_errors)).crossJoin(ingest_evidence(env_runs, order))  # one row each
+    return out.withColumn("notes", notes(F.col("n_pending_judge"), F.col("revocation_contested"), F.col("context_mode") == "memory", F.col("n_records"), F.col("sessions_without_frames")))
+
+
+def run_report(predictions: DataFrame, order: str = "ord", judged: DataFrame | None = None, include_errors: bool = True) -> DataFrame:
     """One row: header of the first prediction, overall breakdown, ingest evidence and notes."""
-    scores = scoring.breakdown(scoring.score_predictions(predictions, judged))
     first = predictions.orderBy(order).limit(1).select("run_id", F.col("system.system_id").alias("system_id"), F.col("system.context_mode").alias("context_mode"))
     flags = predictions.agg(F.coalesce(F.bool_or("env_run.revocation_contested"), F.lit(False)).alias("revocation_contested"))
-    ingest = ingest_evidence(predictions.where("env_run is not null").select("env_run.*", order), order)
-    out = first.crossJoin(flags).crossJoin(scores).crossJoin(ingest)  # one row each
-    return out.withColumn("notes", notes(F.col("n_pending_judge"), F.col("revocation_contested"), F.col("context_mode") == "memory", F.col("n_records"), F.col("sessions_without_frames")))
+    env_runs = predictions.where("env_run is not null").select("env_run.*", order)
+    return assemble(first.crossJoin(flags), scoring.score_predictions(predictions, judged), env_runs, order, include_errors)
+
+
+def run_summary(predictions: DataFrame, expected: DataFrame, order: str = "ord") -> DataFrame:
+    """One row over a controlled run's predictions, in which an item may stand only once and none may be missing.
+
+    Repetition, refusals, answers and latencies are those of rows with status ok; ingest is that of the last
+    record of each environment.  ``expected`` holds the items (item_id) of the run's plan.  Raises ValueError for a run
+    that is empty, replayed or incomplete.
+    """
+    found = predictions.groupBy("item_id").agg(F.count("*").alias("n")).join(expected.select("item_id").distinct().withColumn("due", F.lit(True)), "item_id", "full")
+    told = found.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("rows"), F.count_if(F.col("n") > 1).alias("repeated"), F.count_if(F.col("n").isNull()).alias("missing"), F.count_if(F.col("due").isNull()).alias("foreign")).first()
+    if not told["rows"]:
+        raise ValueError("the run has no predictions")
+    if told["repeated"]:
+        raise ValueError(f"{told['repeated']} item(s) stand in the run more than once")
+    if told["missing"] or told["foreign"]:
+        raise ValueError(f"{told['missing']} item(s) of the plan are missing and {told['foreign']} are not in it")
+    ok = output_diagnostics(predictions.where("status = 'ok'"), "reply")
+    output = ok.agg(
+        F.count("*").alias("n_output"), F.count_if("repetitive").alias("repeated"), F.count_if("refusal").alias("refusal"),
+        stats.linear_percentile("latency_ms", 0.5).alias("p50_ms"), stats.linear_percentile("latency_ms", 0.95).alias("p95_ms"),
+    )
+    letters = ok.groupBy("answer").agg(F.count("*").alias("n")).where("answer is not null").agg(F.map_from_entries(F.sort_array(F.collect_list(F.struct("answer", "n")))).alias("answers"))
+    some = lambda c: F.coalesce(c, F.lit(0))
+    ingest = last_wins(predictions.where("env_run is not null").select("env_id", "env_run.*", order), ["env_id"], order).agg(
+        F.count("*").alias("n_envs"), some(F.sum(some("ingest_seconds"))).alias("ingest_seconds"), some(F.sum(some("total_frames"))).alias("frames"), some(F.max(some("memory_bytes"))).alias("max_memory_bytes"),
+        F.coalesce(F.bool_or("revocation_contested"), F.lit(False)).alias("contested"), F.array_sort(F.collect_set("enforcement")).alias("enforcement"), some(F.sum(some("sessions_without_frames"))).alias("sessions_without_frames"),
+    )
+    n = predictions.agg(F.count("*").alias("n_items"))
+    return n.crossJoin(output).crossJoin(letters).crossJoin(ingest)  # one row each
+
+
+def index_percentiles(rows: DataFrame, value: str, points: dict[str, tuple[int, int]], by: list[str] | None = None) -> DataFrame:
+    """``sorted[n * num // den]`` of each group for each named (num, den), the last element at most.
+
+    From counts by value, so that no task holds all values; nulls are left out.
+    """
+    by = by or []
+    per = rows.where(F.col(value).isNotNull()).groupBy(*by, F.col(value).alias("__v")).agg(F.count("*").alias("__c"))
+    whole = Window.partitionBy(*by)
+    seen = per.withColumn("__upto", F.sum("__c").over(whole.orderBy("__v"))).withColumn("__n", F.sum("__c").over(whole))
+    at = lambda num, den: F.min(F.when(F.col("__upto") > F.least(F.floor(F.col("__n") * num / den), F.col("__n") - 1), F.col("__v")))
+    return seen.groupBy(*by).agg(*(at(*point).alias(name) for name, point in points.items()))
 
 
 def shortcut_decomposition(scores: DataFrame) -> DataFrame:

@@ -5,8 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from ..functions import stats
-from ..operators import corpus, events, geometry, mining, planning
+from ..operators import corpus, events, geometry, mining, planning, recordings, report
 from ..operators.report import attempts
 from ..sources import sinks
 from . import tables as t
@@ -61,14 +60,11 @@ def label_lookup_join(spark, sf_dir):
 
 
 def _near(spark, sf_dir):
-    """Pairs among which are each vector's two nearest others of its label, by all components.
-
-    ``_NEAR_SQL`` is older: it compares eight components in rooms of a hundredth of a label.
-    """
+    """Pairs among which are each vector's two nearest others of its label, by all components."""
     return geometry.nearest(t.read(spark, sf_dir, "embeddings"), "label", "vec_id", "embedding", 2)
 
 
-_NEAR_SQL = """p AS (SELECT vec_id, label * 100 + vec_id % 100 AS room, CAST(embedding[1:8] AS DOUBLE[]) AS v FROM embeddings),
+_NEAR_SQL = """p AS (SELECT vec_id, label AS room, CAST(embedding AS DOUBLE[]) AS v FROM embeddings),
     d AS (SELECT a.vec_id, b.vec_id AS other, list_distance(a.v, b.v) AS dist FROM p a JOIN p b ON a.room = b.room AND a.vec_id <> b.vec_id),
     r AS (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY dist, other) AS k, lead(dist) OVER (PARTITION BY vec_id ORDER BY dist, other) - dist AS margin FROM d)"""
 
@@ -93,11 +89,10 @@ def distinct_topk_distractors(spark, sf_dir):
     return geometry.distinct_distractors(pairs, "subject", "label", "gold")
 
 
-@query("""WITH p AS (SELECT vec_id, label * 100 + vec_id % 100 AS room, CAST(embedding AS DOUBLE[]) AS v FROM embeddings)
+@query("""WITH p AS (SELECT vec_id, label AS room, CAST(embedding AS DOUBLE[]) AS v FROM embeddings)
     SELECT a.vec_id, CAST(row_number() OVER (PARTITION BY a.vec_id ORDER BY round(list_cosine_similarity(a.v, b.v), 9) DESC, b.vec_id) AS INTEGER) AS rank, b.vec_id AS other_id
     FROM p a JOIN p b ON a.room = b.room AND a.vec_id <> b.vec_id QUALIFY rank <= 3""")
 def cosine_topk(spark, sf_dir):
-    """Over whole labels; its SQL is older and looks at rooms of a hundredth of a label."""
     rows = geometry.nearest(t.read(spark, sf_dir, "embeddings"), "label", "vec_id", "embedding", 3, "cos")
     ranked = rows.withColumn("rank", F.row_number().over(Window.partitionBy("vec_id").orderBy(F.desc("cos"), "other")))
     return ranked.where("rank <= 3").select("vec_id", "rank", F.col("other").alias("other_id"))
@@ -122,10 +117,9 @@ def vector_mean(spark, sf_dir):
 
 
 @query("""WITH s AS (SELECT l_orderkey * 10 + l_linenumber AS span_id, l_suppkey AS video, CAST(l_orderkey % 1000 AS DOUBLE) AS start, l_orderkey % 1000 + l_quantity AS stop FROM lineitem),
-    c AS (SELECT o_orderkey AS chunk_id, o_custkey % 100 + 1 AS video, CAST(o_orderkey % 1000 AS DOUBLE) AS start, CAST(o_orderkey % 1000 + 20 AS DOUBLE) AS stop FROM orders WHERE o_orderkey % 5 = 0)
+    c AS (SELECT o_orderkey AS chunk_id, o_custkey % 100 + 1 AS video, CAST(o_orderkey % 1000 AS DOUBLE) AS start, CAST(o_orderkey % 1000 + 20 AS DOUBLE) AS stop FROM orders)
     SELECT span_id, chunk_id, greatest(s.start, c.start) AS lo, least(s.stop, c.stop) AS hi FROM s JOIN c ON s.video = c.video AND s.start < c.stop AND c.start < s.stop AND s.stop > s.start""")
 def interval_overlap_join(spark, sf_dir):
-    """Over all orders; its SQL is older and takes a fifth of them."""
     li, o = t.read(spark, sf_dir, "lineitem"), t.read(spark, sf_dir, "orders")
     at = F.col("l_orderkey") % 1000
     spans = li.select((F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("span_id"), F.col("l_suppkey").alias("video"), at.cast("double").alias("start"), (at + F.col("l_quantity")).alias("stop"))
@@ -199,16 +193,12 @@ def relocation_candidates(spark, sf_dir):
 
 @query("SELECT l_returnflag AS flag, list_sort(list(l_quantity))[count(*) // 2 + 1] AS v FROM lineitem GROUP BY 1")
 def upper_median(spark, sf_dir):
-    return t.read(spark, sf_dir, "lineitem").groupBy(F.col("l_returnflag").alias("flag")).agg(stats.upper_median(F.collect_list("l_quantity")).alias("v"))
+    return report.index_percentiles(t.read(spark, sf_dir, "lineitem").withColumnRenamed("l_returnflag", "flag"), "l_quantity", {"v": (1, 2)}, ["flag"])
 
 
 @query("WITH l AS (SELECT list_sort(list(l_quantity)) AS q, count(*) AS n FROM lineitem) SELECT q[n // 10 + 1] AS p10, q[n // 2 + 1] AS p50, q[9 * n // 10 + 1] AS p90, q[n] AS pmax FROM l")
 def index_percentiles(spark, sf_dir):
-    """From counts by value, so that no task holds all values."""
-    per = t.read(spark, sf_dir, "lineitem").groupBy(F.col("l_quantity").alias("v")).agg(F.count("*").alias("c"))
-    seen = per.select("v", F.sum("c").over(Window.orderBy("v")).alias("upto"), F.sum("c").over(Window.partitionBy()).alias("n"))
-    at = lambda k, d: F.min(F.when(F.col("upto") > F.least(F.floor(F.col("n") * k / d), F.col("n") - 1), F.col("v")))
-    return seen.agg(at(1, 10).alias("p10"), at(1, 2).alias("p50"), at(9, 10).alias("p90"), F.max("v").alias("pmax"))
+    return report.index_percentiles(t.read(spark, sf_dir, "lineitem"), "l_quantity", {"p10": (1, 10), "p50": (1, 2), "p90": (9, 10), "pmax": (1, 1)})
 
 
 @query("WITH c AS (SELECT event_type, count(*) AS n FROM events GROUP BY 1) SELECT event_type AS best, n / CAST(sum(n) OVER () AS DOUBLE) AS share FROM c ORDER BY n DESC, event_type LIMIT 1")
@@ -228,8 +218,8 @@ def top_share(spark, sf_dir):
 
 @query("SELECT n_orders, count(*) AS n_customers FROM (SELECT count(*) AS n_orders FROM orders GROUP BY o_custkey) GROUP BY 1")
 def count_of_counts(spark, sf_dir):
-    per = t.read(spark, sf_dir, "orders").groupBy("o_custkey").agg(F.count("*").alias("n_orders"))
-    return per.groupBy("n_orders").agg(F.count("*").alias("n_customers"))
+    rows = t.read(spark, sf_dir, "orders").select(F.col("o_custkey").alias("sequence"), F.col("o_orderkey").alias("instance_id"), F.lit("dynamic").alias("motion_type"))
+    return recordings.instance_inventory(rows).select(F.col("n_dynamic").alias("n_orders"), F.col("n_sequences").alias("n_customers"))
 
 
 @query("SELECT c_acctbal AS key, min(c_mktsegment) AS value FROM customer GROUP BY 1 HAVING count(DISTINCT c_mktsegment) = 1")

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import stats, text
-from ..operators import compare, corpus, report, scoring
+from ..operators import compare, corpus, recordings, report, runs, scoring
 from ..sources.readers import key_values, last_wins, tagged_union
 from ..sources.sinks import content_hash
 from . import tables as t
@@ -199,11 +199,10 @@ def ingest_evidence(spark, sf_dir):
 @query(f"""WITH {t.SCORES_SQL}, {_INGEST_SQL}, c AS (SELECT {COUNTS_SQL} FROM scores)
     SELECT 'run-a' AS run_id, c.*, i.n_envs, i.total_frames, c.n_pending_judge > 0 AS note_pending, i.n_records = 0 AS note_no_records, i.sessions_without_frames > 0 AS note_blank FROM c, ingest i""")
 def run_report(spark, sf_dir):
-    scores, ingest = scoring.breakdown(t.scores(spark, sf_dir)), report.ingest_evidence(_env_runs(spark, sf_dir))
-    out = scores.crossJoin(ingest)  # one row each
-    notes = report.notes(F.col("n_pending_judge"), F.lit(False), F.lit(True), F.col("n_records"), F.col("sessions_without_frames"))
-    has = lambda part: F.exists(notes, lambda n: n.contains(part))
-    return out.select(F.lit("run-a").alias("run_id"), *COUNTS, "n_envs", "total_frames", has("await a judge").alias("note_pending"), has("no memory records").alias("note_no_records"), has("gave no frames").alias("note_blank"))
+    header = spark.range(1).select(F.lit("run-a").alias("run_id"), F.lit("s").alias("system_id"), F.lit("memory").alias("context_mode"), F.lit(False).alias("revocation_contested"))
+    out = report.assemble(header, t.scores(spark, sf_dir), _env_runs(spark, sf_dir))
+    has = lambda part: F.exists("notes", lambda n: n.contains(part))
+    return out.select("run_id", *COUNTS, "n_envs", "total_frames", has("await a judge").alias("note_pending"), has("no memory records").alias("note_no_records"), has("gave no frames").alias("note_blank"))
 
 
 @query("SELECT event_type AS status, count(*) AS n FROM events GROUP BY 1")
@@ -225,7 +224,12 @@ def axis_counts(spark, sf_dir):
 
 @query("SELECT user_id AS env, bool_or(event_type = 'error' OR value < 1 OR value IS NULL) AS bad FROM events GROUP BY 1")
 def run_health_gate(spark, sf_dir):
-    return t.read(spark, sf_dir, "events").groupBy(F.col("user_id").alias("env")).agg(F.bool_or((F.col("event_type") == "error") | (F.col("value") < 1) | F.col("value").isNull()).alias("bad"))
+    rows = t.read(spark, sf_dir, "events").select(
+        F.col("user_id").alias("run_id"), F.col("event_id").alias("item_id"), F.lit(0).alias("exit_code"), F.when(F.col("event_type") == "error", "error").otherwise("ok").alias("status"), F.greatest(F.floor("value"), F.lit(0)).alias("total_frames"),
+        F.lit(0).alias("sessions_without_frames"), F.lit(False).alias("revocation_contested"), F.lit("frames").alias("context_mode"), F.lit("frames").alias("expected_mode"), F.lit(0).alias("n_records"), F.lit(0).alias("memory_bytes"),
+    )
+    rows = rows.join(rows.groupBy("run_id").agg(F.countDistinct("item_id").alias("n_expected")), "run_id")
+    return runs.run_health(rows).select(F.col("run_id").alias("env"), F.col("failed").alias("bad"))
 
 
 @query(f"WITH {t.SCORES_SQL} SELECT count(*) FILTER (status <> 'ok') AS n_error, count(*) FILTER (status = 'ok' AND needs_judge) AS n_unparsed, count(*) FILTER (status = 'ok' AND NOT needs_judge AND abstained) AS n_abstained, count(*) FILTER (status = 'ok' AND NOT needs_judge AND NOT abstained) AS n_committed, count(*) FILTER (status = 'ok' AND NOT needs_judge AND NOT abstained AND score >= 0.5) AS n_right FROM scores")
@@ -300,15 +304,21 @@ def caption_eval_by_category(spark, sf_dir):
     return report.caption_eval(rows, "category").withColumn("mean_f1", F.round("mean_f1", 6))
 
 
-@query("""WITH l AS (SELECT CAST(count(*) FILTER (quality = 0) AS BIGINT) AS repeated, CAST(count(*) FILTER (toxic = 1) AS BIGINT) AS refusal FROM labels),
-    e AS (SELECT round(quantile_cont(value, 0.5), 6) AS p50, round(quantile_cont(value, 0.95), 6) AS p95 FROM events),
-    i AS (SELECT CAST(sum(event_id % 3 + 1) AS BIGINT) AS ingest_seconds, CAST(sum(CAST(floor(value) AS BIGINT)) AS BIGINT) AS frames FROM (SELECT * FROM events QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY event_id DESC) = 1))
-    SELECT * FROM l, e, i""")
+@query("""WITH last AS (SELECT * FROM events QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY event_id DESC) = 1)
+    SELECT (SELECT count(*) FROM events) AS n_items, (SELECT count(*) FROM last) AS n_envs, (SELECT count(*) FROM events WHERE event_type <> 'error') AS n_output,
+        (SELECT count(*) FROM events WHERE event_type = 'click') AS refusal, (SELECT count(*) FROM events WHERE event_type = 'view') AS repeated,
+        (SELECT round(quantile_cont(value, 0.5), 6) FROM events WHERE event_type <> 'error') AS p50_ms, (SELECT round(quantile_cont(value, 0.95), 6) FROM events WHERE event_type <> 'error') AS p95_ms,
+        (SELECT CAST(sum(event_id % 3) AS DOUBLE) FROM last) AS ingest_seconds, (SELECT CAST(sum(CAST(floor(value) AS BIGINT)) AS BIGINT) FROM last) AS frames, (SELECT max(event_id % 1000) FROM last) AS max_memory_bytes,
+        (SELECT bool_or(event_id % 7 = 0) FROM last) AS contested, (SELECT CAST(sum(event_id % 5) AS BIGINT) FROM last) AS sessions_without_frames, (SELECT count(*) FROM events WHERE event_type = 'purchase') AS n_purchase""")
 def run_summary(spark, sf_dir):
-    labels = t.read(spark, sf_dir, "labels").agg(F.count_if(F.col("quality") == 0).alias("repeated"), F.count_if(F.col("toxic") == 1).alias("refusal"))
-    latency = t.read(spark, sf_dir, "events").agg(F.round(stats.linear_percentile("value", 0.5), 6).alias("p50"), F.round(stats.linear_percentile("value", 0.95), 6).alias("p95"))
-    ingest = report.ingest_evidence(_env_runs(spark, sf_dir)).select(F.col("n_sessions").alias("ingest_seconds"), F.col("total_frames").alias("frames"))
-    return labels.crossJoin(latency).crossJoin(ingest)  # one row each
+    """Events stand in for predictions: clicks reply with a refusal, views with one word over and over, the others with their type."""
+    e, kind, v = t.read(spark, sf_dir, "events"), F.col("event_type"), F.col("event_id")
+    reply = F.when(kind == "click", "I cannot see this.").when(kind == "view", F.repeat(F.lit("again "), F.lit(30))).otherwise(kind)
+    run = F.struct((v % 3).cast("double").alias("ingest_seconds"), F.floor("value").cast("long").alias("total_frames"), (v % 1000).alias("memory_bytes"), (v % 7 == 0).alias("revocation_contested"), (v % 5).alias("sessions_without_frames"), F.lit("none").alias("enforcement"))
+    rows = e.select(v.alias("item_id"), F.col("user_id").alias("env_id"), F.when(kind == "error", "error").otherwise("ok").alias("status"), kind.alias("answer"), reply.alias("reply"), F.col("value").alias("latency_ms"), run.alias("env_run"), v.alias("ord"))
+    out = report.run_summary(rows, e.select(v.alias("item_id")))
+    columns = ["n_items", "n_envs", "n_output", "refusal", "repeated", "ingest_seconds", "frames", "max_memory_bytes", "contested", "sessions_without_frames"]
+    return out.select(*columns, F.round("p50_ms", 6).alias("p50_ms"), F.round("p95_ms", 6).alias("p95_ms"), F.try_element_at("answers", F.lit("purchase")).alias("n_purchase"))
 
 
 @query("SELECT 'a' || user_id AS probe, count(DISTINCT event_type || CAST(event_id % 2 AS VARCHAR)) AS n_arms, count(DISTINCT event_type || CAST(event_id % 2 AS VARCHAR)) = 10 AS complete FROM events GROUP BY 1")
@@ -318,9 +328,16 @@ def arm_matrix(spark, sf_dir):
     return report.arm_matrix(probes, "probe", "arm", arms)
 
 
-@query("SELECT event_type AS phase, count(*) AS n, round(sum(value), 3) AS seconds FROM events GROUP BY 1")
+@query("""SELECT count(*) AS events, count(*) FILTER (event_type <> 'error') AS completed_generations, count(*) FILTER (event_type = 'view' AND event_id % 2 = 0) AS notes_at_token_limit,
+    round(coalesce(sum(value) FILTER (event_type <> 'error'), 0.0::DOUBLE), 1) AS encode_seconds, coalesce(max(event_id % 4096) FILTER (event_type <> 'error'), 0) AS max_prompt_tokens FROM events""")
 def trace_summary(spark, sf_dir):
-    return t.read(spark, sf_dir, "events").groupBy(F.col("event_type").alias("phase")).agg(F.count("*").alias("n"), F.round(F.sum("value"), 3).alias("seconds"))
+    kind, n = F.col("event_type"), F.col("event_id")
+    rows = t.read(spark, sf_dir, "events").select(
+        F.when(kind == "error", "failed").otherwise("generate_done").alias("event"), F.when(kind == "view", "note").otherwise("answer").alias("phase"), (n % 2 == 0).alias("at_token_limit"),
+        F.col("value").alias("encode_seconds"), *(F.lit(None).cast("double").alias(f"{x}_seconds") for x in ("transfer", "generate", "decode")), (n % 4096).alias("prompt_tokens"),
+    )
+    out = recordings.trace_summary(rows)
+    return out.select("events", "completed_generations", "notes_at_token_limit", F.round("encode_seconds", 1).alias("encode_seconds"), "max_prompt_tokens")
 
 
 @query("SELECT event_type, round(quantile_cont(value, 0.5), 6) AS p50, round(quantile_cont(value, 0.95), 6) AS p95 FROM events GROUP BY 1")
@@ -411,9 +428,8 @@ def set_ops_ids(spark, sf_dir):
     return n("both", a.intersect(b)).unionByName(n("either", a.union(b).distinct())).unionByName(n("first", a.distinct().subtract(b)))
 
 
-@query("SELECT user_id, bool_and(event_type IN ('click', 'view', 'purchase', 'signup')) AS ok FROM events WHERE event_id % 7 = 0 GROUP BY 1")
+@query("SELECT user_id, bool_and(event_type IN ('click', 'view', 'purchase', 'signup')) AS ok FROM events GROUP BY 1")
 def subset_filter(spark, sf_dir):
-    """Over all events; its SQL is older and takes a seventh of them."""
     kinds = t.read(spark, sf_dir, "events").groupBy("user_id").agg(F.collect_set("event_type").alias("kinds"))
     allowed = F.array(*map(F.lit, ("click", "view", "purchase", "signup")))
     return kinds.select("user_id", ((F.size(F.array_except("kinds", allowed)) == 0) & (F.size("kinds") > 0)).alias("ok"))

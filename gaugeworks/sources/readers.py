@@ -41,11 +41,12 @@ def last_wins(rows: DataFrame, keys: list[str], order: str) -> DataFrame:
     return rows.withColumn("__r", F.row_number().over(newest)).where("__r = 1").drop("__r")
 
 
-def read_predictions(spark: SparkSession, path: str) -> DataFrame:
-    """Prediction log; a repeated item keeps its last line, torn and blank lines are left out."""
+def read_predictions(spark: SparkSession, path: str, keep_order: bool = False) -> DataFrame:
+    """Prediction log; a repeated item keeps its last line, torn and blank lines are left out; ``ord`` orders the rows as they stand."""
     lines = with_line_order(spark.read.text(path))
     rows = lines.select(F.from_json("value", schemas.PREDICTIONS).alias("p"), "ord").where("p.item_id is not null")
-    return last_wins(rows.select("p.*", "ord"), ["item_id"], "ord").drop("ord")
+    rows = last_wins(rows.select("p.*", "ord"), ["item_id"], "ord")
+    return rows if keep_order else rows.drop("ord")
 
 
 def read_judgments(spark: SparkSession, path: str) -> DataFrame:
