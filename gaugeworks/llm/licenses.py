@@ -246,7 +246,7 @@ def _anchors(weights: dict[str, tuple[float, ...]], bias: np.ndarray, families:
 def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", confirm_at: float = 0.6) -> DataFrame:
     """(doc_id, paragraph, family, probability, similarity, confirmed) of paragraphs with an anchor word."""
     model = train()
-    anchor = r"(?i)(?<![a-z0-9])(?:" + "|".join(re.escape(a) for a in model.anchors) + ")"
+    anchor = r"(?i)(?<![a-z0-9])(?:" + "|".join(re.escape(a) for a in model.anchors) + ")(?![a-z0-9])"
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text")).where(F.col("text").rlike(anchor))
     rows = rows.select("doc_id", F.posexplode(F.split(F.regexp_replace("text", WRAPPED, " "), "\n")).alias("paragraph", "line")).where(F.col("line").rlike(anchor))
     rows = rows.select("doc_id", "paragraph", F.regexp_extract_all(F.lower("line"), F.lit(TOKEN), F.lit(0)).alias("words"))
