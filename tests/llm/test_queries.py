@@ -1,6 +1,5 @@
 """The queries over the smallest driver tables, against SQL, and the pipeline end to end."""
 
-import hashlib
 import os
 import re
 import zlib
@@ -12,6 +11,8 @@ import pytest
 
 from gaugeworks.llm import mixing, queries, secrets, toxicity
 
+from .test_secrets import masked as plain_mask
+
 DATA = "/root/testdata/sf0.001"
 pytestmark = pytest.mark.skipif(not os.path.isdir(DATA), reason="driver tables are not here")
 
@@ -65,21 +66,12 @@ def test_pipeline_against_brute_force(spark):
     assert rows_of(apart) == want and apart.columns == docs.columns
 
     masked = stages["secrets"](spark, apart, DATA)
-    told = {}
-    for r in secrets.scan(apart).where("is_secret").collect():
-        told.setdefault(r["doc_id"], set()).add(r["value_sha256"])
-
-    def mask(doc_id, text):
-        for v in dict.fromkeys(re.findall(secrets.CANDIDATE, text or "")):
-            if hashlib.sha256(v.encode()).hexdigest() in told.get(doc_id, ()):
-                text = text.replace(v, secrets.MASK)
-        return text
-
-    want = Counter({(r[0], mask(r[0], r[1]), *r[2:]): n for r, n in want.items()})
+    secrets.forest_sql()
+    want = Counter({(r[0], plain_mask(r[1] or "", r[3]) if r[1] else r[1], *r[2:]): n for r, n in want.items()})
     assert rows_of(masked) == want and masked.columns == docs.columns
 
     mixed = stages["mixing"](spark, masked, DATA)
-    times = Counter(r["doc_id"] for r in mixing.mix(masked).collect())
+    times = Counter(r["doc_id"] for r in mixing.mix(masked, tokenizer_path=queries.tokenizer_path()).collect())
     want = Counter({r: times[r[0]] for r in want})
     assert rows_of(mixed) == want and mixed.columns == docs.columns and min(times.values()) >= 1
 
