@@ -13,6 +13,7 @@ from pyspark.sql.types import StringType
 #: Shapes of recording ids and safe names.
 VIDEO_ID = r"^Person_\d+_session_\d+_[A-Za-z0-9_]+\z"
 KITCHEN_VIDEO_ID = r"^P\d{2}_\d{2,3}\z"
+SAFE_NAME = r"^[A-Za-z0-9_-]+\z"
 RETRYABLE_NAMES = r"(?i)timeout|connection|apierror|ratelimit"
 
 
@@ -42,6 +43,23 @@ def is_extension_video(c: Column) -> Column:
     return F.coalesce((F.size(parts) == 2) & number.rlike(r"^\d+\z") & (number.try_cast("long") >= 100), F.lit(False))
 
 
+def valid_name(c: Column) -> Column:
+    """Run ids, model ids and tags: ASCII letters, digits, _ and - only."""
+    return F.coalesce(c.rlike(SAFE_NAME), F.lit(False))
+
+
+def valid_hex(c: Column, digits: int) -> Column:
+    """A checksum of so many hex digits of either case; a missing one passes."""
+    return F.coalesce(c.rlike(rf"^[a-fA-F0-9]{{{digits}}}\z"), F.lit(True))
+
+
+def video_urls(c: Column, base: str, extension_base: str) -> Column:
+    """Where a kitchen recording may be, likeliest first: extension recordings in one place, others under train or test."""
+    person, file = F.substring_index(c, "_", 1), F.concat(c, F.lit(".MP4"))
+    split = lambda name: F.concat(F.lit(f"{base}/videos/{name}/"), person, F.lit("/"), file)
+    return F.when(is_extension_video(c), F.array(F.concat(F.lit(f"{extension_base}/"), person, F.lit("/videos/"), file))).otherwise(F.array(split("train"), split("test")))
+
+
 def video_path(c: Column) -> Column:
     """Path of a recording in its collection, by person; null for an id of another shape."""
     return F.when(valid_video_id(c), F.concat(F.lit("data/video/"), F.substring_index(c, "_", 2), F.lit("/"), c, F.lit(".mp4")))
@@ -79,4 +97,10 @@ def retryable(status: Column, name: Column) -> Column:
 
 
 def session_number(question: Column) -> Column:
-    return F.regexp_extract(question, r"(?i)session\s+(\d+)", 1).try_cast("int")
+    return F.regexp_extract(question, r"(?i)session\s+(\d+)\s+of", 1).try_cast("int")
+
+
+def question_object(question: Column) -> Column:
+    """What a where-was-it question asks for, as bare upper-case letters; '' when it asks otherwise."""
+    phrase = F.regexp_extract(question, r"(?i)where was the\s+(.+?)\s*\?", 1)
+    return F.regexp_replace(F.upper(F.regexp_replace(phrase, r"(?i)\s*in the most recent session$", "")), "[^A-Z]", "")

@@ -110,6 +110,11 @@ def choice_letter(reply: Column, options: Column) -> Column:
     return F.when(text != "", F.coalesce(*steps, rest))
 
 
+def first_token(c: Column) -> Column:
+    """The word before the first blank without its closing full stops."""
+    return strip(F.regexp_replace(F.substring_index(strip(c), " ", 1), r"\.+\z", ""))
+
+
 def exact_match(a: Column, b: Column) -> Column:
     return F.when(F.lower(strip(a)) == F.lower(strip(b)), 1.0).otherwise(0.0)
 
@@ -119,8 +124,10 @@ def diagnostic_tokens(c: Column) -> Column:
 
 
 def ngrams(tokens: Column, n: int) -> Column:
-    last = F.size(tokens) - n + 1
-    return F.when(last >= 1, F.transform(F.sequence(F.lit(1), F.greatest(last, F.lit(1))), lambda i: F.array_join(F.slice(tokens, i, n), " "))).otherwise(F.array().cast("array<string>"))
+    """64-bit hashes of the windows of n tokens, which tell the n-grams of one text apart."""
+    last = F.size(tokens) - n
+    window = lambda i: F.xxhash64(*(F.get(tokens, i + k) for k in range(n)))
+    return F.when(last >= 0, F.transform(F.sequence(F.lit(0), F.greatest(last, F.lit(0))), window)).otherwise(F.array().cast("array<bigint>"))
 
 
 def refuses(c: Column) -> Column:
@@ -134,8 +141,20 @@ def lexical_words(c: Column) -> Column:
 
 
 def token_f1(a: Column, b: Column) -> Column:
-    """F1 of two bags of words: both empty 1, one empty 0."""
-    same = F.aggregate(F.array_distinct(a), F.lit(0), lambda n, w: n + F.least(F.size(F.filter(a, lambda x: x == w)), F.size(F.filter(b, lambda x: x == w))))
+    """F1 of two bags of words: both empty 1, one empty 0.
+
+    One pass over both bags sorted together: of equal words those of ``a`` come first and wait to be matched by those of ``b``.
+    """
+    side = lambda words, k: F.transform(words, lambda w: F.struct(w.alias("w"), F.lit(k).alias("k")))
+
+    def step(acc: Column, x: Column) -> Column:
+        known = acc["w"] == x["w"]
+        match = known & (x["k"] == 1) & (acc["left"] > 0)
+        left = F.when(x["k"] == 0, F.when(known, acc["left"]).otherwise(0) + 1).when(match, acc["left"] - 1).otherwise(F.when(known, acc["left"]).otherwise(0))
+        return F.struct(x["w"].alias("w"), left.alias("left"), F.when(match, acc["same"] + 1).otherwise(acc["same"]).alias("same"))
+
+    start = F.struct(F.lit("").alias("w"), F.lit(0).alias("left"), F.lit(0).alias("same"))
+    same = F.aggregate(F.sort_array(F.concat(side(a, 0), side(b, 1))), start, step)["same"]
     f1 = 2.0 * same / (F.size(a) + F.size(b))
     return F.when((F.size(a) == 0) & (F.size(b) == 0), 1.0).when((F.size(a) == 0) | (F.size(b) == 0), 0.0).otherwise(f1)
 

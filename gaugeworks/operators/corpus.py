@@ -21,6 +21,12 @@ def suite_filter(items: DataFrame, axes: Iterable[str] = (), env_ids: Iterable[s
     return items.orderBy(order).limit(limit) if limit is not None else items
 
 
+def suite_label(name: str, sha: str, axes: Iterable[str] = (), env_ids: Iterable[str] = (), limit: int | None = None) -> tuple[str, str]:
+    """Name and hash of a filtered suite: both say so, and the hash is not computed anew."""
+    parts = [f"{k}={','.join(sorted(v))}" for k, v in (("axes", axes), ("envs", env_ids)) if v] + ([f"limit={limit}"] if limit is not None else [])
+    return (f"{name}[{';'.join(parts)}]", f"{sha}+filtered") if parts else (name, sha)
+
+
 def envs_of(envs: DataFrame, items: DataFrame) -> DataFrame:
     return envs.join(items, "env_id", "left_semi")
 
@@ -63,9 +69,16 @@ def permutation_check(rows: DataFrame, group: str, order: str) -> DataFrame:
     return rows.groupBy(group).agg(((F.min(order) == 0) & (F.max(order) == n - 1) & (F.countDistinct(order) == n)).alias("ok"))
 
 
+def set_difference(a: DataFrame, b: DataFrame, key: str) -> DataFrame:
+    """One row (n_only_a, n_only_b, equal) on the distinct keys of both tables; null is a key like any other."""
+    mark = lambda df, tag: df.select(key).distinct().withColumn("__side", F.lit(tag))
+    sides = mark(a, "a").unionByName(mark(b, "b")).groupBy(key).agg(F.min("__side").alias("lo"), F.max("__side").alias("hi"))
+    out = sides.agg(F.count_if(F.col("hi") == "a").alias("n_only_a"), F.count_if(F.col("lo") == "b").alias("n_only_b"))
+    return out.withColumn("equal", (F.col("n_only_a") == 0) & (F.col("n_only_b") == 0))
+
+
 def set_equal(a: DataFrame, b: DataFrame, key: str) -> bool:
-    left, right = a.select(key).distinct(), b.select(key).distinct()
-    return left.exceptAll(right).isEmpty() and right.exceptAll(left).isEmpty()
+    return set_difference(a, b, key).first()["equal"]
 
 
 def top_share(rows: DataFrame, key: str) -> DataFrame:

@@ -46,6 +46,11 @@ def frame_accounting(acks: DataFrame, group: str) -> DataFrame:
     return acks.groupBy(group).agg(F.when(own == 0, later).otherwise(own).cast("long").alias("total_frames"), F.count_if(~F.col("deferred") & (F.col("frames") == 0)).alias("blank"))
 
 
+def latest_row(rows: DataFrame, group: str, order: str) -> DataFrame:
+    """The whole last row of each group; ``order`` must be unique within a group."""
+    return rows.groupBy(group).agg(F.max_by(F.struct(*(c for c in rows.columns if c != group)), order).alias("r")).select(group, "r.*")
+
+
 def last_known(rows: DataFrame, group: str, order: str, value: str) -> DataFrame:
     """The latest value of each group that is not null."""
     return rows.where(F.col(value).isNotNull()).groupBy(group).agg(F.max_by(value, order).alias(value))

@@ -101,10 +101,24 @@ def subject_of(question: Column) -> Column:
     return F.nullif(F.regexp_extract(question, r"(?i)(?:^|,\s*)the\s+(.+?)\s+was\s+moved", 1), F.lit(""))
 
 
-def second_nouns(rows: DataFrame, nouns: str, k: int = 20) -> DataFrame:
-    """Most frequent nouns beside the first in narrations with several."""
-    distinct = F.array_distinct(nouns)
-    others = rows.where(F.size(distinct) > 1).select(F.explode(F.slice(distinct, 2, 1000)).alias("noun"))
+def relocation_survey(placed: DataFrame, sessions: DataFrame) -> DataFrame:
+    """(participant, n_sessions, n_cross): recordings of each participant, and objects put in two places over two of them.
+
+    ``placed`` has (participant, object, place, session), ``sessions`` (participant, session).
+    """
+    cross = relocation_candidates(placed, 2, 2).groupBy("participant").agg(F.count("*").alias("n_cross"))
+    per = sessions.groupBy("participant").agg(F.countDistinct("session").alias("n_sessions"))
+    return per.join(cross, "participant", "left").withColumn("n_cross", F.coalesce("n_cross", F.lit(0)))
+
+
+def survey_totals(survey: DataFrame) -> DataFrame:
+    """One row: participants, their median and largest number of sessions, objects in all."""
+    return survey.agg(F.count("*").alias("participants"), F.percentile("n_sessions", F.lit(0.5)).alias("median_sessions"), F.max("n_sessions").alias("max_sessions"), F.coalesce(F.sum("n_cross"), F.lit(0)).alias("n_cross"))
+
+
+def second_nouns(rows: DataFrame, nouns: str, own: str, k: int = 20) -> DataFrame:
+    """(noun, count): the nouns that stand most often beside a row's own noun, each once a row."""
+    others = rows.select(F.explode(F.array_distinct(nouns)).alias("noun"), F.col(own).alias("__own")).where(~F.col("noun").eqNullSafe(F.col("__own")))
     return others.groupBy("noun").count().orderBy(F.desc("count"), "noun").limit(k)
 
 

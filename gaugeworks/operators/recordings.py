@@ -115,6 +115,43 @@ def download_budget(files: DataFrame, by: str = "dataset") -> DataFrame:
     return files.groupBy(by).agg(F.count("*").alias("n_files"), F.coalesce(F.sum(F.when(~F.col("present"), F.col("expected_bytes"))), F.lit(0)).alias("missing_bytes"))
 
 
+def official_files(plan: DataFrame, official: DataFrame) -> DataFrame:
+    """Planned files (path) with size and sha256 of the official list (path, size, sha256).
+
+    Raises ValueError where a planned file is not official, has no size, or no checksum of 64 digits.
+    """
+    rows = plan.join(official.select("path", "size", "sha256", F.lit(True).alias("__there")), "path", "left")
+    digits = F.coalesce(F.col("sha256").rlike(r"^[a-f0-9]{64}\z"), F.lit(False))
+    flaw = rows.where(F.col("__there").isNull() | ~F.coalesce(F.col("size") > 0, F.lit(False)) | ~digits).select("path").first()
+    if flaw:
+        raise ValueError(f"{flaw['path']}: absent from the official list, or without size and checksum there")
+    return rows.drop("__there")
+
+
+def download_verdict(budgets: DataFrame, max_bytes: int, free_bytes: int, reserve_bytes: int) -> DataFrame:
+    """Adds ``verdict`` to (missing_bytes): over the download budget, short of the space to keep free, or ok."""
+    missing = F.col("missing_bytes")
+    return budgets.withColumn("verdict", F.when(missing > max_bytes, "over_budget").when(missing + reserve_bytes > free_bytes, "no_space").otherwise("ok"))
+
+
+def instance_histograms(instances: DataFrame) -> DataFrame:
+    """(histogram, key, n): instances by type, objects by motion, distinct dynamic ids, and sequences by their number of dynamic objects."""
+    kind, motion = F.coalesce("instance_type", F.lit("missing")), F.coalesce("motion_type", F.lit("missing"))
+    row = lambda name, key: (F.lit(name).alias("histogram"), key.cast("string").alias("key"))
+    objects = instances.where("instance_type = 'object'")
+    moving = objects.where("motion_type = 'dynamic'")
+    out = instances.groupBy(*row("instance_type", kind)).agg(F.count("*").alias("n"))
+    out = out.unionByName(objects.groupBy(*row("motion_type", motion)).agg(F.count("*").alias("n")))
+    out = out.unionByName(moving.agg(F.countDistinct("instance_id").alias("n")).select(*row("unique_dynamic", F.lit("")), "n"))
+    return out.unionByName(instance_inventory(instances.withColumn("motion_type", F.when(F.col("instance_type") == "object", F.col("motion_type")))).select(*row("dynamic_per_sequence", F.col("n_dynamic")), F.col("n_sequences").alias("n")))
+
+
+def header_variants(headers: DataFrame, required: list[str]) -> DataFrame:
+    """(header, n, complete): how often each header (array) occurs, and whether it has all required names, none twice."""
+    whole = (F.size(F.array_distinct("header")) == F.size("header")) & (F.size(F.array_except(F.array(*map(F.lit, required)), F.col("header"))) == 0)
+    return headers.groupBy("header").agg(F.count("*").alias("n")).withColumn("complete", whole)
+
+
 def instance_inventory(instances: DataFrame) -> DataFrame:
     """(n_dynamic, n_sequences): how many sequences have how many distinct dynamic instances."""
     per = instances.groupBy("sequence").agg(F.countDistinct(F.when(F.col("motion_type") == "dynamic", F.col("instance_id"))).alias("n_dynamic"))

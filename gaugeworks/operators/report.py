@@ -98,6 +98,37 @@ def shortcut_decomposition(scores: DataFrame) -> DataFrame:
     )
 
 
+def shortcut_report(scores: DataFrame, chance: float = 0.25) -> DataFrame:
+    """The decomposition with the letters chosen, the rate of commitments with its interval and test, and the mean had it guessed.
+
+    ``letters`` counts the letters of rows with status ok; abstentions count ``chance`` each in ``naive_mean``.
+    """
+    parts = shortcut_decomposition(scores)
+    said = scores.where("status = 'ok' and letter is not null").groupBy("letter").agg(F.count("*").alias("n"))
+    letters = said.agg(F.map_from_entries(F.sort_array(F.collect_list(F.struct("letter", "n")))).alias("letters"))  # one entry a letter
+    n = F.col("n_error") + F.col("n_unparsed") + F.col("n_abstained") + F.col("n_committed")
+    low, high = stats.wilson(F.col("n_right"), F.col("n_committed"))
+    some = F.col("n_committed") > 0
+    return parts.crossJoin(letters).withColumns({  # one row each
+        "mean": F.try_divide("n_right", n), "naive_mean": F.try_divide(F.col("n_right") + F.col("n_abstained") * chance, n), "rate": F.try_divide("n_right", "n_committed"),
+        "rate_low": F.when(some, low), "rate_high": F.when(some, high), "p_value": F.when(some, stats.binomial_two_sided(F.col("n_right"), F.col("n_committed"), F.lit(chance))),
+    })
+
+
+def arm_outcomes(probes: DataFrame, template: Column) -> DataFrame:
+    """By arm: probes without a control answer (repetitive, in a template or not, refusals), and controls answered exactly.
+
+    ``probes`` has (arm, answer, expected_control); ``template`` marks probes in the wording of training.
+    """
+    rows = output_diagnostics(probes.withColumn("__template", template), "answer")
+    control = F.col("expected_control").isNotNull()
+    return rows.groupBy("arm").agg(
+        F.count_if(~control).alias("video_probes"), F.count_if(~control & F.col("repetitive")).alias("repeated"), F.count_if(~control & F.col("repetitive") & ~F.col("__template")).alias("free_repeated"),
+        F.count_if(~control & F.col("repetitive") & F.col("__template")).alias("template_repeated"), F.count_if(~control & F.col("refusal")).alias("refusal_text"),
+        F.count_if(control & (text.strip(F.col("answer")) == F.col("expected_control"))).alias("controls_correct"), F.count_if(control).alias("n_controls"),
+    )
+
+
 def output_diagnostics(rows: DataFrame, reply: str) -> DataFrame:
     """Adds tokens_approx, repeated_fraction, repetitive, refusal and empty."""
     rows = rows.withColumn("__t", text.diagnostic_tokens(F.col(reply)))

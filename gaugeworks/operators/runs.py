@@ -90,6 +90,41 @@ def reachable(candidates: DataFrame, sizes: DataFrame) -> DataFrame:
     return candidates.join(bad, "candidate", "left_anti")
 
 
+def find_run(runs: DataFrame, run_id: str) -> DataFrame:
+    return runs.where(F.col("run_id") == run_id)
+
+
+def list_runs(runs: DataFrame) -> DataFrame:
+    return runs.orderBy("started_at")
+
+
+def rows_of_run(rows: DataFrame, run_id: str, judge_model: str | None = None, prompt_version: str | None = None) -> DataFrame:
+    """Predictions or judgements of a run by item, of one judge and prompt if named."""
+    rows = rows.where(F.col("run_id") == run_id)
+    rows = rows.where(F.col("judge.model") == judge_model) if judge_model else rows
+    rows = rows.where(F.col("judge.prompt_version") == prompt_version) if prompt_version else rows
+    return rows.orderBy("item_id")
+
+
+#: Checks of a reply by answer format, with whether a system must pass them.
+REPLY_CHECKS = [("mcq5_is_letter", False), ("mcq_is_letter", True), ("open_has_text", True), ("numeric_has_value", True)]
+
+
+def reply_conformance(replies: DataFrame) -> DataFrame:
+    """(system, check, passed, required) from replies (system, answer_format, options, answer, answer_text).
+
+    A choice must be a letter of its options, an open reply some text, a numeric one not blank; a format without replies passes nothing.
+    """
+    said = text.strip(F.coalesce("answer", F.lit("")))
+    either = text.strip(F.coalesce("answer", "answer_text", F.lit("")))
+    letter = F.coalesce(F.array_contains(F.map_keys("options"), F.upper(said)), F.lit(False))
+    good = {"mcq5_is_letter": letter, "mcq_is_letter": letter, "open_has_text": text.strip(F.coalesce(F.nullif("answer_text", F.lit("")), "answer", F.lit(""))) != "", "numeric_has_value": either != ""}
+    asked = lambda name: F.col("answer_format") == name.split("_")[0]
+    facts = replies.groupBy("system").agg(*(F.coalesce(F.bool_and(F.when(asked(n), good[n])), F.lit(False)).alias(n) for n, _ in REPLY_CHECKS))
+    rows = F.explode(F.array(*(F.struct(F.lit(n).alias("check"), F.col(n).alias("passed"), F.lit(r).alias("required")) for n, r in REPLY_CHECKS)))
+    return facts.select("system", rows.alias("r")).select("system", "r.*")
+
+
 def conformance(log: DataFrame, order: str = "seq") -> DataFrame:
     """(check, passed, required) of one system's event log (direction, type, item_id, answer_format, answer)."""
     w = Window.partitionBy("item_id").orderBy(order).rowsBetween(Window.unboundedPreceding, -1)

@@ -51,6 +51,12 @@ def summary(envs: DataFrame, moves: DataFrame) -> DataFrame:
     return envs.agg(F.count("*").alias("environments"), F.coalesce(F.sum("n_sessions"), F.lit(0)).alias("scans")).crossJoin(loose).crossJoin(median)  # one row each
 
 
+def scan_index(scans: DataFrame) -> DataFrame:
+    """(reference, scan, index, n_rescans): the place of each later scan among those of its room, from 1."""
+    rescans = F.filter("scans", lambda s: s["reference"].isNotNull())
+    return scans.select("reference", F.size(rescans).alias("n_rescans"), F.posexplode(rescans).alias("i", "s")).select("reference", F.col("s.reference").alias("scan"), (F.col("i") + 1).alias("index"), "n_rescans")
+
+
 def question(env_id: Column, label: Column, index: Column, n_rescans: Column) -> Column:
     """A relocation question; the room is named so that rooms do not share a text."""
     when = F.when(n_rescans == 1, "in the later scan").otherwise(F.concat(F.lit("in scan "), index.cast("string"), F.lit(" of the "), n_rescans.cast("string"), F.lit(" taken afterwards")))

@@ -13,6 +13,11 @@ def read_jsonl(spark: SparkSession, path: str, schema: str) -> DataFrame:
     return spark.read.schema(schema).option("mode", "DROPMALFORMED").json(path)
 
 
+def parse_jsonl(lines: DataFrame, schema: str, key: str) -> DataFrame:
+    """Rows of a frame of text lines (``value``); lines that are no objects with the key, torn and blank ones too, are left out."""
+    return lines.select(F.from_json("value", schema).alias("p")).where(F.col(f"p.{key}").isNotNull()).select("p.*")
+
+
 def read_jsonl_strict(spark: SparkSession, path: str, schema: str) -> DataFrame:
     return spark.read.schema(schema).option("mode", "FAILFAST").json(path)
 
@@ -22,11 +27,23 @@ def read_jsonl_flagged(spark: SparkSession, path: str, schema: str) -> DataFrame
     return spark.read.schema(schema + ", _corrupt_record string").option("mode", "PERMISSIVE").json(path)
 
 
+def lines_or_none(spark: SparkSession, path: str) -> DataFrame:
+    """Lines of a text file; none where there is no such file."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    there = place.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(place)
+    return spark.read.text(path) if there else spark.createDataFrame([], "value string")
+
+
+def count_corrupt(lines: DataFrame) -> DataFrame:
+    """(n_rows, n_corrupt) of lines: objects, and those that do not parse; blank lines and other JSON are neither."""
+    lines = lines.where(F.trim("value") != "")
+    parsed = F.try_parse_json("value")
+    return lines.agg(F.count_if(parsed.isNotNull() & F.col("value").rlike(r"^\s*\{")).alias("n_rows"), F.count_if(parsed.isNull()).alias("n_corrupt"))
+
+
 def corrupt_lines(spark: SparkSession, path: str) -> DataFrame:
-    """(n_rows, n_corrupt) of a log of JSON objects."""
-    lines = spark.read.text(path).where(F.trim("value") != "")
-    bad = F.try_parse_json("value").isNull() | ~F.col("value").rlike(r"^\s*\{")
-    return lines.agg(F.count_if(~bad).alias("n_rows"), F.count_if(bad).alias("n_corrupt"))
+    """(n_rows, n_corrupt) of a log of JSON objects; a log that is not there yet is empty."""
+    return count_corrupt(lines_or_none(spark, path))
 
 
 def with_line_order(lines: DataFrame) -> DataFrame:
@@ -43,12 +60,16 @@ def last_wins(rows: DataFrame, keys: list[str], order: str) -> DataFrame:
 
 def read_predictions(spark: SparkSession, path: str, keep_order: bool = False) -> DataFrame:
     """Prediction log; a repeated item keeps its last line, torn and blank lines are left out; ``ord`` orders the rows as they stand."""
-    lines = with_line_order(spark.read.text(path))
-    rows = lines.select(F.from_json("value", schemas.PREDICTIONS).alias("p"), "ord").where("p.item_id is not null")
-    rows = last_wins(rows.select("p.*", "ord"), ["item_id"], "ord")
+    rows = parse_predictions(with_line_order(spark.read.text(path)))
     return rows if keep_order else rows.drop("ord")
 
 
+def parse_predictions(lines: DataFrame) -> DataFrame:
+    """The last row of each item among lines (``value``, ``ord``) of a prediction log."""
+    rows = lines.select(F.from_json("value", schemas.PREDICTIONS).alias("p"), "ord").where("p.item_id is not null")
+    return last_wins(rows.select("p.*", "ord"), ["item_id"], "ord")
+
+
 def read_judgments(spark: SparkSession, path: str) -> DataFrame:
     return read_jsonl(spark, path, schemas.JUDGMENTS)
 
@@ -67,6 +88,12 @@ def sessions(envs: DataFrame) -> DataFrame:
     return envs.select("env_id", "dataset", F.explode("sessions").alias("s")).select("env_id", "dataset", "s.*")
 
 
+def ordered_sessions(envs: DataFrame) -> DataFrame:
+    """(env_id, place, session): each environment's sessions in their own order, from 0; ties keep the file's order."""
+    place = F.transform("sessions", lambda s, i: F.struct(s["order"].alias("o"), i.alias("i"), s.alias("s")))
+    return envs.select("env_id", F.posexplode(F.array_sort(place)).alias("place", "p")).select("env_id", "place", F.col("p.s").alias("session"))
+
+
 def read_narrations(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.option("header", True).option("escape", '"').option("multiLine", True).csv(path)
 
@@ -75,14 +102,28 @@ def noun_vocabulary(rows: DataFrame, column: str = "key") -> DataFrame:
     return rows.select(F.lower(F.trim(F.substring_index(column, ":", 1))).alias("noun")).where("noun <> ''").distinct()
 
 
+def read_noun_vocabulary(spark: SparkSession, path: str) -> DataFrame:
+    """Head words of a vocabulary file (key or noun column); none where there is no such file."""
+    if lines_or_none(spark, path).isEmpty():
+        return spark.createDataFrame([], "noun string")
+    rows = spark.read.option("header", True).csv(path)
+    named = [F.nullif(c, F.lit("")) for c in ("key", "noun") if c in rows.columns]
+    return noun_vocabulary(rows.select(F.coalesce(*named).alias("key")))
+
+
 def list_literal(c):
     """An array from a Python-style list of strings; empty when it does not parse."""
     return F.coalesce(F.from_json(c, "array<string>", {"allowSingleQuotes": "true"}), F.array().cast("array<string>"))
 
 
 def read_annotations(spark: SparkSession, path: str, schema: str, key: str = "question_id") -> DataFrame:
-    """A JSON array of objects whose key is present and unique, or an error."""
-    rows = spark.read.schema(schema).option("multiLine", True).option("encoding", "UTF-8").json(path)
+    """A JSON array of objects whose key is present and unique, or an error; a folder must hold one all_qa.json."""
+    if not path.endswith(".json"):
+        found = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "all_qa.json").load(path).select("path").limit(2).collect()
+        if len(found) != 1:
+            raise ValueError(f"{path}: one all_qa.json is expected")
+        path = found[0]["path"]
+    rows = spark.read.schema(schema).option("multiLine", True).json(path)
     n = rows.agg(F.count("*").alias("n"), F.count(key).alias("k"), F.countDistinct(key).alias("d")).first()
     if not n["n"] or n["k"] != n["n"] or n["d"] != n["n"]:
         raise ValueError(f"{path}: {key} must be present and unique in a non-empty list")
@@ -139,6 +180,12 @@ def inventory(spark: SparkSession, folder: str, glob: str = "*") -> DataFrame:
     return files.select("path", "length").agg(F.count("*").alias("n_files"), F.coalesce(F.sum("length"), F.lit(0)).alias("n_bytes"))
 
 
+def inventory_verdict(counts: DataFrame) -> DataFrame:
+    """Adds ``identical`` to (n_items, official): yes, no, or not downloaded for none."""
+    have = F.coalesce("n_items", F.lit(0))
+    return counts.withColumn("identical", F.when(have == 0, "not downloaded").when(have == F.col("official"), "yes").otherwise("no"))
+
+
 def tagged_union(parts: dict[str, DataFrame], tag: str = "category") -> DataFrame:
     out = None
     for name, df in parts.items():

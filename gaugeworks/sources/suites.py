@@ -7,6 +7,7 @@ import json
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators import corpus
 from . import readers, sinks
 
 
@@ -46,6 +47,13 @@ def load(spark: SparkSession, folder: str, verify: bool = True) -> tuple[DataFra
     return readers.read_suite(spark, folder)
 
 
+def filtered(items: DataFrame, envs: DataFrame, told: dict, axes: list[str] = (), env_ids: list[str] = (), limit: int | None = None) -> tuple[DataFrame, DataFrame, dict]:
+    """Items, their environments only, and (name, suite_sha) that say what was kept."""
+    kept = corpus.suite_filter(items, axes, env_ids, limit, "item_id")
+    name, sha = corpus.suite_label(told["name"], told["suite_sha"], axes, env_ids, limit)
+    return kept, corpus.envs_of(envs, kept), {"name": name, "suite_sha": sha}
+
+
 def describe(items: DataFrame) -> DataFrame:
     """(axis, n, n_cross, cross_share) of a suite."""
     cross = F.coalesce("certificate.cross_session", F.lit(False))
