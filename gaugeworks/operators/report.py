@@ -134,7 +134,7 @@ def output_diagnostics(rows: DataFrame, reply: str) -> DataFrame:
     rows = rows.withColumn("__t", text.diagnostic_tokens(F.col(reply)))
     rows = rows.withColumn("__g", text.ngrams(F.col("__t"), 4))
     grams = F.size("__g")
-    rows = rows.withColumn("__d", F.size(F.array_distinct("__g"))).withColumn("__s", F.array_sort("__g"))
+    rows = rows.withColumn("__d", F.size(F.array_distinct("__g"))).withColumn("__s", F.sort_array("__g"))
     # Three equal n-grams in a row of the sorted list: one occurs three times or more.
     thrice = F.exists(F.sequence(F.lit(1), F.greatest(grams - 2, F.lit(1))), lambda i: (grams >= 3) & (F.try_element_at("__s", i) == F.try_element_at("__s", i + 2)))
     ratio = F.when(grams > 0, 1 - F.col("__d") / grams).otherwise(0.0)
