@@ -17,7 +17,7 @@ _LOG_SQL = """log AS (SELECT event_id, 'u' || user_id AS item_id, event_type AS
 
 
 def _log(spark, sf_dir):
-    """A prediction log of one line an event; each ninth is torn, each eleventh followed by nothing but blanks."""
+    """A prediction log of one line an event; each ninth is torn."""
     e = t.read(spark, sf_dir, "events")
     whole = F.to_json(F.struct(F.concat(F.lit("u"), "user_id").alias("item_id"), F.lit("r").alias("run_id"), F.col("event_type").alias("answer"), F.lit("ok").alias("status")))
     return e.select(F.when(F.col("event_id") % 9 == 4, F.left(whole, F.length(whole) - 3)).otherwise(whole).alias("value"), F.col("event_id").alias("ord"))
