@@ -7,6 +7,7 @@ from collections import Counter
 
 import duckdb
 import numpy as np
+import pandas as pd
 import pytest
 
 from gaugeworks.llm import mixing, queries, secrets, toxicity
@@ -25,7 +26,8 @@ def test_query_equals_sql(spark, name):
     got, want = queries.QUERIES[name](spark, DATA).toPandas(), con.sql(queries.ORACLE_SQL[name]).df()
     columns = sorted(want.columns)
     assert sorted(got.columns) == columns
-    assert sorted(got[columns].itertuples(index=False, name=None)) == sorted(want[columns].itertuples(index=False, name=None))
+    told = lambda df: sorted((tuple(None if pd.isna(v) else v for v in r) for r in df[columns].itertuples(index=False, name=None)), key=str)
+    assert told(got) == told(want)
 
 
 def rows_of(df):
