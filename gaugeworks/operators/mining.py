@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text
+from ..scratch import checkpointed
+from . import ranges
 
 #: Labels too general to name, and labels of the room itself.
 UNUSABLE = "clutter object objects item items stuff wall floor ceiling room doorframe windowframe unknown other".split()
@@ -57,29 +58,44 @@ def candidate_rows(placed: DataFrame) -> DataFrame:
     return out.where("n_places >= 2").withColumn("n_sessions", F.size("sessions")).withColumnRenamed("noun", "object")
 
 
-def mine_environment(built: DataFrame, cap: int = 4) -> DataFrame:
+def mine_environment(built: DataFrame, cap: int | None = 4) -> DataFrame:
     """Questions of each environment from buildable moves (env_id, ord, scan, subject, gold, displacement).
 
-    Moves are taken by falling displacement, one question for each subject; a question whose mirror
-    (same scan, gold and subject exchanged) was asked is left out, labels compared in lower case; at most ``cap`` an environment.
-    The fold is sequential, over the few moves of one environment.
-    """
-
-    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["displacement", "ord"], ascending=[False, True], kind="stable")
-        subjects, asked, keep = set(), set(), []
-        for i, r in enumerate(pdf.itertuples(index=False)):
-            if len(keep) >= cap:
-                break
-            subject, gold = r.subject.lower(), r.gold.lower()
-            if subject not in subjects and (r.scan, gold, subject) not in asked:
-                subjects.add(subject)
-                asked.add((r.scan, subject, gold))
-                keep.append(i)
-        return pdf.iloc[keep]
+    Moves are taken by falling displacement, then ``ord``, one question for each subject; a question whose mirror
+    (same scan, gold and subject exchanged) was asked is left out, labels compared in lower case; at most ``cap`` an
+    environment, all of them for None.
 
-    rows = built.where(usable(F.col("subject")) & usable(F.col("gold")))
-    return rows.groupBy("env_id").applyInPandas(fold, built.schema)
+    The choice is that of a sequential walk, made in rounds over all environments at once.  A move is blocked
+    only by better moves of its subject or by its mirror, so each round accepts every subject's best open move whose
+    mirror is not open and better, and drops what the accepted ones block.  An environment's best open move is
+    always accepted, so after ``cap`` rounds the first ``cap`` of the walk are; without a cap rounds go on until no move is
+    open.  Joins are by environment and labels, so one environment is spread over many tasks.
+    """
+    low = lambda c: F.lower(c)
+    first = F.struct(F.coalesce(-F.col("displacement").cast("double"), F.lit(float("nan"))).alias("d"), "ord", "scan", "subject", "gold")
+    rows = built.where(usable(F.col("subject")) & usable(F.col("gold"))).select("env_id", "scan", low("subject").alias("s"), low("gold").alias("g"), first.alias("at"), F.struct(*built.columns).alias("row"))
+    # Of moves alike in scan and labels only the best can be taken.
+    best = rows.groupBy("env_id", "scan", "s", "g").agg(F.min(F.struct("at", "row")).alias("m")).select("env_id", "scan", "s", "g", "m.at", "m.row")
+    best = checkpointed(best)
+    open_, taken = best.drop("row"), None
+    left = cap
+    while left is None or left > 0:
+        heads = open_.groupBy("env_id", "s").agg(F.min(F.struct("at", "scan", "g")).alias("m")).select("env_id", "m.scan", "s", "m.g", "m.at")
+        mirror = open_.select("env_id", "scan", F.col("s").alias("g"), F.col("g").alias("s"), F.col("at").alias("other"))
+        accepted = ranges.joined(heads, mirror, ["env_id", "scan", "s", "g"]).where("other is null or s = g or at < other").drop("other")
+        accepted = checkpointed(accepted)
+        taken = accepted if taken is None else taken.unionByName(accepted)
+        open_ = ranges.joined(open_, accepted.select("env_id", "s"), ["env_id", "s"], "left_anti")
+        open_ = checkpointed(ranges.joined(open_, accepted.select("env_id", "scan", F.col("s").alias("g"), F.col("g").alias("s")), ["env_id", "scan", "s", "g"], "left_anti"))
+        left = left - 1 if left is not None else None
+        if open_.isEmpty():
+            break
+    if taken is None:
+        return built.limit(0)
+    if cap is not None:
+        place = F.row_number().over(Window.partitionBy("env_id").orderBy("at"))
+        taken = taken.withColumn("place", place).where(F.col("place") <= cap).drop("place")
+    return ranges.joined(taken.drop("at"), best.drop("at"), ["env_id", "scan", "s", "g"], "inner").select("row.*")
 
 
 def guesser_ceiling(items: DataFrame, letter: str) -> DataFrame:
@@ -113,7 +129,8 @@ def relocation_survey(placed: DataFrame, sessions: DataFrame) -> DataFrame:
 
 def survey_totals(survey: DataFrame) -> DataFrame:
     """One row: participants, their median and largest number of sessions, objects in all."""
-    return survey.agg(F.count("*").alias("participants"), F.percentile("n_sessions", F.lit(0.5)).alias("median_sessions"), F.max("n_sessions").alias("max_sessions"), F.coalesce(F.sum("n_cross"), F.lit(0)).alias("n_cross"))
+    told = survey.agg(F.count("*").alias("participants"), F.max("n_sessions").alias("max_sessions"), F.coalesce(F.sum("n_cross"), F.lit(0)).alias("n_cross"))
+    return told.crossJoin(ranges.linear_percentiles(survey, "n_sessions", {"median_sessions": 0.5}))  # one row each
 
 
 def second_nouns(rows: DataFrame, nouns: str, own: str, k: int = 20) -> DataFrame:

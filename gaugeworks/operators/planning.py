@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from . import ranges
+
 
 def first_reason(rules: list[tuple[str, Column]]) -> Column:
     """The name of the first rule that is true; null when none is."""
@@ -29,30 +31,45 @@ def overlaps(spans: DataFrame, chunks: DataFrame, on: str, width: float) -> Data
     return both.where((hi > lo) & (F.floor(lo / width) == F.col("s.__b"))).select("s.span_id", "c.chunk_id", lo.alias("lo"), hi.alias("hi"))
 
 
-def visible_counts(queries: DataFrame, values: DataFrame, cutoff: str, value: str, key: str) -> DataFrame:
+def visible_counts(queries: DataFrame, values: DataFrame, cutoff: str, value: str, key: str, range_rows: int | None = None) -> DataFrame:
     """(key, n_visible): values up to each query's cutoff, all for -1.
 
     A running count over distinct values replaces the range join: its size is that of the distinct
-    values and cutoffs, not of their product.
+    values and cutoffs, not of their product, and it is spread over ranges of them.
     """
     per = values.groupBy(F.col(value).alias("v")).agg(F.count("*").alias("n"))
     asked = queries.select(F.col(cutoff).alias("v")).distinct().withColumn("n", F.lit(0).cast("long"))
     marks = per.unionByName(asked).groupBy("v").agg(F.sum("n").alias("n"))
-    seen = marks.select("v", F.sum("n").over(Window.orderBy("v").rowsBetween(Window.unboundedPreceding, 0)).alias("seen"))
+    seen = ranges.running_total(marks, [], ["v"], "n", "seen", range_rows).select("v", "seen")
     total = per.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("total"))
     out = queries.join(seen, F.col(cutoff) == F.col("v")).crossJoin(F.broadcast(total))
     return out.select(key, F.when(F.col(cutoff) == -1, F.col("total")).otherwise(F.col("seen")).alias("n_visible"))
 
 
-def asof_forward(targets: DataFrame, rows: DataFrame, group: str, time: str, value: str) -> DataFrame:
-    """Each target with the first row of its group at or after it, or else the group's last row."""
-    both = targets.select(group, F.col("target").alias("__t"), "target", F.lit(None).cast(rows.schema[value].dataType).alias(value), F.lit(0).alias("__k"))
-    both = both.unionByName(rows.select(group, F.col(time).alias("__t"), F.lit(None).cast(targets.schema["target"].dataType).alias("target"), value, F.lit(1).alias("__k")))
-    w = Window.partitionBy(group).orderBy("__t", "__k", value)
-    ahead = F.first(value, ignorenulls=True).over(w.rowsBetween(Window.currentRow, Window.unboundedFollowing))
-    last = F.last(value, ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
-    out = both.withColumn("__v", F.coalesce(ahead, last)).where("__k = 0")
-    return out.select(group, "target", F.col("__v").alias(value))
+def asof_forward(targets: DataFrame, rows: DataFrame, group: str, time: str, value: str, range_rows: int | None = None) -> DataFrame:
+    """Each target with the first row of its group at or after it, or else the group's last row.
+
+    Rows of one time are folded to their least and greatest value first.  A group of any size is spread over
+    ranges of its times; what a range has first, and what the group has last, is carried over, one row a range.
+    """
+    marks = rows.select(group, F.col(time).alias("__t"), F.col(value).alias("__value"), F.lit(0).alias("__asked"))
+    marks = marks.unionByName(targets.select(group, F.col("target").cast(rows.schema[time].dataType).alias("__t"), F.lit(None).cast(rows.schema[value].dataType).alias("__value"), F.lit(1).alias("__asked")))
+    per = marks.groupBy(group, "__t").agg(F.min("__value").alias("__first"), F.max("__value").alias("__last"), F.sum("__asked").cast("int").alias("__asked"))
+    per, cut = ranges.ranged(per, [group], ["__t"], range_rows)
+    keys = [group, ranges.RANGE]
+    own = Window.partitionBy(*keys).orderBy("__t")
+    ahead = F.first("__first", ignorenulls=True).over(own.rowsBetween(Window.currentRow, Window.unboundedFollowing))
+    last = F.last("__last", ignorenulls=True).over(own.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
+    found = per.withColumn("__ahead", ahead).withColumn("__end", last)
+    if cut:
+        ends = found.groupBy(*keys).agg(F.min_by("__first", F.when(F.col("__first").isNotNull(), F.col("__t"))).alias("__begin"), F.first("__end").alias("__end"))
+        order = Window.partitionBy(group).orderBy(ranges.RANGE)
+        following = F.first("__begin", ignorenulls=True).over(order.rowsBetween(1, Window.unboundedFollowing))
+        final = F.last("__end", ignorenulls=True).over(order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
+        carried = ends.select(*keys, following.alias("__next"), final.alias("__final"))
+        found = ranges.joined(found, carried, keys).withColumn("__ahead", F.coalesce("__ahead", "__next")).withColumn("__end", F.col("__final"))
+    told = found.where("__asked > 0").withColumn("__n", F.explode(F.sequence(F.lit(1), F.col("__asked"))))
+    return told.select(group, F.col("__t").cast(targets.schema["target"].dataType).alias("target"), F.coalesce("__ahead", "__end").alias(value))
 
 
 def fixed_chunks(rows: DataFrame, end: str, size: float, guard: float = 0.001) -> DataFrame:

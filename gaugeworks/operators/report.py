@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions import stats, text
 from ..sources.readers import last_wins
-from . import scoring
+from . import ranges, scoring
 
 
 def ingest_evidence(env_runs: DataFrame, order: str = "ord") -> DataFrame:
@@ -63,8 +64,7 @@ def run_summary(predictions: DataFrame, expected: DataFrame, order: str = "ord")
     ok = output_diagnostics(predictions.where("status = 'ok'"), "reply")
     output = ok.agg(
         F.count("*").alias("n_output"), F.count_if("repetitive").alias("repeated"), F.count_if("refusal").alias("refusal"),
-        stats.linear_percentile("latency_ms", 0.5).alias("p50_ms"), stats.linear_percentile("latency_ms", 0.95).alias("p95_ms"),
-    )
+    ).crossJoin(ranges.linear_percentiles(ok, "latency_ms", {"p50_ms": 0.5, "p95_ms": 0.95}))
     letters = ok.groupBy("answer").agg(F.count("*").alias("n")).where("answer is not null").agg(F.map_from_entries(F.sort_array(F.collect_list(F.struct("answer", "n")))).alias("answers"))
     some = lambda c: F.coalesce(c, F.lit(0))
     ingest = last_wins(predictions.where("env_run is not null").select("env_id", "env_run.*", order), ["env_id"], order).agg(
@@ -75,17 +75,13 @@ def run_summary(predictions: DataFrame, expected: DataFrame, order: str = "ord")
     return n.crossJoin(output).crossJoin(letters).crossJoin(ingest)  # one row each
 
 
-def index_percentiles(rows: DataFrame, value: str, points: dict[str, tuple[int, int]], by: list[str] | None = None) -> DataFrame:
+def index_percentiles(rows: DataFrame, value: str, points: dict[str, tuple[int, int]], by: list[str] | None = None, range_rows: int | None = None) -> DataFrame:
     """``sorted[n * num // den]`` of each group for each named (num, den), the last element at most.
 
-    From counts by value, so that no task holds all values; nulls are left out.
+    Exact, by counts over ranges of values; nulls are left out.
     """
-    by = by or []
-    per = rows.where(F.col(value).isNotNull()).groupBy(*by, F.col(value).alias("__v")).agg(F.count("*").alias("__c"))
-    whole = Window.partitionBy(*by)
-    seen = per.withColumn("__upto", F.sum("__c").over(whole.orderBy("__v"))).withColumn("__n", F.sum("__c").over(whole))
-    at = lambda num, den: F.min(F.when(F.col("__upto") > F.least(F.floor(F.col("__n") * num / den), F.col("__n") - 1), F.col("__v")))
-    return seen.groupBy(*by).agg(*(at(*point).alias(name) for name, point in points.items()))
+    found = ranges.order_statistics(rows.where(F.col(value).isNotNull()), value, {name: ranges.index_rank(*point) for name, point in points.items()}, by, range_rows)
+    return found.drop("__n")
 
 
 def shortcut_decomposition(scores: DataFrame) -> DataFrame:
@@ -161,7 +157,7 @@ def caption_eval(rows: DataFrame, by: str) -> DataFrame:
 
 
 def latency_percentiles(rows: DataFrame, by: str, value: str) -> DataFrame:
-    return rows.groupBy(by).agg(stats.linear_percentile(value, 0.5).alias("p50"), stats.linear_percentile(value, 0.95).alias("p95"))
+    return ranges.linear_percentiles(rows, value, {"p50": 0.5, "p95": 0.95}, [by])
 
 
 def arm_matrix(probes: DataFrame, key: str, arm: str, arms: list[str]) -> DataFrame:
@@ -170,7 +166,12 @@ def arm_matrix(probes: DataFrame, key: str, arm: str, arms: list[str]) -> DataFr
     return probes.groupBy(key).agg(F.size(seen).cast("long").alias("n_arms"), (F.array_sort(seen) == F.array(*map(F.lit, sorted(arms)))).alias("complete"))
 
 
-def attempts(trace: DataFrame, group: str, order: str, starts: Column) -> DataFrame:
-    """Rows of each group with ``attempt``: how many starts stand at or before the row."""
-    w = Window.partitionBy(group).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
-    return trace.withColumn("attempt", F.sum(starts.cast("long")).over(w))
+def attempts(trace: DataFrame, group: str, order: str | list[str], starts: Column, range_rows: int | None = None) -> DataFrame:
+    """Rows of each group with ``attempt``: how many starts stand at or before the row.
+
+    ``order`` names numbers or times, or one struct of them; a group of any size is spread over ranges of its order.
+    """
+    kind = trace.schema[order].dataType if isinstance(order, str) else None
+    values = order if kind is None else [f"{order}.{f.name}" for f in kind.fields] if isinstance(kind, T.StructType) else [order]
+    marked = trace.withColumn("__start", F.coalesce(starts, F.lit(False)).cast("long"))
+    return ranges.running_total(marked, [group], values, "__start", "attempt", range_rows).drop("__start")

@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from . import mining
+from . import mining, ranges
 
 
 def object_labels(objects: DataFrame) -> DataFrame:
@@ -43,10 +43,8 @@ def multi_session(envs: DataFrame, min_sessions: int = 2, splits: tuple[str, ...
 
 
 def summary(envs: DataFrame, moves: DataFrame) -> DataFrame:
-    """One row: environments, sessions, moves, moves of loose objects, upper median displacement (from counts by value)."""
-    per = moves.groupBy("displacement").agg(F.count("*").alias("c"))
-    seen = per.select("displacement", F.sum("c").over(Window.orderBy("displacement")).alias("upto"), F.sum("c").over(Window.partitionBy()).alias("n"))
-    median = seen.agg(F.coalesce(F.min(F.when(F.col("upto") > F.floor(F.col("n") / 2), F.col("displacement"))), F.lit(0.0)).alias("median_displacement"))
+    """One row: environments, sessions, moves, moves of loose objects, upper median displacement."""
+    median = ranges.order_statistics(moves, "displacement", {"median": ranges.index_rank(1, 2)}).select(F.coalesce("median", F.lit(0.0)).alias("median_displacement"))
     loose = moves.agg(F.count("*").alias("moves"), F.count_if(~F.lower("label").isin(mining.STRUCTURAL)).alias("loose_moves"))
     return envs.agg(F.count("*").alias("environments"), F.coalesce(F.sum("n_sessions"), F.lit(0)).alias("scans")).crossJoin(loose).crossJoin(median)  # one row each
 

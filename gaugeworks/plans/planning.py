@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from ..operators import corpus, events, geometry, mining, planning, recordings, report
+from ..operators import corpus, events, geometry, mining, planning, ranges, recordings, report
 from ..operators.report import attempts
 from ..sources import sinks
 from . import tables as t
@@ -201,6 +201,38 @@ def index_percentiles(spark, sf_dir):
     return report.index_percentiles(t.read(spark, sf_dir, "lineitem"), "l_quantity", {"p10": (1, 10), "p50": (1, 2), "p90": (9, 10), "pmax": (1, 1)})
 
 
+# Groups larger than a task should hold: all rows are one or three groups, in ranges of 2,000 rows at most.
+
+
+@query("""WITH l AS (SELECT l_returnflag AS flag, list_sort(list(l_extendedprice)) AS q, count(*) AS n FROM lineitem GROUP BY 1)
+    SELECT flag, q[n // 10 + 1] AS p10, q[n // 2 + 1] AS p50, q[9 * n // 10 + 1] AS p90, q[n] AS pmax FROM l""")
+def hot_index_percentiles(spark, sf_dir):
+    points = {"p10": (1, 10), "p50": (1, 2), "p90": (9, 10), "pmax": (1, 1)}
+    return report.index_percentiles(t.read(spark, sf_dir, "lineitem").withColumnRenamed("l_returnflag", "flag"), "l_extendedprice", points, ["flag"], range_rows=2000)
+
+
+@query("SELECT round(quantile_cont(CAST(l_extendedprice AS DOUBLE), 0.5), 6) AS p50, round(quantile_cont(CAST(l_extendedprice AS DOUBLE), 0.95), 6) AS p95, round(quantile_cont(CAST(l_extendedprice AS DOUBLE), 0.999), 6) AS p999 FROM lineitem")
+def hot_linear_percentiles(spark, sf_dir):
+    out = ranges.linear_percentiles(t.read(spark, sf_dir, "lineitem"), "l_extendedprice", {"p50": 0.5, "p95": 0.95, "p999": 0.999}, range_rows=2000)
+    return out.select(*(F.round(c, 6).alias(c) for c in out.columns))
+
+
+@query("""WITH r AS (SELECT l_orderkey * 10 + l_linenumber AS pos, min('f' || l_partkey) AS frame, max('f' || l_partkey) AS final FROM lineitem WHERE l_linenumber <> 2 GROUP BY 1), a AS (SELECT DISTINCT o_orderkey * 10 + o_custkey % 9 AS target FROM orders),
+    b AS (SELECT target, frame FROM a ASOF LEFT JOIN r ON a.target <= r.pos) SELECT 0 AS recording, target, coalesce(frame, (SELECT max_by(final, pos) FROM r)) AS frame FROM b""")
+def hot_asof_forward(spark, sf_dir):
+    li, o = t.read(spark, sf_dir, "lineitem").where("l_linenumber <> 2"), t.read(spark, sf_dir, "orders")
+    frames = li.select(F.lit(0).alias("recording"), (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("at"), F.concat(F.lit("f"), "l_partkey").alias("frame"))
+    targets = o.select(F.lit(0).alias("recording"), (F.col("o_orderkey") * 10 + F.col("o_custkey") % 9).alias("target")).distinct()
+    return planning.asof_forward(targets, frames, "recording", "at", "frame", range_rows=2000)
+
+
+@query("""WITH a AS (SELECT event_id, sum(CASE WHEN event_type = 'signup' THEN 1 ELSE 0 END) OVER (ORDER BY ts, event_id) AS attempt FROM events) SELECT CAST(attempt AS BIGINT) AS attempt, min(event_id) AS first_event, count(*) AS n FROM a GROUP BY 1""")
+def hot_attempts(spark, sf_dir):
+    rows = t.read(spark, sf_dir, "events").withColumn("env", F.lit("one"))
+    counted = attempts(rows, "env", ["ts", "event_id"], F.col("event_type") == "signup", range_rows=2000)
+    return counted.groupBy("attempt").agg(F.min("event_id").alias("first_event"), F.count("*").alias("n"))
+
+
 @query("WITH c AS (SELECT event_type, count(*) AS n FROM events GROUP BY 1) SELECT event_type AS best, n / CAST(sum(n) OVER () AS DOUBLE) AS share FROM c ORDER BY n DESC, event_type LIMIT 1")
 def constant_guesser_ceiling(spark, sf_dir):
     return mining.guesser_ceiling(t.read(spark, sf_dir, "events"), "event_type")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import ids, text
@@ -397,6 +398,31 @@ def mined_moves(spark, sf_dir):
     return mining.mine_environment(built).select("env_id", "subject", "displacement")
 
 
+def _walk(cap: int) -> str:
+    """The sequential walk in SQL: each step asks the best move of each environment that no earlier step blocks."""
+    blocked = "SELECT 1 FROM t{0} t WHERE t.env_id = m.env_id AND (t.subject = m.subject OR t.scan = m.scan AND t.subject = m.gold AND t.gold = m.subject)"
+    steps = ["t0 AS (SELECT * FROM m WHERE false)"]
+    for k in range(1, cap + 1):
+        steps.append(f"t{k} AS (SELECT * FROM t{k - 1} UNION ALL SELECT * FROM (SELECT * FROM m WHERE NOT EXISTS ({blocked.format(k - 1)}) QUALIFY row_number() OVER (PARTITION BY env_id ORDER BY displacement DESC, ord) = 1))")
+    return ", ".join(steps)
+
+
+@query(f"""WITH m AS (SELECT CAST(o_custkey % 60 AS VARCHAR) AS env_id, l_orderkey * 100 + row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice, l_discount, l_tax, l_returnflag, l_linestatus, l_shipdate) AS ord,
+        CAST(l_linenumber % 2 AS INTEGER) AS scan, 'thing' || (l_partkey % 9) AS subject, 'thing' || (l_suppkey % 9) AS gold, CAST(l_quantity AS DOUBLE) AS displacement
+    FROM lineitem JOIN orders ON l_orderkey = o_orderkey WHERE l_partkey % 9 <> 0 AND l_suppkey % 9 <> 0), {_walk(4)}
+    SELECT env_id, ord, scan, subject, gold, displacement FROM t4""")
+def mined_mirrors(spark, sf_dir):
+    """Moves between nine labels in two scans of each environment, so that many are mirrors; one label is unusable."""
+    label = lambda c: F.when(F.col(c) % 9 == 0, "wall").otherwise(F.concat(F.lit("thing"), F.col(c) % 9))
+    li, o = t.read(spark, sf_dir, "lineitem"), t.read(spark, sf_dir, "orders")
+    order = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice", "l_discount", "l_tax", "l_returnflag", "l_linestatus", "l_shipdate")
+    usable = li.where("l_partkey % 9 <> 0 and l_suppkey % 9 <> 0").withColumn("ord", F.col("l_orderkey") * 100 + F.row_number().over(order))
+    other = li.where("l_partkey % 9 = 0 or l_suppkey % 9 = 0").withColumn("ord", -F.col("l_orderkey"))
+    rows = usable.unionByName(other).join(o, F.col("l_orderkey") == F.col("o_orderkey"))
+    built = rows.select((F.col("o_custkey") % 60).cast("string").alias("env_id"), "ord", (F.col("l_linenumber") % 2).cast("int").alias("scan"), label("l_partkey").alias("subject"), label("l_suppkey").alias("gold"), F.col("l_quantity").cast("double").alias("displacement"))
+    return mining.mine_environment(built)
+
+
 @query("""WITH p AS (SELECT user_id, event_id, event_type AS noun, CASE event_id % 3 WHEN 0 THEN 'drawer' WHEN 1 THEN 'fridge' END AS head FROM events WHERE event_type <> 'view')
     SELECT CAST(user_id AS VARCHAR) AS participant_id, noun AS object, count(DISTINCT head) AS n_places, CAST(count(DISTINCT event_id % 7) AS INTEGER) AS n_sessions FROM p WHERE head IS NOT NULL GROUP BY ALL HAVING n_places >= 2""")
 def placement_candidates(spark, sf_dir):
