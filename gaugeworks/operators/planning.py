@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
+from ..scratch import checkpointed
 from . import ranges
 
 
@@ -88,46 +90,126 @@ def window_frames(start: Column, end: Column, fps: float) -> Column:
     return F.greatest(F.lit(1), F.ceil((end - start) * fps)).cast("int")
 
 
-def plan_budget(eligible: DataFrame, order: str, max_videos: int, limit: int) -> tuple[list, dict[str, int]]:
-    """Take eligible rows (``order``, history) in order while the videos used fit; later counts by reason.
+VERDICTS = ("video_budget", "item_limit")
+FOLDED, BATCH = 1_000, 256
+
 
-    The fold is sequential; rows come to the driver one partition at a time.
+def budget_verdicts(eligible: DataFrame, order: str, max_videos: int, limit: int) -> DataFrame:
+    """``eligible`` (``order``, history) with ``verdict``: chosen, video_budget or item_limit.
+
+    As if rows were walked by ``order`` (unique): a row whose history and the videos used so far are more than
+    ``max_videos`` together is over the budget; others are chosen until there are ``limit``.  Only rows that add
+    videos change the walk.  A row that is over the budget stays so, as the used videos only grow, so
+    the adding rows are folded in order, ``FOLDED`` at a time, at most ``max_videos`` of them with effect; all other
+    rows are judged by themselves, from the place in the order where each video came into use.
     """
-    used: set[str] = set()
-    chosen, excluded = [], {"video_budget": 0, "item_limit": 0}
-    for row in eligible.orderBy(order).toLocalIterator():
-        history = set(row["history"])
-        if len(used | history) > max_videos:
-            excluded["video_budget"] += 1
-        elif len(chosen) >= limit:
-            excluded["item_limit"] += 1
-        else:
-            chosen.append(row)
-            used |= history
-    return chosen, excluded
+    seen = F.array_distinct(F.coalesce("history", F.array().cast(eligible.schema["history"].dataType)))
+    rows = eligible.withColumn("__h", seen)
+    kind, item = eligible.schema[order].dataType, eligible.schema["history"].dataType.elementType
+    since: dict = {}  # video -> the order of the row that brought it
+    at = None
+    while len(since) < max_videos:
+        new = F.size(F.array_except("__h", _literals(list(since), item)))
+        more = rows.where((new > 0) & (new + len(since) <= max_videos))
+        more = more.where(F.col(order) > F.lit(at)) if at is not None else more
+        got = more.select(order, "__h").orderBy(order).limit(FOLDED).collect()
+        for o, history in got:
+            if len(since.keys() | set(history)) <= max_videos:
+                since |= {v: o for v in history if v not in since}
+        if len(got) < FOLDED:
+            break
+        at = got[-1][0]
+    came = F.map_from_arrays(_literals([v for v in since if v is not None], item), _literals([o for v, o in since.items() if v is not None], kind))
+    blank = F.lit(since.get(None)).cast(kind)  # when the null video came, as maps have no null keys
+
+    def together(row: Column, end: Column | None) -> Column:
+        """How many videos are used by the rows before ``row``, of those up to ``end``, and by the row's history."""
+        here = lambda o: F.coalesce((o < row) & (F.lit(True) if end is None else o <= end), F.lit(False))
+        return F.size(F.filter(_literals(list(since.values()), kind), here)) + F.size(F.filter("__h", lambda v: ~here(F.when(v.isNull(), blank).otherwise(F.try_element_at(came, v)))))
+
+    fits = together(F.col(order), None) <= max_videos
+    last = ranges.order_statistics(rows.where(fits), order, {"last": lambda n: F.lit(limit - 1)}).first()["last"] if limit > 0 else None
+    if limit <= 0:
+        verdict = F.when(F.size("__h") > max_videos, VERDICTS[0]).otherwise(VERDICTS[1])
+    elif last is None:
+        verdict = F.when(fits, "chosen").otherwise(VERDICTS[0])
+    else:
+        end = F.lit(last).cast(kind)
+        verdict = F.when(together(F.col(order), end) > max_videos, VERDICTS[0]).when(F.col(order) > end, VERDICTS[1]).otherwise("chosen")
+    return rows.withColumn("verdict", verdict).drop("__h")
+
+
+def _literals(values: list, kind) -> Column:
+    return F.array(*(F.lit(v) for v in values)).cast(T.ArrayType(kind))
+
+
+def plan_budget(eligible: DataFrame, order: str, max_videos: int, limit: int) -> tuple[list, dict[str, int]]:
+    """The chosen rows of ``budget_verdicts`` in order, ``limit`` at most, and how many others there are by reason."""
+    judged = budget_verdicts(eligible, order, max_videos, limit)
+    counts = {r["verdict"]: r["count"] for r in judged.groupBy("verdict").count().collect()}
+    return judged.where("verdict = 'chosen'").drop("verdict").orderBy(order).collect(), {v: counts.get(v, 0) for v in VERDICTS}
 
 
 def greedy_cover(candidates: DataFrame, sizes: DataFrame, budget: float, mean_size: float) -> DataFrame:
     """(step, session, spent): sessions by value for size until the best one is over the budget.
 
-    A session's value is four times the candidates it completes plus those it brings closer, over
-    its size; a zero or unknown size counts as the mean.  Candidates (candidate, session) are pairs of
-    a few hundred candidates; only each round's best session comes to the driver.
+    A session's value is four times the candidates it completes plus those it brings closer, over its size; a zero or
+    unknown size counts as the mean; ties go to the smaller size, then the name.  Candidates are pairs (candidate, session).
+
+    The order is that of choosing one session at a time, but a round takes as many as it can.  Let the ``BATCH`` best
+    sessions by present value be taken in that order.  A value only grows, and only when a candidate's
+    last but one session is taken; so it is known when each value grows, and at which place the grown value would
+    stand.  Up to the first place that such a value would take from the one listed, the list is the
+    sequential choice.  Only the batch and that place come to the driver.  Rounds grow with the times that a grown value
+    overtakes the list: one for sessions that share no candidates, as many as sessions at worst.
     """
     spark = candidates.sparkSession
     cost = F.when(F.coalesce("size", F.lit(0.0)) == 0, mean_size).otherwise(F.col("size"))
-    pairs = candidates.join(sizes, "session", "left").select("candidate", "session", cost.alias("cost")).distinct().cache()
+    pairs = checkpointed(candidates.join(sizes, "session", "left").select("candidate", "session", cost.cast("double").alias("cost")).distinct())
+    worth = lambda completes, partial: (4 * completes + partial) / F.greatest("cost", F.lit(0.01))
     chosen: list[tuple[int, str, float]] = []
     spent = 0.0
     while True:
-        taken = [s for _, s, _ in chosen]
-        missing = pairs.where(~F.col("session").isin(taken)) if taken else pairs
-        missing = missing.withColumn("left", F.count("*").over(Window.partitionBy("candidate")))
-        value = (4 * F.count_if(F.col("left") == 1) + F.count("*")) / F.greatest(F.first("cost"), F.lit(0.01))
-        best = missing.groupBy("session").agg(value.alias("value"), F.first("cost").alias("cost")).orderBy(F.desc("value"), "cost", "session").first()
-        if best is None or (budget and spent + best["cost"] > budget):
+        left = pairs.groupBy("candidate").agg(F.count("*").alias("left"))
+        per = pairs.join(left, "candidate").groupBy("session").agg(F.count_if(F.col("left") == 1).alias("completes"), F.count("*").alias("partial"), F.first("cost").alias("cost"))
+        per = checkpointed(per)
+        top = per.select("session", worth(F.col("completes"), F.col("partial")).alias("value"), "cost").orderBy(F.desc("value"), "cost", "session").limit(BATCH).collect()
+        affordable, total = 0, spent
+        while affordable < len(top) and not (budget and total + top[affordable]["cost"] > budget):
+            total += top[affordable]["cost"]
+            affordable += 1
+        if not affordable:
             break
-        spent += best["cost"]
-        chosen.append((len(chosen), best["session"], spent))
-    pairs.unpersist()
+        sure = _sure_places(spark, pairs, per, top, worth)
+        for row in top[: min(sure, affordable)]:
+            spent += row["cost"]
+            chosen.append((len(chosen), row["session"], spent))
+        if sure > affordable < len(top):
+            break  # the next one is surely the best, and over the budget
+        taken = spark.createDataFrame([(r["session"],) for r in top[: min(sure, affordable)]], "session string")
+        pairs = checkpointed(pairs.join(F.broadcast(taken), "session", "left_anti"))  # BATCH rows at most
     return spark.createDataFrame(chosen, "step int, session string, spent double")
+
+
+def _sure_places(spark, pairs: DataFrame, per: DataFrame, top: list, worth) -> int:
+    """How many of ``top``, taken in their order, are the best at their turn."""
+    place = F.broadcast(spark.createDataFrame([(r["session"], i) for i, r in enumerate(top)], "session string, place int"))
+    marked = pairs.join(place, "session", "left")
+    per_candidate = marked.groupBy("candidate").agg(
+        F.sort_array(F.collect_list("place")).alias("p"), F.count("*").alias("left"), F.max(F.when(F.col("place").isNull(), F.col("session"))).alias("outside"), F.max_by("session", "place").alias("latest"),
+    )
+    n = F.size("p")
+    # A candidate that lacks one session only, once the others of the list are taken, raises that session's value then.
+    raised = per_candidate.select(
+        F.when(n == F.col("left"), F.col("latest")).otherwise(F.col("outside")).alias("session"),
+        F.when((n == F.col("left")) & (n >= 2), F.get("p", n - 2)).when((n + 1 == F.col("left")) & (n >= 1), F.get("p", n - 1)).alias("after"),
+    ).where("after is not null")
+    upto = Window.partitionBy("session").orderBy("after").rowsBetween(Window.unboundedPreceding, 0)
+    raised = raised.groupBy("session", "after").agg(F.count("*").alias("more")).withColumn("more", F.sum("more").over(upto))
+    grown = raised.join(per, "session").select("session", "after", worth(F.col("completes") + F.col("more"), F.col("partial")).alias("value"), "cost").join(place, "session", "left")
+    listed = spark.createDataFrame([([tuple(r) for r in top],)], "listed array<struct<session:string,value:double,cost:double>>")
+    better = lambda r: (r["value"] > F.col("value")) | (r["value"] == F.col("value")) & ((r["cost"] < F.col("cost")) | (r["cost"] == F.col("cost")) & (r["session"] < F.col("session")))
+    turn = F.greatest(F.col("after") + 1, F.size(F.filter("listed", better)))
+    found = grown.crossJoin(F.broadcast(listed)).withColumn("turn", turn).where(F.col("place").isNull() | (F.col("turn") < F.col("place")))  # one row
+    first = found.agg(F.min("turn")).first()[0]
+    return len(top) if first is None else min(first, len(top))

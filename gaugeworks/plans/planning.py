@@ -285,13 +285,36 @@ def balanced_assignment(spark, sf_dir):
     return mining.balanced(t.read(spark, sf_dir, "part").select("p_partkey"), "p_partkey").groupBy("letter").agg(F.count("*").alias("n"))
 
 
-@query()
+def _cover(steps: int, budget: float) -> str:
+    """The cover in SQL, one session a step; sizes are 1 at least, so ``budget`` steps are enough."""
+    value = "(4 * count(*) FILTER (n = 1) + count(*)) / greatest(any_value(cost), 0.01)"
+    out = ["t0 AS (SELECT 0 AS step, '' AS session, 0.0::DOUBLE AS spent WHERE false)"]
+    for k in range(1, steps + 1):
+        best = f"SELECT session, any_value(cost) AS cost, {value} AS value FROM (SELECT *, count(*) OVER (PARTITION BY candidate) AS n FROM p WHERE session NOT IN (SELECT session FROM t{k - 1})) GROUP BY session ORDER BY value DESC, cost, session LIMIT 1"
+        told = f"(SELECT coalesce(max(spent), 0) FROM t{k - 1})"
+        out.append(f"t{k} AS MATERIALIZED (SELECT * FROM t{k - 1} UNION ALL SELECT {k - 1}, session, {told} + cost FROM ({best}) WHERE {told} + cost <= {budget} AND (SELECT count(*) FROM t{k - 1}) = {k - 1})")
+    return ", ".join(out)
+
+
+@query(f"""WITH p AS MATERIALIZED (SELECT DISTINCT l_partkey AS candidate, 's' || l_suppkey AS session, CAST(CASE WHEN l_suppkey % 7 = 0 THEN 3 ELSE l_suppkey % 7 END AS DOUBLE) AS cost FROM lineitem), {_cover(20, 20.0)}
+    SELECT CAST(step AS INTEGER) AS step, session, spent FROM t20""")
 def greedy_cover(spark, sf_dir):
     rows = t.read(spark, sf_dir, "lineitem").select(F.col("l_partkey").alias("candidate"), F.concat(F.lit("s"), F.col("l_suppkey").cast("string")).alias("session")).distinct()
     sizes = t.read(spark, sf_dir, "supplier").select(F.concat(F.lit("s"), F.col("s_suppkey").cast("string")).alias("session"), (F.col("s_suppkey") % 7).cast("double").alias("size"))
     return planning.greedy_cover(rows, sizes, 20.0, 3.0)
 
 
+@query("""WITH RECURSIVE h AS MATERIALIZED (SELECT row_number() OVER (ORDER BY l_partkey) AS i, l_partkey AS id, list(DISTINCT l_suppkey % 12) AS h FROM lineitem WHERE l_returnflag = 'R' GROUP BY l_partkey),
+    w AS (SELECT CAST(0 AS BIGINT) AS i, CAST(NULL AS BIGINT) AS id, []::BIGINT[] AS used, CAST(0 AS BIGINT) AS n, '' AS verdict UNION ALL
+        SELECT h.i, h.id, CASE WHEN len(list_distinct(used || h.h)) <= 9 AND n < 100 THEN list_distinct(used || h.h) ELSE used END, n + CASE WHEN len(list_distinct(used || h.h)) <= 9 AND n < 100 THEN 1 ELSE 0 END,
+            CASE WHEN len(list_distinct(used || h.h)) > 9 THEN 'video_budget' WHEN n >= 100 THEN 'item_limit' ELSE 'chosen' END
+        FROM w JOIN h ON h.i = w.i + 1)
+    SELECT id, verdict FROM w WHERE i > 0""")
+def history_budget(spark, sf_dir):
+    rows = t.read(spark, sf_dir, "lineitem").where("l_returnflag = 'R'").groupBy(F.col("l_partkey").alias("id")).agg(F.collect_set(F.col("l_suppkey") % 12).alias("history"))
+    return planning.budget_verdicts(rows, "id", 9, 100).select("id", "verdict")
+
+
 _PHASE = "CASE event_type WHEN 'signup' THEN 1 WHEN 'view' THEN 2 WHEN 'click' THEN 3 WHEN 'purchase' THEN 4 ELSE 5 END"
 
 

@@ -408,16 +408,16 @@ def _walk(cap: int) -> str:
 
 
 @query(f"""WITH m AS (SELECT CAST(o_custkey % 60 AS VARCHAR) AS env_id, l_orderkey * 100 + row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice, l_discount, l_tax, l_returnflag, l_linestatus, l_shipdate) AS ord,
-        CAST(l_linenumber % 2 AS INTEGER) AS scan, 'thing' || (l_partkey % 9) AS subject, 'thing' || (l_suppkey % 9) AS gold, CAST(l_quantity AS DOUBLE) AS displacement
-    FROM lineitem JOIN orders ON l_orderkey = o_orderkey WHERE l_partkey % 9 <> 0 AND l_suppkey % 9 <> 0), {_walk(4)}
+        CAST(l_linenumber % 2 AS INTEGER) AS scan, 'thing' || (l_partkey % 6) AS subject, 'thing' || (l_suppkey % 6) AS gold, CAST(l_quantity AS DOUBLE) AS displacement
+    FROM lineitem JOIN orders ON l_orderkey = o_orderkey WHERE l_partkey % 6 <> 0 AND l_suppkey % 6 <> 0), {_walk(4)}
     SELECT env_id, ord, scan, subject, gold, displacement FROM t4""")
 def mined_mirrors(spark, sf_dir):
-    """Moves between nine labels in two scans of each environment, so that many are mirrors; one label is unusable."""
-    label = lambda c: F.when(F.col(c) % 9 == 0, "wall").otherwise(F.concat(F.lit("thing"), F.col(c) % 9))
+    """Moves between six labels in two scans of each environment, so that many are mirrors; one label is unusable."""
+    label = lambda c: F.when(F.col(c) % 6 == 0, "wall").otherwise(F.concat(F.lit("thing"), F.col(c) % 6))
     li, o = t.read(spark, sf_dir, "lineitem"), t.read(spark, sf_dir, "orders")
     order = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice", "l_discount", "l_tax", "l_returnflag", "l_linestatus", "l_shipdate")
-    usable = li.where("l_partkey % 9 <> 0 and l_suppkey % 9 <> 0").withColumn("ord", F.col("l_orderkey") * 100 + F.row_number().over(order))
-    other = li.where("l_partkey % 9 = 0 or l_suppkey % 9 = 0").withColumn("ord", -F.col("l_orderkey"))
+    usable = li.where("l_partkey % 6 <> 0 and l_suppkey % 6 <> 0").withColumn("ord", F.col("l_orderkey") * 100 + F.row_number().over(order))
+    other = li.where("l_partkey % 6 = 0 or l_suppkey % 6 = 0").withColumn("ord", -F.col("l_orderkey"))
     rows = usable.unionByName(other).join(o, F.col("l_orderkey") == F.col("o_orderkey"))
     built = rows.select((F.col("o_custkey") % 60).cast("string").alias("env_id"), "ord", (F.col("l_linenumber") % 2).cast("int").alias("scan"), label("l_partkey").alias("subject"), label("l_suppkey").alias("gold"), F.col("l_quantity").cast("double").alias("displacement"))
     return mining.mine_environment(built)

@@ -4,32 +4,16 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StreamingQuery
 
-from ..sources.readers import last_wins
+from .source import growing_log
 
 
 def prediction_stream(spark: SparkSession, folder: str, schema: str) -> DataFrame:
-    """Lines of a growing folder of JSON lines; torn lines are dropped."""
-    lines = spark.readStream.text(folder)
+    """Lines of a folder of growing JSON-lines files, each read once it is whole; lines that are no predictions are dropped."""
+    lines = growing_log(spark, folder)
     return lines.select(F.from_json("value", schema).alias("p")).where("p.item_id is not null").select("p.*")
 
 
-def follow(stream: DataFrame, table: str, checkpoint: str, keys: tuple[str, ...] = ("run_id", "item_id"), order: str = "created_at") -> StreamingQuery:
-    """Keep the newest row of each key in a Parquet folder, one generation a batch; replayed batches change nothing."""
-    keys_ = list(keys)
-
-    def upsert(batch: DataFrame, epoch: int) -> None:
-        spark = batch.sparkSession
-        rows = batch.select("*", F.lit(epoch).alias("__epoch"))
-        if epoch:
-            rows = spark.read.parquet(f"{table}/epoch={epoch - 1}").unionByName(rows)
-        rows = rows.withColumn("__ord", F.struct("__epoch", order))
-        last_wins(rows, keys_, "__ord").drop("__ord").write.mode("overwrite").parquet(f"{table}/epoch={epoch}")
-
-    return stream.writeStream.foreachBatch(upsert).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
-
-
 def snapshot(rows: DataFrame, expected: DataFrame) -> DataFrame:
     """(status, n, n_outside): rows by status within the expected items, and those outside them."""
     marked = rows.join(expected.select("item_id").distinct().withColumn("__in", F.lit(True)), "item_id", "left")

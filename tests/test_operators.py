@@ -9,7 +9,7 @@ from gaugeworks import schemas
 from gaugeworks.functions.text import UNANSWERABLE_TEXT
 from gaugeworks.operators import compare, corpus, events, geometry, mining, planning, report, scoring
 from gaugeworks.sources import readers, sinks
-from gaugeworks.streaming import live
+from gaugeworks.streaming import live, upserts
 
 SCORE = "item_id string, axis string, score double, status string, is_unanswerable boolean, abstained boolean, cross_session boolean, needs_judge boolean"
 
@@ -175,12 +175,12 @@ def test_stream_keeps_last_rows(spark, tmp_path):
     row = lambda item, status, at: json.dumps({"run_id": "r", "item_id": item, "status": status, "created_at": at})
     table = str(tmp_path / "t")
     for n, lines in enumerate([[row("a", "timeout", "1"), row("b", "ok", "1")], [row("a", "ok", "2"), "{torn"]]):
-        (tmp_path / "in" / f"{n}.jsonl").write_text("\n".join(lines))
-        q = live.follow(live.prediction_stream(spark, str(tmp_path / "in"), schemas.PREDICTIONS), table, str(tmp_path / "c"))
+        (tmp_path / "in" / f"{n}.jsonl").write_text("\n".join(lines) + "\n")
+        q = upserts.follow(live.prediction_stream(spark, str(tmp_path / "in"), schemas.PREDICTIONS), table, str(tmp_path / "c"))
         q.awaitTermination(60)
-    got = {r["item_id"]: r["status"] for r in spark.read.parquet(f"{table}/epoch=1").collect()}
-    assert got == {"a": "ok", "b": "ok"}
-    snap = live.snapshot(spark.read.parquet(f"{table}/epoch=1"), spark.createDataFrame([("a",)], "item_id string")).first()
+    kept = upserts.read(spark, table, ["run_id", "item_id"])
+    assert {r["item_id"]: r["status"] for r in kept.collect()} == {"a": "ok", "b": "ok"}
+    snap = live.snapshot(kept, spark.createDataFrame([("a",)], "item_id string")).first()
     assert (snap["n"], snap["n_outside"]) == (1, 1)
 
 
