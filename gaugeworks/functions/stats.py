@@ -55,17 +55,22 @@ def linear_percentile(column: str, q: float) -> Column:
 def binomial_two_sided(k: Column, n: Column, p: Column) -> Column:
     """Exact two-sided binomial test: the probability of outcomes no likelier than k of n.
 
-    Log probabilities come from the recurrence log pmf(i) = log pmf(i - 1) + log((n - i + 1) / i) + log(p / q),
-    so large n neither overflows nor loses the tail.
+    Log probabilities come from the recurrence log pmf(i) = log pmf(i - 1) + log((n - i + 1) / i) + log(p / q), so large
+    n neither overflows nor loses the tail.  It is run twice, first up to k, then adding up what is no likelier, and holds two numbers.
     """
-    step = F.ln(p) - F.ln(1 - p)
-    start = F.struct(F.array((n * F.ln(1 - p)).cast("double")).alias("all"), (n * F.ln(1 - p)).cast("double").alias("last"))
+    step, begin = F.ln(p) - F.ln(1 - p), (n * F.ln(1 - p)).cast("double")
+    following = lambda last, i: last + F.ln((n - i + 1) / i) + step
+    upto = lambda m: F.when(m >= 1, F.sequence(F.lit(1).cast("long"), m.cast("long"))).otherwise(F.array().cast("array<long>"))
+    seen = F.aggregate(upto(k), begin, following)
 
-    def grow(acc: Column, i: Column) -> Column:
-        now = acc["last"] + F.ln((n - i + 1) / i) + step
-        return F.struct(F.concat(acc["all"], F.array(now)).alias("all"), now.alias("last"))
+    def add(bound: Column) -> Column:
+        counted = lambda x: F.when(x <= bound, F.exp(x)).otherwise(0.0)
 
-    logs = F.aggregate(F.sequence(F.lit(1).cast("long"), F.greatest(n, F.lit(1)).cast("long")), start, grow)["all"]
-    seen = F.element_at(logs, (k + 1).cast("int"))
-    total = F.aggregate(logs, F.lit(0.0), lambda a, x: a + F.when(x <= seen + 1e-9, F.exp(x)).otherwise(0.0))
+        def grow(acc: Column, i: Column) -> Column:
+            now = following(acc["last"], i)
+            return F.struct(now.alias("last"), (acc["total"] + counted(now)).alias("total"))
+
+        return F.aggregate(upto(n), F.struct(begin.alias("last"), counted(begin).alias("total")), grow)["total"]
+
+    total = F.transform(F.array(seen + 1e-9), add)[0]  # the bound is computed once
     return F.when(n == 0, 1.0).otherwise(F.least(F.lit(1.0), total))

@@ -104,10 +104,31 @@ def vector_mean(rows: DataFrame, by: str, vector: str) -> DataFrame:
     return rows.select(by, F.posexplode(vector).alias("dim", "x")).groupBy(by, "dim").agg(F.avg(F.col("x").cast("double")).alias("mean"))
 
 
+def memory_state(chunks: DataFrame, by: str, vector: str, kind: str = "mean") -> DataFrame:
+    """(by, memory, n_records, memory_bytes): what a substrate holds of the chunks it was given.
+
+    ``mean`` holds the mean vector, 8 bytes a component; ``none`` takes chunks in and holds nothing (memory is null).
+    """
+    if kind == "none":
+        return chunks.groupBy(by).agg(F.lit(None).cast("array<double>").alias("memory"), F.lit(0).cast("long").alias("n_records"), F.lit(0).cast("long").alias("memory_bytes"))
+    if kind != "mean":
+        raise ValueError(f"unknown substrate {kind!r}")
+    held = vector_mean(chunks, by, vector).groupBy(by).agg(F.array_sort(F.collect_list(F.struct("dim", "mean"))).alias("m"))  # one entry a component
+    counts = chunks.groupBy(by).agg(F.count(vector).alias("n_records"))
+    return counts.join(held, by, "left").select(by, F.transform("m", lambda x: x["mean"]).alias("memory"), "n_records", F.coalesce(8 * F.greatest(F.size("m"), F.lit(0)), F.lit(0)).cast("long").alias("memory_bytes"))
+
+
 def calibrated_choice(query: Column, memory: Column, options: list[tuple[str, Column]]) -> Column:
-    """The option whose similarity gains most from memory over the query alone; ties go to the first letter."""
-    unit = lambda v: F.transform(v, lambda x: F.try_divide(x, F.sqrt(dot(v, v))))
-    m, q = unit(memory), unit(query)
-    scored = F.array(*(F.struct((dot(m, o) - dot(q, o)).alias("gain"), F.lit(letter).alias("letter")) for letter, o in options))
-    best = F.array_max(F.transform(scored, lambda s: s["gain"]))
-    return F.filter(scored, lambda s: s["gain"] == best)[0]["letter"]
+    """The option whose similarity gains most from memory over the query alone; ties go to the first letter.
+
+    Without memory (null) the query stands for it, so nothing gains.
+    """
+    memory = F.coalesce(memory, query)
+    once = lambda value, use: F.transform(F.array(value), use)[0]  # noqa: E731  a value that is used often is computed once
+    unit = lambda v: once(F.sqrt(dot(v, v)), lambda n: F.transform(v, lambda x: F.try_divide(x, n)))
+
+    def best(both: Column) -> Column:
+        scored = F.array(*(F.struct((dot(both["m"], o) - dot(both["q"], o)).alias("gain"), F.lit(-i).alias("i"), F.lit(letter).alias("letter")) for i, (letter, o) in enumerate(options)))
+        return F.array_max(scored)["letter"]
+
+    return once(F.struct(unit(memory).alias("m"), unit(query).alias("q")), best)

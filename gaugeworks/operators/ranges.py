@@ -68,22 +68,28 @@ def ranged(rows: DataFrame, by: list[str], values: list[str], range_rows: int |
     return rows, cut
 
 
-def running_total(rows: DataFrame, by: list[str], values: list[str], amount: str, name: str, range_rows: int | None = None) -> DataFrame:
-    """Adds ``name``: the sum of ``amount`` up to each row of its group in the order of ``values``.
+def running_totals(rows: DataFrame, by: list[str], values: list[str], amounts: dict[str, str], range_rows: int | None = None) -> DataFrame:
+    """Adds, for each name of ``amounts``, the sum of its column up to each row of the group in the order of ``values``.
 
-    Ranges are summed by themselves; the totals of a group's earlier ranges, one number a range, are carried over.
+    Ranges are summed by themselves; the totals of a group's earlier ranges, one row a range, are carried over.
     """
     rows, cut = ranged(rows, by, values, range_rows)
     keys = [*by, RANGE]
     upto = Window.partitionBy(*keys).orderBy(*values).rowsBetween(Window.unboundedPreceding, 0)
-    rows = rows.withColumn(name, F.sum(amount).over(upto))
+    rows = rows.withColumns({name: F.sum(c).over(upto) for name, c in amounts.items()})
     if cut:
         before = Window.partitionBy(*by).orderBy(RANGE).rowsBetween(Window.unboundedPreceding, -1)
-        totals = rows.groupBy(*keys).agg(F.sum(amount).alias("__own")).select(*keys, F.coalesce(F.sum("__own").over(before), F.lit(0)).alias("__before"))
-        rows = joined(rows, totals, keys).withColumn(name, F.col(name) + F.col("__before")).drop("__before")
+        own = rows.groupBy(*keys).agg(*(F.sum(c).alias(f"__own_{name}") for name, c in amounts.items()))
+        carried = own.select(*keys, *(F.coalesce(F.sum(f"__own_{name}").over(before), F.lit(0)).alias(f"__before_{name}") for name in amounts))
+        rows = joined(rows, carried, keys).withColumns({name: F.col(name) + F.col(f"__before_{name}") for name in amounts}).drop(*(f"__before_{name}" for name in amounts))
     return rows.drop(RANGE)
 
 
+def running_total(rows: DataFrame, by: list[str], values: list[str], amount: str, name: str, range_rows: int | None = None) -> DataFrame:
+    """``running_totals`` of one amount."""
+    return running_totals(rows, by, values, {name: amount}, range_rows)
+
+
 Rank = Callable[[Column], Column]
 
 

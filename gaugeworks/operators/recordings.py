@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import ids
-from . import planning
+from . import planning, ranges
 
 UNANSWERABLE_CHOICE = "This question can not be answered."
 MODALITIES = ["Video", "OCR"]
@@ -67,10 +67,10 @@ def eligibility(qa: DataFrame, max_current_seconds: float = 1200.0, history: boo
     return rows.withColumns({"boundary": boundary, "recordings": recordings, "reason": reason}).drop("__known")
 
 
-def caption_context(captions: DataFrame, cutoffs: DataFrame, mode: str = "summary") -> DataFrame:
-    """(cutoff, context, n_videos, n_segments): captions up to each distinct cutoff, all for -1.
+def caption_texts(captions: DataFrame, mode: str = "summary") -> DataFrame:
+    """(video_idx, said, n): the text of each video, made once, and its number of segments.
 
-    Modes: summary, summary_speech, important (one last event a scene).  A video's text is made once.
+    Modes: summary, summary_speech, important (one last event a scene).
     """
     text = lambda c: F.trim(F.coalesce(c, F.lit("")))
     part = lambda c: F.coalesce(c.cast("string"), F.lit(""))
@@ -87,11 +87,36 @@ def caption_context(captions: DataFrame, cutoffs: DataFrame, mode: str = "summar
         return F.array_join(F.array_compact(lines), "\n")
 
     head = F.concat(F.lit("VIDEO "), F.col("video_idx").cast("string"), F.lit(" id="), F.col("video_id"), F.lit(" weekday="), part(F.col("time_of_week")))
-    videos = captions.select("video_idx", F.size("segments").alias("n"), F.array_join(F.concat(F.array(head), F.transform("segments", scene)), "\n").alias("said"))
-    distinct = cutoffs.select("cutoff").distinct()
-    seen = distinct.join(videos, (F.col("cutoff") == -1) | (F.col("video_idx") <= F.col("cutoff")), "left")
-    rows = seen.groupBy("cutoff").agg(F.sort_array(F.collect_list(F.struct("video_idx", "said"))).alias("v"), F.count("video_idx").alias("n_videos"), F.coalesce(F.sum("n"), F.lit(0)).alias("n_segments"))
-    return rows.select("cutoff", F.array_join(F.transform(F.filter("v", lambda x: x["video_idx"].isNotNull()), lambda x: x["said"]), "\n").alias("context"), "n_videos", "n_segments")
+    return captions.select("video_idx", F.array_join(F.concat(F.array(head), F.transform("segments", scene)), "\n").alias("said"), F.size("segments").alias("n"))
+
+
+def caption_prefixes(texts: DataFrame, cutoffs: DataFrame, range_rows: int | None = None) -> DataFrame:
+    """(cutoff, n_videos, n_segments, n_chars): how much of ``caption_texts``, joined line by line in order, each distinct cutoff sees.
+
+    A cutoff sees a prefix, so its length tells it all: the result has a row a cutoff and no text.  Running totals
+    over ranges of video numbers take the place of a join of cutoffs with the videos up to them.  -1 sees everything.
+    """
+    zero = F.lit(0).cast("long")
+    videos = texts.groupBy(F.col("video_idx").cast("long").alias("v")).agg(F.count("*").alias("c"), F.sum("n").cast("long").alias("s"), F.sum(F.length("said") + 1).cast("long").alias("l"))
+    asked = cutoffs.select(F.col("cutoff").cast("long").alias("v")).distinct().select("v", zero.alias("c"), zero.alias("s"), zero.alias("l"))
+    marks = videos.unionByName(asked).groupBy("v").agg(*(F.sum(x).alias(x) for x in "csl"))
+    seen = ranges.running_totals(marks, [], ["v"], {"n_videos": "c", "n_segments": "s", "n_chars": "l"}, range_rows)
+    total = videos.agg(*(F.coalesce(F.sum(x), zero).alias(f"all_{x}") for x in "csl"))
+    pick = lambda x, name: F.when(F.col("cutoff") == -1, F.col(f"all_{x}")).otherwise(F.col(name)).alias(name)
+    rows = cutoffs.select("cutoff").distinct().join(seen, F.col("cutoff") == F.col("v")).crossJoin(F.broadcast(total))  # one row
+    rows = rows.select("cutoff", pick("c", "n_videos"), pick("s", "n_segments"), pick("l", "n_chars"))
+    return rows.withColumn("n_chars", F.greatest(F.col("n_chars") - 1, F.lit(0)))  # no line end after the last
+
+
+def caption_context(captions: DataFrame, cutoffs: DataFrame, mode: str = "summary") -> DataFrame:
+    """(cutoff, context, n_videos, n_segments): what a reader of each distinct cutoff is given.
+
+    For consumers that need the text itself: the whole text is put together once, in one row, and each cutoff cuts its prefix.
+    """
+    texts = caption_texts(captions, mode)
+    whole = texts.agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("video_idx", "said"))), lambda x: x["said"]), "\n").alias("whole"))
+    rows = caption_prefixes(texts, cutoffs).crossJoin(whole)  # one row
+    return rows.select("cutoff", F.left("whole", F.col("n_chars").cast("int")).alias("context"), "n_videos", "n_segments")
 
 
 def trace_summary(trace: DataFrame) -> DataFrame:

@@ -125,6 +125,58 @@ def reply_conformance(replies: DataFrame) -> DataFrame:
     return facts.select("system", rows.alias("r")).select("system", "r.*")
 
 
+#: The ways a system may see an environment.
+CONTEXT_MODES = ["memory", "oracle", "blind"]
+#: Checks of an exchange in their order, with whether a system must pass them.
+EXCHANGE_CHECKS = [
+    ("handshake", True), ("declares_context_mode", True), ("specific_system_id", False), ("ingest_acknowledged", True), ("ingest_end_acknowledged", True), ("releases_media", True),
+    ("answers_all", True), ("echoes_ids", True), ("accepts_env_end", True), ("survives_unknown", False),
+]
+EXCHANGE = "system string, seq long, type string, system_id string, context_mode string, session_id string, item_id string"
+
+
+def exchange_conformance(log: DataFrame, held: DataFrame | None = None) -> DataFrame:
+    """(system, check, passed, required) of recorded exchanges, rows as in ``EXCHANGE``, of many systems.
+
+    ``held`` has (system, path): staged media a system still held after ingest ended, which only matters in memory mode.
+    Without a handshake nothing else is told, and after an ingest that was not acknowledged nothing of the environment.
+    An acknowledgement must come after what it is for, and a reply after its query.
+    """
+    log = log.select(*(c.split()[0] for c in EXCHANGE.split(", ")))
+    first = log.groupBy("system").agg(F.min_by(F.struct("type", "system_id", "context_mode"), "seq").alias("r"))
+    ready = F.col("r.type") == "ready"
+    named = text.strip(F.coalesce("r.system_id", F.lit("")))
+    told = first.select("system", ready.alias("handshake"), F.col("r.context_mode").isin(CONTEXT_MODES).alias("declares_context_mode"), ((named != "") & (F.lower(named) != "system")).alias("specific_system_id"), (F.col("r.context_mode") == "memory").alias("memory"))
+
+    def answered(request: str, reply: str, on: str) -> DataFrame:
+        """(system, requests, open): requests and those without a reply of their own after them, and replies to nothing."""
+        at = lambda kind: F.min(F.when(F.col("type") == kind, F.col("seq")))
+        per = log.where(F.col("type").isin(request, reply)).groupBy("system", on).agg(at(request).alias("asked"), F.max(F.when(F.col("type") == reply, F.col("seq"))).alias("replied"))
+        lacking = F.col("asked").isNotNull() & ~F.coalesce(F.col("replied") > F.col("asked"), F.lit(False))
+        return per.groupBy("system").agg(F.count_if(lacking).alias(f"{request}_open"), F.count_if(F.col("asked").isNull()).alias(f"{request}_foreign"), F.count("asked").alias(f"{request}s"))
+
+    def acknowledged(kind: str) -> Column:
+        return F.max(F.when(F.col("type") == f"{kind}_ack", F.col("seq"))) > F.max(F.when(F.col("type") == kind, F.col("seq")))
+
+    ends = log.groupBy("system").agg(
+        acknowledged("ingest_end").alias("ingest_end_acknowledged"), acknowledged("env_end").alias("accepts_env_end"),
+        (F.max("seq") > F.max(F.when(F.col("type") == "unknown", F.col("seq")))).alias("survives_unknown"),
+    )
+    facts = told.join(answered("ingest", "ingest_ack", "session_id"), "system", "left").join(answered("query", "answer", "item_id"), "system", "left").join(ends, "system")
+    if held is not None:
+        facts = facts.join(held.groupBy("system").agg(F.count("*").alias("held")), "system", "left")
+    else:
+        facts = facts.withColumn("held", F.lit(0))
+    none = lambda c: F.coalesce(F.col(c), F.lit(0)) == 0
+    facts = facts.withColumns({
+        "ingest_acknowledged": none("ingest_open"), "releases_media": ~F.coalesce("memory", F.lit(False)) | none("held"), "answers_all": none("query_open"), "echoes_ids": none("query_foreign"),
+    })
+    greeting, environment = ["declares_context_mode", "specific_system_id", "survives_unknown"], ["ingest_end_acknowledged", "releases_media", "answers_all", "echoes_ids", "accepts_env_end"]
+    due = {"handshake": F.lit(True), **dict.fromkeys(greeting, F.col("handshake")), "ingest_acknowledged": F.col("handshake"), **dict.fromkeys(environment, F.col("handshake") & F.col("ingest_acknowledged"))}
+    rows = F.array(*(F.when(due[n], F.struct(F.lit(n).alias("check"), F.coalesce(F.col(n), F.lit(False)).alias("passed"), F.lit(r).alias("required"))) for n, r in EXCHANGE_CHECKS))
+    return facts.select("system", F.explode(F.array_compact(rows)).alias("c")).select("system", "c.*")
+
+
 def conformance(log: DataFrame, order: str = "seq") -> DataFrame:
     """(check, passed, required) of one system's event log (direction, type, item_id, answer_format, answer)."""
     w = Window.partitionBy("item_id").orderBy(order).rowsBetween(Window.unboundedPreceding, -1)

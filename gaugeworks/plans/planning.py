@@ -98,8 +98,8 @@ def cosine_topk(spark, sf_dir):
     return ranked.where("rank <= 3").select("vec_id", "rank", F.col("other").alias("other_id"))
 
 
-def _axis(i: int) -> list[float]:
-    return [1.0 if k == i else 0.0 for k in range(8)]
+def _axis(i: int, n: int = 8) -> list[float]:
+    return [1.0 if k == i else 0.0 for k in range(n)]
 
 
 @query(f"""WITH v AS (SELECT vec_id, CAST(embedding[1:8] AS DOUBLE[]) AS m, CAST(embedding[9:16] AS DOUBLE[]) AS q FROM embeddings),
@@ -111,6 +111,25 @@ def calibrated_argmax(spark, sf_dir):
     return t.read(spark, sf_dir, "embeddings").select("vec_id", geometry.calibrated_choice(F.slice(v, 9, 8), F.slice(v, 1, 8), options).alias("choice"))
 
 
+@query("""WITH v AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS m, sqrt(list_inner_product(CAST(embedding AS DOUBLE[]), CAST(embedding AS DOUBLE[]))) AS n FROM embeddings),
+    g AS (SELECT vec_id, i, CASE WHEN vec_id % 7 = 0 THEN 0 ELSE round((m[i] - m[65 - i]) / n, 9) END AS gain FROM v, range(1, 65) r(i))
+    SELECT vec_id, 'o' || lpad(CAST(i AS VARCHAR), 2, '0') AS choice FROM g QUALIFY row_number() OVER (PARTITION BY vec_id ORDER BY gain DESC, i) = 1""")
+def calibrated_choice(spark, sf_dir):
+    """The same over all 64 components and 64 options, the query being the vector backwards; a seventh has no memory."""
+    v = F.col("embedding").cast("array<double>")
+    options = [(f"o{i + 1:02}", F.array(*map(F.lit, _axis(i, 64)))) for i in range(64)]
+    return t.read(spark, sf_dir, "embeddings").select("vec_id", geometry.calibrated_choice(F.reverse(v), F.when(F.col("vec_id") % 7 != 0, v), options).alias("choice"))
+
+
+@query("""WITH m AS (SELECT label, dim, avg(CAST(embedding[dim] AS DOUBLE)) AS x FROM embeddings, range(1, 65) r(dim) GROUP BY ALL), n AS (SELECT label, count(*) AS n FROM embeddings GROUP BY 1)
+    SELECT label, 'mean' AS kind, n AS n_records, CAST(512 AS BIGINT) AS memory_bytes, (SELECT round(sum(x), 6) FROM m WHERE m.label = n.label) AS total FROM n UNION ALL SELECT label, 'none', 0, 0, NULL FROM n""")
+def memory_substrates(spark, sf_dir):
+    rows = t.read(spark, sf_dir, "embeddings")
+    state = lambda kind: geometry.memory_state(rows, "label", "embedding", kind).withColumn("kind", F.lit(kind))
+    total = F.round(F.aggregate("memory", F.lit(0.0), lambda a, x: a + x), 6)
+    return state("mean").unionByName(state("none")).select("label", "kind", "n_records", "memory_bytes", total.alias("total"))
+
+
 @query("SELECT label, CAST(dim - 1 AS INTEGER) AS dim, round(avg(CAST(embedding[dim] AS DOUBLE)), 6) AS mean FROM embeddings, range(1, 65) r(dim) GROUP BY label, dim")
 def vector_mean(spark, sf_dir):
     return geometry.vector_mean(t.read(spark, sf_dir, "embeddings"), "label", "embedding").select("label", "dim", F.round("mean", 6).alias("mean"))

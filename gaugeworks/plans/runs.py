@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import ids, text
 from ..operators import corpus, events, mining, planning, recordings, report, runs, scans
 from ..sources import readers, sinks
-from ..streaming import live
+from ..streaming import live, sessions
 from . import tables as t
 from .registry import query
 
@@ -100,6 +100,19 @@ def append_latest(spark, sf_dir):
     return sinks.append_latest(old, new, ["item_id"])
 
 
+@query("""WITH j AS (SELECT 'r' || (doc_id % 3) AS run_id, 'd' || doc_id AS item_id, 'm' || toxic AS model, 'v' || quality AS prompt_version, CAST(quality AS DOUBLE) AS value FROM labels),
+    n AS (SELECT run_id, item_id, model, CASE WHEN item_id LIKE '%1' THEN 'v9' ELSE prompt_version END AS prompt_version, value + 10 AS value FROM j WHERE item_id LIKE '%1' OR item_id LIKE '%2')
+    SELECT * FROM n UNION ALL SELECT * FROM j ANTI JOIN n USING (run_id, item_id, model, prompt_version)""")
+def judgement_upsert(spark, sf_dir):
+    """Judgements are replaced by run, item, model and prompt version: another version adds a row."""
+    d = F.concat(F.lit("d"), "doc_id")
+    old = t.read(spark, sf_dir, "labels").select(
+        F.concat(F.lit("r"), F.col("doc_id") % 3).alias("run_id"), d.alias("item_id"), F.concat(F.lit("m"), "toxic").alias("model"), F.concat(F.lit("v"), "quality").alias("prompt_version"), F.col("quality").cast("double").alias("value"),
+    )
+    new = old.where("item_id like '%1' or item_id like '%2'").withColumn("prompt_version", F.when(F.col("item_id").endswith("1"), "v9").otherwise(F.col("prompt_version"))).withColumn("value", F.col("value") + 10)
+    return sinks.append_latest(old, new, ["run_id", "item_id", "model", "prompt_version"])
+
+
 @query("SELECT l_orderkey, count(*) AS n FROM lineitem JOIN orders ON l_orderkey = o_orderkey WHERE o_orderstatus <> 'F' GROUP BY 1")
 def cascade_delete(spark, sf_dir):
     kept = t.read(spark, sf_dir, "orders").where("o_orderstatus <> 'F'").select(F.col("o_orderkey").alias("l_orderkey"))
@@ -250,6 +263,18 @@ def shortcut_letters(spark, sf_dir):
     return out.select(F.col("letters")["A"].alias("n_a"), F.col("letters")["B"].alias("n_b"), *(F.round(c, 9).alias(c) for c in ("mean", "naive_mean", "rate")))
 
 
+@query(f"""WITH {t.SCORES_SQL}, c AS (SELECT count(*) FILTER (done AND score >= 0.5) AS k, count(*) FILTER (done) AS n FROM (SELECT *, status = 'ok' AND NOT needs_judge AND NOT abstained AS done FROM scores)),
+    i AS (SELECT n, k, unnest(range(0, n + 1)) AS i FROM c), p AS (SELECT n, k, i, lgamma(n + 1.0) - lgamma(i + 1.0) - lgamma(n - i + 1.0) + i * ln(0.7) + (n - i) * ln(0.3) AS l FROM i),
+    s AS (SELECT *, (SELECT l FROM p WHERE i = k) AS seen FROM p), w AS (SELECT n, k, k / n AS r, 1.959963984540054 AS z FROM c)
+    SELECT round(least(1.0, (SELECT sum(exp(l)) FROM s WHERE l <= seen + 1e-9)), 6) AS p_value, round((r + z * z / (2 * n) - z * sqrt(r * (1 - r) / n + z * z / (4.0 * n * n))) / (1 + z * z / n), 9) AS rate_low,
+        round((r + z * z / (2 * n) + z * sqrt(r * (1 - r) / n + z * z / (4.0 * n * n))) / (1 + z * z / n), 9) AS rate_high FROM w""")
+def shortcut_test(spark, sf_dir):
+    """The test of a blind run's commitments against a share of 0.7 that a guesser would reach."""
+    rows = t.scores(spark, sf_dir).withColumn("letter", F.when(~F.col("needs_judge"), F.when(F.col("score") >= 0.5, "B").otherwise("A"))).withColumn("gold", F.lit("B"))
+    out = report.shortcut_report(rows, 0.7)
+    return out.select(F.round("p_value", 6).alias("p_value"), F.round("rate_low", 9).alias("rate_low"), F.round("rate_high", 9).alias("rate_high"))
+
+
 @query("""SELECT event_type AS arm, count(*) FILTER (event_id % 3 <> 0) AS video_probes, count(*) FILTER (event_id % 3 = 1) AS repeated, count(*) FILTER (event_id % 3 = 1 AND event_id % 2 = 0) AS free_repeated,
     count(*) FILTER (event_id % 3 = 1 AND event_id % 2 = 1) AS template_repeated, count(*) FILTER (event_id % 3 = 2) AS refusal_text, count(*) FILTER (event_id % 6 = 0) AS controls_correct, count(*) FILTER (event_id % 3 = 0) AS n_controls FROM events GROUP BY 1""")
 def arm_outcomes(spark, sf_dir):
@@ -312,6 +337,55 @@ def caption_context(spark, sf_dir):
     return recordings.caption_context(videos, cutoffs)
 
 
+_SAID = """'VIDEO ' || doc_id || ' id=' || source || ' weekday=' || lang || chr(10) || 'SCENE 1 time_of_day=noon place=' || lang || CASE WHEN trim(text) <> '' THEN chr(10) || 'CAPTION: ' || trim(text) ELSE '' END"""
+
+
+@query(f"""WITH v AS (SELECT doc_id AS v, length({_SAID}) + 1 AS l FROM documents), c AS (SELECT DISTINCT CASE WHEN doc_id % 100 = 7 THEN -1 ELSE doc_id * 2 END AS cutoff FROM labels),
+    r AS (SELECT v, count(*) OVER w AS n, CAST(sum(l) OVER w AS BIGINT) AS l FROM v WINDOW w AS (ORDER BY v ROWS UNBOUNDED PRECEDING)), e AS (SELECT cutoff, CASE WHEN cutoff = -1 THEN 9000000000 ELSE cutoff END AS at FROM c)
+    SELECT cutoff, coalesce(n, 0) AS n_videos, coalesce(n, 0) AS n_segments, greatest(coalesce(l, 0) - 1, 0) AS n_chars FROM e ASOF LEFT JOIN r ON e.at >= r.v""")
+def caption_prefixes(spark, sf_dir):
+    scene = F.struct(F.lit(1).alias("scene_id"), F.lit("noon").alias("time_of_day"), F.col("lang").alias("place"), F.col("text").alias("activity_summary"))
+    videos = t.read(spark, sf_dir, "documents").select(F.col("doc_id").alias("video_idx"), F.col("source").alias("video_id"), F.col("lang").alias("time_of_week"), F.array(scene).alias("segments"))
+    d = F.col("doc_id")
+    cutoffs = t.read(spark, sf_dir, "labels").select(F.when(d % 100 == 7, F.lit(-1).cast("long")).otherwise(d * 2).alias("cutoff"))
+    return recordings.caption_prefixes(recordings.caption_texts(videos), cutoffs, range_rows=2000)
+
+
+_PHASES = {"signup": "query", "view": "ingest", "click": "ready", "purchase": "answer", "error": "ingest_ack"}
+
+
+@query("""WITH l AS (SELECT user_id, event_id, ts, CASE event_type WHEN 'signup' THEN 'query' WHEN 'view' THEN 'ingest' WHEN 'purchase' THEN 'answer' WHEN 'error' THEN 'ingest_ack' ELSE 'ready' END AS k FROM events),
+    n AS (SELECT *, lead(CASE WHEN k IN ('answer', 'query', 'ingest') THEN ts END IGNORE NULLS) OVER w AS q, lead(CASE WHEN k IN ('ingest_ack', 'query', 'ingest') THEN ts END IGNORE NULLS) OVER w AS i FROM l WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)),
+    d AS (SELECT user_id, event_id, CASE k WHEN 'query' THEN 'answer' ELSE 'ingest_ack' END AS phase, CASE k WHEN 'query' THEN ts + INTERVAL 300 SECOND ELSE ts + INTERVAL 3600 SECOND END AS deadline, CASE k WHEN 'query' THEN q ELSE i END AS over FROM n WHERE k IN ('query', 'ingest'))
+    SELECT 'u' || user_id AS env_id, event_id AS seq, phase, epoch_us(deadline) AS deadline FROM d WHERE coalesce(over > deadline, true) AND deadline < (SELECT max(ts) FROM events)""")
+def phase_timeouts(spark, sf_dir):
+    kind = F.create_map(*(F.lit(x) for kv in _PHASES.items() for x in kv))[F.col("event_type")]
+    log = t.read(spark, sf_dir, "events").select(F.concat(F.lit("u"), "user_id").alias("env_id"), F.col("event_id").alias("seq"), F.col("ts").cast("timestamp").alias("at"), kind.alias("type"))
+    return sessions.phase_timeouts(log).withColumn("deadline", F.unix_micros("deadline"))
+
+
+@query("""WITH l AS (SELECT user_id AS s, event_id AS seq, event_type AS e, event_id % 6 AS id, event_id % 5 AS k FROM events),
+    f AS (SELECT s, min_by(e, seq) IN ('signup', 'view') AS hs, min_by(k, seq) AS mode FROM l GROUP BY 1),
+    a AS (SELECT s, id, min(seq) FILTER (e = 'click') AS asked, max(seq) FILTER (e = 'purchase') AS said FROM l GROUP BY 1, 2),
+    q AS (SELECT s, count(*) FILTER (asked IS NOT NULL AND NOT coalesce(said > asked, false)) AS open, count(*) FILTER (asked IS NULL AND said IS NOT NULL) AS strange FROM a GROUP BY 1),
+    u AS (SELECT s, max(seq) > max(seq) FILTER (e = 'error') AS alive FROM l GROUP BY 1),
+    c AS (SELECT s, hs, [{'n': 'handshake', 'p': hs, 'r': true, 'd': true}, {'n': 'declares_context_mode', 'p': mode <> 4, 'r': true, 'd': hs}, {'n': 'specific_system_id', 'p': mode <> 3, 'r': false, 'd': hs}, {'n': 'ingest_acknowledged', 'p': true, 'r': true, 'd': hs},
+        {'n': 'ingest_end_acknowledged', 'p': false, 'r': true, 'd': hs}, {'n': 'releases_media', 'p': mode <> 0 OR s % 3 <> 0, 'r': true, 'd': hs}, {'n': 'answers_all', 'p': open = 0, 'r': true, 'd': hs}, {'n': 'echoes_ids', 'p': strange = 0, 'r': true, 'd': hs},
+        {'n': 'accepts_env_end', 'p': false, 'r': true, 'd': hs}, {'n': 'survives_unknown', 'p': coalesce(alive, false), 'r': false, 'd': hs}] AS c FROM f JOIN q USING (s) JOIN u USING (s)),
+    x AS (SELECT s, unnest(c) AS c FROM c)
+    SELECT CAST(s AS VARCHAR) AS system, c.n AS "check", c.p AS passed, c.r AS required FROM x WHERE c.d""")
+def exchange_conformance(spark, sf_dir):
+    kind, k = F.col("event_type"), F.col("event_id") % 5
+    said = F.when(kind.isin("signup", "view"), "ready").when(kind == "click", "query").when(kind == "purchase", "answer").otherwise("unknown")
+    mode = F.when(k == 0, "memory").when(k == 1, "oracle").when(k == 4, "other").otherwise("blind")
+    log = t.read(spark, sf_dir, "events").select(
+        F.col("user_id").cast("string").alias("system"), F.col("event_id").alias("seq"), said.alias("type"), F.when(k == 3, " System ").otherwise("model-1").alias("system_id"),
+        mode.alias("context_mode"), F.lit(None).cast("string").alias("session_id"), (F.col("event_id") % 6).cast("string").alias("item_id"),
+    )
+    held = log.where("cast(system as int) % 3 = 0").select("system", F.lit("/stage/a.mp4").alias("path")).distinct()
+    return runs.exchange_conformance(log, held)
+
+
 # --- mining and scans -------------------------------------------------------
 
 _PLACED = ["table", "Wall", "floor", "lamp", "STAIRS"]

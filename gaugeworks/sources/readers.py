@@ -37,8 +37,9 @@ def lines_or_none(spark: SparkSession, path: str) -> DataFrame:
 def count_corrupt(lines: DataFrame) -> DataFrame:
     """(n_rows, n_corrupt) of lines: objects, and those that do not parse; blank lines and other JSON are neither."""
     lines = lines.where(F.trim("value") != "")
-    parsed = F.try_parse_json("value")
-    return lines.agg(F.count_if(parsed.isNotNull() & F.col("value").rlike(r"^\s*\{")).alias("n_rows"), F.count_if(parsed.isNull()).alias("n_corrupt"))
+    # The parser passes over what follows a value, so a line must be one value inside an array and inside an object.
+    parsed = F.try_parse_json(F.concat(F.lit("["), "value", F.lit("]"))).isNotNull() & F.try_parse_json(F.concat(F.lit('{"v":'), "value", F.lit("}"))).isNotNull()
+    return lines.agg(F.count_if(parsed & F.col("value").rlike(r"^\s*\{")).alias("n_rows"), F.count_if(~parsed).alias("n_corrupt"))
 
 
 def corrupt_lines(spark: SparkSession, path: str) -> DataFrame:

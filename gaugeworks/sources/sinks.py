@@ -11,6 +11,11 @@ def write_jsonl(df: DataFrame, path: str, mode: str = "errorifexists") -> None:
     df.write.option("ignoreNullFields", False).mode(mode).json(path)
 
 
+def publish(df: DataFrame, path: str, kind: str = "parquet") -> None:
+    """Write a result in any format, all or nothing, and never over one that is there."""
+    df.write.mode("errorifexists").format(kind).save(path)
+
+
 def content_hash(c: Column) -> Column:
     return F.sha2(c, 256)
 
@@ -21,9 +26,12 @@ def suite_sha(items_sha: Column, envs_sha: Column) -> Column:
 
 
 def write_suite(items: DataFrame, envs: DataFrame, folder: str) -> dict:
-    """Write items and environments as one ordered file each and return the manifest's counts."""
+    """Write items and environments as a folder of ordered parts each and return the manifest's counts.
+
+    The parts, by name, are the ordered lines, however many there are, so their joint hash does not depend on that.
+    """
     for name, df, key in (("items", items, "item_id"), ("envs", envs, "env_id")):
-        df.orderBy(key).coalesce(1).write.option("ignoreNullFields", False).json(f"{folder}/{name}.jsonl")
+        df.orderBy(key).write.option("ignoreNullFields", False).json(f"{folder}/{name}.jsonl")
     axes = {r["axis"]: r["count"] for r in items.groupBy("axis").count().orderBy("axis").collect()}
     return {"n_items": items.count(), "n_envs": envs.count(), "axes": axes}
 

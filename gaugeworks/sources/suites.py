@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import hashlib
 import json
+import re
+from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -11,11 +15,41 @@ from ..operators import corpus
 from . import readers, sinks
 
 
+CHUNK = 8 << 20
+
+
+def file_hashes(files: DataFrame) -> DataFrame:
+    """(name, bytes, sha256) of rows (name, paths): the hash of the files of ``paths`` one after the other.
+
+    An executor reads a row's files in chunks of 8 MB, so their size does not matter; rows are hashed in parallel.  Paths are
+    those of a store that Arrow knows (local and shared folders, HDFS, S3, GCS, ABFS).
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            told = [_hashed(paths or []) for paths in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([n for n, _ in told], pa.int64()), pa.array([h for _, h in told])], names=["name", "bytes", "sha256"])
+
+    return files.select(F.col("name").cast("string").alias("name"), "paths").mapInArrow(run, "name string, bytes long, sha256 string")
+
+
+def _hashed(paths: list[str]) -> tuple[int, str]:
+    from pyarrow import fs
+
+    digest, size = hashlib.sha256(), 0
+    for path in paths:
+        store, name = fs.FileSystem.from_uri(path) if re.match(r"[a-z0-9]+:", path) else (fs.LocalFileSystem(), path)
+        with store.open_input_stream(name) as f:
+            while chunk := f.read(CHUNK):
+                digest.update(chunk)
+                size += len(chunk)
+    return size, digest.hexdigest()
+
+
 def file_sha256(spark: SparkSession, path: str) -> str:
     """Hash of a file, or of a written folder's part files in the order of their names."""
-    parts = spark.read.format("binaryFile").option("pathGlobFilter", "[!_.]*").load(path)
-    got = parts.agg(F.sort_array(F.collect_list(F.struct("path", "content"))).alias("p")).select(F.sha2(F.aggregate(F.transform("p", lambda x: x["content"]), F.lit(b""), lambda a, c: F.concat(a, c)), 256)).first()
-    return got[0]
+    parts = spark.read.format("binaryFile").option("pathGlobFilter", "[!_.]*").load(path).select("path")  # names only, no content
+    return file_hashes(parts.agg(F.lit(path).alias("name"), F.array_sort(F.collect_list("path")).alias("paths"))).first()["sha256"]
 
 
 def manifest(spark: SparkSession, folder: str, name: str) -> dict:
@@ -68,6 +102,34 @@ def read_run(spark: SparkSession, folder: str) -> DataFrame:
     return rows
 
 
+def csv_head(spark: SparkSession, path: str) -> tuple[list[str], list[str] | None]:
+    """Header and first row of a CSV file, without reading on; None where there is no row."""
+    rows = spark.read.option("header", True).csv(path)
+    first = rows.first()
+    return rows.columns, list(first) if first else None
+
+
+def footer_counts(spark: SparkSession, paths: dict[str, str], columns: list[str]) -> DataFrame:
+    """(dataset, n_items, low, high): rows of Parquet folders, and the least and greatest of each column, as texts by column.
+
+    Count, minimum and maximum are pushed into the scan, which answers them from the files' footers: no data page
+    is read.  A session of its own holds the settings for that.  Columns must be numbers, dates or booleans.
+    """
+    own = spark.newSession()
+    own.conf.set("spark.sql.sources.useV1SourceList", "")
+    own.conf.set("spark.sql.parquet.aggregatePushdown", "true")
+    out = []
+    for name, path in paths.items():
+        told = footer_totals(own.read.parquet(path), columns).first()
+        said = lambda kind: {c: None if told[f"{kind}_{c}"] is None else str(told[f"{kind}_{c}"]) for c in columns}  # noqa: B023, E731
+        out.append((name, told["n"] or 0, said("low"), said("high")))  # files without rows have no count to add up
+    return spark.createDataFrame(out, "dataset string, n_items long, low map<string,string>, high map<string,string>")
+
+
+def footer_totals(rows: DataFrame, columns: list[str]) -> DataFrame:
+    return rows.agg(F.count("*").alias("n"), *(f(c).alias(f"{name}_{c}") for c in columns for name, f in (("low", F.min), ("high", F.max))))
+
+
 def csv_header(spark: SparkSession, path: str) -> list[str]:
     return spark.read.option("header", True).csv(path).columns
 
