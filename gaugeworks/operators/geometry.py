@@ -8,7 +8,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 #: Vectors of a block; a room of more is compared block by block.
-BLOCK = 2048
+BLOCK = 16_384
+
 
 def dot(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
@@ -32,8 +33,8 @@ def neighbours(points: DataFrame, scan: str, key: str, vector: str) -> DataFrame
 def nearest(points: DataFrame, room: str, key: str, vector: str, k: int, by: str = "dist") -> DataFrame:
     """(key, other, dist or cos): pairs among which are each point's k nearest others of its whole room.
 
-    Every block of a room meets every other one, and a meeting gives k pairs a point, so only the
-    blocks are held at once.  Cosines are rounded to nine places, and ties go to the smaller other;
+    Every block of a room meets every other one, and a meeting gives k pairs a point, so only two
+    blocks are held at once; a point is sent twice as often as its room has blocks.  Cosines are rounded to nine places, and ties go to the smaller other;
     a zero vector's cosine is -2, so it comes last.  Null rooms, keys and vectors have no pairs.
     """
     rows = points.select(F.col(room).alias("room"), F.col(key).alias("key"), F.col(vector).cast("array<double>").alias("v")).dropna()

@@ -171,10 +171,11 @@ def fixed_chunks(spark, sf_dir):
     return planning.fixed_chunks(ends, "end", 25.0).select("user_id", "idx", "start", "stop")
 
 
-@query("SELECT CAST(n AS INTEGER) AS n, CAST(i AS INTEGER) AS i, 10 + 90.0::DOUBLE / n * (i + 0.5::DOUBLE) AS t FROM (VALUES (1), (2), (5), (10)) v(n), range(0, 10) r(i) WHERE i < n")
+@query("""WITH u AS (SELECT user_id, CAST(user_id % 10 + 1 AS INTEGER) AS n, round(min(value), 2) AS lo, round(max(value), 2) AS hi FROM events GROUP BY 1)
+    SELECT user_id, n, CAST(i AS INTEGER) AS i, round(lo + (hi - lo) / n * (i + 0.5::DOUBLE), 9) AS t FROM u, range(0, 10) r(i) WHERE i < n""")
 def midpoint_grid(spark, sf_dir):
-    rows = spark.createDataFrame([(1,), (2,), (5,), (10,)], "n int")
-    return rows.select("n", F.posexplode(planning.midpoints(F.lit(10.0), F.lit(100.0), F.col("n"))).alias("i", "t"))
+    spans = t.read(spark, sf_dir, "events").groupBy("user_id").agg(F.round(F.min("value"), 2).alias("lo"), F.round(F.max("value"), 2).alias("hi")).withColumn("n", (F.col("user_id") % 10 + 1).cast("int"))
+    return spans.select("user_id", "n", F.posexplode(planning.midpoints(F.col("lo"), F.col("hi"), F.col("n"))).alias("i", "t")).withColumn("t", F.round("t", 9))
 
 
 @query("SELECT l_orderkey AS key, count(DISTINCT l_suppkey) AS n_sessions, max(l_linenumber + l_quantity) - min(l_linenumber) AS span FROM lineitem GROUP BY 1")

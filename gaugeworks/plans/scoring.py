@@ -242,13 +242,15 @@ TESTS = [(25, 66, 0.25), (0, 10, 0.5), (10, 10, 0.5), (5, 10, 0.5), (0, 0, 0.3),
 
 
 @query(
-    "WITH v AS (SELECT CAST(k AS BIGINT) AS k, CAST(n AS BIGINT) AS n, CAST(p AS DOUBLE) AS p FROM (VALUES " + ", ".join(map(str, TESTS)) + ") v(k, n, p)), "
+    "WITH v AS (SELECT CAST(k AS BIGINT) AS k, CAST(n AS BIGINT) AS n, CAST(p AS DOUBLE) AS p FROM (VALUES " + ", ".join(map(str, TESTS)) + ") v(k, n, p) UNION SELECT count(*) FILTER (event_type = 'click'), least(count(*), 1100), 0.2 FROM events GROUP BY user_id), "
     "l AS (SELECT v.k, v.n, v.p, i, lgamma(v.n + 1.0::DOUBLE) - lgamma(i + 1.0::DOUBLE) - lgamma(v.n - i + 1.0::DOUBLE) + i * ln(v.p) + (v.n - i) * ln(1 - v.p) AS lp FROM v, range(0, 1101) r(i) WHERE i <= v.n), "
     "s AS (SELECT a.k, a.n, a.p, sum(exp(a.lp)) FILTER (a.lp <= b.lp + 1e-9) AS s FROM l a JOIN l b ON a.k = b.k AND a.n = b.n AND a.p = b.p AND b.i = b.k GROUP BY a.k, a.n, a.p) "
     "SELECT k, n, p, round(CASE WHEN n = 0 THEN 1.0::DOUBLE ELSE least(1.0::DOUBLE, s) END, 8) AS pvalue FROM s"
 )
 def binomial_test(spark, sf_dir):
-    rows = spark.createDataFrame(TESTS, "k long, n long, p double")
+    """Given cases, and the clicks among each user's events against a share of 0.2."""
+    per = t.read(spark, sf_dir, "events").groupBy("user_id").agg(F.count_if(F.col("event_type") == "click").alias("k"), F.least(F.count("*"), F.lit(1100)).alias("n"))
+    rows = spark.createDataFrame(TESTS, "k long, n long, p double").union(per.select("k", "n", F.lit(0.2))).distinct()
     return rows.select("k", "n", "p", F.round(stats.binomial_two_sided(F.col("k"), F.col("n"), F.col("p")), 8).alias("pvalue"))
 
 
@@ -400,9 +402,14 @@ NARRATIONS = [
 ]
 
 
-@query("SELECT CAST(id AS BIGINT) AS id, head, surface FROM (VALUES " + ", ".join(f"({i}, {'NULL' if h is None else repr(h)}, {'NULL' if s is None else repr(s)})" for i, _, _, h, s in NARRATIONS) + ") v(id, head, surface)")
+@query("SELECT CAST(id AS BIGINT) AS id, head, surface FROM (VALUES " + ", ".join(f"({i}, {'NULL' if h is None else repr(h)}, {'NULL' if s is None else repr(s)})" for i, _, _, h, s in NARRATIONS) + ") v(id, head, surface) "
+    "UNION ALL SELECT 1000 + p_partkey, CASE p_partkey % 4 WHEN 0 THEN 'drawer' WHEN 1 THEN 'cupboard' WHEN 2 THEN 'table' END, CASE p_partkey % 4 WHEN 0 THEN 'drawer' WHEN 1 THEN 'top cupboard' WHEN 2 THEN 'table' END FROM part")
 def parse_destination(spark, sf_dir):
-    rows = spark.createDataFrame([r[:3] for r in NARRATIONS], "id long, narration string, verb string").withColumn("d", text.destination(F.col("narration"), F.col("verb")))
+    """Given narrations, and one a part."""
+    k = F.col("p_partkey")
+    said = F.concat(F.lit("put "), F.element_at(F.split("p_name", " "), 1), F.when(k % 4 == 0, " in drawer").when(k % 4 == 1, " into the top cupboard").when(k % 4 == 2, " in hand and then on the table").otherwise(" away"))
+    told = t.read(spark, sf_dir, "part").select((k + 1000).alias("id"), said, F.when(k % 4 == 0, "put-in").when(k % 4 == 1, "put-into").when(k % 4 == 2, "put").otherwise("put-down"))
+    rows = spark.createDataFrame([r[:3] for r in NARRATIONS], "id long, narration string, verb string").union(told).withColumn("d", text.destination(F.col("narration"), F.col("verb")))
     return rows.select("id", F.col("d.head").alias("head"), F.col("d.surface").alias("surface"))
 
 
