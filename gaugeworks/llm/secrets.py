@@ -204,19 +204,36 @@ def forest_sql() -> str:
 
 
 def scored(docs: DataFrame, text_col: str = "text", path_col: str = "source") -> DataFrame:
-    """``docs`` with found: array of (value, start, score), each occurrence of a candidate in the text; and all runs and the texts between them."""
+    """``docs`` with found: array of (value, start, score), each occurrence of a candidate in the text; and all runs and the texts between them.
+
+    Nothing is looked up by its place in the text, which would walk it from its start for each candidate: contexts come from the
+    neighbouring runs and texts between, whose ends alone are joined, and places are sums of lengths.
+    """
     text, path, pattern = f"`{text_col}`", f"CAST(`{path_col}` AS STRING)", _sql(CANDIDATE)
-    # A match ends where the texts between the matches up to it and the matches end.  Columns stand outside the lambdas, which would work them out for each element.
-    ends = "aggregate(zip_with(__between, __raw, (b, v) -> length(b) + coalesce(length(v), 0)), array(0), (a, n) -> array_append(a, element_at(a, -1) + n))"
-    placed = f"zip_with(__raw, slice(__ends, 2, size(__raw)), (v, e) -> named_struct('value', v, 'start', e - length(v) + 1, 'path', {path}))"
-    placed = f"filter({placed}, p -> p.value RLIKE '[0-9]' AND p.value RLIKE '[A-Za-z]')"
-    around = f"'before', substring({text}, greatest(1, p.start - 40), least(40, p.start - 1)), 'after', substring({text}, p.start + length(p.value), 24)"
-    before = f"transform(__placed, p -> named_struct('value', p.value, 'start', p.start, 'path', p.path, {around}))"
-    out = docs.withColumn("__raw", F.expr(f"regexp_extract_all({text}, {pattern}, 0)")).withColumn("__between", F.expr(f"IF(size(__raw) > 0, split({text}, {pattern}, -1), array())"))
-    out = out.withColumn("__ends", F.expr(f"IF(size(__raw) > 0, {ends}, array())")).withColumn("__placed", F.expr(placed)).withColumn("__before", F.expr(before))
-    out = out.withColumn("__made", F.expr(featured("__before")))
+    some = lambda made: F.expr(f"IF(size(__raw) > 0, {made}, array())")
+    # Columns that a lambda reads stand outside it and are read twice at least, or they would be worked out for each element.
+    out = docs.withColumn("__raw", F.expr(f"regexp_extract_all({text}, {pattern}, 0)")).withColumn("__between", some(f"split({text}, {pattern}, -1)"))
+    # Where each run ends: sums inside blocks of about sqrt(n) lengths, then sums of the blocks, as appending copies an array.
+    width = "CAST(ceil(sqrt(size(__lengths))) AS INT)"
+    out = out.withColumn("__lengths", some("zip_with(__between, __raw, (b, v) -> length(b) + coalesce(length(v), 0))"))
+    out = out.withColumn("__sums", some(f"transform(sequence(0, CAST((size(__lengths) - 1) / {width} AS INT)), i -> aggregate(slice(__lengths, i * {width} + 1, {width}), array(0), (a, n) -> array_append(a, element_at(a, -1) + n)))"))
+    out = out.withColumn("__before_blocks", some("aggregate(__sums, array(0), (a, s) -> array_append(a, element_at(a, -1) + element_at(s, -1)))"))
+    out = out.withColumn("__ends", some("flatten(zip_with(__sums, slice(__before_blocks, 1, size(__sums)), (s, o) -> transform(slice(s, 2, size(s)), e -> e + o)))"))
+    # A run has eight characters at least, so five runs back and three ahead hold all of a context.
+    out = out.withColumn("__behind", some("zip_with(__between, __raw, (b, v) -> right(concat(right(b, 40), right(coalesce(v, ''), 40)), 40))"))
+    out = out.withColumn("__ahead", some("zip_with(__between, __raw, (b, v) -> left(concat(left(b, 24), left(coalesce(v, ''), 24)), 24))"))
+    back = [f"concat(array_repeat('', least({k}, size(__raw))), slice(__behind, 1, greatest(size(__raw) - {k}, 0)))" for k in range(5, 0, -1)]
+    near = "slice(transform(__between, b -> right(b, 40)), 1, size(__raw))"
+    joined = ", ".join(f"z.`{i}`" for i in range(6))
+    out = out.withColumn("__before", some(f"transform(arrays_zip({', '.join([*back, near])}), z -> right(concat({joined}), 40))"))
+    ahead = [f"slice(__ahead, {k + 1}, size(__raw))" for k in range(1, 4)]
+    joined = ", ".join(f"coalesce(z.`{i}`, '')" for i in range(3))
+    out = out.withColumn("__after", some(f"transform(arrays_zip({', '.join(ahead)}), z -> left(concat({joined}), 24))"))
+    placed = f"transform(arrays_zip(__raw, __ends, __before, __after), z -> named_struct('value', z.__raw, 'start', z.__ends - length(z.__raw) + 1, 'path', {path}, 'before', z.__before, 'after', z.__after))"
+    out = out.withColumn("__placed", some(f"filter(slice({placed}, 1, size(__raw)), p -> p.value RLIKE '[0-9]' AND p.value RLIKE '[A-Za-z]')"))
+    out = out.withColumn("__made", F.expr(featured("__placed")))
     out = out.withColumn("found", F.expr(f"transform(__made, x -> named_struct('value', x.value, 'start', x.start, 'score', {forest_sql()}))"))
-    return out.drop("__ends", "__placed", "__before", "__made")
+    return out.drop("__lengths", "__sums", "__before_blocks", "__ends", "__behind", "__ahead", "__before", "__after", "__placed", "__made")
 
 
 def scan(docs: DataFrame, threshold: float = 0.5) -> DataFrame:
@@ -232,12 +249,22 @@ def redact(docs: DataFrame, threshold: float = 0.5, text_col: str = "text", path
 
     A value is a secret of its text if any of its occurrences is.  The text is put together again from its runs and what
     is between them: a run that is a secret becomes the mask as a whole, and inside any other run secrets are replaced, longer ones first.
+    Which other runs may hold one is told by the eight characters that a secret begins with, looked up among theirs a thousand runs at a time.
     """
     values = f"array_distinct(transform(filter(found, x -> x.score >= {threshold}D), x -> x.value))"
     longest = f"array_sort({values}, (a, b) -> CASE WHEN length(a) <> length(b) THEN length(b) - length(a) WHEN a < b THEN -1 WHEN a > b THEN 1 ELSE 0 END)"
+    some = lambda made: F.expr(f"IF(size(__secrets) > 0, {made}, array())")
+    out = scored(docs, text_col, path_col).withColumn("__secrets", F.expr(f"IF(size(found) > 0, {longest}, array())"))
+    out = out.withColumn("__others", some("array_except(__raw, __secrets)")).withColumn("__keys", some("transform(__secrets, v -> left(v, 8))"))
+    grams = "flatten(transform(slice(__others, g * 1000 + 1, 1000), r -> regexp_extract_all(r, '(?=(.{8}))', 1)))"
+    out = out.withColumn("__hits", some(f"array_distinct(flatten(transform(sequence(0, CAST(size(__others) / 1000 AS INT)), g -> IF(size(__keys) > 0, array_intersect({grams}, __keys), array()))))"))
+    out = out.withColumn("__touched", some("IF(size(__hits) > 0, filter(__others, r -> exists(__hits, h -> contains(r, h))), array())"))
+    # Secrets by hash in about sqrt(n) buckets, so that a run is compared with few of them.
+    out = out.withColumn("__hashed", some("transform(__secrets, v -> CAST(pmod(xxhash64(v), CAST(ceil(sqrt(size(__secrets))) AS INT)) AS INT))"))
+    out = out.withColumn("__buckets", some("transform(sequence(0, CAST(ceil(sqrt(size(__secrets))) AS INT) - 1), b -> filter(__secrets, (v, i) -> size(__hashed) > 0 AND get(__hashed, i) = b))"))
+    held = "array_contains(get(__buckets, CAST(pmod(xxhash64(r), size(__buckets)) AS INT)), r)"
     inside = f"aggregate(__secrets, r, (t, v) -> replace(t, v, '{MASK}'))"
-    hidden = f"CASE WHEN r IS NULL THEN '' WHEN array_contains(__secrets, r) THEN '{MASK}' ELSE {inside} END"
+    hidden = f"CASE WHEN r IS NULL THEN '' WHEN {held} THEN '{MASK}' WHEN size(__touched) > 0 AND array_contains(__touched, r) THEN {inside} ELSE r END"
     whole = f"array_join(flatten(zip_with(__between, __raw, (b, r) -> array(b, {hidden}))), '')"
-    out = scored(docs, text_col, path_col).withColumn("__secrets", F.expr(f"IF(size(found) > 0, {longest}, array())"))
     masked = F.expr(f"IF(size(__secrets) > 0, {whole}, `{text_col}`)")
     return out.withColumn(text_col, masked).select(docs.columns)

@@ -101,3 +101,31 @@ def test_planted_secrets_and_nothing_else(spark):
     planted = regex.compile(r"AKIA[A-Z0-9]{16}|(?<=token = \")[0-9a-f]{40}|(?<=password=)[0-9a-f]{18}", regex.I)
     want = {(r["doc_id"], m.start() + 1, len(m.group())) for r in docs.where(F.col("text").isNotNull()).collect() for m in planted.finditer(r["text"])}
     assert want and {k for k, p in got.items() if p >= 0.5} == want
+
+
+def test_contexts_of_runs_close_together(spark):
+    """Contexts reach over several short runs, with nothing or other letters between, at the ends of the text too."""
+    rng = random.Random(4)
+    rows = []
+    for _ in range(120):
+        made = [f"{rng.choice(['token=', 'secret: ', 'pwd=\"', 'é', ' ', '\U0001f600 key ', 'commit ', ''])}{hexes(rng.random(), rng.choice([8, 9, 16, 17, 40, 300]))}{rng.choice(['', '=', '==', '\"', ' ', ' on branch x'])}" for _ in range(rng.randrange(1, 12))]
+        rows.append("".join(made))
+    assert len(against_plain(spark, texts(spark, *rows))) > 300
+
+
+def test_many_candidates_in_one_text(spark):
+    """50,000 candidates, of which 20,000 are secrets that stand in other runs too, take seconds in one task."""
+    import time
+
+    rng = random.Random(5)
+    value = lambda: "".join(rng.choices(HEXES, k=32))
+    held = [value() for _ in range(20_000)]
+    text = "\n".join([f"password={v}" for v in held] + [f"commit {value()} was merged" for _ in range(29_000)] + [f"see x{v}y" for v in held[:1000]])
+    docs = texts(spark, text).cache()
+    secrets.scan(docs.limit(0)).collect()
+    began = time.time()
+    found = secrets.scan(docs).agg(F.count("*"), F.count_if("is_secret")).first()
+    out = secrets.redact(docs).first()["text"]
+    assert time.time() - began < 120
+    assert found[0] == 50_000 and found[1] >= 19_000
+    assert out.count("password=[SECRET]") >= 19_000 and out.count("see x[SECRET]y") >= 900 and out.count("commit ") == 29_000
