@@ -9,7 +9,7 @@ Training reads a bounded, stratified sample: at most ``per_language`` documents
 the order of a hash, found by counting languages, letting about twice as many through by a threshold on the hash and
 ranking these, so no task reads a whole language.  An n-gram counts for a language from its ``min_count``-th occurrence in
 the sample.  Rates, filters and masks are made by joins and aggregations; the driver gets the languages and the masks, whose size
-depends on the number of languages only.  Prediction reads every whole text.
+depends on the number of languages only (4 MB for 64); more than ``MASK_BYTES`` of them is an error.  Prediction reads every whole text.
 
 Defined results: null texts and texts without a letter are ``und`` with score 0; ties go to the
 language learned from more documents, then by name; repeated rows get equal answers; with no
@@ -18,6 +18,7 @@ learnable rows everything is ``und``; null ids and extra columns are carried or
 
 from __future__ import annotations
 
+import itertools
 import re
 from collections import Counter
 from collections.abc import Iterator
@@ -33,9 +34,18 @@ from .common import checkpointed, lean, remembered, text_batches
 WORD = re.compile(r"[^\W\d_]+")
 ORDERS = (2, 3, 4)
 SLOTS, HASHES, CACHE_WORDS, BROADCAST_ROWS = 1 << 19, 2, 200_000, 100_000
+MASK_BYTES = 1 << 30  # of the masks, which every executor gets: 16,384 languages
 PREDICTIONS = "doc_id long, lang_pred string, score double"
 
 
+def words_of(text: str) -> list[str]:
+    """Runs of letters; signs such as those of fractions and circled numbers, which ``WORD`` takes in, are no letters."""
+    found = WORD.findall(text.lower())
+    if all(map(str.isalpha, found)):
+        return found
+    return ["".join(part) for w in found for letters, part in itertools.groupby(w, str.isalpha) if letters]
+
+
 def ngrams(word: str) -> list[str]:
     padded = f" {word} "
     return [padded[i : i + n] for n in ORDERS for i in range(len(padded) - n + 1)]
@@ -101,7 +111,7 @@ def train(docs: DataFrame, usable: Column | None = None, per_language: int = 150
             for lang, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 own = found.setdefault(lang, Counter())
                 held[lang] += 1
-                own.update(WORD.findall(text.lower()))
+                own.update(words_of(text))
         for lang, words in found.items():
             own: Counter = Counter()
             for word, n in words.items():
@@ -114,6 +124,9 @@ def train(docs: DataFrame, usable: Column | None = None, per_language: int = 150
     kept = grams.where((F.col("gram") != "") & (F.col("n") >= min_count))
     total = kept.groupBy("lang").agg(F.sum("n").alias("total"))
     documents = grams.where("gram = ''").select("lang", F.col("n").alias("documents"))
+    n = documents.count()
+    if SLOTS * -(-n // 64) * 8 > MASK_BYTES:
+        raise ValueError(f"lang has {n} values, more than masks of {MASK_BYTES} bytes hold")
     # One row a language.
     found = [r["lang"] for r in documents.join(total, "lang").orderBy(F.desc("documents"), "lang").collect()]
     if not found:
@@ -169,7 +182,7 @@ class Predictor:
         self.known.update(zip(words, range(k, k + len(parts)), strict=True))
 
     def __call__(self, text: str | None) -> tuple[str, float]:
-        words = WORD.findall((text or "").lower())
+        words = words_of(text or "")
         if not words or not self.languages:
             return "und", 0.0
         new = {w for w in words if w not in self.known}

@@ -277,3 +277,20 @@ def test_normal_forms_are_not_touched(spark):
     text = unicodedata.normalize("NFD", "é") + "\\<|"
     made = chat.format_conversations(chat.thread(spark.createDataFrame([(1, 0, "assistant", text)], "conv_id long, turn long, role string, text string")))
     assert made.select(chat.read_loss(F.col("pieces")).alias("x")).first()["x"] == text
+
+
+def test_number_signs_are_no_letters(spark):
+    rows = [(k, f"the quick brown fox {k} jumps over the lazy dog" if k % 2 else f"der schnelle braune fuchs {k} springt über den hund", "en" if k % 2 else "de") for k in range(40)]
+    filters = langid.train(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    asked = ["² ½", "①", "Ⅷ ³", "12 34", "_ -", "", None, "²the½quick", "ü"]
+    got = {r["doc_id"]: r["lang_pred"] for r in langid.predict(spark.createDataFrame(list(enumerate(asked)), "doc_id long, text string"), filters).collect()}
+    assert [got[k] for k in range(8)] == ["und"] * 7 + ["en"] and got[8] != "und"
+    assert all(langid.words_of(c) == [c.lower()] for c in "aéßñДж中한ªʰǅ") and not any(langid.words_of(c) for c in "²½①Ⅷ٣7_-")
+    assert langid.words_of("x²the½ a1b") == ["x", "the", "a", "b"]
+
+
+def test_too_many_languages_are_an_error(spark, monkeypatch):
+    monkeypatch.setattr(langid, "MASK_BYTES", langid.SLOTS * 8)
+    docs = spark.range(200).select(F.col("id").alias("doc_id"), F.lit("same words here").alias("text"), (F.col("id") % 65).cast("string").alias("lang"))
+    with pytest.raises(ValueError, match="65 values"):
+        langid.train(docs)
