@@ -337,6 +337,55 @@ def caption_context(spark, sf_dir):
     return recordings.caption_context(videos, cutoffs)
 
 
+_REASON = """CASE WHEN k % 11 = 0 THEN 'invalid_source_row' WHEN k % 13 = 0 THEN 'unanswerable_not_in_visual_pilot' WHEN k % 17 = 0 THEN 'missing_evidence' WHEN k % 19 = 0 THEN 'requires_nonvisual_or_unknown_modality'
+    WHEN k % 23 = 0 THEN 'ambiguous_query_recording' WHEN NOT (c > 0 AND c <= 1200) THEN 'query_prefix_outside_budget' WHEN i = 7 OR j = 7 THEN 'unknown_or_conflicting_recording_time'
+    WHEN 10000 * j + e > 10000 * i + c THEN 'answer_evidence_after_query_boundary'"""
+
+
+@query(f"""WITH q AS (SELECT o_orderkey AS k, o_orderkey % 40 AS i, CASE WHEN o_orderkey % 6 = 0 THEN (o_orderkey + 38) % 40 WHEN o_orderkey % 3 = 0 THEN (o_orderkey + 39) % 40 ELSE o_orderkey % 40 END AS j, o_orderkey % 1500 AS c, o_orderkey % 1700 + 1 AS e FROM orders),
+    h AS (SELECT *, list_sort(list_filter([i, (i + 3) % 40, (i + 39) % 40], lambda x: x <> 7 AND 10000 * x < 10000 * i + c)) AS seen, list_contains([i, (i + 3) % 40, (i + 39) % 40], 7) AS unknown FROM q)
+    SELECT k AS question_id, {_REASON} WHEN j <> i THEN 'requires_cross_session_context' END AS reason,
+        {_REASON} WHEN unknown THEN 'history_has_unknown_recording_times' WHEN NOT list_contains(seen, j) THEN 'evidence_not_in_official_history' END AS reason_history,
+        CASE WHEN i <> 7 THEN array_to_string(list_transform(seen, lambda x: 'Person_' || x || '_session_1_a'), ',') ELSE '' END AS history FROM h""")
+def eligible_questions(spark, sf_dir):
+    """Questions of forty recordings, one of which has two starts: the rules without and with the recordings before the question."""
+    k = F.col("o_orderkey")
+    i, c = k % 40, (k % 1500).cast("double")
+    j = F.when(k % 6 == 0, (k + 38) % 40).when(k % 3 == 0, (k + 39) % 40).otherwise(i)
+    name = lambda x: F.concat(F.lit("Person_"), x.cast("string"), F.lit("_session_1_a"))
+    modes = lambda odd: F.when(odd, F.array(F.lit("Audio"))).otherwise(F.array(F.lit("Video"), F.lit("OCR")))
+    time_span = F.struct(F.lit(0.0).alias("start_time"), (k % 1700 + 1).cast("double").alias("end_time"))
+    evidence = F.array(F.struct(name(j).alias("video_id"), F.when(j != 7, (j * 10000).cast("double")).alias("start_time"), time_span.alias("time_span"), modes(k % 19 == 0).alias("modalities")))
+    span = F.array(F.struct(c.alias("start_time"), (c + 5).alias("end_time"), F.when(k % 23 == 0, name((k + 5) % 40)).alias("video_id")))
+    choices = F.array(F.lit("shelf"), F.lit("sink"), F.lit(recordings.UNANSWERABLE_CHOICE), F.lit("drawer"))
+    qa = t.read(spark, sf_dir, "orders").select(
+        k.alias("question_id"), F.struct(name(i).alias("primary_video_id"), (i * 10000 + F.when(i == 7, F.floor(k / 40) % 2).otherwise(0)).cast("double").alias("primary_video_start_time")).alias("metadata"),
+        F.struct(F.when(k % 17 == 0, F.slice(evidence, 1, 0)).otherwise(evidence).alias("evidence_list")).alias("answer_evidence"),
+        F.struct(span.alias("time_spans"), name(i).alias("video_id"), modes(F.lit(False)).alias("modalities")).alias("question_evidence"),
+        F.when(k % 11 == 0, F.slice(choices, 1, 3)).otherwise(choices).alias("choices"), F.array(*map(F.lit, ("wrong", "correct", "wrong", "wrong"))).alias("choice_types"),
+        F.lit(1).alias("correct_option_index"), F.lit("sink").alias("correct_answer"), (k % 13 != 0).alias("is_answerable"), F.array(name((k + 3) % 40), name((k + 39) % 40)).alias("video_ids"),
+    )
+    alone = recordings.eligibility(qa).select("question_id", "reason")
+    told = recordings.eligibility(qa, history=True).select("question_id", F.col("reason").alias("reason_history"), F.array_join("recordings", ",").alias("history"))
+    return alone.join(told, "question_id")
+
+
+@query("""WITH r AS (SELECT user_id AS u, count(*) AS n, bool_or(event_type = 'error' AND user_id % 5 = 0) AS bad FROM events GROUP BY 1)
+    SELECT CAST(u AS VARCHAR) AS run_id, bad OR u % 17 = 3 OR u % 19 = 4 AND u % 2 = 0 OR u % 29 = 5 OR u % 31 = 6 OR u % 37 = 7 AND u % 2 = 0 OR u % 41 = 8 OR u % 23 = 9 AS failed FROM r""")
+def run_health_conditions(spark, sf_dir):
+    """Each of the eight conditions fails some runs: exit code, status, frames, sessions, latch, memory, mode and item set."""
+    u = F.col("user_id")
+    e = t.read(spark, sf_dir, "events").withColumn("n", F.count("*").over(Window.partitionBy("user_id")))
+    flag = lambda on: F.when(on, 1).otherwise(0)
+    rows = e.select(
+        u.cast("string").alias("run_id"), F.col("event_id").cast("string").alias("item_id"), (F.col("n") + flag(u % 23 == 9)).alias("n_expected"), flag(u % 17 == 3).alias("exit_code"),
+        F.when((F.col("event_type") == "error") & (u % 5 == 0), "error").otherwise("ok").alias("status"), F.when(u % 19 == 4, 0).otherwise(9).alias("total_frames"), flag(u % 29 == 5).alias("sessions_without_frames"),
+        (u % 31 == 6).alias("revocation_contested"), flag(u % 37 != 7).alias("n_records"), flag(u % 37 != 7).alias("memory_bytes"), F.when(u % 2 == 0, "memory").otherwise("blind").alias("context_mode"),
+        F.when((u % 2 == 0) != (u % 41 == 8), "memory").otherwise("blind").alias("expected_mode"),
+    )
+    return runs.run_health(rows)
+
+
 _SAID = """'VIDEO ' || doc_id || ' id=' || source || ' weekday=' || lang || chr(10) || 'SCENE 1 time_of_day=noon place=' || lang || CASE WHEN trim(text) <> '' THEN chr(10) || 'CAPTION: ' || trim(text) ELSE '' END"""
 
 
