@@ -280,7 +280,8 @@ def pack(pieces: DataFrame, capacity: int = 2048) -> DataFrame:
         table = table.drop_columns(["shard"])
         return table.append_column("sequence_id", pa.array(np.asarray(bins, np.int64) + base)).append_column("offset", pa.array(offsets, pa.int64()))
 
-    dealt = pieces.withColumn("shard", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(shards)).cast("long"))
+    # The row's place in the checkpoint, which does not change, parts rows that are alike.
+    dealt = pieces.withColumn("shard", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32", F.monotonically_increasing_id()), F.lit(shards)).cast("long"))
     return dealt.groupBy("shard").applyInArrow(shard, PIECES + ", sequence_id long, offset long")
 
 

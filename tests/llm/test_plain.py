@@ -294,3 +294,12 @@ def test_too_many_languages_are_an_error(spark, monkeypatch):
     docs = spark.range(200).select(F.col("id").alias("doc_id"), F.lit("same words here").alias("text"), (F.col("id") % 65).cast("string").alias("lang"))
     with pytest.raises(ValueError, match="65 values"):
         langid.train(docs)
+
+
+def test_rows_that_are_alike_are_packed_in_many_shards(spark, monkeypatch):
+    monkeypatch.setattr(packing, "SHARD_PIECES", 50)
+    docs = spark.range(1000).select(F.lit(None).cast("long").alias("doc_id"), F.lit("").alias("text"))
+    out = packing.pack_documents(docs, queries.tokenizer_path(), 8, 0)
+    per = [r["count"] for r in out.groupBy(F.shiftright("sequence_id", 32).alias("s")).count().collect()]
+    assert sum(per) == 1000 and len(per) == 20 and max(per) < 120
+    assert out.groupBy("sequence_id").sum("length").where("`sum(length)` > 8").count() == 0
