@@ -57,7 +57,7 @@ def asof_forward(targets: DataFrame, rows: DataFrame, group: str, time: str, val
     marks = rows.select(group, F.col(time).alias("__t"), F.col(value).alias("__value"), F.lit(0).alias("__asked"))
     marks = marks.unionByName(targets.select(group, F.col("target").cast(rows.schema[time].dataType).alias("__t"), F.lit(None).cast(rows.schema[value].dataType).alias("__value"), F.lit(1).alias("__asked")))
     per = marks.groupBy(group, "__t").agg(F.min("__value").alias("__first"), F.max("__value").alias("__last"), F.sum("__asked").cast("int").alias("__asked"))
-    per, cut = ranges.ranged(per, [group], ["__t"], range_rows)
+    per, cut = (per.withColumn(ranges.RANGE, F.lit(0).cast("long")), False) if ranges.few(range_rows, rows, targets) else ranges.ranged(per, [group], ["__t"], range_rows)
     keys = [group, ranges.RANGE]
     own = Window.partitionBy(*keys).orderBy("__t")
     ahead = F.first("__first", ignorenulls=True).over(own.rowsBetween(Window.currentRow, Window.unboundedFollowing))

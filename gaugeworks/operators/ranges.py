@@ -53,6 +53,11 @@ def _refined(rows: DataFrame, cuts: DataFrame, by: list[str], values: list[str])
     return out.drop("__which", *(f"__p{i}" for i in range(len(values))))
 
 
+def few(range_rows: int | None, *frames: DataFrame) -> bool:
+    """Do all rows together fit into one range?  A count reads no columns, so it spares small tables the search for large groups."""
+    return sum(f.count() for f in frames) <= (range_rows or RANGE_ROWS)
+
+
 def ranged(rows: DataFrame, by: list[str], values: list[str], range_rows: int | None = None) -> tuple[DataFrame, bool]:
     """``rows`` with the column ``__range``, and whether any group was cut.
 
@@ -73,7 +78,7 @@ def running_totals(rows: DataFrame, by: list[str], values: list[str], amounts: d
 
     Ranges are summed by themselves; the totals of a group's earlier ranges, one row a range, are carried over.
     """
-    rows, cut = ranged(rows, by, values, range_rows)
+    rows, cut = (rows.withColumn(RANGE, F.lit(0).cast("long")), False) if few(range_rows, rows) else ranged(rows, by, values, range_rows)
     keys = [*by, RANGE]
     upto = Window.partitionBy(*keys).orderBy(*values).rowsBetween(Window.unboundedPreceding, 0)
     rows = rows.withColumns({name: F.sum(c).over(upto) for name, c in amounts.items()})
@@ -102,7 +107,7 @@ def order_statistics(rows: DataFrame, value: str, ranks: dict[str, Rank], by: li
     """
     by = by or []
     per = rows.groupBy(*by, F.col(value).alias("__v")).agg(F.count(value).alias("__c")).withColumn(RANGE, F.lit(0).cast("long"))
-    cuts = _cuts(per, by, ["__v"], range_rows)
+    cuts = None if few(range_rows, rows) else _cuts(per, by, ["__v"], range_rows)
     if cuts is None:
         group = Window.partitionBy(*by)
         seen = per.withColumn("__upto", F.sum("__c").over(group.orderBy("__v"))).withColumn("__all", F.sum("__c").over(group))

@@ -187,6 +187,13 @@ def run_rows(spark, sf_dir):
     return runs.rows_of_run(rows, "3", "click", "v1").select("item_id", F.col("judge.model").alias("model"), "value")
 
 
+@query("SELECT 'u' || user_id AS run_id, min(ts) AS started_at, count(*) AS n_items FROM events WHERE user_id = 11 GROUP BY 1")
+def found_run(spark, sf_dir):
+    """One run of the list of all of them."""
+    told = t.read(spark, sf_dir, "events").groupBy(F.concat(F.lit("u"), "user_id").alias("run_id")).agg(F.min("ts").alias("started_at"), F.count("*").alias("n_items"))
+    return runs.find_run(runs.list_runs(told), "u11")
+
+
 class Counter:
     """An adapter that answers with the number of sessions it took in and the last one's name; it fails on each fifth item."""
 

@@ -103,6 +103,16 @@ def mcq_extract(spark, sf_dir):
     return _replies(spark, sf_dir).select("id", "letter")
 
 
+@query("SELECT p_partkey AS id, CASE p_partkey % 8 WHEN 0 THEN 'C' WHEN 1 THEN 'D' WHEN 2 THEN 'B' WHEN 3 THEN 'C' WHEN 6 THEN 'E' END AS letter FROM part")
+def choice_cascade(spark, sf_dir):
+    """Replies of eight kinds about each part: a letter, a phrasing, an option's text alone and inside, denied, two of them, an abstention, none."""
+    k = F.col("p_partkey")
+    options = F.array(*(F.struct(F.lit(a).alias("letter"), c.alias("text")) for a, c in zip("ABCDE", (F.col("p_name"), F.col("p_brand"), F.col("p_type"), F.lit("none of these parts"), F.lit(text.UNANSWERABLE_TEXT)), strict=True)))
+    said = [F.lit("**C**"), F.lit("The answer is (d)."), F.upper("p_brand"), F.concat(F.lit("I think it is the "), F.lower("p_type")), F.concat(F.lit("It is not the "), "p_type"), F.concat("p_brand", F.lit(" or "), "p_type"), F.lit("I cannot determine this."), F.lit("something else")]
+    reply = F.element_at(F.array(*said), (k % 8 + 1).cast("int"))
+    return t.read(spark, sf_dir, "part").select(k.alias("id"), text.choice_letter(reply, options).alias("letter"))
+
+
 @query(f"SELECT id, CASE WHEN letter = CASE WHEN id < 1000 THEN letter ELSE 'B' END THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS score FROM ({_LETTERS_SQL})")
 def score_mcq(spark, sf_dir):
     return _replies(spark, sf_dir).select("id", F.when(F.col("letter") == F.col("gold"), 1.0).otherwise(0.0).alias("score"))
