@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 from typing import Protocol
 
@@ -9,7 +10,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions import text
+from ..functions import ids, text
 
 
 class Adapter(Protocol):
@@ -106,6 +107,27 @@ def rows_of_run(rows: DataFrame, run_id: str, judge_model: str | None = None, pr
     return rows.orderBy("item_id")
 
 
+def experiment_matrix(models: DataFrame, tag: str, tracks: list[str] | None = None) -> DataFrame:
+    """(run_id, model, mode, gpu, batch): one run for each model (id, gpu) and track; the tracks of a model are one batch, in their order.
+
+    Raises ValueError for ids that are no names or stand twice, a graphics card that two models share, and odd tracks.
+    """
+    tracks = ["blind", "memory", "oracle"] if tracks is None else tracks
+    if not tracks or len(set(tracks)) != len(tracks) or set(tracks) - {"blind", "memory", "oracle"}:
+        raise ValueError("tracks must be some of blind, memory and oracle, each once")
+    if not re.fullmatch(r"[A-Za-z0-9_-]+", tag):
+        raise ValueError("a tag holds letters, digits, _ or - only")
+    bad = models.where(~ids.valid_name(F.col("id"))).select("id").first() or models.groupBy("id").count().where("count > 1").first()
+    if bad:
+        raise ValueError(f"model id {bad['id']!r} is no name or stands twice")
+    shared = models.where("gpu is not null").groupBy("gpu").count().where("count > 1").first() or models.where(r"gpu is not null and not gpu rlike '^[0-9]+\\z'").first()
+    if shared:
+        raise ValueError(f"graphics card {shared['gpu']!r} is shared or no index")
+    track = F.posexplode(F.array(*map(F.lit, tracks))).alias("at", "mode")
+    rows = models.select("id", "gpu", track)
+    return rows.select(F.concat_ws("-", F.lit(tag), "id", "mode").alias("run_id"), F.col("id").alias("model"), "mode", "gpu", F.col("at").alias("batch"))
+
+
 #: Checks of a reply by answer format, with whether a system must pass them.
 REPLY_CHECKS = [("mcq5_is_letter", False), ("mcq_is_letter", True), ("open_has_text", True), ("numeric_has_value", True)]
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import ids, text
 from ..operators import corpus, events, mining, planning, recordings, report, runs, scans
-from ..sources import readers, sinks
+from ..sources import archives, readers, sinks
 from ..streaming import live, sessions
 from . import tables as t
 from .registry import query
@@ -194,6 +194,30 @@ def found_run(spark, sf_dir):
     return runs.find_run(runs.list_runs(told), "u11")
 
 
+@query("""WITH m AS (SELECT l_orderkey AS a, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice) AS pos, CASE l_partkey % 9 WHEN 0 THEN 'nested/x' ELSE 'f' || (l_partkey % 9) || '.csv' END AS n, l_suppkey % 47 = 3 AS odd, l_tax = 0.05 AS enc,
+        CAST(l_quantity AS BIGINT) * 100000 AS size, CASE WHEN l_discount = 0.07 THEN 1000 ELSE 100000 END AS packed FROM lineitem),
+    d AS (SELECT *, row_number() OVER (PARTITION BY a, n ORDER BY pos) > 1 AS twice FROM m),
+    f AS (SELECT *, CASE WHEN n LIKE '%/%' THEN 'unsafe_name' WHEN odd THEN 'not_a_file' WHEN enc THEN 'encrypted' WHEN twice THEN 'duplicate' END AS flaw, n IN ('f1.csv', 'f2.csv', 'f3.csv', 'f4.csv', 'f5.csv') AND NOT twice AS ours FROM d),
+    p AS (SELECT a, count(*) AS c, min_by(flaw, pos) FILTER (flaw IS NOT NULL) AS flaw, bool_or(n = 'f1.csv') AS has, coalesce(sum(size) FILTER (ours), 0) AS total, coalesce(bool_or(ours AND size > greatest(1048576, packed * 1000)), false) AS bomb FROM f GROUP BY 1),
+    r AS (SELECT a, total, CASE WHEN c > 6 THEN 'too_many_members' WHEN flaw IS NOT NULL THEN flaw WHEN NOT has THEN 'missing_fields' WHEN total > 6000000 THEN 'over_budget' WHEN bomb THEN 'suspicious_ratio' END AS reason FROM p)
+    SELECT a AS archive, reason, CASE WHEN reason IS NULL THEN CAST(total AS BIGINT) ELSE 0 END AS expanded FROM r""")
+def archive_verdicts(spark, sf_dir):
+    """Orders as archives, their lines as members."""
+    k = F.col("l_partkey") % 9
+    at = F.row_number().over(Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice"))
+    rows = t.read(spark, sf_dir, "lineitem").select(
+        F.col("l_orderkey").alias("archive"), at.alias("at"), F.when(k == 0, "nested/x").otherwise(F.concat(F.lit("f"), k, F.lit(".csv"))).alias("name"), F.when(F.col("l_suppkey") % 47 == 3, 0o120000).otherwise(0o100000).alias("mode"),
+        (F.col("l_tax") == 0.05).alias("encrypted"), (F.col("l_quantity").cast("long") * 100_000).alias("size"), F.when(F.col("l_discount") == 0.07, 1000).otherwise(100_000).cast("long").alias("compressed"),
+    )
+    return archives.verdicts(rows, ["f1.csv"], ["f2.csv", "f3.csv", "f4.csv", "f5.csv"], 6, 6_000_000).select("archive", "reason", "expanded")
+
+
+@query("SELECT 'exp-' || replace(c_name, '#', '_') || '-' || m AS run_id, m AS mode, CAST(i AS INTEGER) AS batch FROM customer, (VALUES (0, 'memory'), (1, 'blind')) t(i, m)")
+def experiment_matrix(spark, sf_dir):
+    models = t.read(spark, sf_dir, "customer").select(F.replace("c_name", F.lit("#"), F.lit("_")).alias("id"), F.col("c_custkey").cast("string").alias("gpu"))
+    return runs.experiment_matrix(models, "exp", ["memory", "blind"]).select("run_id", "mode", "batch")
+
+
 class Counter:
     """An adapter that answers with the number of sessions it took in and the last one's name; it fails on each fifth item."""
 
