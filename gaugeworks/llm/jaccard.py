@@ -224,6 +224,16 @@ def _may_link(x: str, y: str, num: int, den: int) -> Column:
     return (most * (num + den) >= need) & (F.least(*sizes) * (num + den) >= need)
 
 
+def _may_link_any(num: int, den: int) -> Column:
+    """Can an n-gram be one of the first SHARED that a set shares with any set linked to it?
+
+    Linked sets share num/den of either, so ``_may_link`` fails for every partner of a row that fails this; such rows of a
+    frequent n-gram go before its windows.
+    """
+    size = _size("place")
+    return (size - F.shiftright("place", 32) + F.least("before", F.lit(SHARED - 1))) * den >= size * num
+
+
 def _candidates(rows: DataFrame, x: str, y: str, num: int, den: int) -> DataFrame:
     """(a, b): pairs of classes x and y in as many rows (one an n-gram) as linked sets must have."""
     must = F.ceil((_size(x + "place") + _size(y + "place")) * num / (num + den))
@@ -247,7 +257,8 @@ def _rooted(docs: DataFrame, n: int, num: int, den: int) -> tuple[DataFrame, Dat
     shared = _prefixes(docs, n, num, den, order).repartition("s").dropDuplicates(["s", "class"])
     shared = shared.withColumn("lo", F.min("class").over(by_gram)).withColumn("hi", F.max("class").over(by_gram))
     shared = shared.where("lo <> hi").select("s", "class", "place")
-    shared = checkpointed(shared.withColumn("before", F.row_number().over(Window.partitionBy("class").orderBy("place")) - 1))
+    shared = shared.withColumn("before", F.row_number().over(Window.partitionBy("class").orderBy("place")) - 1)
+    shared = checkpointed(shared.where(_may_link_any(num, den)))
     front = by_gram.orderBy("place", "class")
     star = shared.select("class", "place", "before", *(F.first(c).over(front).alias("f_" + c) for c in ("class", "place", "before"))).where("class <> f_class")
     links = _links(_candidates(star, "", "f_", num, den), docs, reps, n, num, den, order)

@@ -303,3 +303,15 @@ def test_rows_that_are_alike_are_packed_in_many_shards(spark, monkeypatch):
     per = [r["count"] for r in out.groupBy(F.shiftright("sequence_id", 32).alias("s")).count().collect()]
     assert sum(per) == 1000 and len(per) == 20 and max(per) < 120
     assert out.groupBy("sequence_id").sum("length").where("`sum(length)` > 8").count() == 0
+
+
+def test_one_sided_bound_drops_no_pair(spark):
+    """Whatever row fails it fails with every partner: all places of sets of up to 14 n-grams, at two thresholds."""
+    rows = [(size, place, before) for size in range(1, 15) for place in range(size) for before in range(min(place, 3) + 1)]
+    one = spark.createDataFrame([((p << 32) + s, b) for s, p, b in rows], "place long, before int")
+    for num, den in ((9, 10), (4, 5)):
+        kept = one.withColumn("ok", jaccard._may_link_any(num, den))
+        both = kept.alias("l").crossJoin(kept.select(F.col("place").alias("o_place"), F.col("before").alias("o_before"), F.col("ok").alias("o_ok")))
+        linked = both.where(jaccard._may_link("", "o_", num, den))
+        assert linked.count() > 0 and linked.where("not ok or not o_ok").count() == 0
+        assert kept.where("not ok").count() > 0
