@@ -51,27 +51,37 @@ def visible_counts(queries: DataFrame, values: DataFrame, cutoff: str, value: st
 def asof_forward(targets: DataFrame, rows: DataFrame, group: str, time: str, value: str, range_rows: int | None = None) -> DataFrame:
     """Each target with the first row of its group at or after it, or else the group's last row.
 
-    Rows of one time are folded to their least and greatest value first.  A group of any size is spread over
-    ranges of its times; what a range has first, and what the group has last, is carried over, one row a range.
+    Rows of one time are folded to their least and greatest value first.  Frames run from late to early, so each row
+    is looked at once.  A group of any size is spread over ranges of its times; a row ahead of each range holds what
+    follows it: the next range's first value, or the group's last one.
     """
-    marks = rows.select(group, F.col(time).alias("__t"), F.col(value).alias("__value"), F.lit(0).alias("__asked"))
-    marks = marks.unionByName(targets.select(group, F.col("target").cast(rows.schema[time].dataType).alias("__t"), F.lit(None).cast(rows.schema[value].dataType).alias("__value"), F.lit(1).alias("__asked")))
-    per = marks.groupBy(group, "__t").agg(F.min("__value").alias("__first"), F.max("__value").alias("__last"), F.sum("__asked").cast("int").alias("__asked"))
-    per, cut = (per.withColumn(ranges.RANGE, F.lit(0).cast("long")), False) if ranges.few(range_rows, rows, targets) else ranges.ranged(per, [group], ["__t"], range_rows)
-    keys = [group, ranges.RANGE]
-    own = Window.partitionBy(*keys).orderBy("__t")
-    ahead = F.first("__first", ignorenulls=True).over(own.rowsBetween(Window.currentRow, Window.unboundedFollowing))
-    last = F.last("__last", ignorenulls=True).over(own.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
-    found = per.withColumn("__ahead", ahead).withColumn("__end", last)
-    if cut:
-        ends = found.groupBy(*keys).agg(F.min_by("__first", F.when(F.col("__first").isNotNull(), F.col("__t"))).alias("__begin"), F.first("__end").alias("__end"))
-        order = Window.partitionBy(group).orderBy(ranges.RANGE)
-        following = F.first("__begin", ignorenulls=True).over(order.rowsBetween(1, Window.unboundedFollowing))
-        final = F.last("__end", ignorenulls=True).over(order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
-        carried = ends.select(*keys, following.alias("__next"), final.alias("__final"))
-        found = ranges.joined(found, carried, keys).withColumn("__ahead", F.coalesce("__ahead", "__next")).withColumn("__end", F.col("__final"))
-    told = found.where("__asked > 0").withColumn("__n", F.explode(F.sequence(F.lit(1), F.col("__asked"))))
-    return told.select(group, F.col("__t").cast(targets.schema["target"].dataType).alias("target"), F.coalesce("__ahead", "__end").alias(value))
+    at, told = rows.schema[time].dataType, rows.schema[value].dataType
+    seen = rows.select(group, F.col(time).alias("__t"), F.col(value).alias("__value")).where("__value is not null")
+    asked = targets.select(group, F.col("target").cast(at).alias("__t"))
+    marks = seen.groupBy(group, "__t").agg(F.min("__value").alias("__value"), F.max("__value").alias("__end")).withColumn("__asked", F.lit(0))
+    marks = marks.unionByName(asked.withColumns({"__value": F.lit(None).cast(told), "__end": F.lit(None).cast(told), "__asked": F.lit(1)}))
+    cuts = None if ranges.few(range_rows, rows, targets) else ranges.cut_points(seen.select(group, "__t").unionByName(asked), [group], "__t", range_rows)
+    if cuts is None:
+        marks = marks.withColumn(ranges.RANGE, F.lit(0))
+    else:
+        marks = ranges.dealt(marks, cuts, [group], "__t").unionByName(_following(ranges.dealt(seen, cuts, [group], "__t"), cuts, group), allowMissingColumns=True)
+    late = Window.partitionBy(group, ranges.RANGE).orderBy(F.col("__asked") >= 0, F.desc("__t"), "__asked")
+    ahead = F.last("__value", ignorenulls=True).over(late.rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    end = F.first("__end", ignorenulls=True).over(late.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
+    found = marks.withColumns({"__ahead": ahead, "__end": end}).where("__asked = 1")
+    return found.select(group, F.col("__t").cast(targets.schema["target"].dataType).alias("target"), F.coalesce("__ahead", "__end").alias(value))
+
+
+def _following(seen: DataFrame, cuts: DataFrame, group: str) -> DataFrame:
+    """A row for each range of each group: the first value of the ranges after it, or else the group's last value."""
+    mark = F.struct("__t", "__value")
+    own = seen.groupBy(group, ranges.RANGE).agg(F.min(mark).alias("__begin"), F.max(mark).alias("__last"))
+    every = ranges.joined(own.select(group).distinct(), cuts, [group]).select(group, F.explode(F.sequence(F.lit(0), F.coalesce(F.size("__cuts"), F.lit(0)))).alias(ranges.RANGE))
+    late = Window.partitionBy(group).orderBy(F.desc(ranges.RANGE))
+    after = F.last("__begin", ignorenulls=True).over(late.rowsBetween(Window.unboundedPreceding, -1))
+    last = F.first("__last", ignorenulls=True).over(late.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
+    out = ranges.joined(every, own, [group, ranges.RANGE]).withColumns({"__after": after, "__final": last})
+    return out.select(group, ranges.RANGE, F.coalesce("__after", "__final")["__value"].alias("__value"), F.lit(-1).alias("__asked"))
 
 
 def fixed_chunks(rows: DataFrame, end: str, size: float, guard: float = 0.001) -> DataFrame:

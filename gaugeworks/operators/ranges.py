@@ -22,6 +22,7 @@ RANGE_ROWS, WAYS = 1_000_000, 64
 RANGE = "__range"
 ROUNDS = 8  # each appends a digit of base _BASE to a long
 _BASE = 2 * (WAYS + 1) + 1
+_SEEN = 8  # thinned values between two cut points
 
 
 def joined(rows: DataFrame, small: DataFrame, keys: list[str], how: str = "left") -> DataFrame:
@@ -73,6 +74,31 @@ def ranged(rows: DataFrame, by: list[str], values: list[str], range_rows: int |
     return rows, cut
 
 
+def cut_points(rows: DataFrame, by: list[str], value: str, range_rows: int | None = None) -> DataFrame | None:
+    """(by, ``__cuts``): for each group too large for one range, values in order that cut it; None if no group is.
+
+    Distinct values are thinned by their hash, so the cuts are the same whenever they are asked for; every eighth that is left
+    cuts, which gives ranges of about half of ``range_rows`` distinct values.  Only where to cut rests on the thinned values.
+    """
+    every = max(1, (range_rows or RANGE_ROWS) // (2 * _SEEN))
+    some = rows.where(F.pmod(F.xxhash64(*by, value), F.lit(every)) == 0).groupBy(*by).agg(F.sort_array(F.collect_set(value)).alias("__seen"))
+    cuts = checkpointed(some.select(*by, F.filter("__seen", lambda _, i: i % _SEEN == _SEEN - 1).alias("__cuts")).where(F.size("__cuts") > 0))
+    return None if cuts.isEmpty() else cuts
+
+
+def dealt(rows: DataFrame, cuts: DataFrame, by: list[str], value: str) -> DataFrame:
+    """``rows`` with ``__range``: how many cut points of their group are at or below the value (none for null).
+
+    The table of cut points is broadcast, two values for every ``range_rows`` distinct ones, and searched by halving; the steps are
+    plain expressions, so that the generated code only points at the array and no row ever carries it.
+    """
+    longest = cuts.agg(F.max(F.size("__cuts"))).first()[0]
+    out = joined(rows, F.broadcast(cuts), by).withColumn(RANGE, F.lit(0))
+    for k in reversed(range(longest.bit_length())):
+        out = out.withColumn(RANGE, F.col(RANGE) + F.when(F.get("__cuts", F.col(RANGE) + (1 << k) - 1) <= F.col(value), 1 << k).otherwise(0))
+    return out.drop("__cuts")
+
+
 def running_totals(rows: DataFrame, by: list[str], values: list[str], amounts: dict[str, str], range_rows: int | None = None) -> DataFrame:
     """Adds, for each name of ``amounts``, the sum of its column up to each row of the group in the order of ``values``.
 

@@ -1,6 +1,7 @@
 """Ranges of groups that are larger than a task should hold, against plain sorting."""
 
 import random
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -104,3 +105,33 @@ def test_attempts_visible_counts_and_medians(spark, limit):
     envs = spark.createDataFrame([("r", 2)], "reference string, n_sessions int")
     assert scans.summary(envs, moves).first()["median_displacement"] == sorted(values)[350]
     assert scans.summary(envs, moves.limit(0)).first()["median_displacement"] == 0.0
+
+
+def test_asof_looks_at_each_row_once(spark):
+    """Frames that run to the end of a group are filled anew for each row: 5 billion steps on this one."""
+    n = 100_000
+    rows = spark.range(n).selectExpr("'hot' AS g", "2 * id AS t", "concat('f', id) AS f")
+    asked = spark.range(n).selectExpr("'hot' AS g", "2 * id + 1 AS target")
+    began = time.monotonic()
+    told = planning.asof_forward(asked, rows, "g", "t", "f").groupBy(F.col("f") == F.concat(F.lit("f"), F.least((F.col("target") + 1) / 2, F.lit(n - 1)).cast("long"))).count().collect()
+    assert [tuple(r) for r in told] == [(True, n)]
+    assert time.monotonic() - began < 25
+
+
+def test_asof_in_ranges_equals_one_range(spark):
+    """Null and repeated times, times that are strings, groups with rows only or targets only."""
+    rng = random.Random(8)
+    time_ = lambda: None if rng.random() < 0.02 else f"{rng.choice([7, rng.randrange(3000)]):05}"
+    rows = spark.createDataFrame([(rng.choice(["hot", "hot", "b", None]), time_(), rng.choice([None, f"f{k}"])) for k in range(1500)] + [("rows", "1", "x"), ("blank", "1", None)], "g string, t string, f string")
+    asked = spark.createDataFrame([(rng.choice(["hot", "hot", "b", None, "gone", "blank"]), time_()) for _ in range(600)], "g string, target string")
+    one, many = (sorted(map(str, planning.asof_forward(asked, rows, "g", "t", "f", n).collect())) for n in (10_000, 30))
+    assert len(one) == 600 and one == many
+
+
+def test_cut_points_deal_in_order(spark):
+    rows = spark.range(5000).selectExpr("if(id % 50 = 0, null, 'hot') AS g", "if(id % 3 = 0, 77, id) AS v")
+    cuts = ranges.cut_points(rows, ["g"], "v", 200)
+    told = ranges.dealt(rows, cuts, ["g"], "v").where("g = 'hot'").groupBy(ranges.RANGE).agg(F.countDistinct("v").alias("n"), F.min("v").alias("low"), F.max("v").alias("high")).orderBy(ranges.RANGE).collect()
+    assert len(told) > 16 and max(r["n"] for r in told) <= 400 and sum(r["n"] for r in told) == rows.where("g = 'hot'").select("v").distinct().count()
+    assert all(a["high"] < b["low"] for a, b in zip(told, told[1:]))
+    assert ranges.cut_points(rows, ["g"], "v") is None
