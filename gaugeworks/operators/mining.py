@@ -9,6 +9,9 @@ from ..functions import text
 from ..scratch import checkpointed
 from . import ranges
 
+#: Moves of an environment that are walked in one row; more than its 1,000 a limit by window would not be told before the shuffle.
+WALKED = 256
+
 #: Labels too general to name, and labels of the room itself.
 UNUSABLE = "clutter object objects item items stuff wall floor ceiling room doorframe windowframe unknown other".split()
 STRUCTURAL = ["wall", "floor", "ceiling", "door", "doorframe", "window", "windowframe", "stairs", "column", "beam", "ceiling light", "light", "heater", "radiator", "pipe", "wall frame", "floor mat", "carpet", "rug"]
@@ -65,15 +68,50 @@ def mine_environment(built: DataFrame, cap: int | None = 4) -> DataFrame:
     (same scan, gold and subject exchanged) was asked is left out, labels compared in lower case; at most ``cap`` an
     environment, all of them for None.
 
-    The choice is that of a sequential walk, made in rounds over all environments at once.  A move is blocked
-    only by better moves of its subject or by its mirror, so each round accepts every subject's best open move whose
-    mirror is not open and better, and drops what the accepted ones block.  An environment's best open move is
+    With a cap the walk mostly ends among an environment's first ``WALKED`` moves, which a limit by window tells before and
+    after one shuffle by environment; these are folded in one row.  An environment that has more and is short of its cap then
+    is mined in rounds (``_rounds``), as are all without a cap.
+    """
+    usable_ = built.where(usable(F.col("subject")) & usable(F.col("gold")))
+    if cap is None or cap > WALKED:
+        return _rounds(usable_, cap)
+    walked = checkpointed(_walked(usable_, cap))
+    short = (F.col("__n") == WALKED) & (F.size("__taken") < cap)
+    taken = walked.where(~short).select(F.explode("__taken").alias("t")).select("t.*")
+    left = walked.where(short).select("env_id")
+    return taken if left.isEmpty() else taken.unionByName(_rounds(ranges.joined(usable_, left, ["env_id"], "left_semi"), cap))
+
+
+def _order() -> list[Column]:
+    """The order of the walk: falling displacement, those without one last."""
+    return [F.coalesce(-F.col("displacement").cast("double"), F.lit(float("nan"))).alias("d"), *map(F.col, ("ord", "scan", "subject", "gold"))]
+
+
+def _walked(rows: DataFrame, cap: int) -> DataFrame:
+    """(env_id, __n, __taken): how many of an environment's first ``WALKED`` moves there are, and which of them the walk takes."""
+    columns = rows.columns
+    order = Window.partitionBy("env_id").orderBy(*_order(), *(c for c in columns if c not in ("env_id", "ord", "scan", "subject", "gold")))
+    first = rows.withColumn("__k", F.row_number().over(order)).where(F.col("__k") <= WALKED)
+    moves = first.groupBy("env_id").agg(F.sort_array(F.collect_list(F.struct("__k", F.struct(*columns).alias("row")))).alias("__moves"))
+    low = lambda m, c: F.lower(m[c])
+    mirror = lambda t, m: t["scan"].eqNullSafe(m["scan"]) & (low(t, "subject") == low(m, "gold")) & (low(t, "gold") == low(m, "subject"))
+    blocked = lambda taken, m: F.exists(taken, lambda t: (low(t, "subject") == low(m, "subject")) | mirror(t, m))
+    step = lambda taken, m: F.when((F.size(taken) >= cap) | blocked(taken, m["row"]), taken).otherwise(F.concat(taken, F.array(m["row"])))
+    none = F.filter(F.transform("__moves", lambda m: m["row"]), lambda _: F.lit(False))
+    return moves.select("env_id", F.size("__moves").alias("__n"), F.aggregate("__moves", none, step).alias("__taken"))
+
+
+def _rounds(rows: DataFrame, cap: int | None) -> DataFrame:
+    """The choice of the sequential walk, made in rounds over all environments at once.
+
+    A move is blocked only by better moves of its subject or by its mirror, so each round accepts every subject's best open
+    move whose mirror is not open and better, and drops what the accepted ones block.  An environment's best open move is
     always accepted, so after ``cap`` rounds the first ``cap`` of the walk are; without a cap rounds go on until no move is
     open.  Joins are by environment and labels, so one environment is spread over many tasks.
     """
     low = lambda c: F.lower(c)
-    first = F.struct(F.coalesce(-F.col("displacement").cast("double"), F.lit(float("nan"))).alias("d"), "ord", "scan", "subject", "gold")
-    rows = built.where(usable(F.col("subject")) & usable(F.col("gold"))).select("env_id", "scan", low("subject").alias("s"), low("gold").alias("g"), first.alias("at"), F.struct(*built.columns).alias("row"))
+    columns = rows.columns
+    rows = rows.select("env_id", "scan", low("subject").alias("s"), low("gold").alias("g"), F.struct(*_order()).alias("at"), F.struct(*columns).alias("row"))
     # Of moves alike in scan and labels only the best can be taken.
     best = rows.groupBy("env_id", "scan", "s", "g").agg(F.min(F.struct("at", "row")).alias("m")).select("env_id", "scan", "s", "g", "m.at", "m.row")
     best = checkpointed(best)
@@ -91,7 +129,7 @@ def mine_environment(built: DataFrame, cap: int | None = 4) -> DataFrame:
         if open_.isEmpty():
             break
     if taken is None:
-        return built.limit(0)
+        return rows.select("row.*").limit(0)
     if cap is not None:
         place = F.row_number().over(Window.partitionBy("env_id").orderBy("at"))
         taken = taken.withColumn("place", place).where(F.col("place") <= cap).drop("place")

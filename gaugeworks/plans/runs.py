@@ -546,9 +546,11 @@ def scan_questions(spark, sf_dir):
 @query("""WITH b AS (SELECT o_custkey AS env, p_name AS subject, max(l_quantity * 1000000 - (l_orderkey * 7 + l_linenumber) % 1000000) AS best FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN part ON l_partkey = p_partkey GROUP BY 1, 2)
     SELECT CAST(env AS VARCHAR) AS env_id, subject, best AS displacement FROM b QUALIFY row_number() OVER (PARTITION BY env ORDER BY best DESC, subject) <= 4""")
 def mined_moves(spark, sf_dir):
-    rows = t.read(spark, sf_dir, "lineitem").join(t.read(spark, sf_dir, "orders"), F.col("l_orderkey") == F.col("o_orderkey")).join(t.read(spark, sf_dir, "part"), F.col("l_partkey") == F.col("p_partkey"))
+    li, o, p = (t.read(spark, sf_dir, name) for name in ("lineitem", "orders", "part"))
     size = F.col("l_quantity") * 1000000 - (F.col("l_orderkey") * 7 + F.col("l_linenumber")) % 1000000
-    built = rows.select(F.col("o_custkey").cast("string").alias("env_id"), F.col("p_name").alias("ord"), F.lit(1).alias("scan"), F.col("p_name").alias("subject"), F.lit("sofa").alias("gold"), size.cast("double").alias("displacement"))
+    sized = li.join(o, F.col("l_orderkey") == F.col("o_orderkey")).select("o_custkey", "l_partkey", size.cast("double").alias("displacement"))
+    rows = sized.join(p, F.col("l_partkey") == F.col("p_partkey"))
+    built = rows.select(F.col("o_custkey").cast("string").alias("env_id"), F.col("p_name").alias("ord"), F.lit(1).alias("scan"), F.col("p_name").alias("subject"), F.lit("sofa").alias("gold"), "displacement")
     return mining.mine_environment(built).select("env_id", "subject", "displacement")
 
 

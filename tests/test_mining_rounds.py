@@ -48,3 +48,35 @@ def test_nothing_to_mine(spark):
     rows = spark.createDataFrame([("e", 1, 0, "wall", "chair", 2.0), ("e", 2, 0, "chair", None, 2.0)], MOVES)
     assert mining.mine_environment(rows).collect() == []
     assert mining.mine_environment(rows.limit(0), None).collect() == []
+
+
+@pytest.mark.parametrize("walked", [4, 9, 30])
+def test_environments_short_after_their_walk_go_on_in_rounds(spark, monkeypatch, walked):
+    """Few moves are walked, so some environments have more and are short of their cap; others are done."""
+    monkeypatch.setattr(mining, "WALKED", walked)
+    rng = random.Random(12)
+    labels = ["Chair", "chair", "LAMP", "bed", "Sofa", "box", "wall"]
+    moves = [(env, k, rng.choice([None, 0, 1]), rng.choice(labels), rng.choice(labels), rng.choice([1.0, 2.0, rng.random() * 9, None])) for k, env in enumerate(["a", "a", "b", None] * 50 + ["c"] * 3 + ["d"] * 12)]
+    moves += [("e", 1000 + k, 0, "bed", rng.choice(labels), 50.0) for k in range(40)] + [("e", 2000 + k, 0, rng.choice(labels), "bed", 9.0) for k in range(20)]
+    rounds, real = [], mining._rounds
+    monkeypatch.setattr(mining, "_rounds", lambda rows, cap: rounds.append({r[0] for r in rows.select("env_id").distinct().collect()}) or real(rows, cap))
+    got = mining.mine_environment(spark.createDataFrame(moves, MOVES), 4).collect()
+    assert sorted(map(tuple, got), key=str) == sorted(walk(moves, 4), key=str)
+    assert len(rounds) == 1 and "e" in rounds[0] and "c" not in rounds[0]
+
+
+def test_only_what_is_taken_is_written(spark, monkeypatch):
+    """Checkpoints hold a row for each environment, not its moves in every round."""
+    written, real = [], mining.checkpointed
+
+    def counted(df):
+        out = real(df)
+        written.append(out.count())
+        return out
+
+    monkeypatch.setattr(mining, "checkpointed", counted)
+    rng = random.Random(13)
+    moves = [(f"e{k % 20}", k, 1, f"s{rng.randrange(40)}", "sofa", rng.random()) for k in range(3000)]
+    got = mining.mine_environment(spark.createDataFrame(moves, MOVES), 4).collect()
+    assert sorted(map(tuple, got)) == sorted(walk(moves, 4))
+    assert sum(written) <= 20
